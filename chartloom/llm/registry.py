@@ -6,7 +6,9 @@ import importlib
 
 #: Module and query of each operator.
 OPERATORS = {
+    "embeddings": "op3_embedding_near_dedup",
     "simhash": "op7_simhash_near_dedup",
+    "quality_rules": "op10_quality_rules",
 }
 
 
