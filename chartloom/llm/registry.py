@@ -9,6 +9,7 @@ OPERATORS = {
     "embeddings": "op3_embedding_near_dedup",
     "simhash": "op7_simhash_near_dedup",
     "quality_rules": "op10_quality_rules",
+    "line_dedup": "op6_line_dedup",
 }
 
 
