@@ -10,6 +10,7 @@ OPERATORS = {
     "simhash": "op7_simhash_near_dedup",
     "quality_rules": "op10_quality_rules",
     "line_dedup": "op6_line_dedup",
+    "mixing": "op2_mix_sources",
 }
 
 
