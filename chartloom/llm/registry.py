@@ -11,6 +11,7 @@ OPERATORS = {
     "quality_rules": "op10_quality_rules",
     "line_dedup": "op6_line_dedup",
     "mixing": "op2_mix_sources",
+    "bpe": "op4_byte_bpe",
 }
 
 
