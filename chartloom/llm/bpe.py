@@ -25,43 +25,6 @@ REMEMBERED = 1 << 19
 REMEMBERED_CHARS = 64
 
 
-class RankQueue:
-    """Positions by rank, the lowest rank first and its leftmost position first."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | ((m := self.mid[a]) & -m).bit_length() - 1
-        rank = b << 6 | ((w := self.low[b]) & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, at
-
-
 class _Remembered(dict):
     """Ids by pre-token; those not there are encoded."""
 
@@ -88,8 +51,8 @@ class Codec:
         self.tokens: list[bytes | None] = [None] * (most + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.names = [str(i) for i in range(most + 1)]
-        self.queue = RankQueue(most + 1)
+        self.names = [f"{i} " for i in range(most + 1)]
+        self.low, self.mid = [0] * ((most >> 6) + 1), [0] * ((most >> 12) + 1)
         # the space of Unicode's White_Space, which is what the libraries' \s means
         self.split = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.remembered = _Remembered(self)
@@ -100,39 +63,54 @@ class Codec:
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
         n = len(piece)
-        queue, none = self.queue, -1
+        low, mid, top = self.low, self.mid, 0  # all zero here and when it ends
         end = list(range(1, n + 1))  # of the token that starts here
         prev = list(range(-1, n - 1))
-        pair = [none] * n  # the rank of the token that starts here with the next one
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
+        pair = [-1] * n  # the rank of the token that starts here with the next one
+        buckets: dict[int, list[int]] = {}  # heaps of positions by rank
+        later = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        while True:
+            for r, i in later:
                 pair[i] = r
-                queue.push(r, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
-            if pair[i] != rank:
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
+            if not top:
+                break
+            a = (top & -top).bit_length() - 1
+            m = mid[a]
+            b = a << 6 | (m & -m).bit_length() - 1
+            w = low[b]
+            rank = b << 6 | (w & -w).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[b] = w = w & (w - 1)
+                if not w:
+                    mid[a] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
+            later = []
+            if pair[i] != rank:  # stale
                 continue
             j = end[i]
             stop = end[i] = end[j]
-            pair[j] = none
+            pair[i] = pair[j] = -1
             if stop < n:
                 prev[stop] = i
                 k = end[stop]
-                r = ranks.get(piece[i:k]) if k - i <= longest else None
-                if r is None:
-                    pair[i] = none
-                else:
-                    pair[i] = r
-                    queue.push(r, i)
-            else:
-                pair[i] = none
-            if (h := prev[i]) >= 0:
-                r = ranks.get(piece[h:stop]) if stop - h <= longest else None
-                if r is None:
-                    pair[h] = none
-                else:
-                    pair[h] = r
-                    queue.push(r, h)
+                if k - i <= longest and (r := ranks.get(piece[i:k])) is not None:
+                    later.append((r, i))
+            h = prev[i]
+            if h >= 0:
+                pair[h] = -1
+                if stop - h <= longest and (r := ranks.get(piece[h:stop])) is not None:
+                    later.append((r, h))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -198,7 +176,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
 
     def make(own: Codec, text):
         ids = own.encode(text)
-        return len(ids), hashlib.sha256(" ".join(map(own.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256("".join(map(own.names.__getitem__, ids)).encode()[:-1]).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
     return _each(docs, text_col, ranks_path, pattern, make, ["n_tokens", "ids_sha256", "decoded_sha256"], "long string string")
 

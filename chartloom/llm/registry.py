@@ -12,6 +12,7 @@ OPERATORS = {
     "line_dedup": "op6_line_dedup",
     "mixing": "op2_mix_sources",
     "bpe": "op4_byte_bpe",
+    "token_shards": "op9_token_shards",
 }
 
 
