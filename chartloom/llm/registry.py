@@ -13,6 +13,7 @@ OPERATORS = {
     "mixing": "op2_mix_sources",
     "bpe": "op4_byte_bpe",
     "token_shards": "op9_token_shards",
+    "quality_model": "op8_quality_model",
 }
 
 
