@@ -21,21 +21,22 @@ from pyspark.sql import functions as F
 from chartloom.llm.runtime import ship, table
 
 #: Pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 REMEMBERED_CHARS = 64
 
 
 class _Remembered(dict):
-    """Ids by pre-token; those not there are encoded."""
+    """Ids by pre-token; those not there are encoded. Half of what it may hold is the last generation, from which what is used again comes back."""
 
     def __init__(self, codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, token: str):
-        ids = self.codec.encode_piece(token.encode("utf-8", "surrogatepass"))
+        ids = self.old.get(token) or self.codec.encode_piece(token.encode("utf-8", "surrogatepass"))
         if len(token) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
                 self.clear()
             self[token] = ids
         return ids
