@@ -14,6 +14,7 @@ OPERATORS = {
     "bpe": "op4_byte_bpe",
     "token_shards": "op9_token_shards",
     "quality_model": "op8_quality_model",
+    "substring_dedup": "op1_substring_dedup",
 }
 
 
