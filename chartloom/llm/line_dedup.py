@@ -5,9 +5,12 @@ them. Every line emits what is left after deleting any one character, as hashed
 such a key (equal lengths: deleted at the same place; lengths one apart: the shorter line itself), the edit distance of
 those that share one is verified, and the earliest line stays.
 
-Emitting every deletion of every line would multiply the corpus by its line length. Lines within one edit agree in their
-first or their last half, so each distinct line first gives the hashes of its halves (for its own length and one less),
-and only lines that share a half with another line emit deletions, inside the other half only. This loses no link.
+Emitting every deletion of every line would multiply the corpus by its line length. Of two lines within one edit, the
+first k or the last k characters agree if neither part is over half the shorter line, so each distinct line first gives
+the hashes of these ends. k depends on a band of lengths; the shortest lines of a band give the ends of the band below
+too, as they may be one character longer than lines there. Only lines that share an end with another line go
+on, cut the part where the edit must be into pieces and hash what is around each piece; only pieces whose surroundings
+agree with another line's emit deletions. This loses no link.
 """
 
 from __future__ import annotations
@@ -21,81 +24,120 @@ from chartloom.llm.runtime import cut, sized_broadcast, table
 MIN_CHARS = 20
 #: Deletions are hashed inside pieces of this many characters, so that long lines cost in proportion to their length.
 PIECE = 32
+#: Bands of line lengths grow by this factor.
+BAND = 1.25
 _FEW = 200_000
+_NO_ID = -(1 << 63)
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, white space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower case, no white space at the ends."""
+    return F.btrim(F.lower(line), F.lit(" \t\x0b\x0c\r"))
+
+
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, t, i, x, h, g): document id and text hash, line number, normalised line with a word, two hashes of it."""
-    rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("i", "x"))
-    rows = rows.withColumn("x", normalised(F.col("x"))).where("x != ''")
-    return rows.withColumns({"h": F.xxhash64("x"), "g": F.xxhash64(F.lit(1), F.col("x"))})
-
-
-def _halves(x: Column) -> Column:
-    """Hashes of the first and last half, for the line's length and one less; code says which."""
-    n = F.char_length(x)
-    out = []
-    for code, less in ((0, 0), (2, 1)):
-        m = n - less
-        half = F.floor(m / 2).cast("int")
-        out += [F.struct(F.xxhash64(F.lit("p"), m, F.substring(x, F.lit(1), half)).alias("k"), F.lit(code).alias("code")), F.struct(F.xxhash64(F.lit("s"), m, F.right(x, m - half)).alias("k"), F.lit(code + 1).alias("code"))]
-    return F.array(*out)
-
-
-def _deletions(lines: DataFrame) -> DataFrame:
-    """(key, kind, whole, p, h, g) of lines (x, codes, p, h, g): the keys that lines within one edit share."""
-    a = lines.select("x", "p", "h", "g", F.char_length("x").alias("n"), F.explode("codes").alias("code"))
-    a = a.withColumn("m", F.col("n") - F.floor(F.col("code") / 2).cast("int")).withColumn("half", F.floor(F.col("m") / 2).cast("int"))
-    first = F.col("code") % 2 == 0  # the first half is shared: the edit is in the last
-    a = a.withColumn("from", F.when(first, F.col("half")).otherwise(0)).withColumn("to", F.when(first, F.col("m")).otherwise(F.col("half")))
+    """(d, i, x, h, g): document id (null: the least long), line number, normalised line with a word, two hashes of it."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.posexplode(F.split(text_col, "\n")).alias("i", "x")).withColumn("x", normalised(F.col("x"))).where("x != ''")
+    h, g = _hashes(F.col("x"))
+    return rows.withColumns({"h": h, "g": g})
+
+
+def _band(n: Column, min_chars: int) -> tuple[Column, Column]:
+    """The number of a length's band (0 from min_chars on) and the shortest length in it, rounded up."""
+    j = F.floor(F.log(BAND, n.cast("double") / min_chars) + 1e-9).cast("int")
+    return j, F.ceil(min_chars * F.pow(F.lit(BAND), j) - 1e-6).cast("int")
+
+
+def _ends(lines: DataFrame, min_chars: int) -> DataFrame:
+    """lines with p0, s0, p1, s1: hashes of the first and last k characters by the own band, and by the band below where one length apart; null for short lines."""
+    n = F.char_length("x")
+    band, least = _band(F.col("n"), min_chars)
+    out = lines.withColumn("n", n).withColumn("band", F.when(F.col("n") >= min_chars, band)).withColumn("least", F.when(F.col("n") >= min_chars, least))
+    new = {}
+    for i in (0, 1):
+        k = F.floor(_least(F.col("band") - i, min_chars) / 2).cast("int")
+        fits = (F.col("n") >= min_chars) if i == 0 else ((F.col("n") == F.col("least")) & (F.col("band") > 0))
+        new[f"p{i}"] = F.when(fits, F.xxhash64(F.lit("p"), F.col("band") - i, F.substring("x", F.lit(1), k)))
+        new[f"s{i}"] = F.when(fits, F.xxhash64(F.lit("s"), F.col("band") - i, F.right("x", k)))
+    return out.withColumns(new)
+
+
+def _least(band: Column, min_chars: int) -> Column:
+    return F.ceil(min_chars * F.pow(F.lit(BAND), band) - 1e-6).cast("int")
+
+
+def _pieces(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(rest, piece, same, d, i, h, g) of lines (x, codes, d, i, h, g): pieces where an edit may be, and a hash of all around them.
+
+    Lines within one edit agree in the hash around the piece that has the edit. Code 0 and 1: the own band's first and last end is shared; 2 and 3: those of the band below, by the longer line.
+    """
+    band, _ = _band(F.col("n"), min_chars)
+    below = F.floor(F.col("code") / 2).cast("int")
+    a = lines.select("x", "d", "i", "h", "g", F.char_length("x").alias("n"), F.explode("codes").alias("code"))
+    a = a.withColumn("k", F.floor(_least(band - below, min_chars) / 2).cast("int"))
+    a = a.withColumn("m", F.explode(F.when(F.col("code") < 2, F.array("n", F.col("n") - 1)).otherwise(F.array(F.col("n") - 1)))).where("m >= 2 * k")
+    first = F.col("code") % 2 == 0  # the first end is shared: the edit is behind it
+    a = a.withColumn("from", F.when(first, F.col("k")).otherwise(0)).withColumn("to", F.when(first, F.col("m")).otherwise(F.col("m") - F.col("k")))
     a = a.withColumn("at", F.explode(F.sequence("from", F.col("to") - 1, F.lit(PIECE)))).withColumn("end", F.least(F.col("at") + PIECE, "to"))
     piece = F.substring("x", F.col("at") + 1, F.col("end") - F.col("at") + F.col("n") - F.col("m"))
-    a = a.select("p", "h", "g", (F.col("n") == F.col("m")).alias("same"), piece.alias("piece"), F.xxhash64("m", "at", "end", F.substring("x", F.lit(1), F.col("at")), F.right("x", F.col("m") - F.col("end"))).alias("rest"))
+    return a.select("d", "i", "h", "g", (F.col("n") == F.col("m")).alias("same"), piece.alias("piece"), F.xxhash64("m", "at", "end", F.substring("x", F.lit(1), F.col("at")), F.right("x", F.col("m") - F.col("end"))).alias("rest"))
+
+
+def _deletions(a: DataFrame) -> DataFrame:
+    """(key, kind, whole, d, i, h, g) of pieces: the keys that lines within one edit share."""
     left = lambda i: F.concat(F.substring("piece", F.lit(1), i - 1), F.substring("piece", i + 1, F.char_length("piece")))
     places = F.sequence(F.lit(1), F.char_length("piece"))
-    swaps = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit("s"), F.col("rest"), i, left(i)).alias("key"), F.lit("s").alias("kind"), F.lit(False).alias("whole")))
-    drops = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit("d"), F.col("rest"), left(i)).alias("key"), F.lit("d").alias("kind"), F.lit(False).alias("whole")))
-    itself = F.array(F.struct(F.xxhash64(F.lit("d"), F.col("rest"), F.col("piece")).alias("key"), F.lit("d").alias("kind"), F.lit(True).alias("whole")))
-    return a.select("p", "h", "g", F.explode(F.when(F.col("same"), F.concat(swaps, itself)).otherwise(drops)).alias("v")).select("v.*", "p", "h", "g")
+    key = lambda kind, *of: F.struct(F.xxhash64(F.lit(kind), F.col("rest"), *of).alias("key"), F.lit(kind).alias("kind"))
+    swaps = F.transform(places, lambda i: F.struct(key("s", i, left(i)).alias("v"), F.lit(False).alias("whole")))
+    drops = F.transform(places, lambda i: F.struct(key("d", left(i)).alias("v"), F.lit(False).alias("whole")))
+    itself = F.array(F.struct(key("d", F.col("piece")).alias("v"), F.lit(True).alias("whole")))
+    return a.select("d", "i", "h", "g", F.explode(F.when(F.col("same"), F.concat(swaps, itself)).otherwise(drops)).alias("e")).select("e.v.key", "e.v.kind", "e.whole", "d", "i", "h", "g")
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d, t, kept): for each document id and text hash, the numbers of the lines with a word that stay, where there are any."""
+    """(d, kept): for each document id, the hashes of the lines that stay there, where there are any."""
     lines = _lines(docs, id_col, text_col)
-    place = F.struct("d", "i", "t")
-    first = lines.groupBy("h", "g").agg(F.min(place).alias("p"))
-    halves = lines.where(F.char_length("x") >= min_chars).groupBy("h", "g").agg(F.min(place).alias("p"), F.first(_halves(F.col("x"))).alias("halves")).select("h", "g", "p", F.explode("halves").alias("e")).select("h", "g", "p", "e.k", "e.code")
-    shared = halves.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("k")
-    near = cut(halves.join(shared, "k").groupBy("h", "g").agg(F.min("p").alias("p"), F.collect_set("code").alias("codes")))
+    ends = ["p0", "s0", "p1", "s1"]
+    first = cut(_ends(lines, min_chars).groupBy("h", "g").agg(F.min("d").alias("d"), *(F.first(e).alias(e) for e in ends)))
+    given = first.select("h", "g", "d", F.explode(F.filter(F.array(*(F.struct(F.col(e).alias("k"), F.lit(i).alias("code")) for i, e in enumerate(ends))), lambda e: e["k"].isNotNull())).alias("e")).select("h", "g", "d", "e.k", "e.code")
+    shared = given.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("k")
+    near = cut(given.join(shared, "k").groupBy("h", "g").agg(F.min("d").alias("d"), F.collect_set("code").alias("codes")))
     few = sized_broadcast(near, near.count(), _FEW)
-    near = cut(lines.select("h", "g", "x").join(few, ["h", "g"]).groupBy("h", "g").agg(F.first("x").alias("x"), F.first("p").alias("p"), F.first("codes").alias("codes")))
+    near = cut(lines.join(few, ["h", "g", "d"]).groupBy("h", "g", "d").agg(F.min("i").alias("i"), F.first("x").alias("x"), F.first("codes").alias("codes")))
 
-    by_key, me = Window.partitionBy("key", "kind"), F.struct("p", "h", "g")
+    pieces = _pieces(near, min_chars)
+    agree = pieces.groupBy("rest").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("rest")
+    by_key, me = Window.partitionBy("key", "kind"), F.struct("d", "i", "h", "g")
     partner = F.when(F.col("kind") == "s", F.min(me).over(by_key)).when(F.col("whole"), F.min(F.when(~F.col("whole"), me)).over(by_key)).otherwise(F.min(F.when(F.col("whole"), me)).over(by_key))
-    pairs = _deletions(near).select("p", "h", "g", partner.alias("o")).where("o.p < p").select("h", "g", F.col("o.h").alias("oh"), F.col("o.g").alias("og")).distinct()
+    pairs = _deletions(pieces.join(agree, "rest")).select("h", "g", partner.alias("o"), me.alias("own")).where("o < own").select("h", "g", F.col("o.h").alias("oh"), F.col("o.g").alias("og")).distinct()
     text, other = near.select("h", "g", "x"), near.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("x").alias("y"))
     copies = pairs.join(text, ["h", "g"]).join(other, ["oh", "og"]).where(F.levenshtein("x", "y", 1) >= 0).select("h", "g").distinct()
-    return first.join(copies, ["h", "g"], "left_anti").groupBy("p.d", "p.t").agg(F.collect_list("p.i").alias("kept"))
+    return first.select("h", "g", "d").join(copies, ["h", "g"], "left_anti").groupBy("d").agg(F.collect_list("h").alias("kept"))
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the column _removed: the numbers (from 0, ascending) of the lines that copy an earlier line.
 
-    Lines split at \\n and compare normalised. The earliest of equal lines stays, by document id (null first), line
-    number, then text hash; of different lines within one edit, those with an earlier such line go, whether or not that
-    line stays itself. Lines without a word are never copies. Null and empty texts have no lines to remove. Rows equal in
-    id and text are one document and lose the same lines. An empty table gives no rows; other columns pass through.
+    Lines split at \\n and compare normalised. Of equal lines the one in the document of the smallest id stays (null
+    before all), the first of them there; of different lines within one edit those go of which another is earlier, by
+    document id and line number, whether or not that one stays itself. Lines without a word are never copies. Null and empty
+    texts have no lines to remove. Rows of one id are one place: each keeps what that id keeps. An empty table gives no
+    rows; other columns pass through. Ids must be integers.
     """
-    kept = kept_lines(docs, id_col, text_col, min_chars).withColumnsRenamed({"d": "_d", "t": "_t", "kept": "_kept"})
-    worded = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(normalised(x) != "", i)), lambda i: i.isNotNull())
-    named = docs.withColumn("_worded", F.coalesce(worded, F.array().cast("array<int>")))
-    out = named.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_t")), "left")
-    removed = F.array_sort(F.array_except("_worded", F.coalesce("_kept", F.array().cast("array<int>"))))
+    kept = kept_lines(docs, id_col, text_col, min_chars).withColumnsRenamed({"d": "_d", "kept": "_kept"})
+    said = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(F.when(normalised(x) != "", F.xxhash64(normalised(x))).alias("h"), i.alias("i"))), lambda s: s["h"].isNotNull())
+    # a kept hash, numbered -1, sorts right before the line that stays
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    out = docs.withColumn("_said", F.coalesce(said, none)).join(kept, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("_d"), "left")
+    both = F.sort_array(F.concat("_said", F.coalesce(F.transform("_kept", lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"))), none)))
+    out = out.withColumn("_both", both)
+    stays = lambda a, b: (b["i"] < 0) & (a["h"] == b["h"])
+    gone = F.zip_with("_both", F.slice(F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), "_both"), 1, F.size("_both")), lambda a, b: F.when((a["i"] >= 0) & ~F.coalesce(stays(a, b), F.lit(False)), a["i"]))
+    removed = F.when(F.size("_said") == F.size(F.coalesce("_kept", F.array().cast("array<bigint>"))), F.array().cast("array<int>")).otherwise(F.sort_array(F.filter(gone, lambda i: i.isNotNull())))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "_removed"), removed.alias("_removed"))
 
 
@@ -117,7 +159,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH line AS (
-  SELECT doc_id, i, trim(regexp_replace(lower(x[i]), '[\x20\x09-\x0D]+', ' ', 'g')) AS s
+  SELECT doc_id, i, regexp_replace(lower(x[i]), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(i)
 ), worded AS (
   SELECT doc_id, i - 1 AS i, s FROM line WHERE s <> ''
