@@ -15,6 +15,7 @@ OPERATORS = {
     "token_shards": "op9_token_shards",
     "quality_model": "op8_quality_model",
     "substring_dedup": "op1_substring_dedup",
+    "pii": "op5_pii_pseudonyms",
 }
 
 
