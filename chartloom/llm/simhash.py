@@ -48,17 +48,17 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp long) of each row. Null texts have no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, hash_col: str | None = None) -> DataFrame:
+    """(doc_id, th, fp long) of each row; th is the long of hash_col, or 0. Null texts have no words."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), (F.col(hash_col) if hash_col else F.lit(0).cast("long")).alias("th"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -193,5 +193,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = BITS) -> DataFrame:
+    """One row of docs for each component of near_duplicates: that of the smallest id, and of its rows that of the smallest text hash.
+
+    A row with a null id stays only where its whole component has none. Rows equal in id and text are one row. Columns
+    pass through; an empty table gives no rows.
+    """
+    marked = docs.withColumn("_th", F.xxhash64(F.col(f"`{text_col}`")))
+    prints = cut(fingerprints(marked, id_col, text_col, size, "_th"))
+    classes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("row")))
+    found = components(links(classes.select("fp"), bits)).withColumnRenamed("node", "fp")
+    chosen = classes.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_t"))
+    kept = marked.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))).dropDuplicates([id_col, "_th"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
