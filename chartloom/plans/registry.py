@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from chartloom.plans import documents, sessions
+
+MODULES = (documents, sessions)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.out_of_range_labs(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
