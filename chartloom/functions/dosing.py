@@ -15,6 +15,11 @@ TIMES = ("in the morning", "in the afternoon", "at night", "at bedtime")
 FREQUENCIES = {"OD": "once daily", "BD": "twice daily", "BID": "twice daily", "TDS": "three times daily", "TID": "three times daily", "QID": "four times daily", "QDS": "four times daily", "HS": "at bedtime", "SOS": "as needed", "PRN": "as needed", "STAT": "immediately"}
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def slot_value(token: Column) -> Column:
     """A slot as a double; null for no slot and for a division by zero."""
     ratio = F.try_divide(F.regexp_extract(token, r"^(\d+)/", 1).cast("double"), F.regexp_extract(token, r"/(\d+)$", 1).cast("double"))
@@ -23,9 +28,8 @@ def slot_value(token: Column) -> Column:
 
 def dose_slots(text: Column) -> Column:
     """Array of three or four doubles of the first dose notation; null if there is none."""
-    parts = [F.regexp_extract(text, DOSE, i) for i in range(1, 5)]
-    three = F.array(*(slot_value(p) for p in parts[:3]))
-    return F.when(parts[0] != "", F.when(parts[3] != "", F.concat(three, F.array(slot_value(parts[3])))).otherwise(three))
+    tokens = lambda d: F.filter(F.transform(F.split(d, r"\s*-\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    return let(F.regexp_extract(text, DOSE, 0), lambda d: F.when(d != "", F.transform(tokens(d), slot_value)))
 
 
 def total_per_day(slots: Column) -> Column:
@@ -33,12 +37,20 @@ def total_per_day(slots: Column) -> Column:
 
 
 def dose_sentence(slots: Column) -> Column:
+    return let(slots, _sentence)
+
+
+def _sentence(slots: Column) -> Column:
     """"1 tablet in the morning and 1 tablet at night"; empty if nothing is taken, null without slots."""
     shown = lambda x: F.when(x == F.floor(x), x.cast("int").cast("string")).otherwise(x.cast("string"))
     said = lambda x: F.when(x == 0.5, "half a tablet").when(x == 1.0, "1 tablet").otherwise(F.concat(shown(x), F.lit(" tablets")))
     each = F.filter(F.transform(slots, lambda x, i: F.when(x > 0, F.concat(said(x), F.lit(" "), F.element_at(F.array(*map(F.lit, TIMES)), i + 1)))), lambda x: x.isNotNull())
+    return F.when(slots.isNull(), None).otherwise(let(each, _listed))
+
+
+def _listed(each: Column) -> Column:
     n = F.size(each)
-    return F.when(slots.isNull(), None).when(n == 0, "").when(n == 1, F.try_element_at(each, F.lit(1))).otherwise(F.concat(F.array_join(F.slice(each, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(each, F.lit(-1))))
+    return F.when(n == 0, "").when(n == 1, F.try_element_at(each, F.lit(1))).otherwise(F.concat(F.array_join(F.slice(each, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(each, F.lit(-1))))
 
 
 def frequency_text(token: Column) -> Column:
@@ -49,11 +61,14 @@ def frequency_text(token: Column) -> Column:
 
 def dose_phrase(text: Column) -> Column:
     """Schedule (or frequency) and duration of the text after a drug's name, in words; empty if it has neither."""
-    slots, freq = dose_slots(text), F.regexp_extract(text, FREQUENCY, 1)
-    main = F.when(slots.isNotNull(), dose_sentence(slots)).when(freq != "", frequency_text(freq)).otherwise("")
-    count, unit = F.regexp_extract(text, DURATION, 1), F.regexp_extract(text, DURATION, 2)
-    lasting = F.concat(F.lit("or "), count, F.lit(" "))
-    return F.when(count == "", main).when(main == "", F.concat(F.lit("F"), lasting, F.lower(unit))).otherwise(F.concat(main, F.lit(", f"), lasting, unit))
+    often = let(F.regexp_extract(text, FREQUENCY, 1), lambda f: F.when(f != "", frequency_text(f)).otherwise(""))
+    said = F.struct(F.coalesce(dose_sentence(dose_slots(text)), often).alias("main"), F.regexp_extract(text, DURATION, 1).alias("n"), F.regexp_extract(text, DURATION, 2).alias("unit"))
+
+    def joined(x: Column) -> Column:
+        lasting = F.concat(F.lit("or "), x["n"], F.lit(" "))
+        return F.when(x["n"] == "", x["main"]).when(x["main"] == "", F.concat(F.lit("F"), lasting, F.lower(x["unit"]))).otherwise(F.concat(x["main"], F.lit(", f"), lasting, x["unit"]))
+
+    return let(said, joined)
 
 
 def dose_key(text: Column) -> Column:
