@@ -86,7 +86,9 @@ def rules(docs: DataFrame, text_col: str = "text", clean_col: str = "_clean", pr
 
 def clean(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The documents that pass, without their failing lines; n_chars, if there, is counted anew."""
-    out = rules(docs, text_col, "_q_clean", "_q_", **limits).where("_q_kept").withColumn(text_col, F.col("_q_clean"))
+    out = rules(docs, text_col, "_q_clean", "_q_", **limits)
+    # a filter would be pushed below and work the rules out again; a generator isn't
+    out = out.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.explode(F.when(F.col("_q_kept"), F.array("_q_clean"))).alias(text_col))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*(f"`{c}`" for c in docs.columns))
