@@ -5,37 +5,62 @@ then the ids, little-endian, two bytes each if the vocabulary fits and four if n
 writer puts them down (a record is a "line" and the end id its separator), so shards reach any store that Spark
 writes to and commit like any Spark output: tasks can be lost and run again.
 
-The index of a shard places its n distinct keys in n slots by hash and displace: a key's bucket has a seed, and seed
-and key give the slot. A slot has the key's fingerprint (to tell keys that aren't there), how many records the key has,
-the first one's offset, and how many ids of the shard precede it. A look-up takes one seed and one slot.
+The index of a shard numbers its n distinct keys from 0 to n - 1 by a minimal perfect hash of levels of bits; slot
+number k has the key's fingerprint (to tell keys that aren't there), how many records the key has, the first one's
+offset, and how many ids of the shard precede it. A look-up takes one or two bits, a count and one slot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
+import struct
 import unicodedata
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import scratch, ship, table
+from chartloom.llm.runtime import scratch, ship, sized_broadcast, table
 
 END_ID = 2
-#: Text that goes to a shard, about, and the most records of one file.
-SHARD_BYTES = 12_000_000
+#: Compressed text that goes to a shard, about, and the most records of one file.
+SHARD_BYTES = 7_000_000
 MOST_RECORDS = 20_000
-HEADER = np.dtype([("key", "<i8"), ("n", "<u4"), ("flags", "<u4")])
+#: Bytes of index that are sent to every executor; a larger index joins the shards by a shuffle.
+MOST_BROADCAST = 64_000_000
+#: Of struct: key, number of ids, flags.
+HEADER, HEADER_SIZE = "<qII", 16
 SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("before", "<u8")])
-REMEMBERED = 1 << 19
+#: Words in each of the two generations that a worker remembers.
+REMEMBERED = 1 << 18
 _SEED = 9
 
 
+class _Remembered(dict):
+    """What make gives for each key, in two generations of bounded size."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """The tokenizers library's ids as packed bytes, remembered by pre-token.
 
@@ -46,6 +71,7 @@ class WordEncoder:
     """
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(file)
@@ -53,10 +79,37 @@ class WordEncoder:
         steps = [(s["type"], s.get("pattern"), s.get("content")) for s in (said["normalizer"] or {}).get("normalizers", [])]
         splits = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.known = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and len(splits) == 2 and splits[0]["type"] == "Split" and splits[0].get("invert") is True and splits[0]["behavior"] == "Removed" and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"] and said["post_processor"] is None
-        self.special = re.compile("|".join([re.escape(t["content"]) for t in said["added_tokens"]] + ["[^\\x00-\u024f\u2013-\u2026\u20ac]"])).search
-        self.split = regex.compile(splits[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")).findall if self.known else None
+        self.strange = [*(t["content"] for t in said["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
+        self.special = re.compile("|".join([re.escape(x) for x in self.strange] + ["[^\\x00-\u024f\u2013-\u2026\u20ac]"])).search
+        if self.known:
+            # the characters let through here have had their classes since early Unicode versions
+            kinds = {k: "".join(c for c in map(chr, [*range(0x250), *range(0x2013, 0x2027), 0x20AC]) if test(c)) for k, test in (("L", lambda c: unicodedata.category(c)[0] == "L"), ("N", lambda c: unicodedata.category(c)[0] == "N"), ("S", lambda c: c in "\t\n\x0b\x0c\r \x85\xa0"))}
+            self.split = re.compile(splits[0]["pattern"]["Regex"].replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", kinds["S"])).findall
         self.kind = np.dtype("<u2" if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
-        self.ids: dict[str, bytes] = {}
+        self.words, self.marks = _Remembered(self.word), {}
+        # the characters that stand for bytes: printable ones for themselves, then from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.stands = [chr(b) if b in plain else chr(256 + sum(c not in plain for c in range(b))) for b in range(256)]
+        self.merge, self.code = self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+
+    def word(self, w: str) -> bytes:
+        """Ids of a run without white space."""
+        if w.isascii():  # letters, or letters and one mark, need no splitting
+            if w.isalpha():
+                return self.part(w)
+            head, mark = w[:-1], w[-1]
+            if head.isalpha() and not mark.isdigit():
+                last = self.marks.get(mark)
+                if last is None:
+                    last = self.marks[mark] = self.part(mark)
+                return (self.words.get(head) or self.part(head)) + last
+        return b"".join([self.words.get(p) or self.part(p) for p in self.split(w)])
+
+    def part(self, token: str) -> bytes:
+        """One pre-token's ids, by the library's model."""
+        if not token.isascii():
+            token = "".join(map(self.stands.__getitem__, token.encode()))
+        return array(self.code, [t.id for t in self.merge(token)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -64,102 +117,110 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.known or self.special(text):
+        if not self.known:
+            return self.whole(text)
+        if text.isascii():
+            if any(map(text.__contains__, self.strange)):
+                return self.whole(text)
+        elif self.special(text):
             return self.whole(text)
-        if not unicodedata.is_normalized("NFC", text):
+        elif not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        words = self.split(text.lower())
-        ids = self.ids
-        try:
-            return b"".join(map(ids.__getitem__, words))
-        except KeyError:
-            if len(ids) >= REMEMBERED:
-                ids.clear()
-            new = [w for w in set(words) if w not in ids]
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                ids[w] = np.array(e.ids, self.kind).tobytes()
-            return b"".join(map(ids.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))  # pre-tokens don't cross white space
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(file: str) -> WordEncoder:
-    key = xxhash.xxh3_128_hexdigest(file)
+    key = hashlib.sha256(file.encode()).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(file)
     return _ENCODERS[key]
 
 
-def _hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket hash, slot hash and fingerprint of int64 keys."""
-    packed = keys.astype("<i8").tobytes()
-    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(packed[i : i + 8], _SEED) for i in range(0, len(packed), 8)), "<u8").reshape(-1, 2)
-    return both[:, 0] & np.uint64(0xFFFFFFFF), both[:, 1], (both[:, 0] >> np.uint64(32)).astype("<u4")
-
-
-def _place(h: np.ndarray, seed: int, n: int) -> np.ndarray:
-    """Slots of slot hashes displaced by a seed."""
-    x = h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A bijection of 64 bits for each seed, so distinct keys never stay together."""
+    x = keys.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(n)).astype(np.int64)
-
-
-def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seeds int32, slots of the keys) for distinct keys. A seed >= 0 displaces its bucket; -1 - s puts its one key in slot s."""
-    n = len(keys)
-    if not n:
-        return np.zeros(0, "<i4"), np.zeros(0, np.int64)
-    bucket_hash, h, _ = _hashes(keys)
-    buckets = max(1, n // 4)
-    of = (bucket_hash % np.uint64(buckets)).astype(np.int64)
-    seeds, slots, free = np.zeros(buckets, "<i4"), np.full(n, -1), np.ones(n, bool)
-    order = np.argsort(of, kind="stable")
-    starts = np.searchsorted(of[order], np.arange(buckets + 1))
-    sizes = np.diff(starts)
-    for b in np.argsort(-sizes, kind="stable").tolist():
-        size = sizes[b]
-        if size <= 1:
-            break
-        own = order[starts[b] : starts[b] + size]
-        seed = 0
-        while True:
-            at = _place(h[own], seed, n)
-            if free[at].all() and len(np.unique(at)) == size:
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys, _SEED) >> np.uint64(32)).astype("<u4")
+
+
+class PerfectHash:
+    """Numbers n distinct int64 keys from 0 to n - 1 by levels of bits.
+
+    A level has two bits for each key that comes to it; a key alone on its bit stays there, the others go to the next level.
+    A key's number is how many bits are set before its own, counted up to each word of 64 bits in advance: about
+    5 bits a key, and one or two levels to look at.
+    """
+
+    def __init__(self, levels: list[np.ndarray]):
+        self.levels = levels  # words of bits
+        self.base, at = [], 0
+        for words in levels:
+            ones = np.bitwise_count(words).astype(np.int64)
+            self.base.append(at + np.cumsum(ones) - ones)
+            at += int(ones.sum())
+
+    @classmethod
+    def build(cls, keys: np.ndarray) -> PerfectHash:
+        levels: list[np.ndarray] = []
+        while len(keys):
+            size = (2 * len(keys) + 63) // 64 * 64
+            at = _mix(keys, len(levels)) % np.uint64(size)
+            alone = np.bincount(at.astype(np.int64), minlength=size) == 1
+            levels.append(np.packbits(alone, bitorder="little").view("<u8"))
+            keys = keys[~alone[at.astype(np.int64)]]
+        return cls(levels)
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers; -1, or any number, for keys that weren't given."""
+        out, rest = np.full(len(keys), -1), np.arange(len(keys))
+        for level, (words, base) in enumerate(zip(self.levels, self.base)):
+            if not len(rest):
                 break
-            seed += 1
-        seeds[b], slots[own] = seed, at
-        free[at] = False
-    single = np.flatnonzero(sizes == 1)
-    rest = np.flatnonzero(free)
-    seeds[single] = -1 - rest[: len(single)]
-    slots[order[starts[single]]] = rest[: len(single)]
-    return seeds, slots
-
-
-def look_up(key: int, seeds: np.ndarray, slots: np.ndarray) -> np.void | None:
-    """The slot of a key, or None if its fingerprint isn't there."""
-    if not len(slots):
-        return None
-    a, h, mark = _hashes(np.array([key], np.int64))
-    seed = int(seeds[int(a[0]) % len(seeds)])
-    slot = slots[-1 - seed if seed < 0 else _place(h, seed, len(slots))[0]]
-    return slot if slot["print"] == mark[0] else None
+            at = _mix(keys[rest], level) % np.uint64(64 * len(words))
+            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            here = (words[word] >> bit) & np.uint64(1) == 1
+            below = np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[rest[here]] = (base[word] + below)[here]
+            rest = rest[~here]
+        return out
+
+    def pack(self) -> bytes:
+        return np.array([len(self.levels), *map(len, self.levels)], "<u4").tobytes() + b"".join(w.tobytes() for w in self.levels)
+
+    @classmethod
+    def unpack(cls, data) -> PerfectHash:
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        sizes = np.frombuffer(data, "<u4", n, 4)
+        ends = 4 + 4 * n + 8 * np.cumsum(sizes, dtype=np.int64)
+        return cls([np.frombuffer(data, "<u8", int(s), int(e - 8 * s)) for s, e in zip(sizes.astype(np.int64), ends)])
+
+
+def look_up(keys: np.ndarray, hashed: PerfectHash, slots: np.ndarray) -> np.ndarray:
+    """The slot number of each key, -1 where its fingerprint isn't there."""
+    at = hashed.number(keys)
+    at[at >= 0] = np.where(slots["print"][at[at >= 0]] == fingerprints(keys[at >= 0]), at[at >= 0], -1)
+    return at
 
 
 def records(content, width: int):
     """(key or None, offset, n) of a shard's records, in order."""
-    at, size, read = 0, len(content), HEADER.itemsize
+    at, size, read = 0, len(content), HEADER_SIZE
     while at < size:
-        head = np.frombuffer(content, HEADER, 1, at)[0]
-        n = int(head["n"])
-        yield None if head["flags"] & 1 else int(head["key"]), at, n
+        key, n, flags = struct.unpack_from(HEADER, content, at)
+        yield None if flags & 1 else key, at, n
         at += read + n * width
 
 
 def build_index(content, width: int) -> tuple[int, int, bytes, bytes]:
-    """(records, ids, seeds, slots) of a shard."""
+    """(records, ids, hash, slots) of a shard."""
     found = list(records(content, width))
     before = np.cumsum([0] + [n for _, _, n in found])
     first: dict[int, int] = {}
@@ -169,29 +230,29 @@ def build_index(content, width: int) -> tuple[int, int, bytes, bytes]:
             first.setdefault(key, i)
             count[key] = count.get(key, 0) + 1
     keys = np.fromiter(first, np.int64, len(first))
-    seeds, at = perfect_hash(keys)
+    hashed = PerfectHash.build(keys)
     slots = np.zeros(len(keys), SLOT)
     if len(keys):
-        slots["print"][at] = _hashes(keys)[2]
+        at = hashed.number(keys)
+        slots["print"][at] = fingerprints(keys)
         slots["records"][at] = list(count.values())
         slots["offset"][at] = [found[i][1] for i in first.values()]
         slots["before"][at] = [before[i] for i in first.values()]
-    return len(found), int(before[-1]), seeds.tobytes(), slots.tobytes()
-
-
-def fetch(key: int, content, seeds: np.ndarray, slots: np.ndarray, kind: np.dtype):
-    """(ids of the shard before it, ids) of each record of a key, through the index."""
-    slot = look_up(key, seeds, slots)
-    if slot is None:
-        return
-    at, before = int(slot["offset"]), int(slot["before"])
-    for _ in range(int(slot["records"])):
-        head = np.frombuffer(content, HEADER, 1, at)[0]
-        if int(head["key"]) != key:
-            return
-        n = int(head["n"])
-        yield before, np.frombuffer(content, kind, n, at + HEADER.itemsize)
-        at, before = at + HEADER.itemsize + n * kind.itemsize, before + n
+    return len(found), int(before[-1]), hashed.pack(), slots.tobytes()
+
+
+def fetch(keys: np.ndarray, content, hashed: PerfectHash, slots: np.ndarray, kind: np.dtype):
+    """(key, ids of the shard before it, ids) of each record of the keys that the shard has, through the index."""
+    for key, number in zip(keys.tolist(), look_up(keys, hashed, slots).tolist()):
+        if number < 0:
+            continue
+        at, before = int(slots["offset"][number]), int(slots["before"][number])
+        for _ in range(int(slots["records"][number])):
+            found, n, _ = struct.unpack_from(HEADER, content, at)
+            if found != key:  # a fingerprint that agrees by chance
+                break
+            yield key, before, np.frombuffer(content, kind, n, at + HEADER_SIZE)
+            at, before = at + HEADER_SIZE + n * kind.itemsize, before + n
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
@@ -212,7 +273,9 @@ def write(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_co
     said = spark.sparkContext.broadcast(file)  # a vocabulary: a few MB, whatever the input's size
     kind = WordEncoder(file).kind
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, which are about half their text
+    if size > 1 << 50:  # not known
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def encode(batches):
         own = encoder(said.value)
@@ -220,8 +283,7 @@ def write(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_co
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = own.encode(text.as_py())
-                head = np.array([(key or 0, len(ids) // own.kind.itemsize + 1, key is None)], HEADER)
-                out.append(head.tobytes() + ids)
+                out.append(struct.pack(HEADER, key or 0, len(ids) // own.kind.itemsize + 1, key is None) + ids)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     ordered = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "key").sortWithinPartitions("key")
@@ -231,9 +293,9 @@ def write(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_co
     def index(batches):
         for batch in batches:
             made = [build_index(c.as_buffer(), kind.itemsize) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["shard", "records", "ids", "seeds", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["shard", "records", "ids", "hash", "slots"])
 
-    _shards(spark, path).mapInArrow(index, "shard long, records long, ids long, seeds binary, slots binary").write.parquet(f"{path}/index")
+    _shards(spark, path).mapInArrow(index, "shard long, records long, ids long, hash binary, slots binary").write.parquet(f"{path}/index")
 
 
 def read(spark: SparkSession, path: str, file: str) -> DataFrame:
@@ -250,25 +312,23 @@ def read(spark: SparkSession, path: str, file: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for content, seeds, slots, base in zip(*(batch.column(c) for c in ("content", "seeds", "slots", "base"))):
+            for content, hashed, slots, base in zip(*(batch.column(c) for c in ("content", "hash", "slots", "base"))):
                 content, base = content.as_buffer(), base.as_py()
-                seeds, slots = np.frombuffer(seeds.as_buffer(), "<i4"), np.frombuffer(slots.as_buffer(), SLOT)
-                keys, starts, sizes, sums, before, last = [], [], [], [], 0, object()
+                hashed, slots = PerfectHash.unpack(hashed.as_buffer()), np.frombuffer(slots.as_buffer(), SLOT)
+                named, nameless, before = {}, [], 0
                 for key, at, n in records(content, kind.itemsize):
                     if key is None:
-                        got = [(before, np.frombuffer(content, kind, n, at + HEADER.itemsize))]
+                        nameless.append((None, before, np.frombuffer(content, kind, n, at + HEADER_SIZE)))
                     else:
-                        got = fetch(key, content, seeds, slots, kind) if key != last else ()
-                    last, before = key, before + n
-                    for start, ids in got:
-                        keys.append(key)
-                        starts.append(base + start)
-                        sizes.append(len(ids))
-                        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, sizes, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    whole = _shards(spark, path).join(index.select("shard", "seeds", "slots").join(bases, "shard"), "shard")
-    return whole.select("content", "seeds", "slots", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                        named[key] = True
+                    before += n
+                out = [(key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, start, ids in chain(nameless, fetch(np.fromiter(named, np.int64, len(named)), content, hashed, slots, kind))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    size = index.agg(F.sum(F.octet_length("hash") + F.octet_length("slots"))).first()[0] or 0
+    known = sized_broadcast(index.select("shard", "hash", "slots").join(bases, "shard"), size, MOST_BROADCAST)
+    whole = _shards(spark, path).join(known, "shard")
+    return whole.select("content", "hash", "slots", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
