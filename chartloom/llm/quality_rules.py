@@ -15,7 +15,7 @@ MAX_LOST_PERCENT = 50
 
 # Characters and phrases of the line rules.
 SYMBOLS = r"[#*$%&|<>]"
-SHOUTS = r"[#*$%&<>!?~^=_{}\\]"
+SHOUTS = r"[#*$%&<>~^=_{}\\]|!{2,}|\?{2,}"
 SEPARATORS = r"[|>»«•·→]"
 NAVIGATION = r"(?i)^\s*(home|menu|main menu|next|previous|prev|back|back to top|log ?in|log ?out|sign ?in|sign ?up|register|search|share|print|contact( us)?|about( us)?|site ?map|skip to content|read more|load more|more)\s*[.!:]?\s*$"
 BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|accept cookies|click here|subscribe to our|newsletter|enable javascript|javascript is (disabled|required)|powered by|licensed under the|is licensed under)"
@@ -24,7 +24,7 @@ BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|c
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word fails a rule.
 
-    Punctuation: two or more shouting or symbol characters, and over one for every two words. Navigation: two or more
+    Punctuation: two or more symbols or runs of ! or ?, and over one for every two words. Navigation: two or more
     separators, and three or more for every ten words; or nothing but a menu entry. Boilerplate: a stock phrase.
     """
     words = F.regexp_count(line, F.lit(WORD))
