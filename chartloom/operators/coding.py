@@ -34,8 +34,8 @@ def ratio(target: pd.Series, candidate: pd.Series) -> pd.Series:
 def fuzzy_lookup(rows: DataFrame, text_col: str, alias: DataFrame, least: float = FUZZY) -> DataFrame:
     """rows with row_no, code, display, unit (if the table has it), score and review of the best alias.
 
-    Distinct keys are looked up once: equal keys score 1; only the rest is compared with every alias, by ratio, the table's
-    earliest alias winning ties. Below `least` nothing is taken. review marks matches that aren't exact. The alias table is a
+    Distinct keys are looked up once: equal keys score 1; only the rest is compared with the aliases of fitting length, by
+    ratio, the table's earliest alias winning ties. Below `least` nothing is taken. review marks matches that aren't exact. The alias table is a
     dimension of a few thousand rows, so the comparison grows with the distinct unmatched terms.
     """
     extra = [c for c in ("unit",) if c in alias.columns]
@@ -44,7 +44,9 @@ def fuzzy_lookup(rows: DataFrame, text_col: str, alias: DataFrame, least: float
     exact = terms.join(dim, F.col("_term") == F.col("key")).select("_term", "row_no", "code", "display", *extra, F.lit(1.0).alias("score"))
     rest = terms.join(dim.select(F.col("key")), F.col("_term") == F.col("key"), "left_anti")
     every = alias.withColumn("key", lookup_key(F.col("alias"))).where("key != ''")
-    scored = rest.join(F.broadcast(every)).withColumn("score", ratio("_term", "key"))
+    # a ratio is at most twice the shorter length over both, so most pairs needn't be scored
+    near = 2.0 * F.least(F.char_length("_term"), F.char_length("key")) / (F.char_length("_term") + F.char_length("key")) >= least
+    scored = rest.join(F.broadcast(every), near).withColumn("score", ratio("_term", "key"))
     best = scored.groupBy("_term").agg(F.max_by(F.struct("row_no", "code", "display", *extra, "score"), F.struct("score", -F.col("row_no"), -F.col("ord"))).alias("b")).select("_term", "b.*").where(F.col("score") >= least)
     found = exact.unionByName(best.select(exact.columns)).withColumn("review", F.col("score") < 1.0).withColumnsRenamed({"unit": "dim_unit"})
     return rows.withColumn("_k", lookup_key(F.col(text_col))).join(found, F.col("_k") == F.col("_term"), "left").drop("_k", "_term")
