@@ -112,9 +112,9 @@ def plausibility(answers: DataFrame, evidence: DataFrame, conditions: DataFrame,
     answers: (session, question_id, value, multi), one row a question; a list answer matches by membership.
     """
     given = answers.select(*session, "question_id", F.explode(F.array_distinct(F.coalesce("multi", F.array("value")))).alias("value"))
-    sums = given.join(evidence, ["question_id", "value"]).groupBy(*session, "condition_id").agg(F.sum("signed_weight").alias("s"))
+    sums = given.join(evidence, ["question_id", "value"]).groupBy(*session, "condition_id").agg(F.sum("signed_weight").alias("_sum"))
     every = answers.select(*session).distinct().crossJoin(F.broadcast(conditions.select("condition_id")))  # the condition map is a dimension of tens of rows
-    return every.join(sums, [*session, "condition_id"], "left").select(*session, "condition_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)))).alias("plausibility"))
+    return every.join(sums, [*session, "condition_id"], "left").select(*session, "condition_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_sum", F.lit(0.0)))).alias("plausibility"))
 
 
 def question_scores(live: DataFrame, candidates: DataFrame, evidence: DataFrame, must_ask: DataFrame, session: list[str]) -> DataFrame:
@@ -136,9 +136,9 @@ def question_scores(live: DataFrame, candidates: DataFrame, evidence: DataFrame,
 def rank_questions(scored: DataFrame, live: DataFrame, must_ask: DataFrame, conditions: DataFrame, session: list[str], ord_col: str = "q_ord") -> DataFrame:
     """scored with rank_no: by score, then urgency of the live conditions that must ask it, then order. Without a live condition the order stands."""
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in URGENCY.items() for v in kv)), F.col("urgency")), F.lit(0))
-    urgent = live.join(must_ask, "condition_id").join(conditions.select("condition_id", rank.alias("u")), "condition_id").groupBy(*session, "question_id").agg(F.max("u").alias("u"))
-    w = Window.partitionBy(*session).orderBy(F.desc("score"), F.desc(F.coalesce("u", F.lit(0))), ord_col)
-    return scored.join(urgent, [*session, "question_id"], "left").withColumn("rank_no", F.row_number().over(w)).drop("u")
+    urgent = live.join(must_ask, "condition_id").join(conditions.select("condition_id", rank.alias("_u")), "condition_id").groupBy(*session, "question_id").agg(F.max("_u").alias("_u"))
+    w = Window.partitionBy(*session).orderBy(F.desc("score"), F.desc(F.coalesce("_u", F.lit(0))), ord_col)
+    return scored.join(urgent, [*session, "question_id"], "left").withColumn("rank_no", F.row_number().over(w)).drop("_u")
 
 
 def sequence(questions: DataFrame, answers: DataFrame, session: list[str], sections: dict[str, dict], mode: str = "allopathic") -> DataFrame:

@@ -77,12 +77,11 @@ def frequencies(spark, sf_dir):
 
 
 _LAB_SQL = f"SELECT {DOC} AS document_id, 0::BIGINT AS entity_no, 'lab' AS kind, {ANALYTE} AS text, CASE WHEN l_suppkey % 5 <> 0 THEN {QTY}::DOUBLE END AS value_num, CASE WHEN l_suppkey % 5 = 0 THEN '<' || {QTY} END AS value_str, 'mg/dL' AS unit, {LOW} || '-' || {HIGH} AS reference_range, round(CAST((0.8 + 0.05 * (l_linenumber % 4)) * 0.75 AS DOUBLE), 6) AS confidence FROM lineitem"
-_ENTITY = ["document_id", F.col("entity_no").cast("long").alias("entity_no"), "kind", "text", "value_num", "value_str", "unit", "reference_range", F.round("confidence", 6).alias("confidence")]
 
 
 @query(_LAB_SQL)
 def lab_rows(spark, sf_dir):
-    return extract.entities(make(spark, sf_dir, "lab_docs"), ["document_id"]).where("kind = 'lab'").select("document_id", F.lit(0).cast("long").alias("entity_no"), *_ENTITY[2:])
+    return extract.entities(make(spark, sf_dir, "lab_docs"), ["document_id"]).where("kind = 'lab'").select("document_id", F.lit(0).cast("long").alias("entity_no"), "kind", "text", "value_num", "value_str", "unit", "reference_range", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"SELECT {DOC} AS document_id, {FORM} || ' ' || {ALIAS} || ' ' || {STRENGTH} || 'mg ' || {SLOT} || ' x ' || {DAYS} || ' days [' || {SENTENCE} || ', for ' || {DAYS} || ' days]' AS text, {STRENGTH}::DOUBLE AS value_num, 'mg' AS unit, round(0.9 * 0.8, 6)::DOUBLE AS confidence FROM lineitem")

@@ -41,7 +41,7 @@ def test_best_date_prefers_labels_then_certainty(spark):
 
 
 def test_clinical_date(spark):
-    rows = docs(spark, "Collected on 02/03/2020 printed on 05/03/2020", "Review after 02/03/2020", "01/01/1899 and 01/01/2099", "date 02/03/20", "date 05/03/2020\n" + "x" * 60 + "\ndate 02/03/2020", "दिनांक ०३/०४/२०२०", "", None, "explained 02/03/2020")
+    rows = docs(spark, "Collected on 02/03/2020, which is more than forty characters before: printed on 05/03/2020", "Review after 02/03/2020", "01/01/1899 and 01/01/2099", "date 02/03/20", "date 05/03/2020\n" + "x" * 60 + "\ndate 02/03/2020", "दिनांक ०३/०४/२०२०", "", None, "explained 02/03/2020")
     out = {r.document_id: (r.clinical_date and str(r.clinical_date), round(r.date_confidence, 4), r.date_reason) for r in dates.clinical_date(rows, ["document_id"], "2026-01-01").collect()}
     assert out[0] == ("2020-03-02", 1.0, "labelled 'collected on'")
     assert out[1] == out[2] == out[6] == out[7] == out[8] == (None, 0.0, "no usable date found on the document")
