@@ -15,7 +15,7 @@ RULES = {
     "bp": 0.95, "spo2": 0.95, "pulse": 0.90, "temperature": 0.90, "weight": 0.90, "height": 0.90, "resp_rate": 0.85, "dose_notation": 0.95,
     "frequency_abbrev": 0.85, "strength": 0.90, "drug_line": 0.80, "lab_row": 0.75, "date_unambiguous": 0.95, "date_assumed_dmy": 0.70, "facility": 0.60, "diagnosis_line": 0.70,
 }
-JUNK = r"^\s*(?:[^\sA-Za-zऀ-ॿ]+[ \t]*)*"
+JUNK = r"^\s*(?:[^\sA-Za-zऀ-ॿ]++[ \t]*+)*+"
 FORM = r"(Tab|Tabs|Tablet|TS|T|Cap|Caps|Capsule|Syp|Syrup|Susp|Inj|Injection|Oint|Ointment|Drops?|Gel|Cream|Powder|गोली|कैप्सूल|सिरप|इंजेक्शन)"
 DRUG_LINE = rf"(?im){JUNK}{FORM}\.?\s+([A-Za-zऀ-ॿ][A-Za-z0-9ऀ-ॿ'\- ]{{1,48}}?)(?=\s*(?:\d|\(|\[|$))(.*)$"
 REVERSED_LINE = rf"(?im){JUNK}([A-Za-z][A-Za-z\- ]{{1,30}}?)\s+(powder|sachet|solution|gel)\s*(.*)$"
@@ -31,6 +31,7 @@ VITALS = (
 )
 PRESSURE = r"(?i)(?<![A-Za-z])(?:BP|B\.P\.?|Blood\s*Pressure|बीपी|बी\.पी\.?|रक्तचाप)\s*[:\-]?\s*(\d{2,3})\s*/\s*(\d{2,3})\s*(mm\s*Hg)?"
 FACILITY = r"(?im)^.{0,80}?((?:[A-Za-zऀ-ॿ][A-Za-z0-9ऀ-ॿ&'.,\- ]{2,60}?\s*)?(?:Primary\s+Health\s+Centre|PHC|CHC|Sub\s*-?\s*Centre|District\s+Hospital|Civil\s+Hospital|Medical\s+College|Hospital|Nursing\s+Home|Clinic|Polyclinic|Diagnostics?|Diagnostic\s+Cent(?:re|er)|Laboratory|Labs?|Path\s*Lab|अस्पताल|चिकित्सालय|स्वास्थ्य\s*केंद्र))"
+NAMES_FACILITY = r"(?i)Centre|PHC|CHC|Hospital|College|Home|Clinic|Polyclinic|Diagnostic|Lab|अस्पताल|चिकित्सालय|केंद्र"
 DIAGNOSIS = r"(?im)^\s*(?:Dx|Diagnosis|Impression|निदान)\s*[.:]\s*(.+)$"
 TITLES = {"prescription": "Prescription", "lab": "Lab Report", "condition": "Diagnosis"}
 
@@ -47,6 +48,11 @@ def _matches(docs: DataFrame, key: list[str], pattern: str, text_col: str) -> Da
     return docs.select(*key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("pos", "m"))
 
 
+def _groups(match: Column, pattern: str, n: int) -> Column:
+    """A match's groups 1 to n as an array, in one pass; empty for those that took no part."""
+    return F.split(F.regexp_replace(match, pattern, "\x01".join(f"${i}" for i in range(1, n + 1))), "\x01", -1)
+
+
 def _entity(rows: DataFrame, key: list[str], group: int, kind: str, text: Column, rule: str, num=None, string=None, unit=None, ref=None, at: Column | None = None) -> DataFrame:
     null = F.lit(None)
     return rows.select(*key, F.struct(F.lit(group).alias("g"), (F.col("pos") if at is None else at).cast("long").alias("p")).alias("at"), F.lit(kind).alias("kind"), text.alias("text"), (null if num is None else num).cast("double").alias("value_num"), (null if string is None else string).cast("string").alias("value_str"), (null if unit is None else unit).cast("string").alias("unit"), (null if ref is None else ref).cast("string").alias("reference_range"), F.lit(rule).alias("rule"))
@@ -68,7 +74,7 @@ def reversed_drugs(docs: DataFrame, key: list[str], text_col: str = "text") -> D
 
 
 def drugs(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, DRUG_LINE, text_col).withColumn("name", F.trim(F.regexp_extract("m", DRUG_LINE, 2))).withColumn("rest", F.regexp_extract("m", DRUG_LINE, 3))
+    rows = _matches(docs, key, DRUG_LINE, text_col).withColumn("g", _groups(F.col("m"), DRUG_LINE, 3)).withColumn("name", F.trim(F.col("g")[1])).withColumn("rest", F.col("g")[2])
     rows = rows.withColumn("phrase", dose_phrase(F.col("rest"))).withColumn("strength", _or_null(F.regexp_extract("rest", STRENGTH, 1)))
     line = F.trim(F.regexp_replace("m", r"^\s+|\s+$", ""))
     text = F.when(F.col("phrase") != "", F.concat(line, F.lit(" ["), "phrase", F.lit("]"))).otherwise(line)
@@ -76,8 +82,8 @@ def drugs(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
 
 
 def labs(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, LAB_ROW, text_col)
-    part = lambda i: F.regexp_extract("m", LAB_ROW, i)
+    rows = _matches(docs, key, LAB_ROW, text_col).withColumn("g", _groups(F.col("m"), LAB_ROW, 5))
+    part = lambda i: F.col("g")[i - 1]
     plain = part(2) == ""
     return _entity(rows, key, 4, "lab", F.trim(part(1)), "lab_row", num=F.when(plain, part(3)), string=F.when(~plain, F.concat(part(2), part(3))), unit=_or_null(part(4)), ref=_or_null(F.replace(part(5), F.lit(" "), F.lit(""))))
 
@@ -95,7 +101,7 @@ def vitals(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame
 
 def facilities(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """The first facility named, one for each document at most."""
-    rows = docs.select(*key, F.lit(0).alias("pos"), F.trim(F.regexp_extract(text_col, FACILITY, 1)).alias("name")).where("name != ''")
+    rows = docs.select(*key, F.lit(0).alias("pos"), F.when(F.col(text_col).rlike(NAMES_FACILITY), F.trim(F.regexp_extract(text_col, FACILITY, 1))).alias("name")).where("name != ''")
     return _entity(rows, key, 20, "facility", F.col("name"), "facility")
 
 

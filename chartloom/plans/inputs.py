@@ -74,9 +74,16 @@ WORDS = {
 }
 
 
+def spread(df: DataFrame, small: int = 32_000_000) -> DataFrame:
+    """df over all cores where its files are too few or small to be: work on texts then runs in parallel. Larger inputs stay as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < small * cores else df
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+        spread(spark.read.parquet(f"{sf_dir}/{n}.parquet")).createOrReplaceTempView(n)
 
 
 SOURCES = {"lab_docs": ["lineitem"], "drug_docs": ["lineitem"], "vital_docs": ["lineitem"], "dx_docs": ["orders"], "dated_docs": ["orders"], "entries": ["orders"], "words": ["documents"], "answers": ["events"], "prakriti": ["events"], "scores": ["labels"], "session_drugs": ["orders", "lineitem"]}
