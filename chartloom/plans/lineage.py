@@ -1,0 +1,14 @@
+"""Cutting lineage where several later steps start from one costly result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in the cluster's shared folder, or beside the warehouse where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)

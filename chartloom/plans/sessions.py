@@ -333,6 +333,42 @@ def contradictions(spark, sf_dir):
     return summary.contradictions(denials, meds, ["session"]).drop("topic")
 
 
+@query("WITH a AS (SELECT c_custkey AS session, c_custkey % 4 AS k FROM customer) SELECT session, 'chief_complaint' AS heading, CASE k WHEN 0 THEN 'Presenting complaint: pain in the chest.' WHEN 1 THEN 'Presenting complaint: fever.' || chr(10) || 'Patient''s own words: \"since Monday\"' WHEN 2 THEN 'Patient''s own words: \"since Monday\"' ELSE 'Not answered in this interview.' END AS en, CASE k WHEN 0 THEN 0.7 WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS confidence FROM a UNION ALL SELECT session, 'hpi', CASE WHEN k = 0 THEN 'Severity: 0/10. Associated with: nausea, sweat.' WHEN k IN (1, 2) THEN 'History of presenting illness, in the patient''s own words: \"since Monday\". Structured follow-up questions for this type of complaint are not yet in the interview ontology.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 3 THEN 0 ELSE 0.5 END FROM a UNION ALL SELECT session, 'past_surgical', CASE WHEN k = 0 THEN 'Patient reports no prior operations.' WHEN k = 1 THEN 'Patient reports a prior operation; details not captured.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 1 THEN 0.8 ELSE 0 END FROM a")
+def interview_sections(spark, sf_dir):
+    tables(spark, sf_dir, "customer")
+    rows = spark.sql("SELECT c_custkey AS session, CASE c_custkey % 4 WHEN 0 THEN map('cc.primary', 'pain', 'cc.area', 'chest', 'soc.severity', '0', 'px.surgery', 'no') WHEN 1 THEN map('cc.primary', 'fever', 'cc.describe', 'since Monday', 'px.surgery', 'yes') WHEN 2 THEN map('cc.describe', 'since Monday') ELSE map('x', 'y') END AS answers, map('soc.associations', array('nausea', 'none', 'sweat')) AS lists FROM customer")
+    return summary.interview_sections(rows, ["session"]).where("heading in ('chief_complaint', 'hpi', 'past_surgical')").select("session", "heading", "en", "confidence")
+
+
+@query("WITH l AS (SELECT o_custkey AS session, o_orderkey AS id, 'Title ' || o_orderpriority AS title, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders WHERE o_orderkey % 5 = 1) SELECT s.session, CASE WHEN count(id) = 0 THEN md5('No prior investigation reports found among the documents provided.') ELSE md5('All investigations on file:' || chr(10) || string_agg('  - ' || title || ' — ' || coalesce(strftime(d, '%Y-%m-%d'), 'undated'), chr(10) ORDER BY d ASC NULLS LAST, lower(title), id)) END AS en_md5, count(id) AS n_documents FROM (SELECT DISTINCT o_custkey AS session FROM orders) s LEFT JOIN l USING (session) GROUP BY 1")
+def prior_sections(spark, sf_dir):
+    entries = timeline.order(make(spark, sf_dir, "entries"), ["session"])
+    flags = spark.createDataFrame([], "session long, n int, text string, value_num double, unit string, direction string, range_text string, document_id long")
+    alerts = spark.createDataFrame([], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
+    bundles = entries.groupBy("session").agg(F.avg("confidence").alias("mean_confidence"))
+    return summary.prior_section(entries, flags, alerts, bundles, ["session"]).select("session", F.md5("en").alias("en_md5"), F.size("provenance").cast("long").alias("n_documents"))
+
+
+@query(f"WITH {_FOUND}, flag AS (SELECT document_id, text, entity_no, CASE WHEN entity_no % 2 = 0 THEN 'high' ELSE 'low' END AS direction FROM found WHERE kind = 'lab' AND entity_no % 3 = 0), last AS (SELECT document_id, lower(text) AS t, arg_max(direction, entity_no) AS marker FROM flag GROUP BY 1, 2) SELECT f.document_id, f.entity_no, marker FROM found f LEFT JOIN last l ON l.document_id = f.document_id AND l.t = lower(f.text)")
+def abnormal_markers(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    flags = found.where("kind = 'lab' and entity_no % 3 = 0").select("document_id", "text", "entity_no", F.when(F.col("entity_no") % 2 == 0, "high").otherwise("low").alias("direction"))
+    return fhir.abnormal_markers(found, flags, ["document_id"]).select("document_id", "entity_no", "marker")
+
+
+# The whole path.
+@query()
+def document_bundles(spark, sf_dir):
+    """Pages of one lab row or one drug line a document, three sources of operators in one path; tests check its parts."""
+    from chartloom.plans import bundle
+
+    labs, drugs = (make(spark, sf_dir, n).select(F.col("session_id").alias("session"), "document_id", "text", "mean_confidence") for n in ("lab_docs", "drug_docs"))
+    docs = labs.unionByName(drugs.withColumn("document_id", -F.col("document_id"))).withColumn("doc_no", F.row_number().over(Window.partitionBy("session").orderBy("document_id"))).withColumn("hint", F.lit(None).cast("string"))
+    out = bundle.build(docs, *(dims.load(spark, n) for n in ("lab_alias", "drug_alias", "condition_alias", "interaction")), "2002-01-01")
+    per = out.timeline.groupBy("session").agg(F.count(F.lit(1)).alias("n_entries"))
+    return per.join(out.abnormal.groupBy("session").agg(F.count(F.lit(1)).alias("n_abnormal")), "session", "left").join(out.interactions.groupBy("session").agg(F.count(F.lit(1)).alias("n_interactions")), "session", "left").select("session", "n_entries", F.coalesce("n_abnormal", F.lit(0)).alias("n_abnormal"), F.coalesce("n_interactions", F.lit(0)).alias("n_interactions"))
+
+
 # Accuracy.
 @query(f"WITH {cte('scores')} SELECT grp, round(coalesce(sum(n_correct) / nullif(sum(n_extracted), 0), 0), 6) AS precision, round(coalesce(sum(n_correct) / nullif(sum(n_expected), 0), 0), 6) AS recall, round(coalesce(2.0 * sum(n_correct) / nullif(sum(n_extracted) + sum(n_expected), 0), 0), 6) AS f1 FROM scores GROUP BY 1")
 def precision_recall(spark, sf_dir):
