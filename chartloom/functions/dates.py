@@ -28,7 +28,7 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
-def _spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str) -> Column:
     """(before, m) for each match: all text before it and the match."""
     found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     ends = F.aggregate(F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m")), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda s, x: F.struct((s["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.char_length(x["p"]))).alias("starts")), lambda s: s["starts"])
@@ -50,7 +50,7 @@ def parse_dmy(raw: Column, pivot: int = 70) -> Column:
 
 def date_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs' rows times their dates: pos, raw, value, ambiguous, labelled (a date word ends right before, within 20 characters)."""
-    rows = docs.select("*", F.posexplode(_spans(F.col(text_col), DMY)).alias("pos", "_s"))
+    rows = docs.select("*", F.posexplode(spans(F.col(text_col), DMY)).alias("pos", "_s"))
     before = F.substring(text_col, F.greatest(F.col("_s.start") - 19, F.lit(1)), F.least(F.col("_s.start"), F.lit(20)))
     return rows.withColumn("raw", F.col("_s.m")).withColumn("_p", parse_dmy(F.col("raw"))).select(*docs.columns, "pos", "raw", "_p.value", "_p.ambiguous", before.rlike(LABEL_BEFORE).alias("labelled")).where("value is not null")
 
@@ -68,7 +68,7 @@ def date_candidates(docs: DataFrame, today: str, text_col: str = "text") -> Data
     Future dates, dates over sixty years back and those after a forward-looking word (within 40 characters) are left out;
     the heaviest label there counts. A two-digit year is completed, at a discount.
     """
-    rows = docs.select("*", F.posexplode(_spans(F.col(text_col), NUMERIC_DATE)).alias("pos", "_s"))
+    rows = docs.select("*", F.posexplode(spans(F.col(text_col), NUMERIC_DATE)).alias("pos", "_s"))
     ascii_ = F.translate(F.col("_s.m"), "०१२३४५६७८९", "0123456789")
     part = lambda i: F.regexp_extract(ascii_, r"^(\d+)\s*[/\-.]\s*(\d+)\s*[/\-.]\s*(\d+)$", i).cast("int")
     short = part(3) < 100

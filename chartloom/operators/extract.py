@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.functions.dates import date_entities
-from chartloom.functions.dosing import STRENGTH, dose_phrase
+from chartloom.functions.dates import DMY, parse_dmy, spans
+from chartloom.functions.dosing import STRENGTH, dose_phrase, let
 
 # How sure each rule is, and the forms of lines.
 RULES = {
@@ -35,7 +33,6 @@ NAMES_FACILITY = r"(?i)Centre|PHC|CHC|Hospital|College|Home|Clinic|Polyclinic|Di
 DIAGNOSIS = r"(?im)^\s*(?:Dx|Diagnosis|Impression|निदान)\s*[.:]\s*(.+)$"
 TITLES = {"prescription": "Prescription", "lab": "Lab Report", "condition": "Diagnosis"}
 
-ENTITY = "kind string, text string, value_num double, value_str string, unit string, reference_range string, rule string"
 
 
 def confidence(mean: Column, rule: Column) -> Column:
@@ -44,81 +41,97 @@ def confidence(mean: Column, rule: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean * F.try_element_at(sure, rule)))
 
 
-def _matches(docs: DataFrame, key: list[str], pattern: str, text_col: str) -> DataFrame:
-    return docs.select(*key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("pos", "m"))
-
-
 def _groups(match: Column, pattern: str, n: int) -> Column:
     """A match's groups 1 to n as an array, in one pass; empty for those that took no part."""
     return F.split(F.regexp_replace(match, pattern, "\x01".join(f"${i}" for i in range(1, n + 1))), "\x01", -1)
 
 
-def _entity(rows: DataFrame, key: list[str], group: int, kind: str, text: Column, rule: str, num=None, string=None, unit=None, ref=None, at: Column | None = None) -> DataFrame:
+def _or_null(x: Column) -> Column:
+    return F.nullif(x, F.lit(""))
+
+
+def _entity(kind: str, text: Column, rule, num=None, string=None, unit=None, ref=None) -> Column:
     null = F.lit(None)
-    return rows.select(*key, F.struct(F.lit(group).alias("g"), (F.col("pos") if at is None else at).cast("long").alias("p")).alias("at"), F.lit(kind).alias("kind"), text.alias("text"), (null if num is None else num).cast("double").alias("value_num"), (null if string is None else string).cast("string").alias("value_str"), (null if unit is None else unit).cast("string").alias("unit"), (null if ref is None else ref).cast("string").alias("reference_range"), F.lit(rule).alias("rule"))
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (null if num is None else num).cast("double").alias("value_num"), (null if string is None else string).cast("string").alias("value_str"), (null if unit is None else unit).cast("string").alias("unit"), (null if ref is None else ref).cast("string").alias("reference_range"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"))
 
 
-def _or_null(x: Column) -> Column:
-    return F.nullif(x, F.lit(""))
+def _each(text: Column, pattern: str, make) -> Column:
+    """An array of what make gives for each match; empty where text is null."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), make)
+
+
+def date_array(text: Column) -> Column:
+    def made(s: Column) -> Column:
+        def of(d: Column) -> Column:
+            said = F.when(d["ambiguous"], F.concat(s["m"], F.lit(" (day/month order assumed, please confirm)"))).otherwise(s["m"])
+            return _entity("date", said, F.when(d["ambiguous"], "date_assumed_dmy").otherwise("date_unambiguous"), string=F.date_format(d["value"], "yyyy-MM-dd"))
+
+        return let(parse_dmy(s["m"]), of)
+
+    return F.filter(F.transform(spans(F.coalesce(text, F.lit("")), DMY), made), lambda e: e["value_str"].isNotNull())
+
+
+def diagnosis_array(text: Column) -> Column:
+    parts = lambda m: F.filter(F.transform(F.split(F.regexp_extract(m, DIAGNOSIS, 1), r"(?i)\s*(?:,|;|\band\b)\s*", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.flatten(_each(text, DIAGNOSIS, lambda m: F.transform(parts(m), lambda x: _entity("diagnosis", x, "diagnosis_line"))))
+
+
+def reversed_drug_array(text: Column) -> Column:
+    return _each(text, REVERSED_LINE, lambda m: _entity("medication", F.trim(m), "drug_line", string=F.trim(F.regexp_extract(m, REVERSED_LINE, 1))))
+
+
+def drug_array(text: Column) -> Column:
+    def made(m: Column) -> Column:
+        line = F.trim(F.regexp_replace(m, r"^\s+|\s+$", ""))
 
+        def of(g: Column) -> Column:
+            rest = g[2]
+            said = let(dose_phrase(rest), lambda p: F.when(p != "", F.concat(line, F.lit(" ["), p, F.lit("]"))).otherwise(line))
+            strength = _or_null(F.regexp_extract(rest, STRENGTH, 1))
+            return _entity("medication", said, "drug_line", num=strength, string=F.when(strength.isNull(), F.trim(g[1])), unit=_or_null(F.regexp_extract(rest, STRENGTH, 2)))
 
-def diagnoses(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, DIAGNOSIS, text_col).withColumn("all", F.regexp_extract("m", DIAGNOSIS, 1))
-    parts = rows.select(*key, F.col("pos").alias("line"), F.posexplode(F.filter(F.transform(F.split("all", r"(?i)\s*(?:,|;|\band\b)\s*", -1), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "part"))
-    return _entity(parts, key, 1, "diagnosis", F.col("part"), "diagnosis_line", at=F.col("line") * 100_000 + F.col("pos"))
+        return let(_groups(m, DRUG_LINE, 3), of)
 
+    return _each(text, DRUG_LINE, made)
 
-def reversed_drugs(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, REVERSED_LINE, text_col)
-    return _entity(rows, key, 2, "medication", F.trim("m"), "drug_line", string=F.trim(F.regexp_extract("m", REVERSED_LINE, 1)))
 
+def lab_array(text: Column) -> Column:
+    def of(g: Column) -> Column:
+        plain = g[1] == ""
+        return _entity("lab", F.trim(g[0]), "lab_row", num=F.when(plain, g[2]), string=F.when(~plain, F.concat(g[1], g[2])), unit=_or_null(g[3]), ref=_or_null(F.replace(g[4], F.lit(" "), F.lit(""))))
 
-def drugs(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, DRUG_LINE, text_col).withColumn("g", _groups(F.col("m"), DRUG_LINE, 3)).withColumn("name", F.trim(F.col("g")[1])).withColumn("rest", F.col("g")[2])
-    rows = rows.withColumn("phrase", dose_phrase(F.col("rest"))).withColumn("strength", _or_null(F.regexp_extract("rest", STRENGTH, 1)))
-    line = F.trim(F.regexp_replace("m", r"^\s+|\s+$", ""))
-    text = F.when(F.col("phrase") != "", F.concat(line, F.lit(" ["), "phrase", F.lit("]"))).otherwise(line)
-    return _entity(rows, key, 3, "medication", text, "drug_line", num=F.col("strength"), string=F.when(F.col("strength").isNull(), F.col("name")), unit=_or_null(F.regexp_extract("rest", STRENGTH, 2)))
+    return _each(text, LAB_ROW, lambda m: let(_groups(m, LAB_ROW, 5), of))
 
 
-def labs(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, LAB_ROW, text_col).withColumn("g", _groups(F.col("m"), LAB_ROW, 5))
-    part = lambda i: F.col("g")[i - 1]
-    plain = part(2) == ""
-    return _entity(rows, key, 4, "lab", F.trim(part(1)), "lab_row", num=F.when(plain, part(3)), string=F.when(~plain, F.concat(part(2), part(3))), unit=_or_null(part(4)), ref=_or_null(F.replace(part(5), F.lit(" "), F.lit(""))))
+def vital_array(text: Column) -> Column:
+    def pressure(m: Column) -> Column:
+        part = lambda i: F.regexp_extract(m, PRESSURE, i)
+        said = F.concat(F.trim(m), F.lit(" (systolic="), part(1), F.lit(", diastolic="), part(2), F.lit(")"))
+        return _entity("vital", said, "bp", string=F.concat(part(1), F.lit("/"), part(2)), unit=F.coalesce(_or_null(part(3)), F.lit("mmHg")))
 
+    def simple(rule: str, pattern: str, unit: str) -> Column:
+        return _each(text, pattern, lambda m: _entity("vital", F.trim(m), rule, num=F.regexp_extract(m, pattern, 1), unit=F.coalesce(_or_null(F.trim(F.regexp_extract(m, pattern, 2))), F.lit(unit))))
 
-def vitals(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = _matches(docs, key, PRESSURE, text_col)
-    part = lambda i: F.regexp_extract("m", PRESSURE, i)
-    text = F.concat(F.trim("m"), F.lit(" (systolic="), part(1), F.lit(", diastolic="), part(2), F.lit(")"))
-    out = [_entity(rows, key, 5, "vital", text, "bp", string=F.concat(part(1), F.lit("/"), part(2)), unit=F.coalesce(_or_null(part(3)), F.lit("mmHg")))]
-    for i, (rule, pattern, unit) in enumerate(VITALS):
-        rows = _matches(docs, key, pattern, text_col)
-        out.append(_entity(rows, key, 6 + i, "vital", F.trim("m"), rule, num=F.regexp_extract("m", pattern, 1), unit=F.coalesce(_or_null(F.trim(F.regexp_extract("m", pattern, 2))), F.lit(unit))))
-    return reduce(DataFrame.unionByName, out)
+    return F.concat(_each(text, PRESSURE, pressure), *(simple(*v) for v in VITALS))
 
 
-def facilities(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """The first facility named, one for each document at most."""
-    rows = docs.select(*key, F.lit(0).alias("pos"), F.when(F.col(text_col).rlike(NAMES_FACILITY), F.trim(F.regexp_extract(text_col, FACILITY, 1))).alias("name")).where("name != ''")
-    return _entity(rows, key, 20, "facility", F.col("name"), "facility")
+def facility_array(text: Column) -> Column:
+    """The first facility named."""
+    name = F.when(text.rlike(NAMES_FACILITY), F.trim(F.regexp_extract(text, FACILITY, 1)))
+    return F.filter(F.array(_entity("facility", name, "facility")), lambda e: F.coalesce(e["text"], F.lit("")) != "")
 
 
-def dates(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    rows = date_entities(docs.select(*key, text_col), text_col)
-    sure = F.when(F.col("ambiguous"), "date_assumed_dmy").otherwise("date_unambiguous")
-    text = F.when(F.col("ambiguous"), F.concat("raw", F.lit(" (day/month order assumed, please confirm)"))).otherwise(F.col("raw"))
-    return _entity(rows, key, 0, "date", text, "", string=F.date_format("value", "yyyy-MM-dd")).drop("rule").join(rows.select(*key, F.col("pos").cast("long").alias("_p"), sure.alias("rule")), [*key], "inner").where("at.p = _p").drop("_p")
+def rows(docs: DataFrame, key: list[str], found: Column) -> DataFrame:
+    """One row for each entity of an array: (key, kind, text, value_num, value_str, unit, reference_range, rule)."""
+    return docs.select(*key, F.explode(found).alias("e")).select(*key, "e.*")
 
 
 def entities(docs: DataFrame, key: list[str], mean_col: str = "mean_confidence", text_col: str = "text") -> DataFrame:
-    """(key, entity_no, kind, text, value_num, value_str, unit, reference_range, confidence) in the order dates, diagnoses, reversed drug lines, drug lines, labs, vitals, facility."""
-    found = reduce(DataFrame.unionByName, [f(docs, key, text_col) for f in (dates, diagnoses, reversed_drugs, drugs, labs, vitals, facilities)])
-    read = docs.select(*key, F.col(mean_col).alias("_mean"))
-    numbered = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "kind", "text", "value_num", "value_str", "unit", "reference_range", "rule"))).alias("e"))
-    rows = numbered.join(read, key).select(*key, "_mean", F.posexplode("e").alias("entity_no", "e"))
-    return rows.select(*key, "entity_no", *(f"e.{c}" for c in ("kind", "text", "value_num", "value_str", "unit", "reference_range")), confidence(F.col("_mean"), F.col("e.rule")).alias("confidence"))
+    """(key, entity_no, kind, text, value_num, value_str, unit, reference_range, confidence) in the order dates, diagnoses, reversed drug lines, drug lines, labs, vitals, facility. One pass over the documents, no shuffle."""
+    text = F.col(text_col)
+    every = F.concat(*(f(text) for f in (date_array, diagnosis_array, reversed_drug_array, drug_array, lab_array, vital_array, facility_array)))
+    out = docs.select(*key, F.col(mean_col).alias("_mean"), F.posexplode(every).alias("entity_no", "e"))
+    return out.select(*key, "entity_no", *(f"e.{c}" for c in ("kind", "text", "value_num", "value_str", "unit", "reference_range")), confidence(F.col("_mean"), F.col("e.rule")).alias("confidence"))
 
 
 def structure(docs: DataFrame, found: DataFrame, key: list[str], hint_col: str = "hint") -> DataFrame:

@@ -93,13 +93,13 @@ def drug_lines(spark, sf_dir):
 UNION ALL SELECT {DOC}, 'Pulse ' || CAST(60 + l_partkey % 40 AS INT) || ' bpm', CAST(60 + l_partkey % 40 AS DOUBLE), NULL, 'bpm' FROM lineitem
 UNION ALL SELECT {DOC}, 'Wt: ' || CAST(40 + l_quantity AS INT) || ' kg', CAST(CAST(40 + l_quantity AS INT) AS DOUBLE), NULL, 'kg' FROM lineitem""")
 def vitals(spark, sf_dir):
-    return extract.vitals(make(spark, sf_dir, "vital_docs"), ["document_id"]).select("document_id", "text", "value_num", "value_str", "unit")
+    return extract.rows(make(spark, sf_dir, "vital_docs"), ["document_id"], extract.vital_array(F.col("text"))).select("document_id", "text", "value_num", "value_str", "unit")
 
 
 @query("""SELECT o_orderkey AS document_id, o_orderpriority AS text FROM orders UNION ALL SELECT o_orderkey, o_orderstatus || ' disease' FROM orders
 UNION ALL SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'Asthma' ELSE 'Migraine' END FROM orders""")
 def diagnoses(spark, sf_dir):
-    return extract.diagnoses(make(spark, sf_dir, "dx_docs"), ["document_id"]).select("document_id", "text")
+    return extract.rows(make(spark, sf_dir, "dx_docs"), ["document_id"], extract.diagnosis_array(F.col("text"))).select("document_id", "text")
 
 
 @query(f"WITH {cte('drug_docs')} SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'note' ELSE 'prescription' END AS suggested_type, 'Untitled document' AS suggested_title, round(0.72, 6)::DOUBLE AS mean_confidence, 1::BIGINT AS n_entities FROM drug_docs")
@@ -180,7 +180,7 @@ def abnormal_results(spark, sf_dir):
 def out_of_range_labs(spark, sf_dir):
     """Text documents to coded, out-of-range results: the whole path from page to flag."""
     docs = make(spark, sf_dir, "lab_docs")
-    found = extract.labs(docs, ["document_id", "session_id"]).drop("at", "rule")
+    found = extract.rows(docs, ["document_id", "session_id"], extract.lab_array(F.col("text"))).drop("rule")
     coded = coding.fuzzy_lookup(found, "text", dims.load(spark, "lab_alias"))
     judged = abnormal.judge(coded.withColumn("curated_range", F.lit(None).cast("string")).withColumn("curated_unit", F.col("dim_unit")))
     return abnormal.flags(judged).select("document_id", "session_id", "text", "value_num", "unit", "range_text", "direction", "code")
