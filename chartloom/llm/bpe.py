@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chartloom.llm.runtime import ship, table
 
 #: Pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 18
 REMEMBERED_CHARS = 64
 
 
