@@ -7,6 +7,8 @@ none below the least or above the largest size, and never inside a character.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,6 +21,12 @@ LEAST, NORMAL, LARGEST = 24, 48, 160
 #: Repeats go only where this many bytes of repeated chunks stand in a row; shorter ones are stock lines and chance.
 MIN_RUN = 120
 _NO_ID = -(1 << 63)
+#: Bytes of an anchor, those that the gear hash covers.
+GRAM = 32
+_BATCH = 1 << 17
+_NONE = (1 << 63) - 1
+_ODD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BYTES = np.random.default_rng(7_654_321).integers(0, 1 << 64, 256, dtype=np.uint64)
 GEAR = np.random.default_rng(1_234_567).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -152,5 +160,212 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(*(named_back[c] for c in docs.columns if c not in new), *new)
 
 
+def anchors(data: bytes, min_run: int = MIN_RUN) -> np.ndarray:
+    """Where anchors of GRAM bytes start: of the grams of any min_run bytes the one of the least gear hash, the last of ties.
+
+    So equal runs of min_run bytes have an anchor in common, whatever is around them.
+    """
+    n = len(data)
+    if n < min_run:
+        return np.zeros(0, np.int64)
+    h = GEAR[np.frombuffer(data, np.uint8)]
+    for s in (1, 2, 4, 8, 16):
+        h[s:] += h[:-s] << np.uint32(s)
+    low = (h[GRAM - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange((1 << 32) - 1, (1 << 32) - 1 - (n - GRAM + 1), -1, dtype=np.uint64)
+    wide, reach = min_run - GRAM + 1, 1
+    while reach < wide:
+        step = min(reach, wide - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    at = ((1 << 32) - 1) - (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.r_[True, at[1:] != at[:-1]]]
+
+
+def _places(data: bytes, min_run: int) -> tuple[list[int], list[int], set[int], list[int]]:
+    """Anchors' starts and keys, the keys met twice, and the starts whose whole surroundings stood at least min_run bytes before (they are in no other list)."""
+    side, n = min_run - GRAM, len(data)
+    at = anchors(data, min_run).tolist()
+    digest = xxhash.xxh3_64_intdigest
+    keys = [digest(data[p : p + GRAM]) - (1 << 63) for p in at]
+    twice = {k for k, c in Counter(keys).items() if c > 1} if len(set(keys)) < len(keys) else set()
+    if not twice:
+        return at, keys, twice, []
+    seen, rest, rest_keys, again = {}, [], [], []
+    for p, key in zip(at, keys):
+        if key in twice and p >= side and p + GRAM + side <= n:
+            if p - seen.setdefault(data[p - side : p + GRAM + side], p) >= min_run:
+                again.append(p)
+                continue
+        rest.append(p)
+        rest_keys.append(key)
+    return rest, rest_keys, twice, again
+
+
+def _windows(k: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, around: np.ndarray, min_run: int) -> pa.RecordBatch:
+    """(d, t, a0, a1, g0, g1, first) of anchors, sorted by k, d, t, p: what repeats around each (a0 to a1), what goes of it and the least id that has some of that.
+
+    around holds, a column each, the bytes around the anchors; from lo to hi they are the text's. All windows of
+    min_run bytes with the anchor in them are looked up, so they make one range.
+    """
+    n, side = len(k), min_run - GRAM
+    base = pow(_ODD, -1, 1 << 64)
+    top = np.uint64(pow(_ODD, min_run - 1, 1 << 64))
+    h, power = np.zeros(n, np.uint64), 1
+    for i in range(min_run):
+        h += BYTES[around[i]] * np.uint64(power)
+        power = power * _ODD % (1 << 64)
+    of_key = k.view(np.uint64) * np.uint64(_MIX)
+    a0, a1, g0, g1 = (np.full(n, v, np.int64) for v in (1 << 30, -1, 1 << 30, -1))
+    first = np.full(n, _NONE)
+    for x in range(side + 1):
+        if x:
+            h = (h - BYTES[around[x - 1]]) * np.uint64(base) + BYTES[around[x + min_run - 1]] * top
+        rows = np.flatnonzero((lo <= x) & (x + min_run <= hi))
+        if len(rows) < 2:
+            continue
+        key = h[rows] ^ of_key[rows]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        least, most = d[rows[start]][group], d[rows[np.r_[start[1:], len(rows)] - 1]][group]
+        mine = new | np.r_[True, (d[rows[1:]] != d[rows[:-1]]) | (t[rows[1:]] != t[rows[:-1]])]
+        before = np.maximum.accumulate(np.where(mine, np.arange(len(rows)), 0))
+        own = p[rows] - p[rows[before]] >= min_run
+        again, gone, earlier = rows[(least < most) | own], rows[(least < d[rows]) | own], least < d[rows]
+        a0[again], a1[again] = np.minimum(a0[again], x), x
+        g0[gone], g1[gone] = np.minimum(g0[gone], x), x
+        first[rows[earlier]] = np.minimum(first[rows[earlier]], least[earlier])
+    some = a1 >= 0
+    left = p - side
+    none = g1 < 0
+    return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (d, t, left + a0, left + a1 + min_run, np.where(none, 0, left + g0), np.where(none, 0, left + g1 + min_run), first)], names=["d", "t", "a0", "a1", "g0", "g1", "first"])
+
+
+def _merged(ranges) -> list[list[int]]:
+    out: list[list[int]] = []
+    for x, y in sorted(ranges):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        elif x < y:
+            out.append([x, y])
+    return out
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """Like dedup_substrings, but byte by byte: every run of at least min_run bytes that stands elsewhere too counts, to its last agreeing byte.
+
+    A run repeats if another document id has it, or if it stood at least min_run bytes before in the same text; it
+    goes if a smaller id has it or it stood before. Removed ranges shrink to whole characters. min_run is over GRAM.
+    n_chunks is that of the content-defined chunks. Columns, nulls, ids and ties are as in dedup_substrings.
+    """
+    ship(docs.sparkSession)
+    new = ["n_chunks", "repeated_bytes", "removed_bytes", "first_doc_id"]
+    others = [c for c in docs.columns if c not in (text_col, *new)]
+    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
+    side = min_run - GRAM
+    width = min_run + side  # an anchor and all that a window with it can hold
+
+    def emit(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                keys, texts = [], []
+                for t, text in zip(batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512]):
+                    _, found, twice, _ = _places(text.as_py() or b"", min_run)
+                    found = set(found)
+                    # a key met twice in a text counts as another text's too; no text has the key ~t
+                    keys += [*found, *twice]
+                    texts += [t] * len(found) + [~t] * len(twice)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.int64())], names=["k", "t"])
+
+    whole = docs.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(others)), place.alias("_place"), F.xxhash64(F.col(f"`{text_col}`")).alias("_th"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
+    # equal texts are one, looked up for the least of their ids
+    classes = whole.groupBy(F.col("_th").alias("_t")).agg(F.min("_place").alias("_least"), F.max("_place").alias("_most"))
+    # both uses of seen, and both of whole below, read one shuffle
+    seen = whole.select("_th", "_text").mapInArrow(emit, "k long, t long").repartition("k")
+    shared = seen.groupBy("k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select(F.col("k").alias("_k"))
+    named = seen.join(shared, F.col("k") == F.col("_k")).groupBy("t").agg(F.collect_set("k").alias("_keys"))
+    named = named.join(classes, F.col("t") == F.col("_t")).select("_t", "_least", "_keys")
+
+    def surround(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 64):
+                out = [], [], [], [], [], [], []
+                for d, t, text, _, least, wanted in zip(*(batch.column(i)[s : s + 64] for i in range(len(others), len(others) + 6))):
+                    if d != least:
+                        continue
+                    data, wanted = text.as_py() or b"", set(wanted.as_py())
+                    n = len(data)
+                    for p, key in zip(*_places(data, min_run)[:2]):
+                        if key in wanted:
+                            lo, hi = max(0, side - p), min(width, n - p + side)
+                            body = bytes(lo) + data[max(0, p - side) : p + GRAM + side] + bytes(width - hi)
+                            for column, v in zip(out, (key, d.as_py(), t.as_py(), p, lo, hi, body)):
+                                column.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.int32()) for c in out[4:6]), pa.array(out[6], pa.binary())], names=["k", "d", "t", "p", "lo", "hi", "body"])
+
+    def look(batches):
+        def done(table):
+            columns = [table.column(i).to_numpy() for i in range(6)]
+            body = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, width)
+            return _windows(*columns, np.ascontiguousarray(body.T), min_run)
+
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            k = batch.column(0).to_numpy()
+            if rows >= _BATCH and held[0].column(0)[0].as_py() != k[-1]:
+                whole = pa.Table.from_batches(held)
+                end = int(np.searchsorted(whole.column(0).to_numpy(), k[-1]))  # the last key may go on
+                yield done(whole.slice(0, end))
+                held, rows = whole.slice(end).combine_chunks().to_batches(), len(whole) - end
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    around = whole.join(named, F.col("_th") == F.col("_t")).mapInArrow(surround, "k long, d long, t long, p long, lo int, hi int, body binary")
+    found = around.repartition("k").sortWithinPartitions("k", "d", "t", "p").mapInArrow(look, "d long, t long, a0 long, a1 long, g0 long, g1 long, first long")
+    found = found.groupBy("t").agg(F.collect_set(F.struct("a0", "a1", "g0", "g1", "first")).alias("_found"))
+    known = classes.join(found, F.col("_t") == F.col("t"), "left").select("_t", "_least", "_most", "_found")
+
+    def rewrite(batches):
+        for batch in batches:
+            k = len(others)
+            texts, made = [], []
+            for d, text, least, most, got in zip(batch.column(k).to_pylist(), batch.column(k + 2), batch.column(k + 4).to_pylist(), batch.column(k + 5).to_pylist(), batch.column(k + 6)):
+                data, got = text.as_py(), got.as_py() or []
+                again = [(p - side, p + GRAM + side) for p in _places(data or b"", min_run)[3]]
+                gone = again + [(g["g0"], g["g1"]) for g in got]
+                again += [(g["a0"], g["a1"]) for g in got]
+                firsts = [g["first"] for g in got if g["first"] != _NONE]
+                if data and len(data) >= min_run and least < most:
+                    again = [(0, len(data))]
+                    if least < d:
+                        gone, firsts = again, [*firsts, least]
+                repeated = _merged(again)
+                cuts = []
+                for x, y in _merged(gone):
+                    while x < y and data[x] & 0xC0 == 0x80:
+                        x += 1
+                    while x < y < len(data) and data[y] & 0xC0 == 0x80:
+                        y -= 1
+                    cuts.append((x, y))
+                n_chunks = len(ends(data or b""))
+                if cuts:
+                    data = b"".join(data[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(data)]))
+                texts.append(data)
+                made.append((n_chunks, sum(y - x for x, y in repeated), sum(y - x for x, y in cuts), None if not firsts or min(firsts) == _NO_ID else min(firsts)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.binary()), *(pa.array([m[i] for m in made], pa.int64()) for i in range(4))], names=[*(f"_o{i}" for i in range(k)), "_text", *new])
+
+    joined = whole.join(known, F.col("_th") == F.col("_t"))
+    kinds = ", ".join([*(f"_o{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)), "_text binary", *(f"{n} long" for n in new)])
+    out = joined.mapInArrow(rewrite, kinds)
+    named_back = {c: F.col(f"_o{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("_text").cast("string").alias(text_col)}
+    return out.select(*(named_back[c] for c in docs.columns if c not in new), *new)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))

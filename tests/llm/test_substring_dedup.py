@@ -75,3 +75,48 @@ def test_shapes(spark):
     out = sorted(((r.doc_id is not None, r.doc_id, r.text == long, r.first_doc_id, r.a) for r in s.dedup_substrings(docs).collect()), key=str)
     assert out == sorted([(False, None, True, None, "a"), (True, 5, False, None, "b"), (True, 5, False, None, "b"), (True, 6, False, None, None)], key=str)
     assert s.dedup_substrings(docs.where("doc_id = 77")).count() == 0
+
+
+def brute_passages(rows, least):
+    """Repeated and removed bytes by all windows of `least` bytes."""
+    held = {}
+    for d, t in rows:
+        data = (t or "").encode()
+        for i in range(len(data) - least + 1):
+            held.setdefault(data[i : i + least], set()).add(d)
+    out = {}
+    for d, t in rows:
+        data, met, again, gone = (t or "").encode(), {}, set(), set()
+        for i in range(len(data) - least + 1):
+            window = data[i : i + least]
+            own = i - met.setdefault(window, i) >= least
+            if own or len(held[window]) > 1:
+                again.update(range(i, i + least))
+            if own or min(held[window]) < d:
+                gone.update(range(i, i + least))
+        out[d] = len(again), len(gone)
+    return out
+
+
+def test_every_passage_goes_to_its_last_byte(spark, tmp_path):
+    rng = random.Random(4)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = []
+    for d in range(0, 120, 2):
+        passage = plain(51)
+        rows += [(d, f"{plain(40)} {passage} {plain(30)}"), (d + 1, f"{plain(25)} {passage} {plain(60)}")]
+    twice = plain(40)
+    rows += [(200, f"{plain(9)} {twice} {plain(50)} {twice} {plain(9)}"), (201, "ab" * 900), (202, "x" * 121), (203, None), (204, ""), (205, rows[0][1]), (206, rows[0][1][200:]), (207, "ab" * 300)]
+    rows += [(300 + i, f"{plain(3)} {rows[1][1][150 + i : 275 + 3 * i]} {plain(3)}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in s.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert {d: (r.repeated_bytes, r.removed_bytes) for d, r in out.items()} == brute_passages(rows, s.MIN_RUN)
+    assert all(out[d].repeated_bytes >= 200 and out[d].first_doc_id == d - d % 2 for d in range(1, 120, 2))
+    odd = [(1, "é" * 10 + "漢字かな" * 40 + "z"), (2, "q" + "漢字かな" * 40 + "ß")]
+    shown = [r.text for r in s.dedup_passages(spark.createDataFrame(odd, "doc_id long, text string")).collect()]
+    assert all("�" not in t for t in shown)
+    long = words(random.Random(3), 80)
+    docs = spark.createDataFrame([(None, long, "a", 1), (5, long, "b", 2), (5, long, "b", 2), (6, long, None, None), (6, "q" + long, "c", 3)], "doc_id long, text string, a string, n_chunks int")
+    shapes = sorted(((r.doc_id, r.text == long, r.text, r.first_doc_id, r.a) for r in s.dedup_passages(docs).collect()), key=str)
+    assert shapes == sorted([(None, True, long, None, "a"), (5, False, "", None, "b"), (5, False, "", None, "b"), (6, False, "", None, None), (6, False, "q", None, "c")], key=str)
+    assert s.dedup_passages(docs.where("doc_id = 77")).count() == 0
