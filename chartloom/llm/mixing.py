@@ -70,6 +70,20 @@ def schedule(wanted: DataFrame, block: int, slots: int) -> DataFrame:
     return drawn.withColumn("n", inner).join(before, ["rank", "run"]).select("rank", (F.col("base") + F.col("n") - 1).alias("r"), F.col("id").alias("slot"))
 
 
+def filled(planned: DataFrame, wanted: DataFrame, block: int, slots: int) -> DataFrame:
+    """planned with more slots, numbered from `slots` on, for the blocks that a source needs to its target and has no slot for.
+
+    The points miss a source's share by a few slots whatever its size, which may be all that a small source has.
+    """
+    planned = cut(planned)
+    have = planned.groupBy("rank").agg(F.count(F.lit(1)).alias("have"))
+    lack = wanted.where("target > 0").select("rank", F.ceil(F.round("target") / block).alias("need")).join(have, "rank", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
+    lack = lack.withColumn("base", F.sum(F.col("need") - F.col("have")).over(Window.orderBy("rank")) - (F.col("need") - F.col("have")) + slots)
+    lack = cut(lack)
+    extra = lack.select("rank", "base", "have", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("r"))
+    return planned.unionByName(extra.select("rank", "r", (F.col("base") + F.col("r") - F.col("have")).alias("slot")))
+
+
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, share: float = 1.0, repeats: int = MOST_REPEATS, block: int = BLOCK, least_slots: int = LEAST_SLOTS) -> tuple[DataFrame, DataFrame]:
     """The placed documents and the mix's pieces.
 
@@ -92,7 +106,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     total = wanted.agg(F.sum("target"), F.count(F.lit(1))).first()
     goal, n_sources = total[0] or 0.0, total[1]
     block = int(max(1, min(block, goal // least_slots)))
-    # each source gets its share of slots to within a few; some more make sure that it reaches its target
+    # each source gets its share of slots to within a few; blocks beyond them get slots after these
     slots = int(goal / block * 1.002) + 64 if goal else 0
 
     know = sized_broadcast(wanted.withColumnRenamed("source", "s"), n_sources, 10_000)
@@ -108,7 +122,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     parts = laid.withColumn("last", last).withColumn("r", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("last") - 1) / block))))
     begin = F.greatest("at", F.col("r") * block)
     parts = parts.select("rank", "r", "start", (begin - F.col("at")).alias("first"), (F.least("last", (F.col("r") + 1) * block) - begin).alias("words"))
-    pieces = parts.join(schedule(wanted.select("rank", "target"), block, slots), ["rank", "r"]).select("rank", "start", "slot", "first", "words")
+    pieces = parts.join(filled(schedule(wanted.select("rank", "target"), block, slots), wanted, block, slots), ["rank", "r"]).select("rank", "start", "slot", "first", "words")
     return placed, pieces
 
 

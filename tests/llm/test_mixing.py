@@ -80,3 +80,14 @@ def test_documents_and_empty(spark):
     assert all(abs(words.get(s, 0) - t) <= 450 for s, t in target.items())
     none = docs.where("doc_id = -1")
     assert mixing.taken(*mixing.mix(none)).count() == 0 and mixing.mix_documents(none).count() == 0
+
+
+def test_small_sources_get_their_targets(spark):
+    rows = [(1000 * s + i, "w " * 2000, f"big{s:02}") for s in range(6) for i in range(50)]
+    rows += [(100_000 + 10 * s + i, "w " * 100, f"small{s:02}") for s in range(40) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # few slots for the words, as in a corpus of billions of words
+    placed, pieces = mixing.mix(docs, block=2048, least_slots=1)
+    by = {r._source: (r.taken, r.target) for r in mixing.taken(placed, pieces).groupBy("_source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert len(by) == 46 and all(abs(taken - target) <= 1 for taken, target in by.values())
+    assert pieces.groupBy("slot").agg(F.count_distinct("rank").alias("n")).where("n > 1").count() == 0
