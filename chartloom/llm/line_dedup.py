@@ -137,7 +137,7 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("_both", both)
     stays = lambda a, b: (b["i"] < 0) & (a["h"] == b["h"])
     gone = F.zip_with("_both", F.slice(F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), "_both"), 1, F.size("_both")), lambda a, b: F.when((a["i"] >= 0) & ~F.coalesce(stays(a, b), F.lit(False)), a["i"]))
-    removed = F.when(F.size("_said") == F.size(F.coalesce("_kept", F.array().cast("array<bigint>"))), F.array().cast("array<int>")).otherwise(F.sort_array(F.filter(gone, lambda i: i.isNotNull())))
+    removed = F.sort_array(F.filter(gone, lambda i: i.isNotNull()))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "_removed"), removed.alias("_removed"))
 
 

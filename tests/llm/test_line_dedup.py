@@ -47,3 +47,9 @@ def test_shapes(spark):
     assert sorted(map(tuple, out)) == sorted([rows[0], rows[1], (2, "c\n", "d", 2)])
     assert line_dedup.dedup_lines(docs.where("doc_id = 9")).count() == 0
     assert line_dedup.dedup_lines(docs).columns == docs.columns
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    docs = spark.createDataFrame([(1, "q"), (5, "x\nx\nq"), (5, "y\nz"), (6, None), (7, "")], "doc_id long, text string")
+    got = {r.text: r._removed for r in line_dedup.mark_lines(docs).collect()}
+    assert got == {"q": [], "x\nx\nq": [1, 2], "y\nz": [], None: [], "": []}
