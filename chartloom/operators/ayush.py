@@ -36,3 +36,17 @@ def status(sessions: DataFrame, parameters: DataFrame, session: list[str]) -> Da
     """Parameters by how they come, as three lists; always provisional."""
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("capture_mode") == m, F.struct("ord", "parameter")))), lambda x: x["parameter"]).alias(n) for m, n in (("derived", "derived"), ("examiner_required", "pending_examiner"), ("patient_reported", "patient_reported"))]
     return sessions.crossJoin(F.broadcast(parameters.agg(*lists))).withColumn("provisional", F.lit(True))
+
+
+def derive(sessions: DataFrame, answers: DataFrame, parameters: DataFrame, session: list[str]) -> DataFrame:
+    """(session, prakriti, missing, not_derived, complete): a finished interview's row.
+
+    prakriti is the constitution's struct, null without an answer to it; derived parameters other than it are named as not
+    derived, sorted, and prakriti itself too where nothing was answered.
+    """
+    made = prakriti(answers, session)
+    made = made.select(*session, F.struct(*(c for c in made.columns if c not in session)).alias("prakriti"))
+    derived = parameters.where("capture_mode = 'derived'").agg(F.array_sort(F.collect_set("parameter")).alias("_derived"))
+    out = missing_parameters(sessions, answers, parameters, session).join(made, session, "left").crossJoin(F.broadcast(derived))  # one row
+    left = F.filter("_derived", lambda p: ~((p == "prakriti") & F.col("prakriti").isNotNull()))
+    return out.select(*session, "prakriti", "missing", left.alias("not_derived"), "complete")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chartloom.functions.text import lookup_key
+from chartloom.lineage import settle
 from chartloom.operators.extract import DRUG_LINE
 from chartloom.sources.dims import keyed
 
@@ -31,25 +32,52 @@ def ratio(target: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a is not None and b is not None else None for a, b in zip(target, candidate)])
 
 
+@F.pandas_udf(DoubleType())
+def ratio_from(target: pd.Series, candidate: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio where it is at least `least`; pairs that its cheap upper bounds rule out aren't aligned and give null."""
+    out = []
+    for a, b, low in zip(target, candidate, least):
+        match = SequenceMatcher(None, a, b)
+        out.append(match.ratio() if match.real_quick_ratio() >= low and match.quick_ratio() >= low else None)
+    return pd.Series(out, dtype="float64")
+
+
+def _resolve(rows: DataFrame, alias: DataFrame, fuzzy: Column, least: float) -> DataFrame:
+    """rows (_kind, _k) with row_no, code, display, dim_unit and score of the alias (kind, row_no, ord, alias, code, display, unit) of equal kind that fits best.
+
+    Equal keys score 1, the table's first row winning. What has no equal key and `fuzzy` is made distinct and scored against
+    aliases of such lengths that the ratio can reach `least`, met by a join on kind and length; ties go to the earliest
+    alias. The rows are worked out once, and settled before their misses are looked up. All joins are on keys, so the
+    table may be of any size; Spark broadcasts it where its size allows.
+    """
+    every = alias.withColumn("key", lookup_key(F.col("alias"))).where("key != ''")
+    first = every.groupBy(F.col("kind").alias("_ekind"), F.col("key").alias("_ekey")).agg(F.min(F.struct("row_no", "ord", "code", "display", "unit")).alias("_e"))
+    met = settle(rows.join(first, (F.col("_kind") == F.col("_ekind")) & (F.col("_k") == F.col("_ekey")), "left").drop("_ekind", "_ekey"))
+    terms = met.where(F.col("_e").isNull() & (F.col("_k") != "") & fuzzy).select("_kind", "_k").distinct()
+    # a ratio is at most twice the shorter length over both
+    n = F.char_length("_k")
+    lengths = F.sequence(F.ceil(n * (least / (2 - least)) - 1e-9).cast("int"), F.floor(n * ((2 - least) / least) + 1e-9).cast("int"))
+    told = every.select(F.col("kind").alias("_akind"), F.char_length("key").alias("_an"), "key", "row_no", "ord", "code", "display", "unit")
+    pairs = terms.withColumn("_n", F.explode(lengths)).join(told, (F.col("_kind") == F.col("_akind")) & (F.col("_n") == F.col("_an")))
+    scored = pairs.withColumn("score", ratio_from("_k", "key", F.lit(least))).where(F.col("score") >= least)
+    best = scored.groupBy(F.col("_kind").alias("_bkind"), F.col("_k").alias("_bkey")).agg(F.max_by(F.struct("row_no", "code", "display", "unit", "score"), F.struct("score", -F.col("row_no"), -F.col("ord"))).alias("_b"))
+    out = met.join(best, (F.col("_kind") == F.col("_bkind")) & (F.col("_k") == F.col("_bkey")), "left")
+    pick = lambda c: F.coalesce(f"_e.{c}", f"_b.{c}")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(pick(c).alias(c) for c in ("row_no", "code", "display")), pick("unit").alias("dim_unit"), F.when(F.col("_e").isNotNull(), 1.0).otherwise(F.col("_b.score")).alias("score"))
+
+
+def _alias(alias: DataFrame, kind: str) -> DataFrame:
+    unit = F.col("unit") if "unit" in alias.columns else F.lit(None).cast("string")
+    return alias.select(F.lit(kind).alias("kind"), "row_no", "ord", "alias", "code", "display", unit.alias("unit"))
+
+
 def fuzzy_lookup(rows: DataFrame, text_col: str, alias: DataFrame, least: float = FUZZY) -> DataFrame:
-    """rows with row_no, code, display, unit (if the table has it), score and review of the best alias.
+    """rows with row_no, code, display, dim_unit (if the table has units), score and review of the best alias.
 
-    Distinct keys are looked up once: equal keys score 1; only the rest is compared with the aliases of fitting length, by
-    ratio, the table's earliest alias winning ties. Below `least` nothing is taken. review marks matches that aren't exact. The alias table is a
-    dimension of a few thousand rows, so the comparison grows with the distinct unmatched terms.
+    Below `least` nothing is taken. review marks matches that aren't exact.
     """
-    extra = [c for c in ("unit",) if c in alias.columns]
-    terms = rows.select(lookup_key(F.col(text_col)).alias("_term")).where("_term != ''").distinct()
-    dim = keyed(alias)
-    exact = terms.join(dim, F.col("_term") == F.col("key")).select("_term", "row_no", "code", "display", *extra, F.lit(1.0).alias("score"))
-    rest = terms.join(dim.select(F.col("key")), F.col("_term") == F.col("key"), "left_anti")
-    every = alias.withColumn("key", lookup_key(F.col("alias"))).where("key != ''")
-    # a ratio is at most twice the shorter length over both, so most pairs needn't be scored
-    near = 2.0 * F.least(F.char_length("_term"), F.char_length("key")) / (F.char_length("_term") + F.char_length("key")) >= least
-    scored = rest.join(F.broadcast(every), near).withColumn("score", ratio("_term", "key"))
-    best = scored.groupBy("_term").agg(F.max_by(F.struct("row_no", "code", "display", *extra, "score"), F.struct("score", -F.col("row_no"), -F.col("ord"))).alias("b")).select("_term", "b.*").where(F.col("score") >= least)
-    found = exact.unionByName(best.select(exact.columns)).withColumn("review", F.col("score") < 1.0).withColumnsRenamed({"unit": "dim_unit"})
-    return rows.withColumn("_k", lookup_key(F.col(text_col))).join(found, F.col("_k") == F.col("_term"), "left").drop("_k", "_term")
+    found = _resolve(rows.withColumns({"_kind": F.lit(""), "_k": lookup_key(F.col(text_col))}), _alias(alias, ""), F.lit(True), least)
+    return found.withColumn("review", F.col("score") < 1.0).drop("_kind", "_k", *([] if "unit" in alias.columns else ["dim_unit"]))
 
 
 def drug_words(text: Column) -> Column:
@@ -64,16 +92,19 @@ def primary_drug(rows: DataFrame, key: list[str], text_col: str, drug_alias: Dat
     return known.groupBy(*key).agg(F.min_by(F.struct("word", "generic"), F.struct(F.col("generic").isNull(), F.col("pos"))).alias("b")).select(*key, F.col("b.word").alias("drug_name"), F.col("b.generic").alias("generic"))
 
 
-def code_entities(found: DataFrame, lab_alias: DataFrame, drug_alias: DataFrame, condition_alias: DataFrame) -> DataFrame:
-    """Entities with system, code, display and review by kind: labs and diagnoses fuzzily, drugs by exact alias of the name in the line (or the whole text); a lab's missing unit is filled. Other kinds pass."""
-    columns = [*found.columns, "system", "code", "display", "review"]
-    lab = fuzzy_lookup(found.where("kind = 'lab'"), "text", lab_alias).withColumn("unit", F.coalesce("unit", F.nullif("dim_unit", F.lit("")))).withColumn("system", F.when(F.col("code").isNotNull(), "LOINC"))
-    condition = fuzzy_lookup(found.where("kind = 'diagnosis'"), "text", condition_alias).withColumn("system", F.when(F.col("code").isNotNull(), "SNOMED"))
+#: The code system of a kind of entity.
+SYSTEMS = {"lab": "LOINC", "diagnosis": "SNOMED", "medication": "RxNorm"}
+
+
+def code_entities(found: DataFrame, lab_alias: DataFrame, drug_alias: DataFrame, condition_alias: DataFrame, least: float = FUZZY) -> DataFrame:
+    """Entities with system, code, display and review by kind: labs and diagnoses fuzzily, drugs by exact alias of the name in the line (or the whole text); a lab's missing unit is filled. Other kinds pass. One pass over the entities."""
     line = F.coalesce(F.nullif(F.trim(F.regexp_extract("text", DRUG_LINE, 2)), F.lit("")), F.col("text"))
-    drug = drug_lookup(found.where("kind = 'medication'").withColumn("_name", line), "_name", drug_alias).withColumn("system", F.when(F.col("code").isNotNull(), "RxNorm")).withColumn("review", F.lit(False))
-    other = found.where("kind not in ('lab', 'diagnosis', 'medication')").withColumns({c: F.lit(None).cast("string") for c in ("system", "code", "display")}).withColumn("review", F.lit(False))
-    parts = [p.withColumn("review", F.coalesce("review", F.lit(False))).select(*columns) for p in (lab, condition, drug, other)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    keyed_ = found.withColumns({"_kind": F.col("kind"), "_k": F.when(F.col("kind").isin(*SYSTEMS), lookup_key(F.when(F.col("kind") == "medication", line).otherwise(F.col("text"))))})
+    alias = _alias(lab_alias, "lab").unionByName(_alias(condition_alias, "diagnosis")).unionByName(_alias(drug_alias, "medication"))
+    out = _resolve(keyed_, alias, F.col("_kind") != "medication", least)
+    system = F.try_element_at(F.create_map(*(F.lit(x) for kv in SYSTEMS.items() for x in kv)), F.col("kind"))
+    unit = F.when(F.col("kind") == "lab", F.coalesce("unit", F.nullif("dim_unit", F.lit("")))).otherwise(F.col("unit"))
+    return out.withColumns({"unit": unit, "system": F.when(F.col("code").isNotNull(), system), "review": F.coalesce(F.col("score") < 1.0, F.lit(False))}).select(*found.columns, "system", "code", "display", "review")
 
 
 def severity_rank(severity: Column) -> Column:

@@ -79,16 +79,31 @@ def resources(docs: DataFrame, coded: DataFrame, key: list[str]) -> DataFrame:
     return a.select(*key, F.get_json_object(fhir, "$.resourceType").alias("resource_type"), F.size("parts").cast("long").alias("n_parts"), fhir.alias("fhir"))
 
 
-def detected_issues(alerts: DataFrame, session: list[str]) -> DataFrame:
-    issue = F.struct(F.lit("DetectedIssue").alias("resourceType"), F.lit("preliminary").alias("status"), F.coalesce(_map(SEVERITY, F.col("severity")), F.lit("moderate")).alias("severity"), F.array(F.struct(F.col("drug_a").alias("display")), F.struct(F.col("drug_b").alias("display"))).alias("implicated"), F.col("description").alias("detail"))
-    return alerts.select(*session, F.col("rank_no").alias("at"), F.to_json(issue).alias("json"))
+def medication_ids(resources_: DataFrame, session: list[str]) -> DataFrame:
+    """(session, name, id) of the medication requests (session, json) that have an id, by their lower-cased drug text; of several the last id in code-point order."""
+    get = lambda path: F.get_json_object("json", path)
+    rows = resources_.where(get("$.resourceType") == "MedicationRequest").select(*session, F.lower(get("$.medicationCodeableConcept.text")).alias("name"), get("$.id").alias("id"))
+    return rows.where("name != '' and id != ''").groupBy(*session, "name").agg(F.max("id").alias("id"))
+
+
+def detected_issues(alerts: DataFrame, session: list[str], ids: DataFrame | None = None) -> DataFrame:
+    """(session, at, json): an issue for each alert. ids (session, name, id), if given, name the requests that are implicated; a drug without one is shown by its name alone, and the issue stays."""
+    found = alerts
+    for side in ("drug_a", "drug_b"):
+        if ids is None:
+            found = found.withColumn(f"_{side}", F.lit(None).cast("string"))
+        else:
+            found = found.join(ids.select(*session, F.col("name").alias(side), F.col("id").alias(f"_{side}")), [*session, side], "left")
+    one = lambda side: F.struct(F.concat(F.lit("MedicationRequest/"), F.col(f"_{side}")).alias("reference"), F.col(side).alias("display"))
+    issue = F.struct(F.lit("DetectedIssue").alias("resourceType"), F.lit("preliminary").alias("status"), F.coalesce(_map(SEVERITY, F.col("severity")), F.lit("moderate")).alias("severity"), F.struct(F.lit("Drug-drug interaction").alias("text")).alias("code"), F.array(one("drug_a"), one("drug_b")).alias("implicated"), F.col("description").alias("detail"))
+    return found.select(*session, F.col("rank_no").alias("at"), F.to_json(issue).alias("json"))
 
 
 def patient_bundle(per_document: DataFrame, alerts: DataFrame, sessions: DataFrame, session: list[str], order_col: str = "pos") -> DataFrame:
     """(session, total, bundle): documents in timeline order, collections flattened, then interaction issues; tagged as a draft."""
     entries = F.coalesce(F.from_json(F.when(F.col("resource_type") == "Bundle", F.get_json_object("fhir", "$.entry")), "array<struct<resource:string>>"), F.array().cast("array<struct<resource:string>>"))
     flat = per_document.select(*session, F.col(order_col).cast("long").alias("at"), F.when(F.col("resource_type") == "Bundle", F.transform(entries, lambda e: e["resource"])).otherwise(F.array("fhir")).alias("r")).select(*session, F.lit(0).alias("g"), "at", F.posexplode("r").alias("i", "json"))
-    issues = detected_issues(alerts, session).select(*session, F.lit(1).alias("g"), F.col("at").cast("long").alias("at"), F.lit(0).alias("i"), "json")
+    issues = detected_issues(alerts, session, medication_ids(flat, session)).select(*session, F.lit(1).alias("g"), F.col("at").cast("long").alias("at"), F.lit(0).alias("i"), "json")
     per = flat.unionByName(issues).groupBy(*session).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "at", "i", "json"))), lambda e: F.concat(F.lit('{"resource":'), e["json"], F.lit("}"))).alias("e"))
     a = sessions.join(per, session, "left").withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
     return a.select(*session, F.size("e").cast("long").alias("total"), F.concat(F.lit('{"resourceType":"Bundle","type":"collection","meta":{"tag":[{"code":"draft"}]},"total":'), F.size("e").cast("string"), F.lit(',"entry":['), F.array_join("e", ","), F.lit("]}")).alias("bundle"))

@@ -20,13 +20,14 @@ class ConditionError(ValueError):
 
 
 def _number(x: Column) -> Column:
-    return F.trim(x).try_cast("double")
+    """A decimal number, with an exponent or not; text that only SQL takes for one ("2d", "1f") is none."""
+    return F.when(F.trim(x).rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"), F.trim(x)).try_cast("double")
 
 
 def hours(amount: Column, unit: Column) -> Column:
-    """A duration in hours; infinite if there is no amount, so that no "at most" fires."""
+    """A duration in hours: no amount counts as 0, no or an unknown unit as hours. Infinite if neither is there, which is no duration, so that no "at most" fires."""
     per = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in HOURS.items() for v in (kv[0], float(kv[1])))), unit), F.lit(1.0))
-    return F.coalesce(amount * per, F.lit(float("inf")))
+    return F.when(amount.isNull() & unit.isNull(), float("inf")).otherwise(F.coalesce(amount, F.lit(0.0)) * per)
 
 
 def compile_condition(text: str | None, answer) -> Column:
@@ -65,12 +66,33 @@ def capture_mode(mode: Column, input_type: Column) -> Column:
     return F.when(mode.isin(*MODES), mode).when(input_type == "derived", "derived").otherwise(ASKABLE)
 
 
-def state_as_of(answers: DataFrame, session: list[str], order_col: str = "ord") -> DataFrame:
-    """answers with `state`: the map of the session's answers up to and with this one, the latest of a question counting."""
+def state_as_of(answers: DataFrame, session: list[str], order_col: str = "ord", questions: list[str] | None = None) -> DataFrame:
+    """answers with `state`: a map of the latest values of questions among the session's answers up to and with this one.
+
+    questions: the ids that matter, such as those that rules name; a window function each, so a session of n answers takes
+    n steps. None: all ids, for whole snapshots; each answer then carries the session's history.
+    """
     w = Window.partitionBy(*session).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = F.collect_list(F.struct("question_id", "value")).over(w)
-    latest = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["question_id"] == x["question_id"]))
-    return answers.withColumn("state", F.map_from_entries(latest))
+    if questions is None:
+        pairs = F.collect_list(F.struct("question_id", "value")).over(w)
+        latest = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["question_id"] == x["question_id"]))
+        return answers.withColumn("state", F.map_from_entries(latest))
+    # wrapped, so that a null answer counts as the latest
+    last = [F.last(F.when(F.col("question_id") == q, F.struct(F.lit(q).alias("key"), "value")), ignorenulls=True).over(w) for q in questions]
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return answers.withColumn("state", F.map_from_entries(F.array_compact(F.array(*last)) if last else none))
+
+
+def names_in(rules: list[dict]) -> list[str]:
+    """The question ids that rules' conditions compare."""
+    found = set()
+    for rule in rules:
+        for clause in (rule.get("when") or "").split("&&"):
+            clause = re.sub(r"^[\s(]+|[\s)]+$", "", clause)
+            op = next((o for o in OPERATORS if o in clause), None)
+            if op:
+                found.add(clause.split(op, 1)[0].strip())
+    return sorted(found - {"value", "value_hours"})
 
 
 def red_flags(answers: DataFrame, rules: list[dict], session: list[str], order_col: str = "ord", with_state: bool = False) -> DataFrame:
@@ -80,7 +102,7 @@ def red_flags(answers: DataFrame, rules: list[dict], session: list[str], order_c
     and never later ones. Option rules see the option as `value`. answers has value (text), multi (array of options, or
     null), dur_amount and dur_unit.
     """
-    seen = answers if with_state else state_as_of(answers, session, order_col)
+    seen = answers if with_state else state_as_of(answers, session, order_col, names_in(rules))
     chosen = F.coalesce("multi", F.array("value"))
     out = None
     for n, rule in enumerate(rules):
@@ -144,9 +166,10 @@ def rank_questions(scored: DataFrame, live: DataFrame, must_ask: DataFrame, cond
 def sequence(questions: DataFrame, answers: DataFrame, session: list[str], sections: dict[str, dict], mode: str = "allopathic") -> DataFrame:
     """(session, question_id, q_ord, answered): what a session is asked.
 
-    questions: (question_id, section_id, section_order, item_order, capture_mode, follow_up). A section is in if its
-    mode isn't another one and it is always on, its trigger holds, or it has a mode and no trigger. Only what patients report is
-    asked; a follow-up comes right after its parent, once that is answered yes.
+    questions: (question_id, section_id, section_order, section_no, item_order, capture_mode, follow_up). Sections go by order, then
+    by their place in the file. A section is in if its mode isn't another one and it is always on, its trigger holds, or it
+    has a mode and no trigger. Only what patients report is asked; a follow-up comes right after its parent, once that is
+    answered yes.
     """
     state = answers.groupBy(*session).agg(F.map_from_entries(F.collect_list(F.struct("question_id", "value"))).alias("state"))
     terms = []
@@ -158,13 +181,19 @@ def sequence(questions: DataFrame, answers: DataFrame, session: list[str], secti
     asked = questions.where(F.col("capture_mode") == ASKABLE)
     targets = asked.where("follow_up is not null").select(F.col("follow_up").alias("question_id")).distinct()
     heads = eligible.join(F.broadcast(asked.join(targets, "question_id", "left_anti")), "section_id")
-    base = heads.select(*session, "state", "question_id", F.struct("section_order", "section_id", "item_order", F.lit(0).alias("sub")).alias("place"), "follow_up")
-    after = base.where(F.col("follow_up").isNotNull() & (F.try_element_at("state", F.col("question_id")) == "yes")).select(*session, "state", F.col("follow_up").alias("question_id"), F.struct("place.section_order", "place.section_id", "place.item_order", F.lit(1).alias("sub")).alias("place"), F.lit(None).cast("string").alias("follow_up"))
+    base = heads.select(*session, "state", "question_id", F.struct("section_order", "section_no", "item_order", F.lit(0).alias("sub")).alias("place"), "follow_up")
+    after = base.where(F.col("follow_up").isNotNull() & (F.try_element_at("state", F.col("question_id")) == "yes")).select(*session, "state", F.col("follow_up").alias("question_id"), F.struct("place.section_order", "place.section_no", "place.item_order", F.lit(1).alias("sub")).alias("place"), F.lit(None).cast("string").alias("follow_up"))
     every = base.unionByName(after).groupBy(*session, "question_id").agg(F.min("place").alias("place"), F.first("state").alias("state"))
     w = Window.partitionBy(*session).orderBy("place", "question_id")
     return every.select(*session, "question_id", F.row_number().over(w).alias("q_ord"), F.map_contains_key("state", F.col("question_id")).alias("answered"))
 
 
+def next_question(ranked: DataFrame, sessions: DataFrame, session: list[str]) -> DataFrame:
+    """(session, next_question, completed): the first of each session's ranked unanswered questions; a session without any is complete."""
+    head = ranked.where("rank_no = 1").select(*session, F.col("question_id").alias("next_question"))
+    return sessions.join(head, session, "left").withColumn("completed", F.col("next_question").isNull())
+
+
 def unanswered(seq: DataFrame) -> DataFrame:
     return seq.where("not answered")
 

@@ -88,3 +88,16 @@ def accepted(answer: Column, listed: Column) -> Column:
 def recall_by(rows: DataFrame, by: str) -> DataFrame:
     """Mean of per-image recall for each value of `by`, best first."""
     return rows.groupBy(by).agg(F.avg(F.try_divide(F.col("n_correct").cast("double"), F.col("n_expected"))).alias("mean_recall")).orderBy(F.desc("mean_recall"), by)
+
+
+def recalls(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """strict, fuzzy and coded over rows (strict, fuzzy, code) of expected names: shares of names found, and of those found fuzzily how many have a code. No names, or none found, give 0."""
+    n = F.count(F.lit(1))
+    share = lambda test, of: F.coalesce(F.try_divide(F.count_if(test).cast("double"), of), F.lit(0.0))
+    found = F.coalesce(F.col("fuzzy"), F.lit(False))
+    return rows.groupBy(*(by or [])).agg(n.alias("names"), share(F.coalesce(F.col("strict"), F.lit(False)), n).alias("strict"), share(found, n).alias("fuzzy"), share(found & F.col("code").isNotNull(), F.count_if(found)).alias("coded"))
+
+
+def brands(rows: DataFrame, brands_col: str = "brands", key: list[str] | None = None) -> DataFrame:
+    """(key, name): every brand of a column of brands parted by |, trimmed, blanks dropped, repeats kept."""
+    return rows.select(*(key or []), F.explode(F.split(brands_col, r"\|")).alias("name")).withColumn("name", F.trim("name")).where("name != ''")

@@ -51,3 +51,26 @@ def language(wanted: Column, installed: list[str], default: str = "eng+hin") ->
         return F.coalesce(F.nullif(F.array_join(codes, "+"), F.lit("")), F.lit(default))
     usable = F.filter(codes, lambda p: p.isin(*installed))
     return F.when(F.size(usable) > 0, F.array_join(usable, "+")).otherwise(F.lit("eng" if "eng" in installed else sorted(installed)[0]))
+
+
+# Below and above what a photograph is no good.
+LEAST_SHARPNESS, LEAST_BRIGHTNESS, MOST_BRIGHTNESS = 100, 60, 225
+
+
+def image_quality(images: DataFrame, key: list[str]) -> DataFrame:
+    """(key, sharpness, brightness, verdict) of grey images (key, width, height, pixels: rows of 0 to 255 end to end).
+
+    Sharpness is the variance of each inner pixel's four neighbours less four times itself; an image without inner pixels
+    has none and is blurry. Both figures are rounded to two places after the verdict.
+    """
+    w = F.col("width")
+    at = lambda i: F.get("pixels", i).cast("double")
+    inner = F.filter(F.sequence(w, F.size("pixels") - w - 1), lambda i: (F.pmod(i, w) > 0) & (F.pmod(i, w) < w - 1))
+    none = F.array().cast("array<double>")
+    edges = F.when((w > 2) & (F.col("height") > 2), F.transform(inner, lambda i: at(i - w) + at(i + w) + at(i - 1) + at(i + 1) - 4 * at(i))).otherwise(none)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    a = images.select(*key, edges.alias("_e"), F.transform("pixels", lambda x: x.cast("double")).alias("_p"))
+    a = a.withColumn("_m", F.when(F.size("_e") > 0, mean(F.col("_e"))))
+    a = a.withColumn("sharpness", F.coalesce(F.when(F.size("_e") > 0, mean(F.transform("_e", lambda x: (x - F.col("_m")) * (x - F.col("_m"))))), F.lit(0.0))).withColumn("brightness", F.when(F.size("_p") > 0, mean(F.col("_p"))).otherwise(0.0))
+    verdict = F.when(F.col("sharpness") < LEAST_SHARPNESS, "blurry - ask for a retake").when(F.col("brightness") < LEAST_BRIGHTNESS, "too dark - ask for a retake").when(F.col("brightness") > MOST_BRIGHTNESS, "overexposed - ask for a retake").otherwise("ok")
+    return a.select(*key, F.round("sharpness", 2).alias("sharpness"), F.round("brightness", 2).alias("brightness"), verdict.alias("verdict"))

@@ -16,7 +16,7 @@ TEMPLATES = {
     "(as read; low confidence)": "(जैसा पढ़ा गया; कम विश्वसनीयता)",
 }
 DENIALS = r"(?i)\bno medicin|\bnot (on|taking) any medic|\bdon'?t take any medic|\bno tablets?\b|\bkoi dawa nahi\b"
-NO = ("false", "no", "no_tell")
+NO = ("False", "no", "no_tell")  # False is a boolean's text
 
 
 def translate(text: Column) -> Column:
@@ -56,10 +56,11 @@ def contradictions(denials: DataFrame, medications: DataFrame, session: list[str
     """One row for each documented drug of a session whose patient denies taking medicine.
 
     denials: (session, rx_current or null, rx_asked, narration array). The structured answer counts if the question was
-    asked, otherwise the first narrated line that denies. medications: (session, document_id, drug_name).
+    asked, otherwise the first narrated line that denies. Denied is by "no", "no_tell", false and 0, in these very letters:
+    "No" is none. medications: (session, document_id, drug_name).
     """
     said = F.try_element_at(F.filter("narration", lambda x: x.rlike(DENIALS)), F.lit(1))
-    stated = F.when(F.lower("rx_current").isin(*NO), F.lit("Asked about medicines taken now, the patient said no."))
+    stated = F.when(F.col("rx_current").isin(*NO, "false") | F.col("rx_current").rlike(r"^[+-]?0+(\.0*)?$"), F.lit("Asked about medicines taken now, the patient said no."))
     who = denials.select(*session, F.when(F.col("rx_asked"), stated).otherwise(said).alias("from_interview")).where("from_interview is not null")
     return who.join(medications, session).select(*session, F.lit("current medications").alias("topic"), "from_interview", F.concat(F.lit("Prescription found for "), "drug_name").alias("from_documents"), "document_id")
 

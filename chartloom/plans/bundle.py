@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import dates, dosing, text
 from chartloom.operators import abnormal, coding, extract, timeline
-from chartloom.plans.lineage import settle
+from chartloom.lineage import settle
 
 DOSES = "array<struct<drug:string,doses:array<string>>>"
 
@@ -55,7 +55,23 @@ def build(docs: DataFrame, lab_alias: DataFrame, drug_alias: DataFrame, conditio
     entries = readable.join(sure, key, "left").join(entity_keys(coded, drug_alias), key, "left").select("session", F.col("doc_no").cast("long").alias("seq"), "document_id", F.col("suggested_type").alias("kind"), F.col("clinical_date").alias("date"), F.col("suggested_title").alias("title"), "facility", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.coalesce("doses", F.array().cast(DOSES)).alias("doses"))
     kept = settle(timeline.fold_duplicates(entries))
     names = coding.primary_drug(coded.where("kind = 'medication'"), [*key, "entity_no"], "text", drug_alias).join(readable.select(*key, "doc_no"), key)
-    drugs = names.select("session", (F.col("doc_no").cast("long") * 100_000 + F.col("entity_no")).alias("pos"), F.col("drug_name").alias("drug"))
+    drugs = names.select("session", F.struct(F.col("doc_no").cast("long").alias("doc_no"), "entity_no").alias("pos"), F.col("drug_name").alias("drug"))
     labs = coded.where("kind = 'lab'")
     labs = abnormal.with_curated(labs, curated) if curated is not None else labs.withColumns({"curated_range": F.lit(None).cast("string"), "curated_unit": F.lit(None).cast("string")})
     return Bundle(whole, coded, timeline.order(kept, ["session"]), unreadable.select(*key), coding.interactions(drugs, ["session"], drug_alias, interaction), abnormal.flags(abnormal.judge(labs)), timeline.merge_notes(kept))
+
+
+def ingest(docs: DataFrame, today: str) -> DataFrame:
+    """One entry a document, not joined with others: (session, document_id, date, date_confidence, kind, title, facility, n_entities, mean_confidence).
+
+    Unlike in `build`, the date is the extraction's best one, as sure as the document was read; only without one the
+    labelled dates are weighed. docs as for build.
+    """
+    key = ["session", "document_id"]
+    pages = settle(docs.withColumn("text", text.normalize_text(F.col("text"))))
+    shaped = extract.structure(pages, extract.entities(pages.select(*key, "text", "mean_confidence"), key), key)
+    best = dates.best_date(pages.select(*key, "text"), key).select(*key, F.col("value").alias("_best"))
+    weighed = dates.clinical_date(pages.select(*key, "text", F.col("mean_confidence").alias("ocr")), key, today, "ocr").select(*key, "clinical_date", "date_confidence")
+    both = shaped.join(best, key, "left").join(weighed, key, "left")
+    sure = F.when(F.col("_best").isNotNull(), F.col("mean_confidence")).otherwise(F.coalesce("date_confidence", F.lit(0.0)))
+    return both.select(*key, F.coalesce("_best", "clinical_date").alias("date"), sure.alias("date_confidence"), F.col("suggested_type").alias("kind"), F.col("suggested_title").alias("title"), "facility", "n_entities", "mean_confidence")

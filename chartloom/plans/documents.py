@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chartloom.functions import dates, dosing, text
 from chartloom.operators import abnormal, coding, extract
+from chartloom.plans import bundle
 from chartloom.plans.inputs import ALIAS, ANALYTE, DAYS, DOC, DRUGS, FORM, GENERIC, HIGH, LABS, LOW, QTY, SENTENCE, SLOT, STRENGTH, TODAY, cte, make, pick, tables, values
 from chartloom.sources import dims
+from chartloom.sources.dims import seed_rows
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -26,10 +30,10 @@ def query(sql: str | None = None):
 _DASHES = "".join(f"chr({ord(c)}) || " for c in text.DASHES).removesuffix(" || ")
 
 
-@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), {_DASHES} || '`*', '-------'), '[ \t\x{{00a0}}]+', ' ', 'g'), '(^|\n) ', '\1', 'g'), ' (\n|$)', '\1', 'g') AS clean FROM documents WHERE text IS NOT NULL""")
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), {_DASHES} || '`*', '-------'), '[ \t\x{{00a0}}]+', ' ', 'g'), '(^|\n) ', '\1', 'g'), ' (\n|$)', '\1', 'g') AS clean FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def normalize_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.where("text is not null").select("doc_id", text.normalize_text(F.col("text")).alias("clean"))
+    return docs.select("doc_id", text.normalize_text(F.col("text")).alias("clean"))
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS look_up, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS alnum, regexp_replace(lower(text), '[^a-z0-9\x{0900}-\x{097f}]+', '', 'g') AS entity FROM conversations""")
@@ -118,23 +122,132 @@ def drug_codes(spark, sf_dir):
 
 @query(f"SELECT {DOC} AS document_id, {ANALYTE} AS text, {pick('CAST(l_partkey % 8 AS INT)', [r[3] for r in LABS])} AS code, 'mg/dL' AS unit, 'LOINC' AS system, false AS review FROM lineitem")
 def lab_codes(spark, sf_dir):
-    found = extract.entities(make(spark, sf_dir, "lab_docs"), ["document_id"])
+    found = extract.rows(make(spark, sf_dir, "lab_docs"), ["document_id"], extract.lab_array(F.col("text")))
     coded = coding.code_entities(found, *(dims.load(spark, n) for n in ("lab_alias", "drug_alias", "condition_alias")))
-    return coded.where("kind = 'lab'").select("document_id", "text", "code", "unit", "system", "review")
+    return coded.select("document_id", "text", "code", "unit", "system", "review")
+
+
+def _fuzzy(term: str, rows: list[tuple], least: float) -> tuple | None:
+    """The best row of an alias table for a term by plain loops: (row, score)."""
+    from difflib import SequenceMatcher
+
+    found = None
+    for r in rows:
+        key = " ".join(re.findall("[a-z0-9]+", r[2].lower()))
+        score = SequenceMatcher(None, term, key).ratio()
+        if key and score >= least and (found is None or score > found[1]):
+            found = r, score
+    return found
+
 
+_CONDITION_ROWS = seed_rows("condition_alias")
+#: Condition names for fuzzy look-up: every fourth alias, with one letter dropped.
+_SAID = [(f"{n}:{k}", r[2][: k + 1] + r[2][k + 2 :]) for n, r in enumerate(_CONDITION_ROWS[::4]) for k in range(6)]
+_SAID_NO = f"(p_partkey % {len(_SAID)})"
 
-@query()
+
+def _fuzzy_terms_sql() -> str:
+    made = []
+    for i, (_, term) in enumerate(_SAID):
+        found = _fuzzy(" ".join(re.findall("[a-z0-9]+", term.lower())), _CONDITION_ROWS, coding.FUZZY)
+        made.append((i, term, found[0][3] if found else None, float(found[1]) if found else None))
+    return f"SELECT p_partkey, term, code, round(score, 6) AS score, CASE WHEN code IS NOT NULL THEN score < 1 END AS review FROM part JOIN {values(made, 'i, term, code, score', 't')} AS x ON x.i = {_SAID_NO}"
+
+
+@query(_fuzzy_terms_sql)
 def fuzzy_terms(spark, sf_dir):
-    """Part names against the conditions: no SQL has the sequence ratio."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.element_at(F.array(*map(F.lit, ["Diabetes melitus type 2", "hypertensoin", "Asthmaa", "migrane", "broken arm"])), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("term"))
-    return coding.fuzzy_lookup(rows, "term", dims.load(spark, "condition_alias")).select("p_partkey", "term", "code", "score", "review")
+    """A misspelt condition for each part, against all aliases."""
+    tables(spark, sf_dir, "part")
+    rows = spark.sql(f"SELECT p_partkey, {pick(f'CAST({_SAID_NO} AS INT)', [t for _, t in _SAID])} AS term FROM part")
+    return coding.fuzzy_lookup(rows, "term", dims.load(spark, "condition_alias")).select("p_partkey", "term", "code", F.round("score", 6).alias("score"), "review")
+
 
+def _codes_sql() -> str:
+    said = [("Asthma",), ("Migraine",), *((f"{x} disease",) for x in "FOP"), *((p,) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))]
+    made = []
+    for (text,) in said:
+        found = _fuzzy(" ".join(re.findall("[a-z0-9]+", text.lower())), _CONDITION_ROWS, coding.FUZZY)
+        made.append((text, found[0][3] if found else None, float(found[1]) if found else None))
+    code = pick("CAST(l_partkey % 40 AS INT)", [r[4] for r in DRUGS])
+    dx = f"SELECT document_id, 'diagnosis' AS kind, d.text, d.text AS k FROM (SELECT o_orderkey AS document_id, o_orderpriority AS text FROM orders UNION ALL SELECT o_orderkey, o_orderstatus || ' disease' FROM orders UNION ALL SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'Asthma' ELSE 'Migraine' END FROM orders) d"
+    return f"""SELECT {DOC} AS document_id, 'medication' AS kind, 'RxNorm' AS system, {code} AS code, false AS review FROM lineitem
+UNION ALL SELECT document_id, kind, CASE WHEN code IS NOT NULL THEN 'SNOMED' END, code, coalesce(score < 1, false) FROM ({dx}) e LEFT JOIN {values(made, 't, code, score', 'cc')} AS c ON c.t = e.k"""
 
-@query(f"WITH {cte('drug_docs')} SELECT document_id, {ALIAS.replace('l_partkey', 'k')} AS drug_name, {GENERIC.replace('l_partkey', 'k')} AS generic FROM (SELECT {DOC} AS document_id, l_partkey AS k FROM lineitem) WHERE {ALIAS.replace('l_partkey', 'k')} NOT LIKE '% %' AND {ALIAS.replace('l_partkey', 'k')} NOT LIKE '%-%'")
+
+@query(_codes_sql)
+def entity_codes(spark, sf_dir):
+    """Drugs and diagnoses in one table, each coded by its kind's system."""
+    drugs = extract.rows(make(spark, sf_dir, "drug_docs"), ["document_id"], extract.drug_array(F.col("text")))
+    said = extract.rows(make(spark, sf_dir, "dx_docs"), ["document_id"], extract.diagnosis_array(F.col("text")))
+    coded = coding.code_entities(drugs.unionByName(said), *(dims.load(spark, n) for n in ("lab_alias", "drug_alias", "condition_alias")))
+    return coded.select("document_id", "kind", "system", "code", "review")
+
+
+def _primary(alias: str) -> tuple[str, str | None]:
+    """(drug_name, generic) of an alias by a plain loop over its words."""
+    named = {}
+    for r in seed_rows("drug_alias"):
+        named.setdefault(" ".join(re.findall("[a-z0-9]+", r[2].lower())), r[3])
+    words = [w for w in re.findall("[A-Za-z]+", alias) if w.lower() not in coding.NOT_NAMES]
+    return next(((w, named[w.lower()]) for w in words if w.lower() in named), (words[0], None))
+
+
+_PRIMARY = [_primary(r[2]) for r in DRUGS]
+
+
+@query(f"SELECT {DOC} AS document_id, drug_name, generic FROM lineitem JOIN {values([(i, *p) for i, p in enumerate(_PRIMARY)], 'i, drug_name, generic', 'p')} AS x ON x.i = l_partkey % 40")
 def primary_drugs(spark, sf_dir):
-    docs = make(spark, sf_dir, "drug_docs")
-    single = docs.where(~F.regexp_extract("text", extract.DRUG_LINE, 2).rlike("[ -]"))
-    return coding.primary_drug(single, ["document_id"], "text", dims.load(spark, "drug_alias"))
+    return coding.primary_drug(make(spark, sf_dir, "drug_docs"), ["document_id"], "text", dims.load(spark, "drug_alias"))
+
+
+# Pages with everything on them: a facility, a labelled date in words or figures, a reversed drug line, all vitals, Hindi labels.
+_MONTH = ["Jan", "February", "Mar", "April", "May", "June", "Jul", "August", "Sept", "Oct", "November", "Dec"]
+_MIXED_DATE = f"CASE WHEN o_orderkey % 3 = 0 THEN 'Date: ' || CAST(day(o_orderdate) AS VARCHAR(2)) || ' ' || {pick('CAST(month(o_orderdate) - 1 AS INT)', _MONTH)} || ' ' || CAST(year(o_orderdate) AS VARCHAR(4)) WHEN o_orderkey % 3 = 1 THEN 'Date: ' || lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0') || '-' || lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0') || '-' || CAST(year(o_orderdate) AS VARCHAR(4)) ELSE 'Date: 31/02/2001' END"
+_PLACE = pick("CAST(o_custkey % 3 AS INT)", ["Sunrise Clinic", "Asha Hospital", "Nobody's notes"])
+_MIXED = f"""SELECT o_orderkey AS document_id, o_custkey AS session, 0.9 AS mean_confidence, {_PLACE} || chr(10) || {_MIXED_DATE} || chr(10) || 'Neutral powder after meals' || chr(10) ||
+ 'Temp: ' || CAST(97 + o_custkey % 8 AS VARCHAR(3)) || ' F' || chr(10) || 'SpO2 ' || CAST(90 + o_custkey % 10 AS VARCHAR(3)) || '%' || chr(10) || 'Ht: ' || CAST(150 + o_custkey % 40 AS VARCHAR(3)) || ' cm' || chr(10) ||
+ 'RR ' || CAST(12 + o_custkey % 9 AS VARCHAR(2)) || ' /min' || chr(10) || 'वजन ' || CAST(40 + o_custkey % 50 AS VARCHAR(3)) || ' किलो' AS text FROM orders"""
+
+
+def _mixed(spark, sf_dir):
+    tables(spark, sf_dir, "orders")
+    return spark.sql(_MIXED)
+
+
+@query("""SELECT o_orderkey AS document_id, 'Temp: ' || (97 + o_custkey % 8) || ' F' AS text, (97 + o_custkey % 8)::DOUBLE AS value_num, 'F' AS unit FROM orders
+UNION ALL SELECT o_orderkey, 'SpO2 ' || (90 + o_custkey % 10) || '%', (90 + o_custkey % 10)::DOUBLE, '%' FROM orders
+UNION ALL SELECT o_orderkey, 'Ht: ' || (150 + o_custkey % 40) || ' cm', (150 + o_custkey % 40)::DOUBLE, 'cm' FROM orders
+UNION ALL SELECT o_orderkey, 'RR ' || (12 + o_custkey % 9) || ' /min', (12 + o_custkey % 9)::DOUBLE, '/min' FROM orders
+UNION ALL SELECT o_orderkey, 'वजन ' || (40 + o_custkey % 50) || ' किलो', (40 + o_custkey % 50)::DOUBLE, 'किलो' FROM orders""")
+def other_vitals(spark, sf_dir):
+    return extract.rows(_mixed(spark, sf_dir), ["document_id"], extract.vital_array(F.col("text"))).select("document_id", "text", "value_num", "unit")
+
+
+#: Names of months count if they have three or four letters.
+_DATED = f"(o_orderkey % 3 = 1 OR o_orderkey % 3 = 0 AND month(o_orderdate) IN ({', '.join(str(i + 1) for i, m in enumerate(_MONTH) if len(m) < 5)}))"
+
+
+@query(f"SELECT o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS value, o_orderkey % 3 = 1 AND day(o_orderdate) <= 12 AS ambiguous FROM orders WHERE {_DATED}")
+def date_entities(spark, sf_dir):
+    """Dates with month names and figures; a day that no month has is none."""
+    found = extract.rows(_mixed(spark, sf_dir), ["document_id"], extract.date_array(F.col("text")))
+    return found.select("document_id", F.col("value_str").cast("date").alias("value"), (F.col("rule") == "date_assumed_dmy").alias("ambiguous"))
+
+
+@query(f"SELECT o_orderkey AS document_id, CASE WHEN o_custkey % 3 < 2 THEN {_PLACE} END AS facility, CASE WHEN o_custkey % 3 < 2 THEN 'Prescription — ' || {_PLACE} ELSE 'Untitled document' END AS title, 'prescription' AS kind, 'Neutral powder after meals' AS drug FROM orders")
+def mixed_documents(spark, sf_dir):
+    """Facility, title and type of pages whose only drug line has the form behind the name."""
+    docs = _mixed(spark, sf_dir).withColumn("hint", F.lit(None).cast("string"))
+    found = extract.entities(docs, ["document_id"])
+    drugs = found.where("kind = 'medication'").select("document_id", F.col("text").alias("drug"))
+    return extract.structure(docs, found, ["document_id"]).join(drugs, "document_id").select("document_id", "facility", F.col("suggested_title").alias("title"), F.col("suggested_type").alias("kind"), "drug")
+
+
+@query(f"SELECT o_orderkey AS document_id, CASE WHEN {_DATED} THEN CAST(o_orderdate AS DATE) END AS date, 'prescription' AS kind, 7 + {_DATED}::INT + (o_custkey % 3 < 2)::INT AS n_entities FROM orders")
+def ingested_documents(spark, sf_dir):
+    """One entry a document, its date the extraction's own: a drug, five vital signs (one of which reads as a laboratory row too), and a facility and a date where there are any."""
+    docs = _mixed(spark, sf_dir).withColumn("hint", F.lit(None).cast("string"))
+    return bundle.ingest(docs, TODAY).select("document_id", "date", "kind", F.col("n_entities").cast("int").alias("n_entities"))
 
 
 _DIM = values([(r[2].lower(), r[3]) for r in dims.seed_rows("drug_alias")], "alias, generic", "dd")
@@ -191,7 +304,19 @@ def term_count(spark, sf_dir):
     return dims.term_count(spark)
 
 
-@query()
+def _hygiene_sql() -> str:
+    rows = []
+    for n in ("lab_alias", "drug_alias", "condition_alias"):
+        keys: dict = {}
+        for r in seed_rows(n):
+            keys.setdefault(" ".join(re.findall("[a-z0-9]+", r[2].lower())), set()).add(r[0])
+            if any(isinstance(v, str) and not v.strip() for v in r):
+                rows.append((n, "blank field", r[2]))
+        rows += [(n, "repeated alias", k) for k, of in keys.items() if len(of) > 1]
+    return f"SELECT * FROM {values(rows, 'dim, fault, what', 'h')}" if rows else "SELECT '' AS dim, '' AS fault, '' AS what WHERE false"
+
+
+@query(_hygiene_sql)
 def seed_hygiene(spark, sf_dir):
     """Faults of the shipped alias tables."""
     out = None
@@ -199,3 +324,8 @@ def seed_hygiene(spark, sf_dir):
         part = dims.hygiene(dims.load(spark, n)).select(F.lit(n).alias("dim"), "fault", "what")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(f"SELECT 'degraded' AS status, {len([r for n in ('lab_alias', 'drug_alias', 'condition_alias') for r in seed_rows(n) if r[1] == 0])}::BIGINT AS terms")
+def service_status(spark, sf_dir):
+    return dims.status(spark).select("status", "terms")

@@ -20,11 +20,13 @@ def pick(index: str, values: list, quote: bool = True) -> str:
 
 
 def values(rows: list[tuple], names: str, alias: str) -> str:
-    """An inline table that both engines read."""
-    def show(v):
-        return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    """An inline table that both engines read; a null has the type of its column's other values."""
+    kinds = ["DOUBLE" if any(isinstance(r[i], float) for r in rows) else "BIGINT" if any(isinstance(r[i], int) for r in rows) else "VARCHAR" for i in range(len(rows[0]))]
 
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS {alias}({names}))"
+    def show(v, kind):
+        return f"CAST(NULL AS {kind})" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r, kinds)) + ')' for r in rows)}) AS {alias}({names}))"
 
 
 LABS = [r for r in seed_rows("lab_alias") if r[1] == 0 and r[5] == "mg/dL"][:8]

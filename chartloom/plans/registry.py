@@ -18,4 +18,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    """Some statements hold inline tables that are worked out when asked for."""
+    return {name: sql() if callable(sql) else sql for m in MODULES for name, sql in m.SQL.items()}

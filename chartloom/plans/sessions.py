@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import lookup_key
-from chartloom.operators import ayush, coding, fhir, interview, metrics, ocr, summary, timeline
-from chartloom.plans.inputs import ALIAS, DOC, QTY, cte, make, pick, tables, values
+from chartloom.lineage import scratch
+from chartloom.operators import ayush, coding, dialogue, fhir, interview, metrics, ocr, summary, timeline
+from chartloom.plans.inputs import ALIAS, DOC, DRUGS, QTY, cte, make, pick, tables, values
 from chartloom.sources import dims, scan
 
 QUERIES: dict = {}
@@ -72,12 +73,13 @@ def _keysets(spark, sf_dir):
     return spark.sql("SELECT o_orderkey AS id, o_custkey AS session, sort_array(collect_set('k' || (l_partkey % 6))) AS keys FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 
 
-@query(f"WITH {_KEYS}, e AS (SELECT id, session, keys, id % 2 AS kind, id % 3 AS day FROM keyset) SELECT a.id, b.id AS other, round(len(list_intersect(a.keys, b.keys)) / len(list_distinct(list_concat(a.keys, b.keys))), 6) AS jaccard, CASE WHEN a.kind <> b.kind THEN 'different kind' WHEN a.day = 0 AND b.day = 0 THEN 'both undated' WHEN a.day <> b.day THEN 'different date' WHEN least(len(a.keys), len(b.keys)) < 2 THEN 'too few keys' WHEN len(list_intersect(a.keys, b.keys)) / len(list_distinct(list_concat(a.keys, b.keys))) >= 0.6 THEN 'duplicate' ELSE 'different content' END AS verdict FROM e a JOIN e b ON a.session = b.session AND b.id = a.id + 1")
+@query(f"WITH {_KEYS}, e AS (SELECT id, session, keys, id % 2 AS kind, id % 3 AS day, CASE WHEN list_contains(keys, 'k0') THEN CASE WHEN id % 8 < 4 THEN '500mg' ELSE '250mg' END END AS dose FROM keyset) SELECT a.id, b.id AS other, round(len(list_intersect(a.keys, b.keys)) / len(list_distinct(list_concat(a.keys, b.keys))), 6) AS jaccard, CASE WHEN a.kind <> b.kind THEN 'different kind' WHEN a.day = 0 AND b.day = 0 THEN 'both undated' WHEN a.day <> b.day THEN 'different date' WHEN least(len(a.keys), len(b.keys)) < 2 THEN 'too few keys' WHEN a.dose <> b.dose THEN 'dose changed' WHEN len(list_intersect(a.keys, b.keys)) / len(list_distinct(list_concat(a.keys, b.keys))) >= 0.6 THEN 'duplicate' ELSE 'different content' END AS verdict FROM e a JOIN e b ON a.session = b.session AND b.id > a.id")
 def duplicate_verdicts(spark, sf_dir):
-    none = F.array().cast("array<struct<drug:string,doses:array<string>>>")
-    e = _keysets(spark, sf_dir).select("id", "session", F.struct((F.col("id") % 2).alias("kind"), F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("date"), "keys", none.alias("doses")).alias("x"))
+    """Every two entries of a session."""
+    dose = F.when(F.array_contains("keys", "k0"), F.array(F.struct(F.lit("k0").alias("drug"), F.array(F.when(F.col("id") % 8 < 4, "500mg").otherwise("250mg")).alias("doses")))).otherwise(F.array().cast("array<struct<drug:string,doses:array<string>>>"))
+    e = _keysets(spark, sf_dir).select("id", "session", F.struct((F.col("id") % 2).alias("kind"), F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("date"), "keys", dose.alias("doses")).alias("x"))
     b = e.select(F.col("id").alias("other"), "session", F.col("x").alias("y"))
-    return e.join(b, "session").where("other = id + 1").select("id", "other", F.round(timeline.jaccard(F.col("x.keys"), F.col("y.keys")), 6).alias("jaccard"), timeline.verdict("x", "y").alias("verdict"))
+    return e.join(b, "session").where("other > id").select("id", "other", F.round(timeline.jaccard(F.col("x.keys"), F.col("y.keys")), 6).alias("jaccard"), timeline.verdict("x", "y").alias("verdict"))
 
 
 def _entries(spark, sf_dir):
@@ -156,11 +158,25 @@ def fhir_resources(spark, sf_dir):
     return fhir.resources(_headed(spark, sf_dir), _coded(spark, sf_dir).drop("session"), ["document_id"]).select("document_id", "resource_type", "n_parts")
 
 
-@query(f"WITH {_RESOURCES} SELECT session, sum(CASE WHEN resource_type = 'Bundle' THEN n_parts ELSE 1 END)::BIGINT AS total FROM res GROUP BY 1")
+@query(f"WITH {_RESOURCES} SELECT session, (sum(CASE WHEN resource_type = 'Bundle' THEN n_parts ELSE 1 END) + CASE WHEN session % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS total, CASE WHEN session % 4 = 0 THEN 'high' END AS severity FROM res GROUP BY 1")
 def fhir_bundles(spark, sf_dir):
     made = fhir.resources(_headed(spark, sf_dir), _coded(spark, sf_dir).drop("session"), ["document_id"]).join(_docs(spark, sf_dir).select("document_id", "session"), "document_id")
-    alerts = spark.createDataFrame([], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
-    return fhir.patient_bundle(made, alerts, made.select("session").distinct(), ["session"], "document_id").select("session", F.get_json_object("bundle", "$.total").cast("long").alias("total"))
+    alerts = made.where("session % 4 = 0").select("session").distinct().select("session", F.lit(1).alias("rank_no"), F.lit("major").alias("severity"), F.lit("aspirin").alias("drug_a"), F.lit("warfarin").alias("drug_b"), F.lit("bleeding").alias("description"))
+    out = fhir.patient_bundle(made, alerts, made.select("session").distinct(), ["session"], "document_id")
+    issue = F.regexp_extract("bundle", r'"resourceType":"DetectedIssue","status":"preliminary","severity":"(\w+)"', 1)
+    return out.select("session", F.get_json_object("bundle", "$.total").cast("long").alias("total"), F.nullif(issue, F.lit("")).alias("severity"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT o_custkey AS session FROM orders) SELECT session, CASE WHEN session % 2 = 0 THEN 'MedicationRequest/m' || session END AS first, 'aspirin' AS first_name, NULL::VARCHAR AS second, 'Warfarin' AS second_name FROM s")
+def issue_references(spark, sf_dir):
+    """Warnings that name the requests they rest on; names are looked up as written, in an index of lower-cased names."""
+    sessions = make(spark, sf_dir, "entries").select("session").distinct()
+    made = sessions.select("session", F.to_json(F.struct(F.lit("MedicationRequest").alias("resourceType"), F.when(F.col("session") % 2 == 0, F.concat(F.lit("m"), F.col("session").cast("string"))).alias("id"), F.struct(F.lit("Aspirin").alias("text")).alias("medicationCodeableConcept"))).alias("json"))
+    warf = sessions.select("session", F.lit('{"resourceType":"MedicationRequest","id":"w","medicationCodeableConcept":{"text":"Warfarin"}}').alias("json"))
+    alerts = sessions.select("session", F.lit(1).alias("rank_no"), F.lit("major").alias("severity"), F.lit("aspirin").alias("drug_a"), F.lit("Warfarin").alias("drug_b"), F.lit("x").alias("description"))
+    issues = fhir.detected_issues(alerts, ["session"], fhir.medication_ids(made.unionByName(warf), ["session"]))
+    get = lambda path: F.get_json_object("json", path)
+    return issues.select("session", *(get(f"$.implicated[{i}].{k}").alias(n) for i, k, n in ((0, "reference", "first"), (0, "display", "first_name"), (1, "reference", "second"), (1, "display", "second_name"))))
 
 
 # The interview, over the event log.
@@ -172,8 +188,8 @@ RULES = [
 
 
 def _names(spark, sf_dir):
-    """The event types, which name the questions; at most some dozens."""
-    return sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().limit(100).collect())
+    """The event types, which name the questions: a rule file's ids, that plans are built from."""
+    return [r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().orderBy("event_type").collect()]
 
 
 _ANS = cte("answers")
@@ -208,17 +224,14 @@ def red_flags(spark, sf_dir):
 @query(f"WITH {_FLAGS} SELECT session_id, ord, question_id, reason, severity FROM flag")
 def red_flags_streaming(spark, sf_dir):
     """The same flags from the answers as a stream, drained into a table in the shared folder and read back."""
-    import uuid
+    from chartloom.streaming.interview import state_store, stream_red_flags
 
-    from chartloom.streaming.interview import stream_red_flags
-
-    context = spark.sparkContext
-    base = (context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints") + f"/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    base = scratch(spark, "stream")
     log = _answers(spark, sf_dir).withColumn("ord", F.col("ord").cast("long"))
     log.write.parquet(f"{base}/log")
     flags = stream_red_flags(spark.readStream.schema(log.schema).parquet(f"{base}/log"), _rules(spark, sf_dir))
-    flags.writeStream.format("parquet").option("path", f"{base}/flags").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        flags.writeStream.format("parquet").option("path", f"{base}/flags").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/flags").select("session_id", "ord", "question_id", "reason", "severity")
 
 
@@ -301,6 +314,50 @@ def transcripts(spark, sf_dir):
     return out.select("session_id", "n_answered", F.size("red_flags").cast("long").alias("n_flags"))
 
 
+@query(f"WITH {_SCORES}, seq AS (SELECT session_id, 1 AS i, 1 AS o FROM (SELECT DISTINCT session_id FROM answers) UNION ALL SELECT session_id, 2, 2 FROM latest JOIN names ON q = question_id WHERE i = 1 AND value = 'yes' UNION ALL SELECT session_id, 3, 3 FROM latest JOIN names ON q = question_id WHERE i = 3 AND value = 'no'), waits AS (SELECT s.session_id, sc.question_id, row_number() OVER (PARTITION BY s.session_id ORDER BY round(score, 9) DESC, u DESC, o) AS n FROM seq s JOIN score sc ON sc.session_id = s.session_id AND sc.i = s.i LEFT JOIN latest l ON l.session_id = s.session_id AND l.question_id = sc.question_id WHERE l.question_id IS NULL) SELECT a.session_id, w.question_id AS next_question, w.question_id IS NULL AS completed FROM (SELECT DISTINCT session_id FROM answers) a LEFT JOIN (SELECT * FROM waits WHERE n = 1) w USING (session_id)")
+def next_questions(spark, sf_dir):
+    """What each session is asked next: the head of its unanswered questions' ranking; none ends the interview."""
+    answers, evidence, must, conditions, plaus = _plausibility(spark, sf_dir)
+    live = plaus.where("plausibility > 0").join(conditions.select("condition_id", "ord"), "condition_id")
+    waits = interview.unanswered(question_sequence(spark, sf_dir)).select("session_id", "question_id", "q_ord")
+    scored = interview.question_scores(live, waits.select("session_id", "question_id"), evidence, must, ["session_id"]).withColumn("score", F.round("score", 9))
+    ranked = interview.rank_questions(scored.join(waits, ["session_id", "question_id"]), live, must, conditions, ["session_id"])
+    return interview.next_question(ranked, answers.select("session_id").distinct(), ["session_id"])
+
+
+SHUFFLED = {"sections": [{"id": "z", "order": 1, "always": True, "questions": [{"id": "z1"}, {"id": "z2"}]}, {"id": "a", "order": 1, "always": True, "questions": [{"id": "a1"}]}, {"id": "m", "always": True, "questions": [{"id": "m1"}]}, {"id": "b", "order": 0, "always": True, "questions": [{"id": "b1"}]}]}
+
+
+@query(f"SELECT DISTINCT session_id, question_id, q_ord::BIGINT AS q_ord FROM (SELECT user_id AS session_id FROM events) e CROSS JOIN {values([('m1', 1), ('b1', 2), ('z1', 3), ('z2', 4), ('a1', 5)], 'question_id, q_ord', 's')} AS x")
+def section_order(spark, sf_dir):
+    """Sections of equal or missing order, as they stand in the file."""
+    answers = interview.latest_answers(_answers(spark, sf_dir), ["session_id"])
+    sections = {s["id"]: s for s in SHUFFLED["sections"]}
+    return interview.sequence(scan.flatten(spark, SHUFFLED), answers, ["session_id"], sections).select("session_id", "question_id", F.col("q_ord").cast("long").alias("q_ord"))
+
+
+_DURATIONS = [(None, None), (None, "days"), (2.0, "days"), (20.0, "hours"), (3.0, None), (1.0, "moons"), (0.5, "weeks")]
+
+
+@query(f"WITH d AS (SELECT event_id, user_id, i, CASE WHEN a IS NULL AND u IS NULL THEN 'Infinity'::DOUBLE ELSE coalesce(a, 0) * CASE u WHEN 'days' THEN 24 WHEN 'weeks' THEN 168 ELSE 1 END END AS h, event_id % 4 AS n FROM events JOIN {values([(i, *d) for i, d in enumerate(_DURATIONS)], 'i, a, u', 'd')} AS x ON x.i = event_id % 7) SELECT event_id AS ord, 'acute' AS reason FROM d WHERE h <= 24 UNION ALL SELECT event_id, 'lasting' FROM d WHERE h >= 1 UNION ALL SELECT event_id, 'three' FROM d WHERE n IN (0, 1)")
+def duration_flags(spark, sf_dir):
+    """Rules over durations with and without amounts and units, and over numbers and texts that only look like numbers."""
+    tables(spark, sf_dir, "events")
+    amount, unit = (F.get(F.array(*(F.lit(d[k]).cast(t) for d in _DURATIONS)), (F.col("event_id") % 7).cast("int")) for k, t in ((0, "double"), (1, "string")))
+    rows = spark.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.lit("when").alias("question_id"), F.get(F.array(*map(F.lit, ["3", " 3.5e0 ", "3d", "3f"])), (F.col("event_id") % 4).cast("int")).alias("value"), F.lit(None).cast("array<string>").alias("multi"), amount.alias("dur_amount"), unit.alias("dur_unit"))
+    rules = [{"question_id": "when", "option": None, "when": w, "reason": r, "severity": "urgent"} for w, r in (("value_hours <= 24", "acute"), ("value_hours >= 1", "lasting"), ("value >= 3", "three"))]
+    return interview.red_flags(rows, rules, ["session_id"]).select("ord", "reason")
+
+
+@query()
+def session_service(spark, sf_dir):
+    """The event log as an interview's traffic: each session starts, then answers, mostly out of turn. What waits rests on what was accepted before, which SQL without recursion can't say; tests compare with plain loops and the stream."""
+    log = _answers(spark, sf_dir).select("session_id", (F.col("ord") * 2).cast("long").alias("ord"), F.when(F.col("ord") % 9 == 1, "start").otherwise("answer").alias("kind"), F.lit("allopathic").alias("mode"), "question_id", "value", "multi", F.lit(None).cast("string").alias("transcript"))
+    names = _names(spark, sf_dir)
+    map_ = {"conditions": [{**c, "must_ask": [names[q % len(names)] for q in c["must_ask"]], **{k: [{**d, "question_id": names[d["question_id"] % len(names)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
+    return dialogue.replay(log, dialogue.Script(_ontology(spark, sf_dir), map_)).select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
+
+
 # Constitution.
 @query(f"WITH {cte('prakriti')}, c AS (SELECT session_id, count(*) FILTER (WHERE value = 'vata') AS vata, count(*) FILTER (WHERE value = 'pitta') AS pitta, count(*) FILTER (WHERE value = 'kapha') AS kapha, count(*) AS items_answered FROM prakriti GROUP BY 1), r AS (SELECT *, list_sort([row(-vata, 0, 'vata'), row(-pitta, 1, 'pitta'), row(-kapha, 2, 'kapha')]) AS l FROM c) SELECT session_id, vata, pitta, kapha, items_answered, (l[2][1] - l[1][1]) <= 1 AS dual, CASE WHEN items_answered >= 6 THEN CASE WHEN (l[2][1] - l[1][1]) <= 1 THEN l[1][3] || '-' || l[2][3] ELSE l[1][3] END END AS dominant FROM r")
 def prakriti(spark, sf_dir):
@@ -317,6 +374,14 @@ def missing_parameters(spark, sf_dir):
     return ayush.missing_parameters(answers.select("session_id").distinct(), answers, parameters, ["session_id"]).withColumn("missing", F.array_join("missing", ","))
 
 
+@query(f"WITH {cte('prakriti')}, s AS (SELECT session_id, count(*) FILTER (WHERE question_id = 'pa.build' AND value IS NOT NULL) AS b, count(*) FILTER (WHERE question_id = 'pa.skin' AND value IS NOT NULL) AS k FROM prakriti GROUP BY 1) SELECT session_id, concat_ws(',', CASE WHEN b = 0 THEN 'p1' END, CASE WHEN k = 0 THEN 'p2' END, 'p5') AS missing, 'p3' AS not_derived, false AS complete FROM s")
+def derived_examinations(spark, sf_dir):
+    answers = make(spark, sf_dir, "prakriti")
+    parameters = spark.createDataFrame([*_PARAMETERS, ("prakriti", 5, "derived", None)], "parameter string, ord int, capture_mode string, question_id string")
+    out = ayush.derive(answers.select("session_id").distinct(), answers, parameters, ["session_id"])
+    return out.select("session_id", F.array_join("missing", ",").alias("missing"), F.array_join("not_derived", ",").alias("not_derived"), "complete")
+
+
 # Summary.
 @query(f"WITH {cte('entries')}, {_FOUND}, t AS (SELECT session, document_id, row_number() OVER (PARTITION BY session ORDER BY date ASC NULLS LAST, CASE kind WHEN 'note' THEN 0 WHEN 'imaging' THEN 2 WHEN 'lab' THEN 3 WHEN 'allergy' THEN 4 ELSE 5 END, lower(title), seq) AS pos, kind, title, date FROM entries), l AS (SELECT session, 0 AS g, -pos AS p, entity_no AS e, f.text || CASE WHEN confidence < 0.6 THEN ' (as read; low confidence)' ELSE '' END || ' — ' || coalesce(strftime(date, '%Y-%m-%d'), 'undated') AS en, confidence FROM found f JOIN t USING (session, document_id) WHERE f.kind = 'medication' UNION ALL SELECT session, 1, pos, 0, 'Allergy record on file: \"' || title || '\" — ' || coalesce(strftime(date, '%Y-%m-%d'), 'undated'), NULL FROM t WHERE kind = 'allergy') SELECT s.session, coalesce(md5(string_agg(en, chr(10) ORDER BY g, p, e)), md5('No medications or allergy records found among the documents provided.')) AS en_md5, round(coalesce(avg(confidence), 0), 6) AS confidence FROM (SELECT DISTINCT session FROM entries) s LEFT JOIN l USING (session) GROUP BY 1")
 def drug_sections(spark, sf_dir):
@@ -325,28 +390,37 @@ def drug_sections(spark, sf_dir):
     return out.select("session", F.md5("en").alias("en_md5"), F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH den AS (SELECT c_custkey AS session, c_custkey % 3 AS k FROM customer), {_FOUND} SELECT session, CASE WHEN k = 0 THEN 'Asked about medicines taken now, the patient said no.' ELSE 'I am not taking any medicine' END AS from_interview, 'Prescription found for ' || text AS from_documents, document_id FROM den JOIN found USING (session) WHERE k <> 2 AND kind = 'medication'")
+_SAID_OF_MEDICINE = ["no", "yes", None, "no_tell", "No", "False", "0"]
+
+
+@query(f"WITH den AS (SELECT c_custkey AS session, c_custkey % 7 AS k FROM customer), {_FOUND} SELECT session, CASE WHEN k = 2 THEN 'I am not taking any medicine' ELSE 'Asked about medicines taken now, the patient said no.' END AS from_interview, 'Prescription found for ' || text AS from_documents, document_id FROM den JOIN found USING (session) WHERE k NOT IN (1, 4) AND kind = 'medication'")
 def contradictions(spark, sf_dir):
+    """Answers that deny and such as only look so; the third of them was never asked, so what was said counts."""
     tables(spark, sf_dir, "customer")
-    denials = spark.sql("SELECT c_custkey AS session, CASE WHEN c_custkey % 3 = 0 THEN 'no' WHEN c_custkey % 3 = 2 THEN 'yes' END AS rx_current, c_custkey % 3 <> 1 AS rx_asked, array('hello', 'I am not taking any medicine') AS narration FROM customer")
+    denials = spark.sql(f"SELECT c_custkey AS session, {pick('CAST(c_custkey % 7 AS INT)', _SAID_OF_MEDICINE).replace(chr(39) + 'None' + chr(39), 'NULL')} AS rx_current, c_custkey % 7 <> 2 AS rx_asked, array('hello', 'I am not taking any medicine') AS narration FROM customer")
     meds = _found(spark, sf_dir).where("kind = 'medication'").select("session", "document_id", F.col("text").alias("drug_name"))
     return summary.contradictions(denials, meds, ["session"]).drop("topic")
 
 
-@query("WITH a AS (SELECT c_custkey AS session, c_custkey % 4 AS k FROM customer) SELECT session, 'chief_complaint' AS heading, CASE k WHEN 0 THEN 'Presenting complaint: pain in the chest.' WHEN 1 THEN 'Presenting complaint: fever.' || chr(10) || 'Patient''s own words: \"since Monday\"' WHEN 2 THEN 'Patient''s own words: \"since Monday\"' ELSE 'Not answered in this interview.' END AS en, CASE k WHEN 0 THEN 0.7 WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS confidence FROM a UNION ALL SELECT session, 'hpi', CASE WHEN k = 0 THEN 'Severity: 0/10. Associated with: nausea, sweat.' WHEN k IN (1, 2) THEN 'History of presenting illness, in the patient''s own words: \"since Monday\". Structured follow-up questions for this type of complaint are not yet in the interview ontology.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 3 THEN 0 ELSE 0.5 END FROM a UNION ALL SELECT session, 'past_surgical', CASE WHEN k = 0 THEN 'Patient reports no prior operations.' WHEN k = 1 THEN 'Patient reports a prior operation; details not captured.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 1 THEN 0.8 ELSE 0 END FROM a")
+@query("WITH a AS (SELECT c_custkey AS session, c_custkey % 4 AS k FROM customer) SELECT session, 'chief_complaint' AS heading, CASE k WHEN 0 THEN 'Presenting complaint: pain in the chest.' WHEN 1 THEN 'Presenting complaint: fever.' || chr(10) || 'Patient''s own words: \"since Monday\"' WHEN 2 THEN 'Patient''s own words: \"since Monday\"' ELSE 'Not answered in this interview.' END AS en, CASE k WHEN 0 THEN 0.7 WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS confidence FROM a UNION ALL SELECT session, 'hpi', CASE WHEN k = 0 THEN 'Severity: 0/10. Associated with: nausea, sweat.' WHEN k IN (1, 2) THEN 'History of presenting illness, in the patient''s own words: \"since Monday\". Structured follow-up questions for this type of complaint are not yet in the interview ontology.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 3 THEN 0 ELSE 0.5 END FROM a UNION ALL SELECT session, 'past_surgical', CASE WHEN k = 0 THEN 'Patient reports no prior operations.' WHEN k = 1 THEN 'Patient reports a prior operation; details not captured.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 1 THEN 0.8 ELSE 0 END FROM a UNION ALL SELECT session, 'past_medical', 'Patient-reported known conditions: asthma.', 0.85 FROM a UNION ALL SELECT session, 'family', 'Not answered in this interview.', 0 FROM a UNION ALL SELECT session, 'personal', 'Reported habits: tea, tobacco.', 0.85 FROM a UNION ALL SELECT session, 'ros', 'Reported in the last few weeks: cough.' || CASE WHEN k = 1 THEN ' Patient added: \"tired\"' ELSE '' END, 0.8 FROM a UNION ALL SELECT session, 'ayurvedic_assessment', 'Not answered in this interview.', 0 FROM a")
 def interview_sections(spark, sf_dir):
     tables(spark, sf_dir, "customer")
-    rows = spark.sql("SELECT c_custkey AS session, CASE c_custkey % 4 WHEN 0 THEN map('cc.primary', 'pain', 'cc.area', 'chest', 'soc.severity', '0', 'px.surgery', 'no') WHEN 1 THEN map('cc.primary', 'fever', 'cc.describe', 'since Monday', 'px.surgery', 'yes') WHEN 2 THEN map('cc.describe', 'since Monday') ELSE map('x', 'y') END AS answers, map('soc.associations', array('nausea', 'none', 'sweat')) AS lists FROM customer")
-    return summary.interview_sections(rows, ["session"]).where("heading in ('chief_complaint', 'hpi', 'past_surgical')").select("session", "heading", "en", "confidence")
+    rows = spark.sql("SELECT c_custkey AS session, CASE c_custkey % 4 WHEN 0 THEN map('cc.primary', 'pain', 'cc.area', 'chest', 'soc.severity', '0', 'px.surgery', 'no') WHEN 1 THEN map('cc.primary', 'fever', 'cc.describe', 'since Monday', 'px.surgery', 'yes', 'ros.anything', 'tired') WHEN 2 THEN map('cc.describe', 'since Monday') ELSE map('x', 'y') END AS answers, map('soc.associations', array('nausea', 'none', 'sweat'), 'px.conditions', array('asthma'), 'pf.family', array('none'), 'pf.habits', array('tea', 'tobacco'), 'ros.screen', array('cough', 'none')) AS lists FROM customer")
+    return summary.interview_sections(rows, ["session"]).select("session", "heading", "en", "confidence")
+
 
+_PRIOR = f"{_FOUND}, s AS (SELECT DISTINCT o_custkey AS session FROM orders), flag AS (SELECT session, 0 AS g, '  - ' || text || ': 7.5 mg/dL (high, reference 1-5)' AS line, entity_no AS a, document_id AS b, document_id FROM found WHERE kind = 'lab' AND session % 3 = 0), doc AS (SELECT o_custkey AS session, 1 AS g, '  - Title ' || o_orderpriority || ' — ' || coalesce(strftime(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END, '%Y-%m-%d'), 'undated') AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END ASC NULLS LAST, lower('Title ' || o_orderpriority), o_orderkey) AS a, 0 AS b, o_orderkey AS document_id FROM orders WHERE o_orderkey % 5 = 1), alert AS (SELECT session, 2 AS g, '  - aspirin + warfarin: bleeding (major)' AS line, 1 AS a, 0 AS b, NULL::BIGINT AS document_id FROM s WHERE session % 4 = 0), block AS (SELECT session, g, CASE g WHEN 0 THEN 'Abnormal results:' WHEN 1 THEN 'All investigations on file:' ELSE 'Drug interaction warnings:' END || chr(10) || string_agg(line, chr(10) ORDER BY a, b) AS body, CASE g WHEN 0 THEN 'असामान्य परिणाम:' WHEN 1 THEN 'उपलब्ध सभी जाँच रिपोर्ट:' ELSE 'दवा पारस्परिक प्रभाव चेतावनी:' END || chr(10) || string_agg(line, chr(10) ORDER BY a, b) AS hindi FROM (SELECT * FROM flag UNION ALL SELECT * FROM doc UNION ALL SELECT * FROM alert) GROUP BY 1, 2), ids AS (SELECT session, count(DISTINCT document_id) AS n FROM (SELECT * FROM flag UNION ALL SELECT * FROM doc) GROUP BY 1), whole AS (SELECT session, string_agg(body, chr(10) || chr(10) ORDER BY g) AS en, string_agg(hindi, chr(10) || chr(10) ORDER BY g) AS hi FROM block GROUP BY 1)"
 
-@query("WITH l AS (SELECT o_custkey AS session, o_orderkey AS id, 'Title ' || o_orderpriority AS title, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders WHERE o_orderkey % 5 = 1) SELECT s.session, CASE WHEN count(id) = 0 THEN md5('No prior investigation reports found among the documents provided.') ELSE md5('All investigations on file:' || chr(10) || string_agg('  - ' || title || ' — ' || coalesce(strftime(d, '%Y-%m-%d'), 'undated'), chr(10) ORDER BY d ASC NULLS LAST, lower(title), id)) END AS en_md5, count(id) AS n_documents FROM (SELECT DISTINCT o_custkey AS session FROM orders) s LEFT JOIN l USING (session) GROUP BY 1")
+
+@query(f"WITH {_PRIOR} SELECT session, md5(coalesce(en, 'No prior investigation reports found among the documents provided.')) AS en_md5, md5(coalesce(hi, 'प्रदान किए गए दस्तावेज़ों में कोई पिछली जाँच रिपोर्ट नहीं मिली।')) AS hi_md5, coalesce(n, 0) AS n_documents FROM s LEFT JOIN whole USING (session) LEFT JOIN ids USING (session)")
 def prior_sections(spark, sf_dir):
+    """Abnormal results, investigations and warnings, in English and Hindi."""
     entries = timeline.order(make(spark, sf_dir, "entries"), ["session"])
-    flags = spark.createDataFrame([], "session long, n int, text string, value_num double, unit string, direction string, range_text string, document_id long")
-    alerts = spark.createDataFrame([], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
+    flags = _found(spark, sf_dir).where("kind = 'lab' and session % 3 = 0").select("session", F.struct("entity_no", "document_id").alias("n"), "text", F.lit(7.5).alias("value_num"), F.lit("mg/dL").alias("unit"), F.lit("high").alias("direction"), F.lit("1-5").alias("range_text"), "document_id")
+    flags = flags.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("n")))
+    alerts = entries.select("session").distinct().where("session % 4 = 0").select("session", F.lit(1).alias("rank_no"), F.lit("major").alias("severity"), F.lit("aspirin").alias("drug_a"), F.lit("warfarin").alias("drug_b"), F.lit("bleeding").alias("description"))
     bundles = entries.groupBy("session").agg(F.avg("confidence").alias("mean_confidence"))
-    return summary.prior_section(entries, flags, alerts, bundles, ["session"]).select("session", F.md5("en").alias("en_md5"), F.size("provenance").cast("long").alias("n_documents"))
+    return summary.prior_section(entries, flags, alerts, bundles, ["session"]).select("session", F.md5("en").alias("en_md5"), F.md5("hi").alias("hi_md5"), F.size("provenance").cast("long").alias("n_documents"))
 
 
 @query(f"WITH {_FOUND}, flag AS (SELECT document_id, text, entity_no, CASE WHEN entity_no % 2 = 0 THEN 'high' ELSE 'low' END AS direction FROM found WHERE kind = 'lab' AND entity_no % 3 = 0), last AS (SELECT document_id, lower(text) AS t, arg_max(direction, entity_no) AS marker FROM flag GROUP BY 1, 2) SELECT f.document_id, f.entity_no, marker FROM found f LEFT JOIN last l ON l.document_id = f.document_id AND l.t = lower(f.text)")
@@ -380,16 +454,115 @@ def recall_by_condition(spark, sf_dir):
     return metrics.recall_by(make(spark, sf_dir, "scores"), "grp").withColumn("mean_recall", F.round("mean_recall", 6))
 
 
-@query()
+def _ratio(a: str, b: str) -> float:
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, a, b).ratio()
+
+
+#: Names as a recogniser may read them.
+_READ = [r[2][:2] + r[2][3:] for r in DRUGS[::4]] + ["xyz"]
+_BRANDS = sorted({r[2] for r in dims.seed_rows("drug_alias")})
+
+
+def _shortlist_sql() -> str:
+    rows = []
+    for i, term in enumerate(_READ):
+        best = sorted(((-_ratio(term.lower(), b.lower()), b) for b in _BRANDS))[: metrics.SHORTLIST]
+        rows += [(i, term, b, round(-s, 6), n + 1) for n, (s, b) in enumerate(best)]
+    return f"SELECT DISTINCT term, name, score, rank_no::INT AS rank_no FROM part JOIN {values([(i, t, b, float(s), n) for i, t, b, s, n in rows], 'i, term, name, score, rank_no', 'l')} AS x ON x.i = p_partkey % {len(_READ)}"
+
+
+@query(_shortlist_sql)
 def brand_shortlists(spark, sf_dir):
-    terms = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("term"))
-    return metrics.shortlist(terms, dims.load(spark, "drug_alias").select(F.col("alias").alias("name")))
+    tables(spark, sf_dir, "part")
+    terms = spark.sql(f"SELECT {pick(f'CAST(p_partkey % {len(_READ)} AS INT)', _READ)} AS term FROM part")
+    return metrics.shortlist(terms, dims.load(spark, "drug_alias").select(F.col("alias").alias("name"))).withColumn("score", F.round("score", 6))
 
 
-@query()
+#: Lines of a page, and names looked for: one that is there, one read badly, one that isn't there.
+_PAGE = [f"{form} {r[2]}" for r, form in zip(DRUGS[1::4], ["Tab.", "Cap", "1. Tab", "Syp."] * 3)]
+_LOOKED = [(r[2], r[2][0] + r[2][2:], "Zzyzx") for r in DRUGS[1::4]]
+
+
+def _window(needle: str, hay: str) -> float:
+    """The best ratio of the shorter in windows of the longer, of up to two letters more or less, by brute force."""
+    a, b = sorted((needle, hay), key=len)
+    if not a or a in b:
+        return 1.0 if a else 0.0
+    sizes = {n for n in range(len(a) - 2, len(a) + 3) if 3 <= n <= len(b)} or {len(b)}
+    return max(_ratio(b[k : k + n], a) for n in sizes for k in range(len(b) - n + 1))
+
+
+def _alnum(x: str) -> str:
+    return "".join(c for c in x.lower() if c.isalnum())
+
+
+def _looked() -> list[tuple]:
+    """(page, which name, strict, fuzzy, code) of each page and name."""
+    codes = {_alnum(r[2]): r[4] for r in reversed(dims.seed_rows("drug_alias"))}
+    return [(i, k, int(_alnum(n) in _alnum(_PAGE[i])), int(_window(_alnum(n), _alnum(_PAGE[i])) >= metrics.MATCH), codes.get(_alnum(n))) for i, names in enumerate(_LOOKED) for k, n in enumerate(names)]
+
+
+def _pages(spark, sf_dir):
+    tables(spark, sf_dir, "lineitem")
+    at, which = f"CAST(l_partkey % {len(_PAGE)} AS INT)", "CAST(l_suppkey % 3 AS INT)"
+    name = "CASE " + " ".join(f"WHEN {which} = {k} THEN {pick(at, [n[k] for n in _LOOKED])}" for k in range(3)) + " END"
+    return spark.sql(f"SELECT {DOC} AS document_id, {pick(at, _PAGE)} AS text, {name} AS name FROM lineitem")
+
+
+_LOOKED_AT = f"x.i = l_partkey % {len(_PAGE)} AND x.k = l_suppkey % 3"
+
+
+@query(lambda: f"SELECT {DOC} AS document_id, strict = 1 AS strict, fuzzy = 1 AS fuzzy FROM lineitem JOIN {values(_looked(), 'i, k, strict, fuzzy, code', 'l')} AS x ON {_LOOKED_AT}")
 def fuzzy_found(spark, sf_dir):
-    docs = make(spark, sf_dir, "drug_docs").withColumn("name", F.concat(F.lit("Tellma "), F.lit("")))
-    return metrics.found_in(docs, "name", "text").select("document_id", "strict", "fuzzy")
+    return metrics.found_in(_pages(spark, sf_dir), "name", "text").select("document_id", "strict", "fuzzy")
+
+
+@query(lambda: f"SELECT l_returnflag AS grp, count(*) AS names, round(avg(strict), 6) AS strict, round(avg(fuzzy), 6) AS fuzzy, round(coalesce(sum(CASE WHEN fuzzy = 1 AND code IS NOT NULL THEN 1 ELSE 0 END) / nullif(sum(fuzzy), 0), 0), 6) AS coded FROM lineitem JOIN {values(_looked(), 'i, k, strict, fuzzy, code', 'l')} AS x ON {_LOOKED_AT} GROUP BY 1")
+def name_recalls(spark, sf_dir):
+    """Shares of names found, alike and coded, by a group of pages."""
+    groups = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(f"{DOC} AS document_id", "l_returnflag AS grp")
+    found = coding.drug_lookup(metrics.found_in(_pages(spark, sf_dir), "name", "text"), "name", dims.load(spark, "drug_alias")).join(groups, "document_id")
+    return metrics.recalls(found, ["grp"]).select("grp", "names", *(F.round(c, 6).alias(c) for c in ("strict", "fuzzy", "coded")))
+
+
+#: Expected and extracted names of a document, by its number.
+_LISTS = [(["Amaryl", "Telma"], ["Amarl", "Telma"]), (["Crocin"], ["Dolo", "Crocn", "Crocin"]), (["Ecosprin", "Disprin"], ["Esprin"]), ([], ["Lantus"]), (["Plavix", "Plavix"], ["Plavix"]), (["Warf", "Uniwarfin"], ["Uniwarf", "Warfin"])]
+
+
+def _one_to_one_sql() -> str:
+    rows = []
+    for g, (expected, extracted) in enumerate(_LISTS):
+        pairs = sorted(((-_window(_alnum(a), _alnum(b)), i, j) for i, a in enumerate(expected) for j, b in enumerate(extracted)))
+        left, right = set(), set()
+        for s, i, j in pairs:
+            if -s >= metrics.MATCH and i not in left and j not in right:
+                left.add(i)
+                right.add(j)
+                rows.append((g, i, j, float(round(-s, 6))))
+    return f"SELECT o_orderkey AS document_id, a_no, b_no, score FROM orders JOIN {values(rows, 'g, a_no, b_no, score', 'l')} AS x ON x.g = o_orderkey % {len(_LISTS)}"
+
+
+@query(_one_to_one_sql)
+def one_to_one(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("document_id"))
+    lists = [spark.createDataFrame([(g, i, n) for g, both in enumerate(_LISTS) for i, n in enumerate(both[side])], f"g int, {name}_no int, {name} string") for side, name in ((0, "a"), (1, "b"))]
+    expected, extracted = (orders.withColumn("g", (F.col("document_id") % len(_LISTS)).cast("int")).join(x, "g").drop("g") for x in lists)
+    return metrics.one_to_one(expected, extracted).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT page_id, trim(b) AS name FROM (SELECT page_id, unnest(string_split(url || '| a |b| |', '|')) AS b FROM pages) WHERE trim(b) <> ''")
+def brand_names(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.lit("| a |b| |")).alias("brands"))
+    return metrics.brands(rows, key=["page_id"])
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:30], lambda x: CAST(abs(floor(x * 400)) AS BIGINT) % 256) AS p FROM embeddings), places AS (SELECT vec_id, p, unnest([8, 9, 10, 11, 14, 15, 16, 17, 20, 21, 22, 23]) AS i FROM e), lap AS (SELECT vec_id, (p[i - 6] + p[i + 6] + p[i - 1] + p[i + 1] - 4 * p[i])::DOUBLE AS v FROM places), v AS (SELECT vec_id, var_pop(v) AS s FROM lap GROUP BY 1), f AS (SELECT vec_id, s, list_avg(p) AS b FROM e JOIN v USING (vec_id)) SELECT vec_id, round(s, 2) AS sharpness, round(b, 2) AS brightness, CASE WHEN s < 100 THEN 'blurry - ask for a retake' WHEN b < 60 THEN 'too dark - ask for a retake' WHEN b > 225 THEN 'overexposed - ask for a retake' ELSE 'ok' END AS verdict FROM f")
+def image_verdicts(spark, sf_dir):
+    """Vectors as images of six by five."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.lit(6).alias("width"), F.lit(5).alias("height"), F.transform(F.slice("embedding", 1, 30), lambda x: F.pmod(F.abs(F.floor(x.cast("double") * 400)).cast("long"), F.lit(256))).alias("pixels"))
+    return ocr.image_quality(rows, ["vec_id"])
 
 
 # Sources.

@@ -69,3 +69,22 @@ def hygiene(dim: DataFrame) -> DataFrame:
     repeated = dim.withColumn("key", lookup_key(F.col("alias"))).groupBy("key").agg(F.count_distinct("row_no").alias("n")).where("n > 1").select(F.lit("repeated alias").alias("fault"), F.col("key").alias("what"))
     blank = dim.where(" or ".join(f"trim({c}) = ''" for c in dim.columns if c not in ("row_no", "ord"))).select(F.lit("blank field"), F.col("alias"))
     return repeated.union(blank)
+
+
+def find_folder(start: str, parts: str = os.path.join("shared", "clinical"), name: str = "ontology.json") -> str:
+    """The file `name` under `parts` in the nearest folder at or above start that has it. Driver-side configuration, not data."""
+    at = os.path.abspath(start)
+    while True:
+        found = os.path.join(at, parts, name)
+        if os.path.isfile(found):
+            return found
+        above = os.path.dirname(at)
+        if above == at:
+            raise FileNotFoundError(f"no {os.path.join(parts, name)} at or above {start}")
+        at = above
+
+
+def status(spark: SparkSession, folder: str | None = None, recogniser: str | None = None) -> DataFrame:
+    """One row (status, recogniser, terms, detail): degraded without a recogniser, which is a state, not a fault."""
+    missing = F.lit(None if recogniser else "no recogniser: pages without text stay empty").cast("string")
+    return term_count(spark, folder).select(F.lit("ok" if recogniser else "degraded").alias("status"), F.lit(recogniser).cast("string").alias("recogniser"), "terms", missing.alias("detail"))

@@ -66,15 +66,15 @@ def items(section: dict, derived: bool = False) -> list[dict]:
 
 
 def flatten(spark: SparkSession, ontology: dict) -> DataFrame:
-    """(question_id, section_id, section_order, item_order, input_type, capture_mode, follow_up, skippable) of every item that can be asked."""
+    """(question_id, section_id, section_order, section_no, item_order, input_type, capture_mode, follow_up, skippable) of every item that can be asked; section_no is the section's place in the file."""
     rows = []
-    for s in sorted(ontology["sections"], key=lambda s: s.get("order", 0)):
+    for no, s in enumerate(ontology["sections"]):
         for n, i in enumerate(items(s)):
             mode = i.get("capture_mode")
             if mode not in ("patient_reported", "derived", "examiner_required"):
                 mode = "derived" if i.get("input_type") == "derived" else "patient_reported"
-            rows.append((i["id"], s["id"], int(s.get("order", 0)), n, i.get("input_type"), mode, i.get("follow_up_on_yes"), bool(i.get("skippable", not i.get("required", False)))))
-    return spark.createDataFrame(rows, "question_id string, section_id string, section_order int, item_order int, input_type string, capture_mode string, follow_up string, skippable boolean")
+            rows.append((i["id"], s["id"], int(s.get("order", 0)), no, n, i.get("input_type"), mode, i.get("follow_up_on_yes"), bool(i.get("skippable", not i.get("required", False)))))
+    return spark.createDataFrame(rows, "question_id string, section_id string, section_order int, section_no int, item_order int, input_type string, capture_mode string, follow_up string, skippable boolean")
 
 
 def derived_ids(ontology: dict) -> list[str]:

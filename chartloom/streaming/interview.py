@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from chartloom.operators.dialogue import STEP, Script
 from chartloom.operators.interview import red_flags
 
 ANSWER = "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string"
 _ORDER = ["session_id", "ord", "question_id", "value", "multi", "dur_amount", "dur_unit"]
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that map state needs, for queries started inside; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class SessionState(StatefulProcessor):
     """Keeps a session's answers by question and sends each answer on with all that hold as of it."""
 
@@ -47,6 +62,33 @@ def stream_red_flags(answers: DataFrame, rules: list[dict]) -> DataFrame:
     return red_flags(states(answers), rules, ["session_id"], with_state=True)
 
 
+class ServedSession(StatefulProcessor):
+    """Keeps an open interview as one JSON value, and drops it once nothing is left to ask."""
+
+    def __init__(self, script: Script):
+        self.script = script
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("session", StructType([StructField("state", StringType(), True)]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = json.loads(self.kept.get()[0]) if self.kept.exists() else None
+        state, out = self.script.play(state, pd.concat(list(rows)))
+        if state is None:
+            self.kept.clear()
+        else:
+            self.kept.update((json.dumps(state),))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def serve(events: DataFrame, script: Script) -> DataFrame:
+    """The same rows as dialogue.replay, from a stream of events; run it inside state_store. One task holds a session at a time."""
+    return events.where("session_id is not null").groupBy("session_id").transformWithStateInPandas(ServedSession(script), STEP, "Append", "None")
+
+
 def alert_sink(flags: DataFrame, path: str, checkpoint: str):
     """A query that appends flags, without answers or names, to a Parquet table; each micro-batch once."""
     return flags.select("session_id", "ord", "reason", "severity").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
