@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Adjacent pairs wait in buckets, one for each merge rank, that hold the pair's position in a linked list of tokens. A
-bitmap with a bit for each rank, and above it one bit for each 64 bits below, finds the lowest rank that waits by three
+bitmap with a bit for each rank, and above it one bit for each word of 256 bits, finds the lowest rank that waits by two
 find-first-set steps. Entries whose pair has changed meanwhile are skipped. A pre-token of n bytes costs O(n log n) at
 most, so very long ones do no harm.
 """
@@ -10,36 +10,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import ship, table
+from chartloom.llm import latin
+from chartloom.llm.runtime import Remembered, released, ship, table
 
-#: Pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED = 3 << 18
+#: Bytes, about, of each of the two generations of pre-tokens that a task remembers, and the longest of them in characters.
+REMEMBERED_BYTES = 40 << 20
 REMEMBERED_CHARS = 64
-
-
-class _Remembered(dict):
-    """Ids by pre-token; those not there are encoded. Half of what it may hold is the last generation, from which what is used again comes back."""
-
-    def __init__(self, codec):
-        super().__init__()
-        self.codec, self.old = codec, {}
-
-    def __missing__(self, token: str):
-        ids = self.old.get(token) or self.codec.encode_piece(token.encode("utf-8", "surrogatepass"))
-        if len(token) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED // 2:
-                self.old = dict(self)
-                self.clear()
-            self[token] = ids
-        return ids
+_BITS = [1 << k for k in range(256)]
 
 
 class Codec:
@@ -47,79 +32,109 @@ class Codec:
 
     def __init__(self, file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
-        self.longest = max(map(len, self.ranks))
+        self.twos = {token: rank for token, rank in self.ranks.items() if len(token) == 2}
+        self.ones = [self.ranks[bytes([b])] for b in range(256)]
         most = max(self.ranks.values())
+        self.code = "H" if most < 1 << 16 else "I"
         self.tokens: list[bytes | None] = [None] * (most + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.names = [f"{i} " for i in range(most + 1)]
-        self.low, self.mid = [0] * ((most >> 6) + 1), [0] * ((most >> 12) + 1)
+        # of the queue; empty whenever no piece is being encoded
+        self.low, self.buckets = [0] * ((most >> 8) + 1), [None] * (most + 1)
         # the space of Unicode's White_Space, which is what the libraries' \s means
-        self.split = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.remembered = _Remembered(self)
-
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: its own rank, or what merging the lowest, leftmost pair again and again leaves."""
-        ranks, longest = self.ranks, self.longest
-        if (whole := ranks.get(piece)) is not None:
-            return (whole,)
-        n = len(piece)
-        low, mid, top = self.low, self.mid, 0  # all zero here and when it ends
-        end = list(range(1, n + 1))  # of the token that starts here
-        prev = list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the token that starts here with the next one
-        buckets: dict[int, list[int]] = {}  # heaps of positions by rank
-        later = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        while True:
-            for r, i in later:
-                pair[i] = r
-                if r in buckets:
-                    heappush(buckets[r], i)
+        self.split_any = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        plain = latin.spelled(pattern)
+        self.split_latin = plain.findall if plain else self.split_any
+        self.remembered = Remembered(lambda token: self.encode_piece(token.encode("utf-8", "surrogatepass")).tobytes(), REMEMBERED_BYTES, REMEMBERED_CHARS)
+
+    def split(self, text: str) -> list[str]:
+        return (self.split_any if latin.beyond(text) else self.split_latin)(text)
+
+    def encode_piece(self, piece: bytes) -> array:
+        """Ids of one pre-token: its own rank, or what merging the lowest, leftmost pair again and again leaves.
+
+        The three places that put a pair into its bucket are written out, as a call would cost as much as they do.
+        """
+        if (whole := self.ranks.get(piece)) is not None:
+            return array(self.code, (whole,))
+        n, get, two, bits = len(piece), self.ranks.get, self.twos.get, _BITS
+        # a bucket is one position or a heap of some; `low` says which buckets hold any, `top` which words of `low` do
+        low, buckets, top = self.low, self.buckets, 0
+        ids = [*map(self.ones.__getitem__, piece)]  # of the token that starts here,
+        end, prev = list(range(1, n + 1)), list(range(-1, n - 1))  # where it ends and the one before starts,
+        pair: list[int | None] = [None] * n  # and its rank with the next one
+        i = 0
+        for stop in range(2, n + 1):
+            pair[i] = r = two(piece[i:stop])
+            if r is not None:
+                bucket = buckets[r]
+                if bucket is None:
+                    buckets[r] = i
+                    low[r >> 8] |= bits[r & 255]
+                    top |= bits[r >> 8]
+                elif bucket.__class__ is int:
+                    buckets[r] = [bucket, i]
                 else:
-                    buckets[r] = [i]
-                    low[r >> 6] |= 1 << (r & 63)
-                    mid[r >> 12] |= 1 << (r >> 6 & 63)
-                    top |= 1 << (r >> 12)
-            if not top:
-                break
+                    bucket.append(i)
+            i += 1
+        while top:
             a = (top & -top).bit_length() - 1
-            m = mid[a]
-            b = a << 6 | (m & -m).bit_length() - 1
-            w = low[b]
-            rank = b << 6 | (w & -w).bit_length() - 1
+            word = low[a]
+            bit = word & -word
+            rank = (a << 8) + bit.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                low[b] = w = w & (w - 1)
-                if not w:
-                    mid[a] = m = m & (m - 1)
-                    if not m:
-                        top &= top - 1
-            later = []
+            i = bucket if bucket.__class__ is int else heappop(bucket)
+            if i is bucket or not bucket:
+                buckets[rank] = None
+                low[a] = word = word ^ bit
+                if not word:
+                    top &= top - 1
             if pair[i] != rank:  # stale
                 continue
+            ids[i] = rank
             j = end[i]
             stop = end[i] = end[j]
-            pair[i] = pair[j] = -1
+            pair[j] = r = None
             if stop < n:
                 prev[stop] = i
-                k = end[stop]
-                if k - i <= longest and (r := ranks.get(piece[i:k])) is not None:
-                    later.append((r, i))
-            h = prev[i]
-            if h >= 0:
-                pair[h] = -1
-                if stop - h <= longest and (r := ranks.get(piece[h:stop])) is not None:
-                    later.append((r, h))
+                r = get(piece[i : end[stop]])
+            pair[i] = r
+            if r is not None:
+                bucket = buckets[r]
+                if bucket is None:
+                    buckets[r] = i
+                    low[r >> 8] |= bits[r & 255]
+                    top |= bits[r >> 8]
+                elif bucket.__class__ is int:
+                    buckets[r] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heappush(bucket, i)
+            i = prev[i]
+            if i >= 0:
+                pair[i] = r = get(piece[i:stop])
+                if r is not None:
+                    bucket = buckets[r]
+                    if bucket is None:
+                        buckets[r] = i
+                        low[r >> 8] |= bits[r & 255]
+                        top |= bits[r >> 8]
+                    elif bucket.__class__ is int:
+                        buckets[r] = [bucket, i] if bucket < i else [i, bucket]
+                    else:
+                        heappush(bucket, i)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(ids[i])
             i = end[i]
-        return tuple(out)
+        return array(self.code, out)
+
+    def packed(self, text: str | None) -> array:
+        """The text's ids; null is empty."""
+        return array(self.code, b"".join(map(self.remembered.__getitem__, self.split(text or ""))))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.remembered.__getitem__, self.split(text or ""))))
+        return self.packed(text).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -146,7 +161,7 @@ def _each(docs: DataFrame, text_col: str, ranks_path: str, pattern: str, make, n
 
     def run(batches):
         own = codec(file.value, pattern)
-        for batch in batches:
+        for batch in released(batches, own.remembered.forget):
             rows = [make(own, t.as_py()) for t in batch.column(batch.num_columns - 1)]
             made = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=schema).columns if rows else [pa.array([], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made)], names=[f"_o{i}" for i in range(len(others))] + names)
@@ -173,16 +188,21 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 of each text's ids and of what they decode to, made where the text is encoded so that no id leaves the worker. Null texts are empty."""
+    """docs with n_tokens, ids_sha256 and decoded_sha256 of each text's ids and of what they decode to, made where the text is encoded so that no id leaves the worker.
+
+    Null texts are empty: no ids, and the digests of nothing. Rows are encoded one by one, repeated ones too. Other columns pass
+    through; those named like the three new ones are replaced. An empty table gives no rows.
+    """
 
     def make(own: Codec, text):
-        ids = own.encode(text)
+        ids = own.packed(text)
         return len(ids), hashlib.sha256("".join(map(own.names.__getitem__, ids)).encode()[:-1]).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
     return _each(docs, text_col, ranks_path, pattern, make, ["n_tokens", "ids_sha256", "decoded_sha256"], "long string string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    """The counts and digests of all documents' ids and of what they decode to; nulls, repeated rows and empty tables as in digests."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
-import uuid
+import shutil
+import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.lineage import scratch, settle
+
+__all__ = ["Remembered", "SPACE", "WORD", "cut", "released", "scratch", "ship", "sized_broadcast", "table", "word_count"]
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: A word is a run of characters other than these six.
@@ -20,32 +29,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed where they run."""
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's setting, or one beside the warehouse where it is unset."""
-    context = spark.sparkContext._jsc.sc()
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
-    if at is None:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """Let Python workers import this package when it isn't installed where they run: from the driver's folder on a local master, as an archive that Spark hands out elsewhere."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local":
+        path = context.environment.get("PYTHONPATH", "")
+        if ROOT not in path.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
+    elif not getattr(context, "_chartloom_shipped", False):
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "chartloom"), "zip", ROOT, "chartloom")
+        context.addPyFile(made)  # copied by Spark: the driver's own file may go
+        context._chartloom_shipped = True
+
+
+class Remembered(dict):
+    """What make gives for each string, in two generations of about `most` bytes each; what is used again comes back from the last one. Strings over `longest` characters aren't kept."""
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old, self.size = make, most, longest, {}, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if self.size >= self.most:
+                self.old = dict(self)
+                self.clear()
+                self.size = 0
+            self[key] = found
+            self.size += 150 + 2 * len(key) + len(found)  # heads of both and their slot
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
+
+def released(batches, forget=lambda: None):
+    """The batches of a task; after the last, or when the task is given up, what the worker holds beyond them goes back to the system.
+
+    Workers stay for later tasks, and their memory is their executor's.
+    """
+    try:
+        yield from batches
+    finally:
+        forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint: later work doesn't redo what made it, and a lost executor loses none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return settle(df)
 
 
 def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -29,7 +29,7 @@ def test_equals_the_library():
 
 
 def test_generations_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
     with open(PATH, "rb") as f:
         own = bpe.Codec(f.read(), PATTERN)
     lib = library()
