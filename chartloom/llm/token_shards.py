@@ -5,9 +5,11 @@ then the ids, little-endian, two bytes each if the vocabulary fits and four if n
 writer puts them down (a record is a "line" and the end id its separator), so shards reach any store that Spark
 writes to and commit like any Spark output: tasks can be lost and run again.
 
-The index of a shard numbers its n distinct keys from 0 to n - 1 by a minimal perfect hash of levels of bits; slot
-number k has the key's fingerprint (to tell keys that aren't there), how many records the key has, the first one's
-offset, and how many ids of the shard precede it. A look-up takes one or two bits, a count and one slot.
+A shard ends with its index, as a last record: it numbers the shard's n distinct keys from 0 to n - 1 by a minimal perfect
+hash of levels of bits; slot number k has the key's fingerprint (to tell keys that aren't there), how many records the
+key has, the first one's offset, and how many ids of the shard precede it. A look-up takes one or two bits, a count and
+one slot, and reads no other record. Beside the shards stands a table of a row a shard, with its least and greatest key, which
+leads from a key to its shard.
 """
 
 from __future__ import annotations
@@ -20,54 +22,42 @@ import struct
 import unicodedata
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import scratch, ship, sized_broadcast, table
+from chartloom.llm import latin
+from chartloom.llm.runtime import Remembered, cut, released, scratch, ship, sized_broadcast, table
 
 END_ID = 2
-#: Compressed text that goes to a shard, about, and the most records of one file.
-SHARD_BYTES = 7_000_000
-MOST_RECORDS = 20_000
-#: Bytes of index that are sent to every executor; a larger index joins the shards by a shuffle.
-MOST_BROADCAST = 64_000_000
+#: Compressed text that goes to a shard, about. Executors hold a shard or two a core; larger ones make fewer files.
+SHARD_BYTES = 16_000_000
+#: Shards whose rows are sent to every executor; beyond it their counts are joined by a shuffle (of records' figures, not ids).
+MOST_BROADCAST = 1_000_000
+#: Keys of one get().
+MOST_KEYS = 1_000_000
 #: Of struct: key, number of ids, flags.
 HEADER, HEADER_SIZE = "<qII", 16
 SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("before", "<u8")])
-#: Words in each of the two generations that a worker remembers.
-REMEMBERED = 1 << 18
+#: At a shard's end: records, ids, bytes of the hash and of the slots, 1 if any key isn't null, least and greatest key.
+TAIL, TAIL_SIZE = "<QQQQQqq", 56
+#: Bytes, about, of each of the two generations of words that a task remembers, and the longest of them in characters.
+REMEMBERED_BYTES = 24 << 20
+REMEMBERED_CHARS = 64
 _SEED = 9
 
 
-class _Remembered(dict):
-    """What make gives for each key, in two generations of bounded size."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
 class WordEncoder:
     """The tokenizers library's ids as packed bytes, remembered by pre-token.
 
     Texts are normalised and split as the file says (NFC, lower case letter by letter, words and runs of other
     characters); each distinct pre-token is encoded by the library. Texts with a special token's string or a character
     beyond Latin letters and common punctuation, where Unicode tables of different age may disagree, go to the library
-    whole, and so do all texts if the file asks for another normaliser or splitter than that.
+    whole, and so do texts whose lower case has such a character, and all texts if the file asks for another normaliser
+    or splitter than that.
     """
 
     def __init__(self, file: str):
@@ -80,13 +70,13 @@ class WordEncoder:
         splits = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.known = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and len(splits) == 2 and splits[0]["type"] == "Split" and splits[0].get("invert") is True and splits[0]["behavior"] == "Removed" and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"] and said["post_processor"] is None
         self.strange = [*(t["content"] for t in said["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
-        self.special = re.compile("|".join([re.escape(x) for x in self.strange] + ["[^\\x00-\u024f\u2013-\u2026\u20ac]"])).search
+        self.special = re.compile("|".join(map(re.escape, self.strange))).search
         if self.known:
-            # the characters let through here have had their classes since early Unicode versions
-            kinds = {k: "".join(c for c in map(chr, [*range(0x250), *range(0x2013, 0x2027), 0x20AC]) if test(c)) for k, test in (("L", lambda c: unicodedata.category(c)[0] == "L"), ("N", lambda c: unicodedata.category(c)[0] == "N"), ("S", lambda c: c in "\t\n\x0b\x0c\r \x85\xa0"))}
-            self.split = re.compile(splits[0]["pattern"]["Regex"].replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", kinds["S"])).findall
+            plain = latin.spelled(splits[0]["pattern"]["Regex"])
+            self.known = plain is not None
+            self.split = plain and plain.findall
         self.kind = np.dtype("<u2" if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
-        self.words, self.marks = _Remembered(self.word), {}
+        self.words, self.marks = Remembered(self.word, REMEMBERED_BYTES, REMEMBERED_CHARS), {}
         # the characters that stand for bytes: printable ones for themselves, then from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.stands = [chr(b) if b in plain else chr(256 + sum(c not in plain for c in range(b))) for b in range(256)]
@@ -94,20 +84,19 @@ class WordEncoder:
 
     def word(self, w: str) -> bytes:
         """Ids of a run without white space."""
-        if w.isascii():  # letters, or letters and one mark, need no splitting
-            if w.isalpha():
-                return self.part(w)
-            head, mark = w[:-1], w[-1]
-            if head.isalpha() and not mark.isdigit():
-                last = self.marks.get(mark)
-                if last is None:
-                    last = self.marks[mark] = self.part(mark)
-                return (self.words.get(head) or self.part(head)) + last
+        if w.isalpha():  # letters, or letters and one mark, need no splitting
+            return self.part(w)
+        head, mark = w[:-1], w[-1]
+        if head.isalpha() and mark.isascii() and not mark.isalnum():
+            last = self.marks.get(mark)
+            if last is None:
+                last = self.marks[mark] = self.part(mark)
+            return (self.words.get(head) or self.part(head)) + last
         return b"".join([self.words.get(p) or self.part(p) for p in self.split(w)])
 
     def part(self, token: str) -> bytes:
         """One pre-token's ids, by the library's model."""
-        if not token.isascii():
+        if not (token.isascii() and token.isprintable()):
             token = "".join(map(self.stands.__getitem__, token.encode()))
         return array(self.code, [t.id for t in self.merge(token)]).tobytes()
 
@@ -119,14 +108,13 @@ class WordEncoder:
             return b""
         if not self.known:
             return self.whole(text)
+        low = text.lower()
         if text.isascii():
             if any(map(text.__contains__, self.strange)):
                 return self.whole(text)
-        elif self.special(text):
-            return self.whole(text)
-        elif not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return b"".join(map(self.words.__getitem__, text.lower().split()))  # pre-tokens don't cross white space
+        elif latin.beyond(text) or latin.beyond(low) or self.special(text):
+            return self.whole(text)  # what is left has no combining marks, so it is in NFC
+        return b"".join(map(self.words.__getitem__, low.split()))  # pre-tokens don't cross white space
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -210,63 +198,71 @@ def look_up(keys: np.ndarray, hashed: PerfectHash, slots: np.ndarray) -> np.ndar
     return at
 
 
-def records(content, width: int):
-    """(key or None, offset, n) of a shard's records, in order."""
-    at, size, read = 0, len(content), HEADER_SIZE
-    while at < size:
-        key, n, flags = struct.unpack_from(HEADER, content, at)
-        yield None if flags & 1 else key, at, n
-        at += read + n * width
-
-
-def build_index(content, width: int) -> tuple[int, int, bytes, bytes]:
-    """(records, ids, hash, slots) of a shard."""
-    found = list(records(content, width))
-    before = np.cumsum([0] + [n for _, _, n in found])
-    first: dict[int, int] = {}
-    count: dict[int, int] = {}
-    for i, (key, _, _) in enumerate(found):
-        if key is not None:
-            first.setdefault(key, i)
-            count[key] = count.get(key, 0) + 1
-    keys = np.fromiter(first, np.int64, len(first))
-    hashed = PerfectHash.build(keys)
-    slots = np.zeros(len(keys), SLOT)
-    if len(keys):
-        at = hashed.number(keys)
-        slots["print"][at] = fingerprints(keys)
-        slots["records"][at] = list(count.values())
-        slots["offset"][at] = [found[i][1] for i in first.values()]
-        slots["before"][at] = [before[i] for i in first.values()]
-    return len(found), int(before[-1]), hashed.pack(), slots.tobytes()
-
-
-def fetch(keys: np.ndarray, content, hashed: PerfectHash, slots: np.ndarray, kind: np.dtype):
-    """(key, ids of the shard before it, ids) of each record of the keys that the shard has, through the index."""
-    for key, number in zip(keys.tolist(), look_up(keys, hashed, slots).tolist()):
-        if number < 0:
-            continue
-        at, before = int(slots["offset"][number]), int(slots["before"][number])
-        for _ in range(int(slots["records"][number])):
-            found, n, _ = struct.unpack_from(HEADER, content, at)
-            if found != key:  # a fingerprint that agrees by chance
-                break
-            yield key, before, np.frombuffer(content, kind, n, at + HEADER_SIZE)
-            at, before = at + HEADER_SIZE + n * kind.itemsize, before + n
-
-
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content): files in the order in which they were cut."""
-    name = F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 1), F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 2)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").where("length > 0").select((name[0].cast("long") * 1_000_000 + name[1].cast("long")).alias("shard"), "content")
-
-
-def write(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, most_records: int = MOST_RECORDS) -> None:
-    """Write every text's ids, in ascending id order, under path/ids, and the index under path/index (Parquet).
+def footer(keys: np.ndarray, counts: np.ndarray, nameless: np.ndarray, width: int) -> bytes:
+    """The index and tail of a shard from its records' keys in order, numbers of ids, and whether the key is null."""
+    sizes = HEADER_SIZE + counts * width
+    offsets, before = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    at = np.flatnonzero(~nameless)
+    own, first, repeats = np.unique(keys[at], return_index=True, return_counts=True)
+    hashed = PerfectHash.build(own)
+    slots = np.zeros(len(own), SLOT)
+    if len(own):
+        number = hashed.number(own)
+        slots["print"][number] = fingerprints(own)
+        slots["records"][number] = repeats
+        slots["offset"][number] = offsets[at[first]]
+        slots["before"][number] = before[at[first]]
+    packed = hashed.pack()
+    return packed + slots.tobytes() + struct.pack(TAIL, len(keys), int(counts.sum()), len(packed), slots.nbytes, len(own) > 0, int(own[0]) if len(own) else 0, int(own[-1]) if len(own) else 0)
+
+
+class Shard:
+    """A shard's bytes, opened at its index."""
+
+    def __init__(self, content, kind: np.dtype):
+        self.content, self.kind = content, kind
+        tail = len(content) - kind.itemsize - TAIL_SIZE  # each record is followed by the separator
+        self.n_records, self.n_ids, hash_size, slots_size, *_ = struct.unpack_from(TAIL, content, tail)
+        self.end = tail - hash_size - slots_size
+        self.hashed = PerfectHash.unpack(content[self.end : self.end + hash_size])
+        self.slots = np.frombuffer(content, SLOT, slots_size // SLOT.itemsize, self.end + hash_size)
+
+    def records(self):
+        """(key or None, number of ids before it, ids) of all records, in order."""
+        at, before, read, width = 0, 0, HEADER_SIZE, self.kind.itemsize
+        while at < self.end:
+            key, n, flags = struct.unpack_from(HEADER, self.content, at)
+            yield None if flags & 1 else key, before, np.frombuffer(self.content, self.kind, n, at + read)
+            at += read + n * width
+            before += n
+
+    def get(self, keys: np.ndarray):
+        """(key, number of ids before it, ids) of each record of the keys that the shard has, through the index."""
+        for key, number in zip(keys.tolist(), look_up(keys, self.hashed, self.slots).tolist()):
+            if number < 0:
+                continue
+            at, before = int(self.slots["offset"][number]), int(self.slots["before"][number])
+            for _ in range(int(self.slots["records"][number])):
+                found, n, _ = struct.unpack_from(HEADER, self.content, at)
+                if found != key:  # a fingerprint that agrees by chance
+                    break
+                yield key, before, np.frombuffer(self.content, self.kind, n, at + HEADER_SIZE)
+                at, before = at + HEADER_SIZE + n * self.kind.itemsize, before + n
+
+
+def _shards(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(shard, path, content): shard numbers follow the keys."""
+    number = F.regexp_extract("path", r"part-(\d+)-", 1).cast("long")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).where("length > 0").select(number.alias("shard"), "path", "content")
+
+
+def write(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
+    """Write every text's ids, in ascending id order, under path/ids, each shard with its index, and the table of shards under path/shards (Parquet: shard, path, records, ids, named, least, most).
 
     `file` is the tokenizer's JSON. Null and empty texts have the end id alone. Rows with a null id come first and aren't
-    indexed. Rows with one id stand together, in no set order; a run of them too long for a file goes on in the next, and each
-    file's index has its part. An empty table gives no shards. Other columns are ignored. Ids must be integers.
+    indexed. Rows with one id stand together, ordered by a hash of their text, so that a run of them, or of null ids, may go on
+    in the next shard; each shard's index has its part. An empty table gives no shards. Other columns are ignored. Ids
+    must be integers.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -279,59 +275,104 @@ def write(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_co
 
     def encode(batches):
         own = encoder(said.value)
-        for batch in batches:
+        keys, counts, nameless = array("q"), array("q"), bytearray()
+        for batch in released(batches, own.words.forget):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = own.encode(text.as_py())
-                out.append(struct.pack(HEADER, key or 0, len(ids) // own.kind.itemsize + 1, key is None) + ids)
+                n = len(ids) // own.kind.itemsize + 1
+                out.append(struct.pack(HEADER, key or 0, n, key is None) + ids)
+                keys.append(key or 0)
+                counts.append(n)
+                nameless.append(key is None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        if keys:
+            index = footer(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64), np.frombuffer(nameless, bool), own.kind.itemsize)
+            yield pa.RecordBatch.from_arrays([pa.array([index], pa.binary())], names=["record"])
 
-    ordered = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "key").sortWithinPartitions("key")
+    ordered = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), "key", "th").sortWithinPartitions("key", "th").select("key", "text")
     separator = end_id.to_bytes(kind.itemsize, "little").decode("ascii")
-    ordered.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("maxRecordsPerFile", most_records).text(f"{path}/ids")
+    ordered.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("maxRecordsPerFile", 0).text(f"{path}/ids")
 
-    def index(batches):
+    def tails(batches):
         for batch in batches:
-            made = [build_index(c.as_buffer(), kind.itemsize) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["shard", "records", "ids", "hash", "slots"])
+            found = [struct.unpack(TAIL, t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([t[i] for t in found], pa.int64()) for i in (0, 1, 4, 5, 6))], names=["shard", "path", "records", "ids", "named", "least", "most"])
 
-    _shards(spark, path).mapInArrow(index, "shard long, records long, ids long, hash binary, slots binary").write.parquet(f"{path}/index")
+    tail = F.expr(f"substring(content, length(content) - {kind.itemsize + TAIL_SIZE} + 1, {TAIL_SIZE})")
+    _shards(spark, f"{path}/ids").select("shard", "path", tail.alias("tail")).mapInArrow(tails, "shard long, path string, records long, ids long, named long, least long, most long").write.parquet(f"{path}/shards")
 
 
-def read(spark: SparkSession, path: str, file: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record, each key looked up in its shard's index.
+def read(spark: SparkSession, path: str, file: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record, those with a key found through their shard's index; with_ids: and ids (array of long).
 
-    start counts the ids of all records before it; the checksum is of the ids as little-endian uint32. Records
-    without a key are read in file order.
+    start counts the ids of all records before it, those of null ids first; the checksum is of the ids as little-endian uint32.
+    No shards, no rows. A shard is read once and isn't shuffled.
     """
     ship(spark)
     kind = WordEncoder(file).kind
-    index = spark.read.parquet(f"{path}/index")
+
+    def run(batches):
+        for batch in released(batches):
+            for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shard = Shard(content.as_buffer(), kind)
+                keys, nameless = array("q"), []
+                for key, before, ids in shard.records():
+                    if key is None:
+                        nameless.append((None, before, ids))
+                    elif not keys or keys[-1] != key:
+                        keys.append(key)
+                found = chain(nameless, shard.get(np.frombuffer(keys, np.int64)))
+                while part := list(islice(found, 4096)):
+                    columns = [pa.array([number] * len(part), pa.int64()), *(pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)), pa.array([len(r[2]) for r in part], pa.int64()), pa.array([zlib.crc32(r[2].astype("<u4").tobytes()) for r in part], pa.int64())]
+                    if with_ids:
+                        columns.append(pa.array([r[2] for r in part], pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "before", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+
+    shards = spark.read.parquet(f"{path}/shards")
     base = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = index.select("shard", "ids").withColumn("base", base).select("shard", "base")  # a row a shard
+    bases = cut(shards.select("shard", "ids").withColumn("base", base).select("shard", "base"))  # a row a shard
+    rows = _shards(spark, f"{path}/ids").select("shard", "content").mapInArrow(run, "shard long, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return rows.join(sized_broadcast(bases, bases.count(), MOST_BROADCAST), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+def get(spark: SparkSession, path: str, file: str, keys) -> DataFrame:
+    """(doc_id, ids array of long): the records of up to MOST_KEYS integer keys, looked up through the table of shards and the shards' indexes.
+
+    Only shards in whose range a key falls are opened, and in them only the records asked for. Keys that aren't there give no
+    row, repeated ones count once, and a key of several records gives a row each. No keys, no rows.
+    """
+    ship(spark)
+    kind = WordEncoder(file).kind
+    wanted = np.unique(np.array(list(keys), np.int64))
+    if len(wanted) > MOST_KEYS:
+        raise ValueError(f"over {MOST_KEYS} keys: join with read(with_ids=True)")
+    given = spark.sparkContext.broadcast(wanted)  # of a size checked just above
+
+    def needed(batches):
+        for batch in batches:
+            least, most = (batch.column(i).to_numpy() for i in (1, 2))
+            hit = np.searchsorted(given.value, least) < np.searchsorted(given.value, most, side="right")
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit))], names=["path"])
 
     def run(batches):
         for batch in batches:
-            for content, hashed, slots, base in zip(*(batch.column(c) for c in ("content", "hash", "slots", "base"))):
-                content, base = content.as_buffer(), base.as_py()
-                hashed, slots = PerfectHash.unpack(hashed.as_buffer()), np.frombuffer(slots.as_buffer(), SLOT)
-                named, nameless, before = {}, [], 0
-                for key, at, n in records(content, kind.itemsize):
-                    if key is None:
-                        nameless.append((None, before, np.frombuffer(content, kind, n, at + HEADER_SIZE)))
-                    else:
-                        named[key] = True
-                    before += n
-                out = [(key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, start, ids in chain(nameless, fetch(np.fromiter(named, np.int64, len(named)), content, hashed, slots, kind))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for content in batch.column(0):
+                found = list(Shard(content.as_buffer(), kind).get(given.value))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    size = index.agg(F.sum(F.octet_length("hash") + F.octet_length("slots"))).first()[0] or 0
-    known = sized_broadcast(index.select("shard", "hash", "slots").join(bases, "shard"), size, MOST_BROADCAST)
-    whole = _shards(spark, path).join(known, "shard")
-    return whole.select("content", "hash", "slots", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    paths = [r[0] for r in spark.read.parquet(f"{path}/shards").where("named = 1").select("path", "least", "most").mapInArrow(needed, "path string").collect()]  # two a key at most, but for keys of more records than a shard holds
+    if not paths:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    return _shards(spark, paths).select("content").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Write the ids of all documents as shards and read them back: doc_id, start, n_tokens, ids_crc32 of each record.
+
+    Null and empty texts have the end id alone; null ids stand first; repeated ids give a row each; an empty table gives none;
+    columns other than doc_id and text are ignored.
+    """
     import public_tokenizers
 
     with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -27,12 +28,65 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(own.encode(t), own.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_every_character(monkeypatch):
+    own, lib = token_shards.WordEncoder(FILE), Tokenizer.from_str(FILE)
+    delegated = []
+    monkeypatch.setattr(own, "whole", lambda t: delegated.append(t) or b"")
+    checked = 0
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        for t in (c, f"ab{c}cd", f"Word{c}"):
+            before = len(delegated)
+            ids = np.frombuffer(own.encode(t), own.kind).tolist()
+            if len(delegated) == before:  # what is delegated is the library's own
+                assert ids == lib.encode(t, add_special_tokens=False).ids, hex(ord(c))
+                checked += 1
+    assert checked > 1500
+
+
+def test_fuzz():
+    own, lib, rng = token_shards.WordEncoder(FILE), Tokenizer.from_str(FILE), random.Random(8)
+    alphabet = [chr(i) for i in range(0x250)] + ["ab", "The ", " ", "'s", "'LL", "1", "–", "…", "€", "\u0301", "漢", "😀", "K", "ẞ"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(alphabet, k=rng.randint(0, 30)))
+        assert np.frombuffer(own.encode(t), own.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_generations_change_nothing(monkeypatch):
+    monkeypatch.setattr(token_shards, "REMEMBERED_BYTES", 1000)
+    own, lib = token_shards.WordEncoder(FILE), Tokenizer.from_str(FILE)
+    for n in range(200):
+        t = f"word{n % 37}, OTHER{n % 5} {'long' * 40}"
+        assert np.frombuffer(own.encode(t), own.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_keyed_access(spark):
+    lib = Tokenizer.from_str(FILE)
+    rows = [(n * 3, f"text number {n} " * (1 + n % 9)) for n in range(3000)] + [(30, f"another of thirty {n}") for n in range(500)] + [(None, f"no key {n}") for n in range(500)] + [(-(2**63), "least"), (2**63 - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    at = scratch(spark, "test-get")
+    token_shards.write(docs, at, FILE, shard_bytes=2000)
+    shards = spark.read.parquet(f"{at}/shards").orderBy("shard").collect()
+    assert len(shards) > 5 and sum(r.records for r in shards) == len(rows) and all(a.most <= b.least for a, b in zip(shards, shards[1:]) if a.named and b.named)
+    want = [0, 30, 30, 299, 4500, 10**12, -(2**63), 2**63 - 1]
+    got = sorted((r.doc_id, list(r.ids)) for r in token_shards.get(spark, at, FILE, want).collect())
+    assert got == sorted((k, lib.encode(t, add_special_tokens=False).ids + [2]) for k, t in rows if k in want)
+    assert token_shards.get(spark, at, FILE, [1, 2]).count() == 0 and token_shards.get(spark, at, FILE, []).count() == 0
+    whole = token_shards.read(spark, at, FILE, with_ids=True)
+    assert whole.count() == len(rows) and whole.where("doc_id = 4500").first().ids == lib.encode(dict(rows[:3000])[4500], add_special_tokens=False).ids + [2]
+    # figures joined by a shuffle are the same
+    limit, token_shards.MOST_BROADCAST = token_shards.MOST_BROADCAST, 0
+    try:
+        assert sorted(map(tuple, token_shards.read(spark, at, FILE).select("start", "ids_crc32").collect())) == sorted(map(tuple, whole.select("start", "ids_crc32").collect()))
+    finally:
+        token_shards.MOST_BROADCAST = limit
+
+
 def test_round_trip(spark):
     lib = Tokenizer.from_str(FILE)
     rows = [(n * 7 - 300, f"Document {n} says ## " + "word " * (n % 50), "x") for n in range(400)] + [(5, None, "x"), (5, "again five", "y"), (5, "", None), (None, "no key", "y"), (2**62, "far", "y")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     at = scratch(spark, "test-shards")
-    token_shards.write(docs, at, FILE, shard_bytes=3000, most_records=40)
+    token_shards.write(docs, at, FILE, shard_bytes=3000)
     got = token_shards.read(spark, at, FILE).collect()
     assert len(got) == len(rows)
     want = {}
