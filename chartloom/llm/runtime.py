@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chartloom.lineage import scratch, settle
 
-__all__ = ["Remembered", "SPACE", "WORD", "cut", "released", "scratch", "ship", "sized_broadcast", "table", "word_count"]
+__all__ = ["Remembered", "SPACE", "WORD", "cut", "released", "scratch", "ship", "sized_broadcast", "spare", "table", "word_count"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -91,6 +91,16 @@ def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def word_count(text):
     """Words of a text column; null and blank texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -76,3 +76,85 @@ def test_documents(spark):
     assert roots == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, None: 0, 5: 5, 6: 6, 7: 7, 8: 8}
     assert simhash.near_duplicates(docs.where("doc_id = -1")).count() == 0
     assert simhash.near_duplicates(docs.select(F.lit(None).cast("long").alias("doc_id"), "text").limit(2)).where("kept").count() == 2
+
+
+def brute_set(text, size=5):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) or frozenset([tuple(words)] if words else [])
+
+
+def brute_similar(texts, least=0.8):
+    """The smallest place that each text reaches by links of the Jaccard similarity, by all pairs."""
+    sets = [brute_set(t) for t in texts]
+    alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
+    return brute_components(range(len(texts)), alike)
+
+
+def test_wide_fingerprint_is_a_majority():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 255, 256, 700):
+        own = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        made = simhash.wide_fingerprint(own, 4)
+        assert int(made[0]) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own.tolist()) > n)
+        mixed = [(int(h) ^ int(h) >> 32) * int(simhash._MIXERS[1]) % (1 << 64) for h in own.tolist()]
+        mixed = [m ^ m >> 29 for m in mixed]
+        assert int(made[2]) == sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > n)
+    assert simhash.wide_fingerprint(np.zeros(0, np.uint64), 2).tolist() == [0, 0]
+
+
+def test_leaders_reach_every_row():
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 1 << 62, 30, dtype=np.uint64).repeat(40)
+    f ^= np.array([sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False)) for _ in f], np.uint64)
+    keys = np.sort(rng.integers(0, 9, len(f)))
+    a, b, led = simhash._led(keys, f, 20)
+    assert (keys[a] == keys[b]).all() and (np.bitwise_count(f[a] ^ f[b]) <= 20).all() and len(a) < 4 * len(f)
+    heads = set(led.tolist())
+    close = {i for i, j, d in zip(b.tolist(), a.tolist(), np.bitwise_count(f[a] ^ f[b]).tolist()) if d <= simhash.CLOSE_BITS and j in heads}
+    assert close | heads == set(range(len(f)))
+
+
+def near_copies(rng, count=40):
+    """Texts with copies that share from 0.6 to all of their shingles."""
+    word = lambda: "".join(rng.choice(list("abcdefghij")) for _ in range(6))
+    texts = []
+    for _ in range(count):
+        words = [word() for _ in range(int(rng.integers(60, 300)))]
+        texts.append(" ".join(words))
+        for _ in range(int(rng.integers(0, 4))):
+            other = list(words)
+            for _ in range(int(rng.integers(0, 1 + len(words) // 30))):
+                other[int(rng.integers(0, len(other)))] = word()
+            cut = int(rng.integers(0, len(words) // 10))
+            texts.append(" ".join(other[cut:]))
+    return texts
+
+
+def test_keep_similar_against_all_pairs(spark, monkeypatch):
+    texts = near_copies(np.random.default_rng(11)) + ["", None, " ", "one two", "One  two", "one two three"]
+    roots = brute_similar(texts)
+    docs = spark.createDataFrame([(i, t, f"x{i}", 7) for i, t in enumerate(texts)], "doc_id long, text string, _own_id string, c int").repartition(5)
+    want = {i for i, r in roots.items() if i == r}
+    got = {}
+    for hot, few in ((simhash.HOT_ANCHOR, simhash.FEW), (64, 0)):  # also with all anchors of two rows dealt out, and without broadcasts
+        monkeypatch.setattr(simhash, "HOT_ANCHOR", hot)
+        monkeypatch.setattr(simhash, "HOT_SAMPLE", 64 if hot > 64 else 1)
+        monkeypatch.setattr(simhash, "FEW", few)
+        out = simhash.keep_similar(docs).collect()
+        got[few] = {r.doc_id for r in out}
+        assert len(out) == len(got[few]) and all(r.text == texts[r.doc_id] and r._own_id == f"x{r.doc_id}" for r in out)
+        # no link is wrong, and few are missed
+        assert want <= got[few] and len(got[few] - want) <= 0.03 * (len(texts) - len(want))
+    assert got[0] == got[simhash.FEW] if len(got) == 1 else True
+
+
+def test_keep_similar_shapes(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, "a b c d e f g", 1), (3, "A b c d e f g", 1), (3, "A b c d e f g", 2), (4, None, 1), (4, "", 1), (5, long, 1), (6, long + " x", 1), (None, "only nameless one", 1), (None, "only nameless one", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own_th int")
+    out = [(r.doc_id, r.text) for r in simhash.keep_similar(docs).collect()]
+    texts = {t for _, t in out}
+    assert sorted(d for d, _ in out if d is not None) == [3, 4, 5] and len(out) == 4 and (None, "only nameless one") in out and "A b c d e f g" in texts and long in texts
+    assert simhash.keep_similar(docs.where("doc_id = 99")).count() == 0
+    assert simhash.keep_similar(docs).columns == docs.columns
+    assert [r.doc_id for r in simhash.keep_first(docs.where("doc_id = 3")).collect()] == [3]
