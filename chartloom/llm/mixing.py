@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import cut, sized_broadcast, table, word_count
+from chartloom.llm.runtime import cut, sized_broadcast, spare, table, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-#: Words of a block: this many, or fewer where that would leave under LEAST_SLOTS slots.
+#: Words of a block.
 BLOCK = 2048
-LEAST_SLOTS = 1 << 17
 #: Documents of a source are shuffled into this many piles, whose words are summed first.
 PILES = 4096
 #: Slots are ranked within runs of this many.
@@ -84,7 +83,7 @@ def filled(planned: DataFrame, wanted: DataFrame, block: int, slots: int) -> Dat
     return planned.unionByName(extra.select("rank", "r", (F.col("base") + F.col("r") - F.col("have")).alias("slot")))
 
 
-def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, share: float = 1.0, repeats: int = MOST_REPEATS, block: int = BLOCK, least_slots: int = LEAST_SLOTS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, share: float = 1.0, repeats: int = MOST_REPEATS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The placed documents and the mix's pieces.
 
     Placed: _id, _th (text hash), _source, size, source_size, target, rank, start (where the document begins in its
@@ -105,7 +104,6 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     wanted = cut(targets(piles.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, share, repeats))
     total = wanted.agg(F.sum("target"), F.count(F.lit(1))).first()
     goal, n_sources = total[0] or 0.0, total[1]
-    block = int(max(1, min(block, goal // least_slots)))
     # each source gets its share of slots to within a few; blocks beyond them get slots after these
     slots = int(goal / block * 1.002) + 64 if goal else 0
 
@@ -122,12 +120,14 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     parts = laid.withColumn("last", last).withColumn("r", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("last") - 1) / block))))
     begin = F.greatest("at", F.col("r") * block)
     parts = parts.select("rank", "r", "start", (begin - F.col("at")).alias("first"), (F.least("last", (F.col("r") + 1) * block) - begin).alias("words"))
-    pieces = parts.join(filled(schedule(wanted.select("rank", "target"), block, slots), wanted, block, slots), ["rank", "r"]).select("rank", "start", "slot", "first", "words")
+    planned = filled(schedule(wanted.select("rank", "target"), block, slots), wanted, block, slots)
+    slot = F.coalesce("slot", F.raise_error(F.lit("a block has no slot")).cast("long"))
+    pieces = parts.join(planned, ["rank", "r"], "left").select("rank", "start", slot.alias("slot"), "first", "words")
     return placed, pieces
 
 
 def taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """placed with the words that the mix takes of each document, repeats counted."""
+    """placed with `taken`: the words that the mix takes of each document, repeats counted. Documents without words, or of sources without a target, take 0; a row each, whatever is null; no rows, no rows."""
     sums = pieces.groupBy("rank", "start").agg(F.sum("words").alias("taken"))
     full = placed.where("size > 0").join(sums, ["rank", "start"], "left")
     return full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))).withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
@@ -137,15 +137,18 @@ def mix_documents(docs: DataFrame, source_col: str = "source", id_col: str = "do
     """docs, each row as often as the mix takes its whole text, rounded; rows alike in id, source and text share evenly.
 
     Only documents where a source's target ends are taken in part, so totals differ from the targets by half a document
-    a source at most. Texts without words aren't taken.
+    a source at most. Null texts and such without words aren't taken; null sources are one source, null ids one id. Columns
+    pass through, whatever their names; an empty table gives no rows.
     """
     placed, pieces = mix(docs, source_col, id_col, text_col, **how)
     alike = taken(placed, pieces).groupBy("_id", "_th", "_source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = alike.where("size > 0").select("_id", "_th", "_source", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    key = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source"))
-    return docs.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    i, t, s, n, k = spare(docs, "_id", "_th", "_source", "_copies", "_copy")
+    copies = alike.where("size > 0").select(F.col("_id").alias(i), F.col("_th").alias(t), F.col("_source").alias(s), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)).where(F.col(n) > 0)
+    key = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(t)) & F.col(f"`{source_col}`").eqNullSafe(F.col(s))
+    return docs.join(copies, key).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their size, their source's size and target, and the words that the mix takes. Nulls, ties, repeated rows and empty tables as in mix."""
     placed, pieces = mix(table(spark, sf_dir, "documents"))
     return taken(placed, pieces).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")

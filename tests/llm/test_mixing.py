@@ -87,7 +87,66 @@ def test_small_sources_get_their_targets(spark):
     rows += [(100_000 + 10 * s + i, "w " * 100, f"small{s:02}") for s in range(40) for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     # few slots for the words, as in a corpus of billions of words
-    placed, pieces = mixing.mix(docs, block=2048, least_slots=1)
+    placed, pieces = mixing.mix(docs, block=2048)
     by = {r._source: (r.taken, r.target) for r in mixing.taken(placed, pieces).groupBy("_source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
     assert len(by) == 46 and all(abs(taken - target) <= 1 for taken, target in by.values())
     assert pieces.groupBy("slot").agg(F.count_distinct("rank").alias("n")).where("n > 1").count() == 0
+
+
+def test_against_a_brute_force_mix(spark):
+    """200 sources of one word to a million: targets, streams, schedule and what is taken, each by plain loops."""
+    rng = random.Random(31)
+    rows = []
+    for s in range(200):
+        left = round(10 ** (6 * s / 199))
+        while left > 0:
+            n = min(left, rng.randint(1, max(1, left // rng.randint(1, 12))), 200_000)
+            rows.append((len(rows), n, f"s{s:03}" if s else None))
+            left -= n
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string").select("doc_id", F.expr("repeat('w ', n)").alias("text"), "source").repartition(8)
+    placed, pieces = mixing.mix(docs)
+    out = mixing.taken(placed, pieces).collect()
+    assert len(out) == len(rows)
+    names = sorted({r[2] for r in rows if r[2]}) + [None]
+    sizes = {s: sum(n for _, n, x in rows if x == s) for s in names}
+    target = dict(zip(names, water([sizes[s] for s in names])))
+    streams = defaultdict(list)
+    for r in out:
+        assert r.size == rows[r._id][1] and r.source_size == sizes[r._source] and abs(r.target - target[r._source]) < 1e-6 * max(1, r.target)
+        streams[r._source].append(r)
+    for s, own in streams.items():
+        end, at = round(target[s]), 0
+        for r in sorted(own, key=lambda r: r.start):  # laid end to end
+            assert r.start == at
+            at += r.size
+            assert r.taken == sum(max(0, min(end, lap * sizes[s] + at) - min(end, lap * sizes[s] + r.start)) for lap in range(3))
+        assert sum(r.taken for r in own) == end
+    # the schedule: slot by slot, each source's blocks in order
+    total = sum(target.values())
+    top, tops = 0.0, []
+    for s in names:
+        top += target[s] / total
+        tops.append(top)
+    count, plan = Counter(), {}
+    slots = int(total / mixing.BLOCK * 1.002) + 64
+    for t in range(slots):
+        u = (t + 1) * 11400714819323198485 % 2**64 / 2**64
+        rank = next((i for i, x in enumerate(tops) if u < x and target[names[i]] > 0), len(names) - 1) + 1
+        plan[rank, count[rank]] = t
+        count[rank] += 1
+    used, filled_ = {}, 0
+    for p in pieces.select("rank", "slot", "start", "first", "words").collect():
+        used.setdefault((p.slot, p["rank"]), 0)
+        used[p.slot, p["rank"]] += p.words
+    assert len({s for s, _ in used}) == len(used)  # a slot is one source's
+    of_rank = defaultdict(list)
+    for (slot, rank), words in used.items():
+        of_rank[rank].append((slot, words))
+        assert words <= mixing.BLOCK
+        filled_ += slot >= slots
+    for rank, own in of_rank.items():
+        end = round(target[names[rank - 1]])
+        assert len(own) == -(-end // mixing.BLOCK) and sum(w for _, w in own) == end
+        planned = [plan[rank, r] for r in range(min(count[rank], len(own)))]
+        assert sorted(slot for slot, _ in own if slot < slots) == planned
+    assert filled_ == sum(max(0, len(own) - count[rank]) for rank, own in of_rank.items())
