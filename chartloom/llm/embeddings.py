@@ -2,20 +2,23 @@
 
 Normalised vectors are projected on Gaussian directions; each projection is shifted and quantised to cells of `width`,
 and `cells` quantised projections together name a bucket of one table. On the unit sphere cosine 0.98 is a distance of
-0.2; with width 2 a projection keeps such a pair in one cell with probability 0.92, so 12 projections do with 0.37 and
-at least one of 32 tables does with 1 - 3e-7.
-Unrelated vectors (distance 1.4) share a bucket with 1.7e-4.
+0.2; with width 2 a projection keeps such a pair in one cell with probability 0.92, and unrelated vectors (distance 1.4)
+with 0.49. There are so many projections a table that a vector meets 0.1 unrelated ones of the largest label in it, and so
+many tables that a pair at the least cosine is missed by all with 1e-6: 15 and 41 for a label of 5,000 vectors, 32 and
+191 for one of 10^9, so what is shuffled grows little faster than the vectors.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm.components import components, local_components
-from chartloom.llm.runtime import cut, ship, sized_broadcast, table
+from chartloom.llm.runtime import cut, released, ship, sized_broadcast, table
 
 COSINE = 0.98
 TABLES = 32
@@ -27,6 +30,23 @@ BLOCK = 2_000
 _BATCH = 20_000
 
 
+#: How likely a pair at the least cosine may be missed, and unrelated vectors that one may meet in a table.
+MISS, STRANGERS = 1e-6, 0.1
+
+
+def together(distance: float, width: float) -> float:
+    """How likely one projection keeps points at that distance in one cell."""
+    t = width / distance
+    return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+
+
+def parameters(n: int, least: float = COSINE, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, cells) for a largest label of n vectors; the chance to miss a pair doesn't rest on n."""
+    near, far = together(math.sqrt(2 - 2 * least), width), together(math.sqrt(2), width)
+    cells = max(6, math.ceil(math.log(max(n, 2) / STRANGERS) / -math.log(far)))
+    return math.ceil(math.log(MISS) / math.log1p(-(near**cells))), cells
+
+
 def buckets(vectors: np.ndarray, tables: int = TABLES, cells: int = CELLS, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
     """The bucket of each unit vector in each table, as int32 codes."""
     rng = np.random.default_rng([seed, vectors.shape[1]])
@@ -97,7 +117,7 @@ def _compare(group: pa.Table, least: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(vec[at]), pa.array(h[at]), pa.array(vec[label[at]]), pa.array(h[label[at]]), pa.array(counts[at])], names=["vec_a", "h_a", "vec_b", "h_b", "n"])
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, tables: int = TABLES, cells: int = CELLS, width: float = WIDTH) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, tables: int | None = None, cells: int | None = None, width: float = WIDTH) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row given.
 
     Two rows link if their labels are equal and not null and their vectors' cosine, in double precision, is at least
@@ -105,7 +125,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     with a null label or id, or vectors of different length; such rows have n_links 0 and their own id as component. A
     null id has a null component and is kept. Rows of equal label and vector are one class: it is compared once and its
     rows count in n_links of all that it links to, among themselves too (repeated rows included). Several rows with one
-    id are rows of their own. An empty table gives no rows; columns other than the three named are ignored.
+    id are rows of their own. An empty table gives no rows; columns other than the three named are ignored. Tables and cells
+    that aren't given follow from the counted size of the largest label.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -115,8 +136,13 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     data = data.withColumn("h", F.when(fit, F.xxhash64("label", F.transform("v", lambda x: x + 0.0))))
     classes = cut(data.where("h is not null").groupBy("label", "v", "h").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("rows")))
 
+    if tables is None or cells is None:
+        most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        fit_tables, fit_cells = parameters(most, least, width)
+        tables, cells = tables or fit_tables, cells or fit_cells
+
     def hashed(batches):
-        for batch in batches:
+        for batch in released(batches):
             lengths = np.array([len(x) for x in batch.column("v")], np.int64)
             for n in np.unique(lengths).tolist():
                 part = batch.take(pa.array(np.flatnonzero(lengths == n)))
@@ -138,7 +164,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def compare(batches):
         held, n = [], 0
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -165,4 +191,5 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings with their links, component and whether they stay; nulls, ties, repeated rows and empty tables as in near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

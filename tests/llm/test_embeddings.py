@@ -76,3 +76,31 @@ def test_recall_at_the_limit():
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     met = (embeddings.buckets(a) == embeddings.buckets(0.98 * a + np.sqrt(1 - 0.98**2) * b)).any(1)
     assert met.mean() > 0.9995
+
+
+def test_parameters_keep_recall_at_every_size():
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((3000, 32))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+    for n in (1, 500, 50_000, 10**9):
+        tables, cells = embeddings.parameters(n)
+        assert (embeddings.buckets(a, tables, cells) == embeddings.buckets(near, tables, cells)).any(1).mean() > 0.999
+    assert embeddings.parameters(5000) == (41, 15) and abs(embeddings.together(0.2, 2.0) - 0.9202) < 1e-3
+
+
+@pytest.mark.parametrize("tables,cells", [(60, 20), (20, 6)])
+def test_results_do_not_rest_on_the_parameters(spark, tables, cells):
+    df = spark.createDataFrame(planted(), SCHEMA)
+    key = lambda r: str(tuple(r))
+    assert sorted(embeddings.near_duplicates(df).collect(), key=key) == sorted(embeddings.near_duplicates(df, tables=tables, cells=cells).collect(), key=key)
+
+
+def test_equals_brute_force_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "sized_broadcast", lambda df, rows, most: df)
+    rows = planted()
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in out), key=str) == brute(rows)
