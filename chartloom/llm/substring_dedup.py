@@ -1,55 +1,68 @@
 """Substring dedup: content-defined chunks cut by a gear rolling hash, deduplicated by digest.
 
-The hash at a byte covers the 32 bytes up to it, so cuts move with the text: what is inserted before a passage changes
-its first chunk at most. A cut falls where the hash's top bits are zero: six bits below the normal size, four above,
-none below the least or above the largest size, and never inside a character.
+The hash at a byte covers the 32 bytes up to it. A cut falls where the hash is the least within RADIUS bytes on either
+side, so cuts rest on the text around them alone and move with it: what is inserted before a passage changes its first
+chunk at most. Chunks vary in size, over RADIUS bytes and about twice that on the mean; none is cut inside a character.
+
+The smallest id that has a chunk's digest owns it. A repeated chunk is then extended at either end, byte by byte, by what
+agrees with the text around the owner's, so that a repeated passage counts to its last byte; it's found if it holds one whole
+chunk, which some 150 bytes nearly always do.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import ship, table
+from chartloom.llm.runtime import cut, released, ship, sized_broadcast, table
 
-LEAST, NORMAL, LARGEST = 24, 48, 160
-#: Repeats go only where this many bytes of repeated chunks stand in a row; shorter ones are stock lines and chance.
+RADIUS = 24
+LEAST, LARGEST = RADIUS + 1, 160
+#: Repeats go only where this many bytes of them stand in a row; shorter ones are stock lines and chance.
 MIN_RUN = 120
+#: Bytes on either side of a chunk that are compared. A cut rests on the 56 bytes before it and the 24 after, so the first that
+#: two texts share lies some 80 bytes inside what they share.
+REACH = 160
+#: The places of one digest are compared with their owner in parts of about this many.
+PART = 4_096
+#: Documents that are named by a broadcast; more by a shuffle.
+FEW = 500_000
 _NO_ID = -(1 << 63)
-#: Bytes of an anchor, those that the gear hash covers.
-GRAM = 32
-_BATCH = 1 << 17
-_NONE = (1 << 63) - 1
-_ODD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-BYTES = np.random.default_rng(7_654_321).integers(0, 1 << 64, 256, dtype=np.uint64)
 GEAR = np.random.default_rng(1_234_567).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        h = np.minimum(h[:-step], h[step:])
+        reach += step
+    return h
+
+
 def ends(data: bytes) -> list[int]:
     """Where the chunks of data end; no data, no chunks."""
-    n = len(data)
-    if n <= LEAST:
-        return [n] if n else []
+    n, out, start = len(data), [], 0
     b = np.frombuffer(data, np.uint8)
-    h = GEAR[b]
-    for s in (1, 2, 4, 8, 16):  # sums of 2, 4, ... 32 bytes' gears, each shifted by its age
-        h[s:] += h[:-s] << np.uint32(s)
-    at = np.flatnonzero(h[:-1] < 1 << 28)
-    at = at[(b[at + 1] & 0xC0) != 0x80]
-    out, start = [], 0
-    for end, strict in zip((at + 1).tolist(), (h[at] < 1 << 26).tolist()):
-        while end - start > LARGEST:
-            start = _forced(b, start + LARGEST)
-            out.append(start)
-        size = end - start
-        if size >= NORMAL or size >= LEAST and strict:
-            out.append(end)
-            start = end
+    if n > 2 * RADIUS + 32:
+        h = GEAR[b]
+        for s in (1, 2, 4, 8, 16):  # sums of 2, 4, ... 32 bytes' gears, each shifted by its age
+            h[s:] += h[:-s] << np.uint32(s)
+        h[:-1][(b[1:] & 0xC0) == 0x80] = 0xFFFFFFFF  # never inside a character
+        h = h[31:]  # the hash is whole from there on
+        at = np.flatnonzero(h[RADIUS:-RADIUS] == _least(h, 2 * RADIUS + 1)) + RADIUS + 32
+        at = at[at < n]
+        for end in at[h[at - 32] < 0xFFFFFFFF].tolist():
+            while end - start > LARGEST:
+                start = _forced(b, start + LARGEST)
+                out.append(start)
+            if end - start > RADIUS:  # of equal hashes, which repeating text has, the first
+                out.append(end)
+                start = end
     while n - start > LARGEST:
         start = _forced(b, start + LARGEST)
         out.append(start)
@@ -71,296 +84,222 @@ def chunks(data: bytes) -> tuple[list[int], np.ndarray]:
     return stops, np.frombuffer(b"".join([digest(data[s:e]) for s, e in zip([0, *stops], stops)]), np.int64).reshape(-1, 2)
 
 
-def _runs(flags: list[bool], stops: list[int], least: int):
-    """Byte ranges of flagged chunks in a row of at least `least` bytes."""
-    start = None
-    for flag, s, e in zip(flags, [0, *stops], stops):
-        if flag:
-            start = s if start is None else start
-            last = e
-        elif start is not None:
-            if last - start >= least:
-                yield start, last
-            start = None
-    if start is not None and last - start >= least:
-        yield start, last
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """docs whose texts lack repeated passages, with the columns n_chunks, repeated_bytes, removed_bytes and first_doc_id.
-
-    A chunk repeats if another document id has it; it also repeats where a document has it a second time. Runs of such
-    chunks of at least min_run bytes count as repeated_bytes; of them go (removed_bytes) the runs of chunks that a
-    smaller id has or that stood earlier in the text, so the smallest id keeps each passage. first_doc_id is the smallest id
-    that has a removed chunk (null if none went, or the passage stood in this document alone or in one of null id).
-
-    Null ids come before all. Rows of one id are one place: none loses what the others have. Null texts stay null and
-    empty ones empty. Equal texts all lose theirs but one. An empty table gives no rows. Other columns pass through; those
-    named like the four new ones are replaced. Ids must be integers.
-    """
-    ship(docs.sparkSession)
-    new = ["n_chunks", "repeated_bytes", "removed_bytes", "first_doc_id"]
-    others = [c for c in docs.columns if c not in (text_col, *new)]
-    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
-
-    def emit(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                pairs, ids = [], []
-                for d, text in zip(batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512]):
-                    found = chunks(text.as_py() or b"")[1]
-                    if len(found):
-                        found = found[np.unique(found[:, 0], return_index=True)[1]]
-                        pairs.append(found)
-                        ids.append(np.full(len(found), d))
-                if pairs:
-                    both = np.concatenate(pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(np.concatenate(ids))], names=["a", "b", "d"])
-
-    seen = docs.select(place.alias("d"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(emit, "a long, b long, d long")
-    shared = seen.groupBy("a", "b").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("a", "b", "first")
-    named = seen.join(shared, ["a", "b"]).groupBy("d").agg(F.collect_list(F.struct("a", "first")).alias("_shared")).select(F.col("d").alias("_d"), F.transform("_shared", lambda x: x["a"]).alias("_a"), F.transform("_shared", lambda x: x["first"]).alias("_first"))
-
-    def rewrite(batches):
-        for batch in batches:
-            k = batch.num_columns
-            texts, made = [], []
-            for d, text, a, first in zip(batch.column(k - 4).to_pylist(), batch.column(k - 3), batch.column(k - 2), batch.column(k - 1)):
-                data = text.as_py()
-                stops, found = chunks(data or b"")
-                owner = dict(zip(a.as_py(), first.as_py())) if a.is_valid else {}
-                again, gone, met, firsts = [], [], set(), []
-                for key in found[:, 0].tolist():
-                    first_id = owner.get(key, d)
-                    again.append(key in owner or key in met)
-                    gone.append(first_id < d or key in met)
-                    firsts.append(first_id)
-                    met.add(key)
-                repeated = sum(e - s for s, e in _runs(again, stops, min_run))
-                cut = list(_runs(gone, stops, min_run))
-                if cut:
-                    inside = [f for f, s in zip(firsts, [0, *stops]) if f < d and any(x <= s < y for x, y in cut)]
-                    rest, at = [], 0
-                    for x, y in cut:
-                        rest.append(data[at:x])
-                        at = y
-                    rest.append(data[at:])
-                    data = b"".join(rest)
-                else:
-                    inside = []
-                texts.append(data)
-                made.append((len(stops), repeated, sum(y - x for x, y in cut), None if not inside or min(inside) == _NO_ID else min(inside)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k - 4], pa.array(texts, pa.binary()), *(pa.array([m[i] for m in made], pa.int64()) for i in range(4))], names=[*(f"_o{i}" for i in range(k - 4)), "_text", *new])
-
-    whole = docs.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(others)), place.alias("_place"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    joined = whole.join(named, F.col("_place") == F.col("_d"), "left").drop("_d")
-    kinds = ", ".join([*(f"_o{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)), "_text binary", *(f"{n} long" for n in new)])
-    out = joined.mapInArrow(rewrite, kinds)
-    named_back = {c: F.col(f"_o{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("_text").cast("string").alias(text_col)}
-    return out.select(*(named_back[c] for c in docs.columns if c not in new), *new)
-
+def common_start(x: bytes, y: bytes) -> int:
+    """How many bytes agree from the start on."""
+    n = min(len(x), len(y))
+    differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+    return n - -(-differ.bit_length() // 8)
 
-def anchors(data: bytes, min_run: int = MIN_RUN) -> np.ndarray:
-    """Where anchors of GRAM bytes start: of the grams of any min_run bytes the one of the least gear hash, the last of ties.
-
-    So equal runs of min_run bytes have an anchor in common, whatever is around them.
-    """
-    n = len(data)
-    if n < min_run:
-        return np.zeros(0, np.int64)
-    h = GEAR[np.frombuffer(data, np.uint8)]
-    for s in (1, 2, 4, 8, 16):
-        h[s:] += h[:-s] << np.uint32(s)
-    low = (h[GRAM - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange((1 << 32) - 1, (1 << 32) - 1 - (n - GRAM + 1), -1, dtype=np.uint64)
-    wide, reach = min_run - GRAM + 1, 1
-    while reach < wide:
-        step = min(reach, wide - reach)
-        low = np.minimum(low[:-step], low[step:])
-        reach += step
-    at = ((1 << 32) - 1) - (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.r_[True, at[1:] != at[:-1]]]
-
-
-def _places(data: bytes, min_run: int) -> tuple[list[int], list[int], set[int], list[int]]:
-    """Anchors' starts and keys, the keys met twice, and the starts whose whole surroundings stood at least min_run bytes before (they are in no other list)."""
-    side, n = min_run - GRAM, len(data)
-    at = anchors(data, min_run).tolist()
-    digest = xxhash.xxh3_64_intdigest
-    keys = [digest(data[p : p + GRAM]) - (1 << 63) for p in at]
-    twice = {k for k, c in Counter(keys).items() if c > 1} if len(set(keys)) < len(keys) else set()
-    if not twice:
-        return at, keys, twice, []
-    seen, rest, rest_keys, again = {}, [], [], []
-    for p, key in zip(at, keys):
-        if key in twice and p >= side and p + GRAM + side <= n:
-            if p - seen.setdefault(data[p - side : p + GRAM + side], p) >= min_run:
-                again.append(p)
-                continue
-        rest.append(p)
-        rest_keys.append(key)
-    return rest, rest_keys, twice, again
 
+def common_end(x: bytes, y: bytes) -> int:
+    """How many bytes agree up to the end."""
+    n = min(len(x), len(y))
+    differ = int.from_bytes(x[len(x) - n :], "little") ^ int.from_bytes(y[len(y) - n :], "little")
+    return n - -(-differ.bit_length() // 8)
 
-def _windows(k: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, around: np.ndarray, min_run: int) -> pa.RecordBatch:
-    """(d, t, a0, a1, g0, g1, first) of anchors, sorted by k, d, t, p: what repeats around each (a0 to a1), what goes of it and the least id that has some of that.
 
-    around holds, a column each, the bytes around the anchors; from lo to hi they are the text's. All windows of
-    min_run bytes with the anchor in them are looked up, so they make one range.
-    """
-    n, side = len(k), min_run - GRAM
-    base = pow(_ODD, -1, 1 << 64)
-    top = np.uint64(pow(_ODD, min_run - 1, 1 << 64))
-    h, power = np.zeros(n, np.uint64), 1
-    for i in range(min_run):
-        h += BYTES[around[i]] * np.uint64(power)
-        power = power * _ODD % (1 << 64)
-    of_key = k.view(np.uint64) * np.uint64(_MIX)
-    a0, a1, g0, g1 = (np.full(n, v, np.int64) for v in (1 << 30, -1, 1 << 30, -1))
-    first = np.full(n, _NONE)
-    for x in range(side + 1):
-        if x:
-            h = (h - BYTES[around[x - 1]]) * np.uint64(base) + BYTES[around[x + min_run - 1]] * top
-        rows = np.flatnonzero((lo <= x) & (x + min_run <= hi))
-        if len(rows) < 2:
-            continue
-        key = h[rows] ^ of_key[rows]
-        order = np.argsort(key, kind="stable")
-        rows, key = rows[order], key[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        least, most = d[rows[start]][group], d[rows[np.r_[start[1:], len(rows)] - 1]][group]
-        mine = new | np.r_[True, (d[rows[1:]] != d[rows[:-1]]) | (t[rows[1:]] != t[rows[:-1]])]
-        before = np.maximum.accumulate(np.where(mine, np.arange(len(rows)), 0))
-        own = p[rows] - p[rows[before]] >= min_run
-        again, gone, earlier = rows[(least < most) | own], rows[(least < d[rows]) | own], least < d[rows]
-        a0[again], a1[again] = np.minimum(a0[again], x), x
-        g0[gone], g1[gone] = np.minimum(g0[gone], x), x
-        first[rows[earlier]] = np.minimum(first[rows[earlier]], least[earlier])
-    some = a1 >= 0
-    left = p - side
-    none = g1 < 0
-    return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (d, t, left + a0, left + a1 + min_run, np.where(none, 0, left + g0), np.where(none, 0, left + g1 + min_run), first)], names=["d", "t", "a0", "a1", "g0", "g1", "first"])
-
-
-def _merged(ranges) -> list[list[int]]:
+def _merged(ranges, least: int) -> list[list[int]]:
+    """Ranges put together where they touch, those of at least `least` bytes."""
     out: list[list[int]] = []
     for x, y in sorted(ranges):
         if out and x <= out[-1][1]:
             out[-1][1] = max(out[-1][1], y)
-        elif x < y:
+        else:
             out.append([x, y])
-    return out
+    return [r for r in out if r[1] - r[0] >= least]
+
+
+class _Text:
+    """A text's chunks with what is known of them: owned maps digests to the least id and the number of places."""
+
+    def __init__(self, data: bytes, place: int, owned: dict, cut_: tuple | None = None):
+        self.data, self.place = data, place
+        self.stops, found = cut_ or chunks(data)
+        self.starts = [0, *self.stops[:-1]] if self.stops else []
+        self.keys = [tuple(k) for k in found.tolist()]
+        self.owner = [owned.get(k, (place, 1)) for k in self.keys]
+        first: dict = {}
+        self.before = [first.setdefault(k, i) for i, k in enumerate(self.keys)]  # the chunk's first stand in this text
+        self.gone = [o < place or b < i for i, ((o, _), b) in enumerate(zip(self.owner, self.before))]
+        self.again = [g or k in owned for g, k in zip(self.gone, self.keys)]
+        self.reach: list | None = None  # where the last chunk before, that goes, ends, and the next one starts
+
+    def sides(self, i: int) -> tuple[bytes, bytes]:
+        """Up to REACH bytes on either side of chunk i, as far as no chunk there goes itself."""
+        if self.reach is None:
+            self.reach, at = [], 0
+            for e, g in zip(self.stops, self.gone):
+                self.reach.append(at)
+                at = e if g else at
+            ahead, at = [], len(self.data)
+            for s, g in zip(reversed(self.starts), reversed(self.gone)):
+                ahead.append(at)
+                at = s if g else at
+            self.reach = list(zip(self.reach, reversed(ahead)))
+        s, e, (low, high) = self.starts[i], self.stops[i], self.reach[i]
+        return self.data[max(low, s - REACH) : s], self.data[e : min(high, e + REACH)]
+
+    def rows(self):
+        """(a, b, part, ask, p, left, right): of owned chunks, for each part of their places, what is around them; of others' chunks at the end of a run, what they ask to compare."""
+        for i, ((a, b), (owner, n), before) in enumerate(zip(self.keys, self.owner, self.before)):
+            parts = -(-n // PART)
+            if owner == self.place and n > 1 and before == i:
+                s, e = self.starts[i], self.stops[i]
+                for part in range(parts):
+                    yield a, b, part, False, s, self.data[max(0, s - REACH) : s], self.data[e : e + REACH]
+            elif owner < self.place:
+                left, right = self.sides(i)
+                if left or right:
+                    yield a, b, self.place % parts, True, self.starts[i], left, right
+
+    def ranges(self, found: dict) -> tuple[list, list]:
+        """What repeats, and what goes, given (left, right) bytes by which chunks reach further."""
+        again, gone = [], []
+        for i, (s, e) in enumerate(zip(self.starts, self.stops)):
+            if not self.again[i]:
+                continue
+            left, right = found.get(s, (0, 0))
+            if self.before[i] < i:  # what stood in this text before
+                x, y = self.sides(i)
+                s0, e0 = self.starts[self.before[i]], self.stops[self.before[i]]
+                left = max(left, common_end(x, self.data[max(0, s0 - REACH) : s0]))
+                right = max(right, common_start(y, self.data[e0 : min(e0 + REACH, s)]))
+            again.append((s - left, e + right))
+            if self.gone[i]:
+                gone.append((s - left, e + right))
+        return again, gone
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """Like dedup_substrings, but byte by byte: every run of at least min_run bytes that stands elsewhere too counts, to its last agreeing byte.
+def _place(id_col: str, text_col: str):
+    """A row's id as a long; rows without one come before all, each text of theirs by itself."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`")), 2) + F.lit(_NO_ID))
 
-    A run repeats if another document id has it, or if it stood at least min_run bytes before in the same text; it
-    goes if a smaller id has it or it stood before. Removed ranges shrink to whole characters. min_run is over GRAM.
-    n_chunks is that of the content-defined chunks. Columns, nulls, ids and ties are as in dedup_substrings.
+
+def _owned(column) -> dict:
+    return {(k["a"], k["b"]): (k["first"], k["n"]) for k in column.as_py() or ()}
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """docs whose texts lack repeated passages, with the columns n_chunks, repeated_bytes, removed_bytes and first_doc_id.
+
+    A chunk repeats if another id has its digest, or if it stood earlier in the same text; of these it goes where the id
+    isn't the smallest, or it stood earlier. At the ends of what goes, chunks reach as far as the bytes agree with those around the
+    owner's (the first stand's) chunk; an owner's chunk reaches as far as any such comparison. Runs of repeats of at
+    least min_run bytes count as repeated_bytes, and go (removed_bytes) where they are runs of what goes, less halves of
+    characters. first_doc_id is the smallest id that owns a removed chunk (null if none went, or it stood in this text
+    alone or in a row without id).
+
+    Rows without an id come before all, each text of theirs a place of its own. Rows of one id are one place: none loses
+    what the others have. Of equal texts all but the smallest id's lose all, if they have min_run bytes. Null texts stay null
+    and empty ones empty. An empty table gives no rows. Other columns pass through; those named like the four new ones are
+    replaced. Ids must be integers.
     """
     ship(docs.sparkSession)
     new = ["n_chunks", "repeated_bytes", "removed_bytes", "first_doc_id"]
     others = [c for c in docs.columns if c not in (text_col, *new)]
-    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
-    side = min_run - GRAM
-    width = min_run + side  # an anchor and all that a window with it can hold
+    text = F.col(f"`{text_col}`")
+    whole = docs.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(others)), _place(id_col, text_col).alias("_d"), F.xxhash64(text).alias("_th"), text.cast("binary").alias("_text"))
+
+    # equal texts are one: the smallest id's is looked up, and the others are named
+    rows = docs.select(_place(id_col, text_col).alias("d"), F.xxhash64(text).alias("th"))
+    equal = rows.groupBy("th").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select(F.col("th").alias("t"), "least")
+    copies = cut(rows.join(equal, F.col("th") == F.col("t")).select("d", "th", "least").distinct())
+    n_copies = copies.count()
+    extra = copies.where("d != least").select(F.col("d").alias("_ed"), F.col("th").alias("_et"))
+    body = whole.select("_d", "_th", "_text").join(sized_broadcast(extra, n_copies, FEW), (F.col("_d") == F.col("_ed")) & (F.col("_th") == F.col("_et")), "left_anti")
 
     def emit(batches):
-        for batch in batches:
+        for batch in released(batches):
             for s in range(0, batch.num_rows, 512):
-                keys, texts = [], []
-                for t, text in zip(batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512]):
-                    _, found, twice, _ = _places(text.as_py() or b"", min_run)
-                    found = set(found)
-                    # a key met twice in a text counts as another text's too; no text has the key ~t
-                    keys += [*found, *twice]
-                    texts += [t] * len(found) + [~t] * len(twice)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.int64())], names=["k", "t"])
-
-    whole = docs.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(others)), place.alias("_place"), F.xxhash64(F.col(f"`{text_col}`")).alias("_th"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    # equal texts are one, looked up for the least of their ids
-    classes = whole.groupBy(F.col("_th").alias("_t")).agg(F.min("_place").alias("_least"), F.max("_place").alias("_most"))
-    # both uses of seen, and both of whole below, read one shuffle
-    seen = whole.select("_th", "_text").mapInArrow(emit, "k long, t long").repartition("k")
-    shared = seen.groupBy("k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select(F.col("k").alias("_k"))
-    named = seen.join(shared, F.col("k") == F.col("_k")).groupBy("t").agg(F.collect_set("k").alias("_keys"))
-    named = named.join(classes, F.col("t") == F.col("_t")).select("_t", "_least", "_keys")
+                pairs, ids = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+                for d, t in zip(batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512]):
+                    found = chunks(t.as_py() or b"")[1]
+                    if len(found):
+                        found = found[np.unique(found[:, 0], return_index=True)[1]]
+                        pairs.append(found)
+                        ids.append(np.full(len(found), d))
+                both = np.concatenate(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(np.concatenate(ids))], names=["a", "b", "d"])
+
+    seen = body.select("_d", "_text").mapInArrow(emit, "a long, b long, d long").repartition("a", "b")  # both uses read one shuffle
+    shared = seen.groupBy("a", "b").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select(F.col("a").alias("sa"), F.col("b").alias("sb"), "first", "n")
+    named = seen.join(shared, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb"))).groupBy(F.col("d").alias("_n")).agg(F.collect_set(F.struct("a", "b", "first", "n")).alias("_named"))
 
     def surround(batches):
-        for batch in batches:
+        for batch in released(batches):
             for s in range(0, batch.num_rows, 64):
-                out = [], [], [], [], [], [], []
-                for d, t, text, _, least, wanted in zip(*(batch.column(i)[s : s + 64] for i in range(len(others), len(others) + 6))):
-                    if d != least:
-                        continue
-                    data, wanted = text.as_py() or b"", set(wanted.as_py())
-                    n = len(data)
-                    for p, key in zip(*_places(data, min_run)[:2]):
-                        if key in wanted:
-                            lo, hi = max(0, side - p), min(width, n - p + side)
-                            body = bytes(lo) + data[max(0, p - side) : p + GRAM + side] + bytes(width - hi)
-                            for column, v in zip(out, (key, d.as_py(), t.as_py(), p, lo, hi, body)):
-                                column.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.int32()) for c in out[4:6]), pa.array(out[6], pa.binary())], names=["k", "d", "t", "p", "lo", "hi", "body"])
-
-    def look(batches):
-        def done(table):
-            columns = [table.column(i).to_numpy() for i in range(6)]
-            body = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, width)
-            return _windows(*columns, np.ascontiguousarray(body.T), min_run)
-
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            k = batch.column(0).to_numpy()
-            if rows >= _BATCH and held[0].column(0)[0].as_py() != k[-1]:
-                whole = pa.Table.from_batches(held)
-                end = int(np.searchsorted(whole.column(0).to_numpy(), k[-1]))  # the last key may go on
-                yield done(whole.slice(0, end))
-                held, rows = whole.slice(end).combine_chunks().to_batches(), len(whole) - end
-        if held:
-            yield done(pa.Table.from_batches(held))
-
-    around = whole.join(named, F.col("_th") == F.col("_t")).mapInArrow(surround, "k long, d long, t long, p long, lo int, hi int, body binary")
-    found = around.repartition("k").sortWithinPartitions("k", "d", "t", "p").mapInArrow(look, "d long, t long, a0 long, a1 long, g0 long, g1 long, first long")
-    found = found.groupBy("t").agg(F.collect_set(F.struct("a0", "a1", "g0", "g1", "first")).alias("_found"))
-    known = classes.join(found, F.col("_t") == F.col("t"), "left").select("_t", "_least", "_most", "_found")
+                out = [], [], [], [], [], [], [], [], []
+                for d, th, t, known in zip(*(batch.column(i)[s : s + 64] for i in range(4))):
+                    for a, b, part, ask, p, left, right in _Text(t.as_py() or b"", d.as_py(), _owned(known)).rows():
+                        for column, v in zip(out, (a, b, part, ask, d.as_py(), th.as_py(), p, left, right)):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.bool_()), *(pa.array(c, pa.int64()) for c in out[4:7]), *(pa.array(c, pa.binary()) for c in out[7:])], names=["a", "b", "part", "ask", "d", "th", "p", "l", "r"])
+
+    def compare(batches):
+        key, own, reach = None, None, [0, 0]
+        for batch in released(batches):
+            out = []
+            for a, b, part, ask, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, b, part) != key:
+                    if own is not None and any(reach):
+                        out.append((*own[:3], *reach))
+                    key, own, reach = (a, b, part), None, [0, 0]
+                if not ask:
+                    own = own or row  # rows alike in id and text are the same
+                elif own is not None:
+                    left, right = common_end(row[3], own[3]), common_start(row[4], own[4])
+                    reach = [max(reach[0], left), max(reach[1], right)]
+                    if left or right:
+                        out.append((*row[:3], left, right))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], names=["d", "th", "p", "l", "r"])
+        last = [(*own[:3], *reach)] if own is not None and any(reach) else []
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in last], pa.int64()) for i in range(5)], names=["d", "th", "p", "l", "r"])
+
+    around = whole.join(named, F.col("_d") == F.col("_n")).select("_d", "_th", "_text", "_named").mapInArrow(surround, "a long, b long, part long, ask boolean, d long, th long, p long, l binary, r binary")
+    found = around.repartition("a", "b", "part").sortWithinPartitions("a", "b", "part", "ask").mapInArrow(compare, "d long, th long, p long, l long, r long")
+    found = found.groupBy(F.col("d").alias("_f")).agg(F.collect_set(F.struct("th", "p", "l", "r")).alias("_found"))
+    alike = copies.groupBy(F.col("d").alias("_c")).agg(F.collect_set(F.struct("th", "least")).alias("_copies"))
+    known = named.join(found, F.col("_n") == F.col("_f"), "left").join(alike, F.col("_n") == F.col("_c"), "full").select(F.coalesce("_n", "_c").alias("_k"), "_named", "_found", "_copies")
 
     def rewrite(batches):
-        for batch in batches:
-            k = len(others)
-            texts, made = [], []
-            for d, text, least, most, got in zip(batch.column(k).to_pylist(), batch.column(k + 2), batch.column(k + 4).to_pylist(), batch.column(k + 5).to_pylist(), batch.column(k + 6)):
-                data, got = text.as_py(), got.as_py() or []
-                again = [(p - side, p + GRAM + side) for p in _places(data or b"", min_run)[3]]
-                gone = again + [(g["g0"], g["g1"]) for g in got]
-                again += [(g["a0"], g["a1"]) for g in got]
-                firsts = [g["first"] for g in got if g["first"] != _NONE]
-                if data and len(data) >= min_run and least < most:
+        for batch in released(batches):
+            k, texts, made = len(others), [], []
+            for d, th, t, named_, found_, copies_ in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), *(batch.column(k + i) for i in range(2, 6))):
+                data = t.as_py()
+                least = next((c["least"] for c in copies_.as_py() or () if c["th"] == th), None)
+                mine: dict = {}
+                for f in found_.as_py() or ():
+                    if f["th"] == th:
+                        x, y = mine.get(f["p"], (0, 0))
+                        mine[f["p"]] = max(x, f["l"]), max(y, f["r"])
+                stops, digests = chunks(data or b"")
+                if not named_.is_valid and least is None and len(set(digests[:, 0].tolist())) == len(stops):  # nothing repeats
+                    texts.append(data)
+                    made.append((len(stops), 0, 0, None))
+                    continue
+                of = _Text(data or b"", d, _owned(named_), (stops, digests))
+                again, gone = of.ranges(mine)
+                if data and least is not None and len(data) >= min_run:
                     again = [(0, len(data))]
                     if least < d:
-                        gone, firsts = again, [*firsts, least]
-                repeated = _merged(again)
+                        gone = again
                 cuts = []
-                for x, y in _merged(gone):
+                for x, y in _merged(gone, min_run):
                     while x < y and data[x] & 0xC0 == 0x80:
                         x += 1
                     while x < y < len(data) and data[y] & 0xC0 == 0x80:
                         y -= 1
                     cuts.append((x, y))
-                n_chunks = len(ends(data or b""))
+                owners = [o for (o, _), s in zip(of.owner, of.starts) if o < d and any(x <= s < y for x, y in cuts)] if cuts else []
+                if cuts and least is not None and least < d:
+                    owners.append(least)
                 if cuts:
                     data = b"".join(data[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(data)]))
                 texts.append(data)
-                made.append((n_chunks, sum(y - x for x, y in repeated), sum(y - x for x, y in cuts), None if not firsts or min(firsts) == _NO_ID else min(firsts)))
+                made.append((len(stops), sum(y - x for x, y in _merged(again, min_run)), sum(y - x for x, y in cuts), None if not owners or min(owners) < _NO_ID >> 1 else min(owners)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.binary()), *(pa.array([m[i] for m in made], pa.int64()) for i in range(4))], names=[*(f"_o{i}" for i in range(k)), "_text", *new])
 
-    joined = whole.join(known, F.col("_th") == F.col("_t"))
+    joined = whole.join(known, F.col("_d") == F.col("_k"), "left").drop("_k")
     kinds = ", ".join([*(f"_o{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)), "_text binary", *(f"{n} long" for n in new)])
     out = joined.mapInArrow(rewrite, kinds)
     named_back = {c: F.col(f"_o{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("_text").cast("string").alias(text_col)}
@@ -368,4 +307,5 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents without their repeated passages, with what was found; nulls, empty and long texts, ties, repeated rows and empty tables as in dedup_substrings."""
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
