@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import cut, sized_broadcast, table
+from chartloom.llm.runtime import cut, sized_broadcast, spare, table
 
 #: Shorter lines (in characters, normalised) match exactly only: one edit would change too much of them.
 MIN_CHARS = 20
@@ -35,13 +35,18 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(" \t\x0b\x0c\r"))
 
 
+def _place(docs_id: str, text: str) -> Column:
+    """A row's id as a long; rows without one come before all, by a hash of their text, so that they aren't one place."""
+    return F.coalesce(F.col(f"`{docs_id}`").cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2) + F.lit(_NO_ID))
+
+
 def _hashes(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, i, x, h, g): document id (null: the least long), line number, normalised line with a word, two hashes of it."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.posexplode(F.split(text_col, "\n")).alias("i", "x")).withColumn("x", normalised(F.col("x"))).where("x != ''")
+    """(d, i, x, h, g): place, line number, normalised line with a word, two hashes of it."""
+    rows = docs.select(_place(id_col, text_col).alias("d"), F.posexplode(F.split(text_col, "\n")).alias("i", "x")).withColumn("x", normalised(F.col("x"))).where("x != ''")
     h, g = _hashes(F.col("x"))
     return rows.withColumns({"h": h, "g": g})
 
@@ -123,20 +128,22 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the column _removed: the numbers (from 0, ascending) of the lines that copy an earlier line.
 
     Lines split at \\n and compare normalised. Of equal lines the one in the document of the smallest id stays (null
-    before all), the first of them there; of different lines within one edit those go of which another is earlier, by
-    document id and line number, whether or not that one stays itself. Lines without a word are never copies. Null and empty
-    texts have no lines to remove. Rows of one id are one place: each keeps what that id keeps. An empty table gives no
-    rows; other columns pass through. Ids must be integers.
+    before all, by a hash of the text), the first of them there; of different lines within one edit those go of which
+    another is earlier, by document id and line number, whether or not that one stays itself. Lines of fewer than min_chars
+    characters are copies only of equal lines. Lines without a word are never copies. Null and empty texts have no lines to
+    remove. Rows of one id are one place, and so are those of no id and equal text: each keeps what that place keeps. An
+    empty table gives no rows; other columns pass through. Ids must be integers.
     """
-    kept = kept_lines(docs, id_col, text_col, min_chars).withColumnsRenamed({"d": "_d", "kept": "_kept"})
-    said = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(F.when(normalised(x) != "", F.xxhash64(normalised(x))).alias("h"), i.alias("i"))), lambda s: s["h"].isNotNull())
+    place, kept, said, both_ = spare(docs, "_d", "_kept", "_said", "_both")
+    of = kept_lines(docs, id_col, text_col, min_chars).withColumnsRenamed({"d": place, "kept": kept})
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(F.when(normalised(x) != "", F.xxhash64(normalised(x))).alias("h"), i.alias("i"))), lambda s: s["h"].isNotNull())
     # a kept hash, numbered -1, sorts right before the line that stays
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    out = docs.withColumn("_said", F.coalesce(said, none)).join(kept, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("_d"), "left")
-    both = F.sort_array(F.concat("_said", F.coalesce(F.transform("_kept", lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"))), none)))
-    out = out.withColumn("_both", both)
+    out = docs.withColumn(said, F.coalesce(lines, none)).join(of, _place(id_col, text_col) == F.col(place), "left")
+    both = F.sort_array(F.concat(said, F.coalesce(F.transform(kept, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"))), none)))
+    out = out.withColumn(both_, both)
     stays = lambda a, b: (b["i"] < 0) & (a["h"] == b["h"])
-    gone = F.zip_with("_both", F.slice(F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), "_both"), 1, F.size("_both")), lambda a, b: F.when((a["i"] >= 0) & ~F.coalesce(stays(a, b), F.lit(False)), a["i"]))
+    gone = F.zip_with(both_, F.slice(F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), both_), 1, F.size(both_)), lambda a, b: F.when((a["i"] >= 0) & ~F.coalesce(stays(a, b), F.lit(False)), a["i"]))
     removed = F.sort_array(F.filter(gone, lambda i: i.isNotNull()))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "_removed"), removed.alias("_removed"))
 
@@ -152,6 +159,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with how many lines they have, and how many and which of them copy an earlier one; nulls, ties, repeated rows and empty tables as in mark_lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     return mark_lines(docs.withColumn("n_lines", lines.cast("long"))).select("doc_id", "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from chartloom.llm.runtime import table
 
 ROUNDS = 8
+#: Where a deployment sets its own key; without one the pseudonyms are no secret.
+KEY_SETTING = "spark.chartloom.pseudonym.key"
 KEY = "a key of the deployment's own"
 
 # The forms, as Java patterns.
@@ -163,5 +165,6 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, invers
     return a.select(*(F.col("_text" if c == text_col else o).alias(c) for o, c in zip(olds, others)), *counts)
 
 
-def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    """All documents with pseudonyms for personal values, under the given key or the session's setting KEY_SETTING; nulls, repeated rows and empty tables as in pseudonymise."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key or spark.conf.get(KEY_SETTING, KEY))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import ship, table
+from chartloom.llm.runtime import released, ship, table
 
 #: The most labelled rows that the model is fitted on; the smallest hashes of their ids are taken.
 TRAIN_ROWS = 6_000
@@ -182,7 +182,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         own = Features(slots)
-        for batch in batches:
+        for batch in released(batches):
             out = np.empty(batch.num_rows)
             for s in range(0, batch.num_rows, 256):
                 made = [own.of(t.as_py()) for t in batch.column(2)[s : s + 256]]
@@ -195,5 +195,10 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt from labels outside the held-out fold.
+
+    Null and empty texts have a score too; a null id counts as empty text in the fold's checksum and is never learnt from;
+    repeated rows score alike; an empty table gives no rows; columns other than id and text are no input.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

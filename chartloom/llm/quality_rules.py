@@ -85,7 +85,11 @@ def rules(docs: DataFrame, text_col: str = "text", clean_col: str = "_clean", pr
 
 
 def clean(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """The documents that pass, without their failing lines; n_chars, if there, is counted anew."""
+    """The documents that pass, without their failing lines; n_chars, if there, is counted anew.
+
+    Null, empty and blank texts have under the least words and go. Rows are judged one by one: repeated ones and null ids
+    change nothing. Columns pass through in their order, whatever their names (but for _q_*); an empty table gives no rows.
+    """
     out = rules(docs, text_col, "_q_clean", "_q_", **limits)
     # a filter would be pushed below and work the rules out again; a generator isn't
     out = out.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.explode(F.when(F.col("_q_kept"), F.array("_q_clean"))).alias(text_col))
@@ -95,6 +99,7 @@ def clean(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their figures and verdicts; nulls, empty texts, repeated rows and empty tables as in rules."""
     return rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -53,3 +53,19 @@ def test_rows_of_one_id_with_other_texts(spark):
     docs = spark.createDataFrame([(1, "q"), (5, "x\nx\nq"), (5, "y\nz"), (6, None), (7, "")], "doc_id long, text string")
     got = {r.text: r._removed for r in line_dedup.mark_lines(docs).collect()}
     assert got == {"q": [], "x\nx\nq": [1, 2], "y\nz": [], None: [], "": []}
+
+
+def test_rows_without_id_are_places_of_their_own(spark):
+    docs = spark.createDataFrame([(None, f"own line {i}\na stock line that all have") for i in range(300)] + [(None, "own line 7\na stock line that all have"), (1, "a stock line that all havE!")], "doc_id long, text string")
+    out = [(r.text, r._removed) for r in line_dedup.mark_lines(docs).collect()]
+    keep = {t for t, gone in out if gone == []}
+    assert len(keep) == 1 and all(gone == [1] for t, gone in out if t not in keep and t.startswith("own")) and ("a stock line that all havE!", [0]) in out
+
+
+def test_far_side_of_the_switch_gives_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdef ") for _ in range(40)) for _ in range(30)]
+    docs = spark.createDataFrame([(n, "\n".join(x[:k] + "q" + x[k + 1 :] for x, k in ((rng.choice(lines), rng.randrange(40)) for _ in range(6)))) for n in range(80)], "doc_id long, text string")
+    near = sorted(map(str, line_dedup.mark_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "_FEW", 0)
+    assert sorted(map(str, line_dedup.mark_lines(docs).collect())) == near

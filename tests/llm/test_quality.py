@@ -82,3 +82,45 @@ def test_held_out_accuracy(spark):
     none = labels.limit(0)
     assert quality_model.score(docs, quality_model.train(docs, none)).count() == len(rows)
     assert quality_model.score(docs.limit(0), quality_model.Machine()).count() == 0
+
+
+def plain_features(text, slots):
+    """The features of a text, as a dictionary, by their description alone."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars = max(1, len(words)), max(1, len(text))
+    lines = [x for x in text.split("\n") if re.search(r"[^ \t\x0b\x0c\r]", x)]
+    letters = sum(c.isalpha() for c in text)
+    times = {}
+    for w in words:
+        times[w] = times.get(w, 0) + 1
+    some = lambda chars_: sum(c in chars_ for c in text)
+    figures = [len(times) / n, max(times.values(), default=0) / n, sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n, letters / chars, sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text) / max(1, letters), some("#*$%&<>^~=_{}[]\\|@") / n, some("|") / n, some("!") / n, some("0123456789") / chars, some(".,;:") / n, sum(x.rstrip()[-1] in '.!?…"' for x in lines) / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum(len(w.encode()) for w in words) / n / 10, n / max(1, len(lines)) / 100]
+    out = {i: min(x, 2.0) for i, x in enumerate(figures)}
+    cuts = [2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]
+    out |= {14 + i: float(i == sum(c < len(words) for c in cuts)) for i in range(11)}
+    hashed = {}
+    for w, k in times.items():
+        at = 25 + zlib.crc32(w.encode().lower()) % slots
+        hashed[at] = hashed.get(at, 0) + k
+    length = sum(hashed.values()) ** 0.5
+    return out | {at: k**0.5 / length for at, k in hashed.items()}
+
+
+def test_scores_against_plain_python(spark):
+    """Features by plain loops, and the pair sum term by term rather than by the identity."""
+    rows = [(i, t, "e", 1) for i, t in enumerate(texts()) if t is None or len(t) < 2000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out int")
+    labels = spark.createDataFrame([(i, int(len(t or "") % 3 > 0)) for i, t, *_ in rows], "doc_id long, quality int")
+    machine = quality_model.train(docs, labels, slots=64)
+    out = {r.doc_id: r for r in quality_model.score(docs, machine).collect()}
+    for i, t, *_ in rows:
+        x = {k: v for k, v in plain_features(t, 64).items() if v}
+        raw = machine.bias[0] + sum(machine.weight[k] * v for k, v in x.items())
+        keys = sorted(x)
+        raw += sum(float(machine.factor[a] @ machine.factor[b]) * x[a] * x[b] for n, a in enumerate(keys) for b in keys[n + 1 :])
+        assert abs(out[i].score - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9
+    # held-out labels and other columns change nothing
+    other = labels.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality_model.train(docs.withColumn("lang", F.lit("zz")), other, slots=64)
+    assert np.array_equal(again.factor, machine.factor) and np.array_equal(again.weight, machine.weight)
