@@ -25,7 +25,7 @@ def prakriti(answers: DataFrame, session: list[str], items: tuple = ITEMS) -> Da
 def missing_parameters(sessions: DataFrame, answers: DataFrame, parameters: DataFrame, session: list[str]) -> DataFrame:
     """(session, missing, n_missing, complete) for parameters (parameter, ord, capture_mode, question_id or null): those that patients report and that have no question or no answer. Others never count."""
     want = parameters.where("capture_mode = 'patient_reported'")
-    every = sessions.crossJoin(F.broadcast(want))  # a dimension of about ten rows
+    every = sessions.crossJoin(want)
     absent = every.join(answers.select(*session, "question_id").distinct(), [*session, "question_id"], "left_anti")
     per = absent.groupBy(*session).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "parameter"))), lambda x: x["parameter"]).alias("missing"))
     out = sessions.join(per, session, "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))

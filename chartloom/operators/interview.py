@@ -135,7 +135,7 @@ def plausibility(answers: DataFrame, evidence: DataFrame, conditions: DataFrame,
     """
     given = answers.select(*session, "question_id", F.explode(F.array_distinct(F.coalesce("multi", F.array("value")))).alias("value"))
     sums = given.join(evidence, ["question_id", "value"]).groupBy(*session, "condition_id").agg(F.sum("signed_weight").alias("_sum"))
-    every = answers.select(*session).distinct().crossJoin(F.broadcast(conditions.select("condition_id")))  # the condition map is a dimension of tens of rows
+    every = answers.select(*session).distinct().crossJoin(conditions.select("condition_id"))  # a row for each is what's asked for; Spark broadcasts the map where its size allows
     return every.join(sums, [*session, "condition_id"], "left").select(*session, "condition_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_sum", F.lit(0.0)))).alias("plausibility"))
 
 
@@ -180,7 +180,7 @@ def sequence(questions: DataFrame, answers: DataFrame, session: list[str], secti
     eligible = state.select(*session, "state", F.explode(F.array_compact(F.array(*terms))).alias("section_id"))
     asked = questions.where(F.col("capture_mode") == ASKABLE)
     targets = asked.where("follow_up is not null").select(F.col("follow_up").alias("question_id")).distinct()
-    heads = eligible.join(F.broadcast(asked.join(targets, "question_id", "left_anti")), "section_id")
+    heads = eligible.join(asked.join(targets, "question_id", "left_anti"), "section_id")
     base = heads.select(*session, "state", "question_id", F.struct("section_order", "section_no", "item_order", F.lit(0).alias("sub")).alias("place"), "follow_up")
     after = base.where(F.col("follow_up").isNotNull() & (F.try_element_at("state", F.col("question_id")) == "yes")).select(*session, "state", F.col("follow_up").alias("question_id"), F.struct("place.section_order", "place.section_no", "place.item_order", F.lit(1).alias("sub")).alias("place"), F.lit(None).cast("string").alias("follow_up"))
     every = base.unionByName(after).groupBy(*session, "question_id").agg(F.min("place").alias("place"), F.first("state").alias("state"))

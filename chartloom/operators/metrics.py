@@ -55,28 +55,21 @@ def found_in(rows: DataFrame, name_col: str, text_col: str, least: float = MATCH
     return easy.unionByName(hard.withColumn("fuzzy", F.coalesce(window_ratio(a, b) >= least, F.lit(False))))
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    used_a: set = set()
-    used_b: set = set()
-    out = []
-    for r in group.sort_values(["score", "a_no", "b_no"], ascending=[False, True, True], kind="stable").itertuples():
-        if r.a_no not in used_a and r.b_no not in used_b:
-            used_a.add(r.a_no)
-            used_b.add(r.b_no)
-            out.append((r.document_id, r.a_no, r.b_no, r.score))
-    return pd.DataFrame(out, columns=["document_id", "a_no", "b_no", "score"])
-
-
 def one_to_one(expected: DataFrame, extracted: DataFrame, least: float = MATCH) -> DataFrame:
-    """(document_id, a_no, b_no, score): pairs of a document's expected (a_no, a) and extracted (b_no, b) names, best first, each used once."""
+    """(document_id, a_no, b_no, score): pairs of a document's expected (a_no, a) and extracted (b_no, b) names, best first, each used once.
+
+    What one document names bounds its list of pairs; a pair is taken if neither side was taken before.
+    """
     pairs = expected.join(extracted, "document_id").withColumn("score", window_ratio(alnum_key(F.col("a")), alnum_key(F.col("b")))).where(F.col("score") >= least)
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select("document_id", "a_no", "b_no", "score").groupBy("document_id").applyInPandas(_greedy, f"document_id {kind['document_id']}, a_no {kind['a_no']}, b_no {kind['b_no']}, score double")
+    per = pairs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "a_no", "b_no"))).alias("p"))
+    taken = lambda done, x: F.exists(done, lambda y: (y["a_no"] == x["a_no"]) | (y["b_no"] == x["b_no"]))
+    best = F.aggregate("p", F.slice("p", 1, 0), lambda done, x: F.when(taken(done, x), done).otherwise(F.concat(done, F.array(x))))
+    return per.select("document_id", F.explode(best).alias("m")).select("document_id", "m.a_no", "m.b_no", (-F.col("m.s")).alias("score"))
 
 
 def shortlist(terms: DataFrame, names: DataFrame, n: int = SHORTLIST) -> DataFrame:
     """(term, name, score, rank_no): for each distinct term the n most alike names; names is a dimension."""
-    pairs = terms.select("term").distinct().crossJoin(F.broadcast(names.select("name").distinct())).withColumn("score", ratio(F.lower("term"), F.lower("name")))
+    pairs = terms.select("term").distinct().crossJoin(names.select("name").distinct()).withColumn("score", ratio(F.lower("term"), F.lower("name")))
     return pairs.withColumn("rank_no", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "name"))).where(F.col("rank_no") <= n)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,10 +53,13 @@ def newest_first(entries: DataFrame, session: list[str]) -> DataFrame:
     return entries.withColumn("line_no", F.row_number().over(Window.partitionBy(*session).orderBy(F.desc("pos"), "entity_no")))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
+_NAMES = ("session", "kind", "date", "seq", "document_id", "title", "facility", "confidence")
+
+
+def _fold(group: list[dict]) -> list[dict]:
     """Entries in order against those kept so far; the first duplicate found absorbs the entry."""
     kept: list[dict] = []
-    for row in group.sort_values("seq", kind="stable").to_dict("records"):
+    for row in group:
         keys = {k: i for i, k in enumerate(row["keys"] if row["keys"] is not None else [])}
         doses = {d["drug"]: tuple(d["doses"]) for d in (row["doses"] if row["doses"] is not None else [])}
         for old in kept:
@@ -75,8 +80,24 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
             old.update(main, k=merged, ids=list(ids), d=drugs)
             break
         else:
-            kept.append({**{k: row[k] for k in ("session", "kind", "date", "seq", "document_id", "title", "facility", "confidence")}, "k": keys, "d": doses, "ids": [row["document_id"]]})
-    return pd.DataFrame([{**{c: o[c] for c in ("session", "kind", "date", "seq", "document_id", "title", "facility", "confidence")}, "duplicate_of": [i for i in o["ids"] if i != o["document_id"]], "keys": list(o["k"])} for o in kept])
+            kept.append({**{k: row[k] for k in _NAMES}, "k": keys, "d": doses, "ids": [row["document_id"]]})
+    return [{**{c: o[c] for c in _NAMES}, "duplicate_of": [i for i in o["ids"] if i != o["document_id"]], "keys": list(o["k"])} for o in kept]
+
+
+def _fold_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Folds each run of rows of one session, kind and date; a run is held, a partition isn't."""
+    columns = [*_NAMES, "duplicate_of", "keys"]
+    run, of, out = [], None, []
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            key = row["session"], row["kind"], row["date"]
+            if key != of:
+                out += _fold(run)
+                run, of = [], key
+            run.append(row)
+        yield pd.DataFrame(out, columns=columns)
+        out = []
+    yield pd.DataFrame(_fold(run), columns=columns)
 
 
 def fold_duplicates(entries: DataFrame) -> DataFrame:
@@ -90,9 +111,10 @@ def fold_duplicates(entries: DataFrame) -> DataFrame:
     counted = entries.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("session", "kind", "date")))
     alone = (F.col("_n") == 1) | F.col("date").isNull()
     types = {f.name: f.dataType.simpleString() for f in entries.schema}
-    names = ("session", "kind", "date", "seq", "document_id", "title", "facility", "confidence")
+    names = _NAMES
     ids = f"array<{types['document_id']}>"
-    folded = counted.where(~alone).drop("_n").groupBy("session", "kind", "date").applyInPandas(_fold, ", ".join(f"{n} {types[n]}" for n in names) + f", duplicate_of {ids}, keys array<string>")
+    by = ["session", "kind", "date"]
+    folded = counted.where(~alone).drop("_n").repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(_fold_sorted, ", ".join(f"{n} {types[n]}" for n in names) + f", duplicate_of {ids}, keys array<string>")
     single = counted.where(alone).select(*names, F.array().cast(ids).alias("duplicate_of"), "keys")
     return single.unionByName(folded)
 

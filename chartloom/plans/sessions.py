@@ -272,7 +272,7 @@ def ranked_questions(spark, sf_dir):
     answers, evidence, must, conditions, plaus = _plausibility(spark, sf_dir)
     live = plaus.where("plausibility > 0").join(conditions.select("condition_id", "ord"), "condition_id")
     asked = spark.createDataFrame(list(enumerate(_names(spark, sf_dir))), "q_ord int, question_id string")
-    candidates = answers.select("session_id").distinct().crossJoin(F.broadcast(asked))
+    candidates = answers.select("session_id").distinct().crossJoin(asked)
     scored = interview.question_scores(live, candidates.select("session_id", "question_id"), evidence, must, ["session_id"]).withColumn("score", F.round("score", 9))
     out = interview.rank_questions(scored.join(asked, "question_id"), live, must, conditions, ["session_id"])
     return out.select("session_id", "question_id", F.round("score", 6).alias("score"), F.col("rank_no").cast("long").alias("rank_no"))
