@@ -202,8 +202,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # equal texts are one: the smallest id's is looked up, and the others are named
     rows = docs.select(_place(id_col, text_col).alias("d"), F.xxhash64(text).alias("th"))
-    equal = rows.groupBy("th").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select(F.col("th").alias("t"), "least")
-    copies = cut(rows.join(equal, F.col("th") == F.col("t")).select("d", "th", "least").distinct())
+    equal = cut(rows.groupBy("th").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select(F.col("th").alias("t"), "least"))
+    copies = cut(rows.join(sized_broadcast(equal, equal.count(), FEW), F.col("th") == F.col("t")).select("d", "th", "least").distinct())
     n_copies = copies.count()
     extra = copies.where("d != least").select(F.col("d").alias("_ed"), F.col("th").alias("_et"))
     body = whole.select("_d", "_th", "_text").join(sized_broadcast(extra, n_copies, FEW), (F.col("_d") == F.col("_ed")) & (F.col("_th") == F.col("_et")), "left_anti")
@@ -221,7 +221,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 both = np.concatenate(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(np.concatenate(ids))], names=["a", "b", "d"])
 
-    seen = body.select("_d", "_text").mapInArrow(emit, "a long, b long, d long").repartition("a", "b")  # both uses read one shuffle
+    seen = body.select("_d", "_text").mapInArrow(emit, "a long, b long, d long").where("a is not null and b is not null and d is not null").repartition("a", "b")  # all uses read one shuffle; without the filter, which says nothing, joins would put one before their own
     shared = seen.groupBy("a", "b").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select(F.col("a").alias("sa"), F.col("b").alias("sb"), "first", "n")
     named = seen.join(shared, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb"))).groupBy(F.col("d").alias("_n")).agg(F.collect_set(F.struct("a", "b", "first", "n")).alias("_named"))
 
@@ -229,7 +229,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in released(batches):
             for s in range(0, batch.num_rows, 64):
                 out = [], [], [], [], [], [], [], [], []
-                for d, th, t, known in zip(*(batch.column(i)[s : s + 64] for i in range(4))):
+                for d, th, t, known in zip(*(batch.column(i)[s : s + 64] for i in range(len(others), len(others) + 4))):
                     for a, b, part, ask, p, left, right in _Text(t.as_py() or b"", d.as_py(), _owned(known)).rows():
                         for column, v in zip(out, (a, b, part, ask, d.as_py(), th.as_py(), p, left, right)):
                             column.append(v)
@@ -255,7 +255,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         last = [(*own[:3], *reach)] if own is not None and any(reach) else []
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in last], pa.int64()) for i in range(5)], names=["d", "th", "p", "l", "r"])
 
-    around = whole.join(named, F.col("_d") == F.col("_n")).select("_d", "_th", "_text", "_named").mapInArrow(surround, "a long, b long, part long, ask boolean, d long, th long, p long, l binary, r binary")
+    # with all columns, though it needs three, so that it reads the same shuffle of texts as the rewriting below
+    around = whole.join(named, F.col("_d") == F.col("_n")).drop("_n").mapInArrow(surround, "a long, b long, part long, ask boolean, d long, th long, p long, l binary, r binary")
     found = around.repartition("a", "b", "part").sortWithinPartitions("a", "b", "part", "ask").mapInArrow(compare, "d long, th long, p long, l long, r long")
     found = found.groupBy(F.col("d").alias("_f")).agg(F.collect_set(F.struct("th", "p", "l", "r")).alias("_found"))
     alike = copies.groupBy(F.col("d").alias("_c")).agg(F.collect_set(F.struct("th", "least")).alias("_copies"))
