@@ -134,12 +134,13 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remove. Rows of one id are one place, and so are those of no id and equal text: each keeps what that place keeps. An
     empty table gives no rows; other columns pass through. Ids must be integers.
     """
-    place, kept, said, both_ = spare(docs, "_d", "_kept", "_said", "_both")
+    place, kept, said, both_, own = spare(docs, "_d", "_kept", "_said", "_both", "_own")
     of = kept_lines(docs, id_col, text_col, min_chars).withColumnsRenamed({"d": place, "kept": kept})
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(F.when(normalised(x) != "", F.xxhash64(normalised(x))).alias("h"), i.alias("i"))), lambda s: s["h"].isNotNull())
     # a kept hash, numbered -1, sorts right before the line that stays
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    out = docs.withColumn(said, F.coalesce(lines, none)).join(of, _place(id_col, text_col) == F.col(place), "left")
+    # the place is a column before the join, so that a text that nobody wants isn't shuffled for it
+    out = docs.withColumns({said: F.coalesce(lines, none), own: _place(id_col, text_col)}).join(of, F.col(own) == F.col(place), "left")
     both = F.sort_array(F.concat(said, F.coalesce(F.transform(kept, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"))), none)))
     out = out.withColumn(both_, both)
     stays = lambda a, b: (b["i"] < 0) & (a["h"] == b["h"])
