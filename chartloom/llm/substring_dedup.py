@@ -27,7 +27,7 @@ MIN_RUN = 120
 #: two texts share lies some 80 bytes inside what they share.
 REACH = 160
 #: The places of one digest are compared with their owner in parts of about this many.
-PART = 4_096
+PART = 512
 #: Documents that are named by a broadcast; more by a shuffle.
 FEW = 500_000
 _NO_ID = -(1 << 63)
