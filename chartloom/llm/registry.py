@@ -17,6 +17,7 @@ OPERATORS = {
     "substring_dedup": "op1_substring_dedup",
     "pii": "op5_pii_pseudonyms",
     "filter_audit": "op12_filter_audit",
+    "suffix_dedup": "op13_suffix_dedup",
 }
 
 
