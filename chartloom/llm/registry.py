@@ -16,6 +16,7 @@ OPERATORS = {
     "quality_model": "op8_quality_model",
     "substring_dedup": "op1_substring_dedup",
     "pii": "op5_pii_pseudonyms",
+    "conversation_repair": "op11_conversation_repair",
     "filter_audit": "op12_filter_audit",
     "suffix_dedup": "op13_suffix_dedup",
 }
