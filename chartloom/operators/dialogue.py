@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.operators.interview import ASKABLE, MODES, OPERATORS, URGENCY, ConditionError
+from chartloom.operators import rules
+from chartloom.operators.interview import ASKABLE, MODES, URGENCY
 from chartloom.sources.scan import items
 
 EVENT = "session_id long, ord long, kind string, mode string, question_id string, value string, multi array<string>, transcript string"
@@ -30,13 +31,8 @@ def _as_number(x) -> float | None:
 
 
 def holds(condition: str, answers: dict) -> bool:
-    """A trigger over accepted answers, by the grammar of interview.compile_condition."""
-    for clause in condition.split("&&"):
-        clause = clause.strip().lstrip("(").rstrip(")").strip()
-        op = next((o for o in OPERATORS if o in clause), None)
-        if op is None:
-            raise ConditionError(f"no operator in {clause!r}")
-        name, wanted = (part.strip() for part in clause.split(op, 1))
+    """A trigger over accepted answers, by the grammar of rules.parse."""
+    for name, op, wanted in rules.parse(condition):
         given = answers.get(name)
         if op == " in ":
             true = given in [w.strip() for w in wanted.strip("[]").split(",")]

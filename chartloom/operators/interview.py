@@ -2,58 +2,25 @@
 
 from __future__ import annotations
 
-import re
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
+
+from chartloom.operators import rules
+from chartloom.operators.rules import ConditionError as ConditionError
 
-# Operators in the order they are tried, hours of a unit, ranks of urgency.
-OPERATORS = ("<=", ">=", "==", "<", ">", " in ")
-HOURS = {"hours": 1, "days": 24, "weeks": 168, "months": 720, "years": 8760}
+# Ranks of urgency.
 URGENCY = {"critical": 3, "urgent": 2, "soon": 1}
 ASKABLE = "patient_reported"
 MODES = ("patient_reported", "derived", "examiner_required")
 
 
-class ConditionError(ValueError):
-    """A condition that the grammar doesn't have."""
-
-
-def _number(x: Column) -> Column:
-    """A decimal number, with an exponent or not; text that only SQL takes for one ("2d", "1f") is none."""
-    return F.when(F.trim(x).rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"), F.trim(x)).try_cast("double")
-
-
-def hours(amount: Column, unit: Column) -> Column:
-    """A duration in hours: no amount counts as 0, no or an unknown unit as hours. Infinite if neither is there, which is no duration, so that no "at most" fires."""
-    per = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in HOURS.items() for v in (kv[0], float(kv[1])))), unit), F.lit(1.0))
-    return F.when(amount.isNull() & unit.isNull(), float("inf")).otherwise(F.coalesce(amount, F.lit(0.0)) * per)
-
-
 def compile_condition(text: str | None, answer) -> Column:
-    """A boolean column for clauses joined by &&: `id op value`, `id in [a, b]`.
-
-    `answer(id)` gives an answer's text as a column. Equality and membership compare text, a missing answer being
-    "None" for equality; other comparisons need numbers on both sides and fail otherwise. No condition is true.
-    """
-    if text is None:
-        return F.lit(True)
+    """A boolean column for a literal condition; `answer(id)` gives an answer's text as a column. No condition is true."""
     whole = F.lit(True)
-    for clause in text.split("&&"):
-        clause = re.sub(r"^[\s(]+|[\s)]+$", "", clause)
-        op = next((o for o in OPERATORS if o in clause), None)
-        if op is None:
-            raise ConditionError(f"no operator in {clause!r}")
-        left, right = (p.strip() for p in clause.split(op, 1))
-        value = answer(left)
-        if op == " in ":
-            test = F.coalesce(value.isin([v.strip() for v in right.strip("[]").split(",")]), F.lit(False))
-        elif op == "==":
-            test = F.coalesce(value, F.lit("None")) == right
-        else:
-            a, b = _number(value), _number(F.lit(right))
-            test = F.coalesce({"<=": a <= b, ">=": a >= b, "<": a < b, ">": a > b}[op], F.lit(False))
-        whole = whole & test
+    for left, op, right in rules.parse(text):
+        whole = whole & rules.holds(F.lit(op), F.lit(right), answer(left))
     return whole
 
 
@@ -66,60 +33,39 @@ def capture_mode(mode: Column, input_type: Column) -> Column:
     return F.when(mode.isin(*MODES), mode).when(input_type == "derived", "derived").otherwise(ASKABLE)
 
 
-def state_as_of(answers: DataFrame, session: list[str], order_col: str = "ord", questions: list[str] | None = None) -> DataFrame:
-    """answers with `state`: a map of the latest values of questions among the session's answers up to and with this one.
+def state_as_of(answers: DataFrame, session: list[str], order_col: str = "ord") -> DataFrame:
+    """answers with `state`: a map of the latest values among the session's answers up to and with this one.
 
-    questions: the ids that matter, such as those that rules name; a window function each, so a session of n answers takes
-    n steps. None: all ids, for whole snapshots; each answer then carries the session's history.
+    A fold over sorted partitions that carries one map, which each answer changes in one place, so a session of n answers takes n
+    steps; a row's map is what it has to show. Repeated questions keep their first place in the map.
     """
-    w = Window.partitionBy(*session).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if questions is None:
-        pairs = F.collect_list(F.struct("question_id", "value")).over(w)
-        latest = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["question_id"] == x["question_id"]))
-        return answers.withColumn("state", F.map_from_entries(latest))
-    # wrapped, so that a null answer counts as the latest
-    last = [F.last(F.when(F.col("question_id") == q, F.struct(F.lit(q).alias("key"), "value")), ignorenulls=True).over(w) for q in questions]
-    none = F.array().cast("array<struct<key:string,value:string>>")
-    return answers.withColumn("state", F.map_from_entries(F.array_compact(F.array(*last)) if last else none))
-
-
-def names_in(rules: list[dict]) -> list[str]:
-    """The question ids that rules' conditions compare."""
-    found = set()
-    for rule in rules:
-        for clause in (rule.get("when") or "").split("&&"):
-            clause = re.sub(r"^[\s(]+|[\s)]+$", "", clause)
-            op = next((o for o in OPERATORS if o in clause), None)
-            if op:
-                found.add(clause.split(op, 1)[0].strip())
-    return sorted(found - {"value", "value_hours"})
-
-
-def red_flags(answers: DataFrame, rules: list[dict], session: list[str], order_col: str = "ord", with_state: bool = False) -> DataFrame:
-    """(session, ord, question_id, reason, severity) for each rule that an answer sets off.
-
-    A rule has question_id, option (None for the question itself), when, reason, severity. It sees the answers so far
-    and never later ones. Option rules see the option as `value`. answers has value (text), multi (array of options, or
-    null), dur_amount and dur_unit.
+    kind = StructType([*answers.schema.fields, StructField("state", MapType(StringType(), StringType()))])
+
+    def carry(batches):
+        of, state = None, {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                some, out = batch.slice(start, 1024), []
+                for *key, question, value in zip(*(some.column(c).to_pylist() for c in (*session, "question_id", "value"))):
+                    if key != of:
+                        of, state = key, {}
+                    state[question] = value
+                    out.append(list(state.items()))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, pa.map_(pa.string(), pa.string()))], names=[*some.schema.names, "state"])
+
+    return answers.repartition(*session).sortWithinPartitions(*session, order_col).mapInArrow(carry, kind)
+
+
+def red_flags(answers: DataFrame, found: list[dict] | DataFrame, session: list[str], order_col: str = "ord", with_state: bool = False) -> DataFrame:
+    """(session, ord, question_id, reason, severity) for each rule that an answer sets off, seeing the answers so far and never later ones.
+
+    Rules are a rule file's list or rows of rules.RULE: question_id, option (null for the question itself), when, reason, severity. Option
+    rules see the option as `value`. answers has value (text), multi (array of options, or null), dur_amount and dur_unit; with_state:
+    and the state so far.
     """
-    seen = answers if with_state else state_as_of(answers, session, order_col, names_in(rules))
-    chosen = F.coalesce("multi", F.array("value"))
-    out = None
-    for n, rule in enumerate(rules):
-        current = F.lit(rule["option"]) if rule.get("option") else F.when(F.col("multi").isNull(), F.col("value"))
-
-        def answer(name, current=current):
-            if name == "value":
-                return current
-            if name == "value_hours":
-                return hours(F.col("dur_amount"), F.col("dur_unit")).cast("string")
-            return F.try_element_at("state", F.lit(name))
-
-        fires = (F.col("question_id") == rule["question_id"]) & (F.array_contains(chosen, rule["option"]) if rule.get("option") else F.lit(True)) & compile_condition(rule.get("when"), answer)
-        part = F.when(fires, F.struct(F.lit(bool(rule.get("option"))).alias("by_option"), F.lit(n).alias("n"), F.lit(rule["reason"]).alias("reason"), F.lit(rule["severity"]).alias("severity")))
-        out = [part] if out is None else [*out, part]
-    flags = F.explode(F.array_sort(F.array_compact(F.array(*out))))
-    return seen.select(*session, F.col(order_col).alias("ord"), "question_id", flags.alias("f")).select(*session, "ord", "question_id", "f.reason", "f.severity")
+    given = rules.from_list(answers.sparkSession, found) if isinstance(found, list) else found
+    fire = rules.fired_as_of if with_state else rules.fired
+    return fire(answers, given, session, order_col).drop("rule_no")
 
 
 def latest_answers(answers: DataFrame, session: list[str], order_col: str = "ord") -> DataFrame:

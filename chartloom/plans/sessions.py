@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.text import lookup_key
 from chartloom.lineage import scratch
-from chartloom.operators import ayush, coding, dialogue, fhir, interview, metrics, ocr, summary, timeline
+from chartloom.operators import ayush, coding, dialogue, fhir, interview, metrics, ocr, rules, summary, timeline
 from chartloom.plans.inputs import ALIAS, DOC, DRUGS, QTY, cte, make, pick, tables, values
 from chartloom.sources import dims, scan
 
@@ -180,33 +180,26 @@ def issue_references(spark, sf_dir):
 
 
 # The interview, over the event log.
-TYPES = ("click", "view", "purchase", "signup", "logout")
+#: The event types in order, which name the questions, as a rule file's ids do.
+NAMES = ("click", "error", "purchase", "signup", "view")
 RULES = [
     {"question_id": None, "option": None, "when": "value == yes", "reason": "said yes", "severity": "urgent"},
     {"question_id": None, "option": None, "when": "value >= 9 && {other} == yes", "reason": "high after yes", "severity": "critical"},
 ]
 
 
-def _names(spark, sf_dir):
-    """The event types, which name the questions: a rule file's ids, that plans are built from."""
-    return [r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().orderBy("event_type").collect()]
-
-
 _ANS = cte("answers")
 _STATE = f"{_ANS}, q AS (SELECT DISTINCT question_id AS q FROM answers), names AS (SELECT q, row_number() OVER (ORDER BY q) AS i FROM q), sofar AS (SELECT a.session_id, a.ord, a.question_id, a.value, n.q, n.i, last_value(CASE WHEN a.question_id = n.q THEN a.value END IGNORE NULLS) OVER (PARTITION BY a.session_id, n.q ORDER BY a.ord) AS v FROM answers a CROSS JOIN names n)"
 
 
 @query(f"WITH {_STATE} SELECT session_id, ord, question_id, value, count(v) AS n_known, max(CASE WHEN i = 1 THEN v END) AS first_value FROM sofar GROUP BY 1, 2, 3, 4")
 def state_as_of_answer(spark, sf_dir):
-    first = _names(spark, sf_dir)[0]
     out = interview.state_as_of(make(spark, sf_dir, "answers"), ["session_id"])
-    return out.select("session_id", F.col("ord").cast("long").alias("ord"), "question_id", "value", F.size("state").cast("long").alias("n_known"), F.try_element_at("state", F.lit(first)).alias("first_value"))
+    return out.select("session_id", F.col("ord").cast("long").alias("ord"), "question_id", "value", F.size("state").cast("long").alias("n_known"), F.try_element_at("state", F.lit(NAMES[0])).alias("first_value"))
 
 
-def _rules(spark, sf_dir):
-    names = _names(spark, sf_dir)
-    other = names[-1]
-    return [{**r, "question_id": q, "when": r["when"].replace("{other}", other)} for q in names[:2] for r in RULES]
+def _rules():
+    return [{**r, "question_id": q, "when": r["when"].replace("{other}", NAMES[-1])} for q in NAMES[:2] for r in RULES]
 
 
 def _answers(spark, sf_dir):
@@ -218,7 +211,7 @@ _FLAGS = f"{_STATE}, flag AS (SELECT a.session_id, a.ord, a.question_id, 'said y
 
 @query(f"WITH {_FLAGS} SELECT session_id, ord, question_id, reason, severity FROM flag")
 def red_flags(spark, sf_dir):
-    return interview.red_flags(_answers(spark, sf_dir), _rules(spark, sf_dir), ["session_id"]).withColumn("ord", F.col("ord").cast("long"))
+    return interview.red_flags(_answers(spark, sf_dir), _rules(), ["session_id"]).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query(f"WITH {_FLAGS} SELECT session_id, ord, question_id, reason, severity FROM flag")
@@ -229,12 +222,28 @@ def red_flags_streaming(spark, sf_dir):
     base = scratch(spark, "stream")
     log = _answers(spark, sf_dir).withColumn("ord", F.col("ord").cast("long"))
     log.write.parquet(f"{base}/log")
-    flags = stream_red_flags(spark.readStream.schema(log.schema).parquet(f"{base}/log"), _rules(spark, sf_dir))
+    flags = stream_red_flags(spark.readStream.schema(log.schema).parquet(f"{base}/log"), _rules())
     with state_store(spark):
         flags.writeStream.format("parquet").option("path", f"{base}/flags").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/flags").select("session_id", "ord", "question_id", "reason", "severity")
 
 
+_PART_RULES = (
+    "SELECT CAST(p_partkey AS BIGINT) AS rule_no, " + pick("CAST(p_partkey % 5 AS INT)", list(NAMES)) + " AS question_id, CAST(NULL AS VARCHAR(9)) AS option, "
+    "'value == ' || " + pick("CAST(p_size % 13 AS INT)", [*range(11), "yes", "no"]) + " || ' && ' || " + pick("CAST((p_partkey + 1 + p_size % 4) % 5 AS INT)", list(NAMES)) + " || "
+    + pick("CAST(floor(p_retailprice) % 4 AS INT)", [" >= 7", " == yes", " in [no, 3, 4]", " < 2 && value == 5"]) + " AS condition, p_type AS reason, 'urgent' AS severity FROM part"
+)
+
+
+@query(f"WITH {_ANS}, r AS ({_PART_RULES}), p AS (SELECT *, regexp_extract(condition, '^value == ([^ ]+)', 1) AS own, regexp_extract(condition, '&& ([^ ]+)', 1) AS other, condition LIKE '%&& value == 5' AS five FROM r), met AS (SELECT a.session_id, a.ord, p.* FROM answers a JOIN p ON p.question_id = a.question_id AND p.own = a.value WHERE NOT five OR a.value = '5'), seen AS (SELECT met.*, b.value AS v, try_cast(b.value AS DOUBLE) AS n FROM met ASOF LEFT JOIN answers b ON met.session_id = b.session_id AND met.other = b.question_id AND met.ord >= b.ord) SELECT rule_no, reason, count(*) AS n_fired, count(DISTINCT session_id) AS n_sessions, sum(ord)::BIGINT AS places FROM seen WHERE CASE WHEN condition LIKE '%>= 7%' THEN n >= 7 WHEN condition LIKE '%== yes' THEN v = 'yes' WHEN condition LIKE '%in [no, 3, 4]%' THEN v IN ('no', '3', '4') ELSE n < 2 END GROUP BY 1, 2")
+def part_rules(spark, sf_dir):
+    """A rule for each part, met by joins: the plan is the same for any number of rules."""
+    tables(spark, sf_dir, "part")
+    found = spark.sql(_PART_RULES).withColumnRenamed("condition", "when")
+    flags = rules.fired(_answers(spark, sf_dir), found, ["session_id"])
+    return flags.groupBy("rule_no", "reason").agg(F.count(F.lit(1)).alias("n_fired"), F.count_distinct("session_id").alias("n_sessions"), F.sum("ord").cast("long").alias("places"))
+
+
 _MAP = {"conditions": [
     {"id": "c1", "urgency": "critical", "discriminators": [{"question_id": 0, "value": "yes", "weight": 0.4}, {"question_id": 1, "value": "no", "weight": 0.3}], "negative": [{"question_id": 2, "value": "yes", "weight": 0.2}], "must_ask": [3]},
     {"id": "c2", "urgency": "soon", "discriminators": [{"question_id": 1, "value": "yes", "weight": 0.5}, {"question_id": 2, "value": "no", "weight": 0.6}], "negative": [{"question_id": 0, "value": "no", "weight": 0.1}], "must_ask": []},
@@ -243,8 +252,7 @@ _MAP = {"conditions": [
 
 
 def _condition_map(spark, sf_dir):
-    names = _names(spark, sf_dir)
-    named = {"conditions": [{**c, "must_ask": [names[q % len(names)] for q in c["must_ask"]], **{k: [{**d, "question_id": names[d["question_id"] % len(names)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
+    named = {"conditions": [{**c, "must_ask": [NAMES[q % len(NAMES)] for q in c["must_ask"]], **{k: [{**d, "question_id": NAMES[d["question_id"] % len(NAMES)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
     return scan.condition_map(spark, named)
 
 
@@ -271,7 +279,7 @@ _SCORES = f"{_PLAUSIBLE}, eff AS (SELECT i, condition_id, arg_max(w, abs(w)) AS
 def ranked_questions(spark, sf_dir):
     answers, evidence, must, conditions, plaus = _plausibility(spark, sf_dir)
     live = plaus.where("plausibility > 0").join(conditions.select("condition_id", "ord"), "condition_id")
-    asked = spark.createDataFrame(list(enumerate(_names(spark, sf_dir))), "q_ord int, question_id string")
+    asked = spark.createDataFrame(list(enumerate(NAMES)), "q_ord int, question_id string")
     candidates = answers.select("session_id").distinct().crossJoin(asked)
     scored = interview.question_scores(live, candidates.select("session_id", "question_id"), evidence, must, ["session_id"]).withColumn("score", F.round("score", 9))
     out = interview.rank_questions(scored.join(asked, "question_id"), live, must, conditions, ["session_id"])
@@ -286,12 +294,11 @@ ONTOLOGY = {"sections": [
 
 
 def _ontology(spark, sf_dir):
-    names = _names(spark, sf_dir)
-    name = lambda x: names[x % len(names)] if isinstance(x, int) else x
+    name = lambda x: NAMES[x % len(NAMES)] if isinstance(x, int) else x
     sections = []
     for s in ONTOLOGY["sections"]:
         items = [{**i, "id": name(i["id"])} | ({"follow_up_on_yes": name(i["follow_up_on_yes"])} if "follow_up_on_yes" in i else {}) for i in s["questions"]]
-        sections.append({**s, "questions": items} | ({"trigger": s["trigger"].replace("{2}", names[2])} if "trigger" in s else {}))
+        sections.append({**s, "questions": items} | ({"trigger": s["trigger"].replace("{2}", NAMES[2])} if "trigger" in s else {}))
     return scan.check_ontology({"sections": sections})
 
 
@@ -309,7 +316,7 @@ def question_sequence(spark, sf_dir):
 @query(f"WITH {_FLAGS} SELECT session_id, count(DISTINCT question_id) AS n_answered, coalesce(n, 0)::BIGINT AS n_flags FROM answers LEFT JOIN (SELECT session_id, count(*) AS n FROM flag GROUP BY 1) USING (session_id) GROUP BY session_id, n")
 def transcripts(spark, sf_dir):
     answers = _answers(spark, sf_dir)
-    flags = interview.red_flags(answers, _rules(spark, sf_dir), ["session_id"])
+    flags = interview.red_flags(answers, _rules(), ["session_id"])
     out = interview.transcripts(answers.withColumn("transcript", F.lit(None).cast("string")), question_sequence(spark, sf_dir), flags, ["session_id"])
     return out.select("session_id", "n_answered", F.size("red_flags").cast("long").alias("n_flags"))
 
@@ -345,16 +352,15 @@ def duration_flags(spark, sf_dir):
     tables(spark, sf_dir, "events")
     amount, unit = (F.get(F.array(*(F.lit(d[k]).cast(t) for d in _DURATIONS)), (F.col("event_id") % 7).cast("int")) for k, t in ((0, "double"), (1, "string")))
     rows = spark.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.lit("when").alias("question_id"), F.get(F.array(*map(F.lit, ["3", " 3.5e0 ", "3d", "3f"])), (F.col("event_id") % 4).cast("int")).alias("value"), F.lit(None).cast("array<string>").alias("multi"), amount.alias("dur_amount"), unit.alias("dur_unit"))
-    rules = [{"question_id": "when", "option": None, "when": w, "reason": r, "severity": "urgent"} for w, r in (("value_hours <= 24", "acute"), ("value_hours >= 1", "lasting"), ("value >= 3", "three"))]
-    return interview.red_flags(rows, rules, ["session_id"]).select("ord", "reason")
+    when = [{"question_id": "when", "option": None, "when": w, "reason": r, "severity": "urgent"} for w, r in (("value_hours <= 24", "acute"), ("value_hours >= 1", "lasting"), ("value >= 3", "three"))]
+    return interview.red_flags(rows, when, ["session_id"]).select("ord", "reason")
 
 
 @query()
 def session_service(spark, sf_dir):
     """The event log as an interview's traffic: each session starts, then answers, mostly out of turn. What waits rests on what was accepted before, which SQL without recursion can't say; tests compare with plain loops and the stream."""
     log = _answers(spark, sf_dir).select("session_id", (F.col("ord") * 2).cast("long").alias("ord"), F.when(F.col("ord") % 9 == 1, "start").otherwise("answer").alias("kind"), F.lit("allopathic").alias("mode"), "question_id", "value", "multi", F.lit(None).cast("string").alias("transcript"))
-    names = _names(spark, sf_dir)
-    map_ = {"conditions": [{**c, "must_ask": [names[q % len(names)] for q in c["must_ask"]], **{k: [{**d, "question_id": names[d["question_id"] % len(names)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
+    map_ = {"conditions": [{**c, "must_ask": [NAMES[q % len(NAMES)] for q in c["must_ask"]], **{k: [{**d, "question_id": NAMES[d["question_id"] % len(NAMES)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
     return dialogue.replay(log, dialogue.Script(_ontology(spark, sf_dir), map_)).select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
 
 

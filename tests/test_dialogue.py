@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.lineage import scratch
-from chartloom.operators import ayush, coding, dialogue, fhir, interview, metrics, ocr, summary
+from chartloom.operators import ayush, coding, dialogue, fhir, interview, metrics, ocr, rules, summary
 from chartloom.plans import bundle
 from chartloom.sources import dims, scan
 from chartloom.streaming.interview import serve, state_store
@@ -94,13 +94,45 @@ def test_denials(spark):
     assert sorted(r.s for r in summary.contradictions(denials, meds, ["s"]).collect()) == [0, 2, 3, 4, 6]
 
 
-def test_state_of_named_questions_equals_whole_state(spark):
+def test_state_as_of_is_one_fold(spark):
     rng = random.Random(2)
-    rows = [(i % 5, i, rng.choice("abc"), rng.choice(["x", "y", None])) for i in range(200)]
+    rows = [(i % 5, i, rng.choice("abc"), rng.choice(["x", "y", None])) for i in range(200)] + [(9, i, f"q{i % 7}", str(i)) for i in range(10_000)]
+    rng.shuffle(rows)
     answers = spark.createDataFrame(rows, "s int, ord int, question_id string, value string")
-    whole = {r.ord: r.state for r in interview.state_as_of(answers, ["s"]).collect()}
-    named = {r.ord: r.state for r in interview.state_as_of(answers, ["s"], questions=["a", "c", "z"]).collect()}
-    assert named == {o: {k: v for k, v in m.items() if k in "ac"} for o, m in whole.items()}
+    state, want = {}, {}
+    for s, o, q, v in sorted(rows, key=lambda r: r[:2]):
+        state.setdefault(s, {})[q] = v
+        want[s, o] = dict(state[s])
+    assert {(r.s, r.ord): r.state for r in interview.state_as_of(answers, ["s"]).collect()} == want
+
+
+def test_rules_as_rows(spark):
+    """Rules as rows fire where plain loops over the session say so, a stream's form too, and the plan is one for any number of them."""
+    rng = random.Random(6)
+    ops = ["== yes", ">= 3", "< 2", "in [yes, 3, x]", "<= 5", "> 1", "== None"]
+    made = [(n, rng.choice("abc"), rng.choice([None, None, "x", "yes"]), rng.choice([None, *(" && ".join(f"{rng.choice(['value', 'a', 'b', '(c', 'zz'])} {rng.choice(ops)}" + (")" if rng.random() < 0.2 else "") for _ in range(rng.randint(1, 3))) for _ in range(4))]), f"r{n}", "urgent") for n in range(120)]
+    log = [(i % 4, i, rng.choice("abcd"), *rng.choice([("yes", None), ("3", None), (None, None), ("1", None), (None, ["x", "yes", "x"]), (None, [])]), None, None) for i in range(160)]
+    answers = spark.createDataFrame(log, "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string")
+    table = spark.createDataFrame(made, rules.RULE)
+    want, state = [], {}
+    for s, o, q, v, multi, *_ in log:
+        mine = state.setdefault(s, {})
+        mine[q] = v
+        for n, question, option, when, reason, _ in made:
+            if question != q or (option is not None and option not in (multi if multi is not None else [v])):
+                continue
+            own = option if option is not None else v if multi is None else None
+            if when is None or dialogue.holds(when, {**mine, "value": own}):
+                want.append((s, o, n))
+    got = rules.fired(answers, table, ["session_id"])
+    assert sorted((r.session_id, r.ord, r.rule_no) for r in got.collect()) == sorted(want)
+    stream = rules.fired_as_of(interview.state_as_of(answers, ["session_id"]), table, ["session_id"])
+    assert sorted((r.session_id, r.ord, r.rule_no) for r in stream.collect()) == sorted(want)
+    size = lambda n: len(rules.fired(answers, spark.createDataFrame(made[:n], rules.RULE), ["session_id"])._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(120) == size(3)
+    with pytest.raises(Exception, match="no operator"):
+        rules.fired(answers, spark.createDataFrame([(1, "a", None, "b ~ 3", "r", "s")], rules.RULE), ["session_id"]).collect()
+    assert rules.parse("a<=3 && (b in [x, y])") == [("a", "<=", "3"), ("b", " in ", "[x, y]")]
 
 
 def test_one_pass_look_up(spark):
