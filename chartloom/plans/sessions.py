@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -251,9 +252,12 @@ _MAP = {"conditions": [
 ]}
 
 
+def _named_map():
+    return {"conditions": [{**c, "must_ask": [NAMES[q % len(NAMES)] for q in c["must_ask"]], **{k: [{**d, "question_id": NAMES[d["question_id"] % len(NAMES)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
+
+
 def _condition_map(spark, sf_dir):
-    named = {"conditions": [{**c, "must_ask": [NAMES[q % len(NAMES)] for q in c["must_ask"]], **{k: [{**d, "question_id": NAMES[d["question_id"] % len(NAMES)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
-    return scan.condition_map(spark, named)
+    return scan.condition_map(spark, _named_map())
 
 
 _EVIDENCE = values([(c["id"], d["question_id"] + 1, d["value"], s * d["weight"]) for c in _MAP["conditions"] for s, k in ((1.0, "discriminators"), (-1.0, "negative")) for d in c[k]], "condition_id, i, value, w", "ev")
@@ -332,6 +336,92 @@ def next_questions(spark, sf_dir):
     return interview.next_question(ranked, answers.select("session_id").distinct(), ["session_id"])
 
 
+def _drained(spark, sf_dir, base):
+    """The answers as a stream of files in the shared folder."""
+    log = _answers(spark, sf_dir).withColumn("ord", F.col("ord").cast("long"))
+    log.write.parquet(f"{base}/log")
+    return spark.readStream.schema(log.schema).parquet(f"{base}/log")
+
+
+@query(f"WITH {_ANS} SELECT session_id, question_id, arg_max(value, ord) AS value FROM answers GROUP BY 1, 2")
+def live_answers(spark, sf_dir):
+    """What the running interviews hold: the stream's own state, read from its checkpoint."""
+    from chartloom.streaming import live
+
+    return live.answers(spark, _running(spark, sf_dir))
+
+
+def _running(spark, sf_dir) -> str:
+    """The checkpoint of a query that has drained the answers."""
+    from chartloom.streaming.interview import state_store, states
+
+    base = scratch(spark, "live")
+    with state_store(spark):
+        states(_drained(spark, sf_dir, base)).select("session_id", "ord").writeStream.format("parquet").option("path", f"{base}/seen").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/state"
+
+
+@query(SQL["next_questions"])
+def live_sessions(spark, sf_dir):
+    """The same next questions as of the log, from the live state."""
+    from chartloom.streaming import live
+
+    return live.read(live.answers(spark, _running(spark, sf_dir)), _ontology(spark, sf_dir), _named_map()).select("session_id", "next_question", "completed")
+
+
+def _triage(alert: dict) -> tuple[bool, str]:
+    """A receiver that takes critical alerts only."""
+    return (True, "taken") if alert["severity"] == "critical" else (False, "failed: not urgent enough")
+
+
+@query(f"WITH {_FLAGS} SELECT session_id, ord, question_id, reason, severity, severity = 'critical' AS delivered, CASE severity WHEN 'critical' THEN 'taken' ELSE 'failed: not urgent enough' END AS detail, count(*) AS n FROM flag GROUP BY ALL")
+def delivered_alerts(spark, sf_dir):
+    """Alerts of a stream whose first commit fails once they are delivered: the batch comes again, and none is sent or written twice."""
+    from chartloom.streaming import alerts
+    from chartloom.streaming.interview import state_store, stream_red_flags
+
+    base = scratch(spark, "alerts")
+    flags = stream_red_flags(_drained(spark, sf_dir, base), _rules())
+    tries = []
+
+    def batch(rows, number):
+        tries.append(alerts.record(rows, number, f"{base}/ledger", _triage))
+        if len(tries) == 1:
+            raise RuntimeError("the query dies before its commit")
+
+    for _ in range(2):
+        with state_store(spark):
+            query_ = flags.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            try:
+                query_.awaitTermination()
+            except StreamingQueryException:
+                if len(tries) != 1:
+                    raise
+    if tries != [True, False]:
+        raise ValueError(f"a batch was written {sum(tries)} times")
+    rows = spark.read.schema(alerts.LEDGER).parquet(f"{base}/ledger")
+    return rows.groupBy("session_id", "ord", "question_id", "reason", "severity", "delivered", "detail").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Seconds after which an interview counts as abandoned; a deployment's rule file has them for its taps.
+_DEFAULTS = {"interaction_defaults": {"tap_timeout_seconds": 86_400}}
+
+
+@query("WITH e AS (SELECT user_id AS session_id, epoch_us(ts) // 1000 AS t, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), r AS (SELECT *, sum(CASE WHEN t - p <= 86400000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY t) AS run FROM e), g AS (SELECT session_id, run, min(t) AS began_ms, max(t) AS ended_ms, count(*) AS n, max(run) OVER (PARTITION BY session_id) AS runs FROM r GROUP BY 1, 2) SELECT session_id, began_ms, ended_ms, n FROM g WHERE run < runs OR ended_ms + 86400001 <= (SELECT max(epoch_us(ts) // 1000) FROM events)")
+def closed_sessions(spark, sf_dir):
+    """Interviews that paused for over a day, closed by timers in the stream's event time."""
+    from chartloom.streaming.interview import state_store
+    from chartloom.streaming.pauses import CLOSED, closed
+
+    base = scratch(spark, "pauses")
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    log.write.parquet(f"{base}/log")
+    with state_store(spark):
+        out = closed(spark.readStream.schema(log.schema).parquet(f"{base}/log"), scan.interaction_defaults(_DEFAULTS)["tap_timeout_seconds"])
+        out.writeStream.format("parquet").option("path", f"{base}/closed").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(CLOSED).parquet(f"{base}/closed")
+
+
 SHUFFLED = {"sections": [{"id": "z", "order": 1, "always": True, "questions": [{"id": "z1"}, {"id": "z2"}]}, {"id": "a", "order": 1, "always": True, "questions": [{"id": "a1"}]}, {"id": "m", "always": True, "questions": [{"id": "m1"}]}, {"id": "b", "order": 0, "always": True, "questions": [{"id": "b1"}]}]}
 
 
@@ -360,8 +450,7 @@ def duration_flags(spark, sf_dir):
 def session_service(spark, sf_dir):
     """The event log as an interview's traffic: each session starts, then answers, mostly out of turn. What waits rests on what was accepted before, which SQL without recursion can't say; tests compare with plain loops and the stream."""
     log = _answers(spark, sf_dir).select("session_id", (F.col("ord") * 2).cast("long").alias("ord"), F.when(F.col("ord") % 9 == 1, "start").otherwise("answer").alias("kind"), F.lit("allopathic").alias("mode"), "question_id", "value", "multi", F.lit(None).cast("string").alias("transcript"))
-    map_ = {"conditions": [{**c, "must_ask": [NAMES[q % len(NAMES)] for q in c["must_ask"]], **{k: [{**d, "question_id": NAMES[d["question_id"] % len(NAMES)]} for d in c[k]] for k in ("discriminators", "negative")}} for c in _MAP["conditions"]]}
-    return dialogue.replay(log, dialogue.Script(_ontology(spark, sf_dir), map_)).select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
+    return dialogue.replay(log, dialogue.Script(_ontology(spark, sf_dir), _named_map())).select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
 
 
 # Constitution.

@@ -87,8 +87,3 @@ class ServedSession(StatefulProcessor):
 def serve(events: DataFrame, script: Script) -> DataFrame:
     """The same rows as dialogue.replay, from a stream of events; run it inside state_store. One task holds a session at a time."""
     return events.where("session_id is not null").groupBy("session_id").transformWithStateInPandas(ServedSession(script), STEP, "Append", "None")
-
-
-def alert_sink(flags: DataFrame, path: str, checkpoint: str):
-    """A query that appends flags, without answers or names, to a Parquet table; each micro-batch once."""
-    return flags.select("session_id", "ord", "reason", "severity").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
