@@ -2,11 +2,14 @@
 
 Every source's documents are shuffled and laid end to end; the stream, repeated up to three times, is cut into blocks of
 `block` words. Slot t of the schedule takes the golden-ratio point frac((t + 1) / phi), mapped through the sources'
-cumulative targets to a source; its rank among the source's slots names the block it takes.
+cumulative targets to a source; its rank among the source's slots names the block it takes. What the mix takes of a document is
+what the blocks that have a slot hold of it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +75,17 @@ def schedule(wanted: DataFrame, block: int, slots: int) -> DataFrame:
 def filled(planned: DataFrame, wanted: DataFrame, block: int, slots: int) -> DataFrame:
     """planned with more slots, numbered from `slots` on, for the blocks that a source needs to its target and has no slot for.
 
-    The points miss a source's share by a few slots whatever its size, which may be all that a small source has.
+    The points miss a source's share by a few slots whatever its size, which may be all that a small source has; a source that lacks more
+    than that few has no schedule, which is an error.
     """
     planned = cut(planned)
     have = planned.groupBy("rank").agg(F.count(F.lit(1)).alias("have"))
     lack = wanted.where("target > 0").select("rank", F.ceil(F.round("target") / block).alias("need")).join(have, "rank", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
     lack = lack.withColumn("base", F.sum(F.col("need") - F.col("have")).over(Window.orderBy("rank")) - (F.col("need") - F.col("have")) + slots)
     lack = cut(lack)
+    worst = lack.agg(F.max(F.col("need") - F.col("have"))).first()[0] or 0
+    if worst > 4 + 2 * math.log2(slots + 2):
+        raise ValueError(f"the schedule leaves {worst} blocks of a source without a slot")
     extra = lack.select("rank", "base", "have", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("r"))
     return planned.unionByName(extra.select("rank", "r", (F.col("base") + F.col("r") - F.col("have")).alias("slot")))
 
@@ -121,34 +128,44 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     begin = F.greatest("at", F.col("r") * block)
     parts = parts.select("rank", "r", "start", (begin - F.col("at")).alias("first"), (F.least("last", (F.col("r") + 1) * block) - begin).alias("words"))
     planned = filled(schedule(wanted.select("rank", "target"), block, slots), wanted, block, slots)
-    slot = F.coalesce("slot", F.raise_error(F.lit("a block has no slot")).cast("long"))
-    pieces = parts.join(planned, ["rank", "r"], "left").select("rank", "start", slot.alias("slot"), "first", "words")
+    pieces = cut(parts.join(planned, ["rank", "r"]).select("rank", "start", "slot", "first", "words"))
+    n, met = parts.count(), pieces.count()
+    if n != met:
+        raise ValueError(f"{n - met} pieces of blocks have no slot")
     return placed, pieces
 
 
 def taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """placed with `taken`: the words that the mix takes of each document, repeats counted. Documents without words, or of sources without a target, take 0; a row each, whatever is null; no rows, no rows."""
-    sums = pieces.groupBy("rank", "start").agg(F.sum("words").alias("taken"))
+    """placed with `taken`, the words that the mix takes of each document, repeats counted, `slots`, where its occurrences begin, in order, and `n_slots`, how many slots hold some of it.
+
+    Documents without words, or of sources without a target, take 0 and have no slots; a row each, whatever is null; no rows, no rows.
+    """
+    sums = pieces.groupBy("rank", "start").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.when(F.col("first") == 0, F.col("slot")))).alias("slots"), F.count_distinct("slot").alias("n_slots"))
     full = placed.where("size > 0").join(sums, ["rank", "start"], "left")
-    return full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))).withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    none = F.array().cast("array<bigint>")
+    empty = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slots": none, "n_slots": F.lit(0).cast("long")})
+    return full.withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long"), "slots": F.coalesce("slots", none), "n_slots": F.coalesce("n_slots", F.lit(0))}).unionByName(empty)
 
 
-def mix_documents(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, each row as often as the mix takes its whole text, rounded; rows alike in id, source and text share evenly.
+def mix_documents(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", slot_col: str | None = None, **how) -> DataFrame:
+    """docs in the order of the schedule, each row as often as the mix takes its whole text, rounded; rows alike in id, source and text share evenly.
 
-    Only documents where a source's target ends are taken in part, so totals differ from the targets by half a document
-    a source at most. Null texts and such without words aren't taken; null sources are one source, null ids one id. Columns
-    pass through, whatever their names; an empty table gives no rows.
+    A row stands where its occurrence's first slot is, which slot_col names, if it is given. Only documents where a source's target ends
+    are taken in part, so totals differ from the targets by half a document a source at most. Null texts and such without words
+    aren't taken; null sources are one source, null ids one id. Columns pass through, whatever their names; an empty table gives no rows.
     """
     placed, pieces = mix(docs, source_col, id_col, text_col, **how)
-    alike = taken(placed, pieces).groupBy("_id", "_th", "_source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    i, t, s, n, k = spare(docs, "_id", "_th", "_source", "_copies", "_copy")
-    copies = alike.where("size > 0").select(F.col("_id").alias(i), F.col("_th").alias(t), F.col("_source").alias(s), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)).where(F.col(n) > 0)
+    alike = taken(placed, pieces).groupBy("_id", "_th", "_source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("slots"))
+    i, t, s, n, k = spare(docs, "_id", "_th", "_source", "_slots", "_slot")
+    # rows alike begin in the same slots
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    copies = alike.where("size > 0").select(F.col("_id").alias(i), F.col("_th").alias(t), F.col("_source").alias(s), F.slice("slots", 1, times).alias(n)).where(F.size(n) > 0)
     key = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(t)) & F.col(f"`{source_col}`").eqNullSafe(F.col(s))
-    return docs.join(copies, key).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = docs.join(copies, key).withColumn(k, F.explode(n)).repartitionByRange(k).sortWithinPartitions(k)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != slot_col), *([F.col(k).alias(slot_col)] if slot_col else []))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their size, their source's size and target, and the words that the mix takes. Nulls, ties, repeated rows and empty tables as in mix."""
+    """All documents with their size, their source's size and target, the words that the mix takes, the slot where it first does, and how many slots do. Nulls, ties, repeated rows and empty tables as in mix."""
     placed, pieces = mix(table(spark, sf_dir, "documents"))
-    return taken(placed, pieces).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken(placed, pieces).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"), "n_slots")

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from chartloom.llm import mixing
@@ -82,6 +83,37 @@ def test_documents_and_empty(spark):
     assert mixing.taken(*mixing.mix(none)).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
+def test_what_is_taken_comes_from_the_schedule(spark, monkeypatch, tmp_path):
+    """Slots are those of the schedule, documents come in their order, and without a schedule, or with a gap in it, there is no mix."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i * 37 % 900), f"s{i % 3}", 0) for i in range(400)], "doc_id long, text string, source string, size int")
+    docs.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    block = 256
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing.mix, "__defaults__", (*mixing.mix.__defaults__[:-1], block))
+    out = mixing.op2_mix_sources(spark, str(tmp_path)).collect()
+    placed, pieces = mixing.mix(docs)
+    of = defaultdict(set)
+    for r in pieces.join(placed, ["rank", "start"]).select("_id", "slot").collect():
+        of[r._id].add(r.slot)
+    assert {r.doc_id: r.n_slots for r in out} == {i: len(of[i]) for i in range(400)} and all(r.first_slot in of[r.doc_id] for r in out if r.taken)
+    got = mixing.mix_documents(docs, slot_col="at").collect()
+    assert [r.at for r in got] == sorted(r.at for r in got) and all(r.at in of[r.doc_id] for r in got)
+    assert [r.doc_id for r in mixing.mix_documents(docs).collect()] == [r.doc_id for r in got]
+    words = Counter()
+    for r in got[: len(got) // 2]:  # any stretch of the mix has the sources in proportion
+        words[r.source] += len(r.text.split())
+    whole = Counter()
+    for r in got:
+        whole[r.source] += len(r.text.split())
+    assert all(abs(words[s] / sum(words.values()) - whole[s] / sum(whole.values())) < 0.03 for s in whole)
+    real = mixing.schedule
+    for broken in (lambda w, b, n: real(w, b, n).where("false"), lambda w, b, n: real(w, b, n).where("not (rank = 2 and r < 40)")):
+        monkeypatch.setattr(mixing, "schedule", broken)
+        for use in (lambda: mixing.op2_mix_sources(spark, str(tmp_path)), lambda: mixing.mix_documents(docs)):
+            with pytest.raises(ValueError, match="slot"):
+                use().count()
+
+
 def test_small_sources_get_their_targets(spark):
     rows = [(1000 * s + i, "w " * 2000, f"big{s:02}") for s in range(6) for i in range(50)]
     rows += [(100_000 + 10 * s + i, "w " * 100, f"small{s:02}") for s in range(40) for i in range(4)]
