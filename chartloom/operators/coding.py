@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from chartloom.functions.text import lookup_key
 from chartloom.lineage import settle
+from chartloom.operators import similar
 from chartloom.operators.extract import DRUG_LINE
 from chartloom.sources.dims import keyed
 
@@ -26,40 +23,20 @@ def drug_lookup(rows: DataFrame, name_col: str, drug_alias: DataFrame) -> DataFr
     return rows.withColumn("_k", lookup_key(F.col(name_col))).join(dim, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
 
 
-@F.pandas_udf(DoubleType())
-def ratio(target: pd.Series, candidate: pd.Series) -> pd.Series:
-    """Python's sequence ratio, the target first (it isn't symmetric)."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() if a is not None and b is not None else None for a, b in zip(target, candidate)])
-
-
-@F.pandas_udf(DoubleType())
-def ratio_from(target: pd.Series, candidate: pd.Series, least: pd.Series) -> pd.Series:
-    """The ratio where it is at least `least`; pairs that its cheap upper bounds rule out aren't aligned and give null."""
-    out = []
-    for a, b, low in zip(target, candidate, least):
-        match = SequenceMatcher(None, a, b)
-        out.append(match.ratio() if match.real_quick_ratio() >= low and match.quick_ratio() >= low else None)
-    return pd.Series(out, dtype="float64")
-
-
 def _resolve(rows: DataFrame, alias: DataFrame, fuzzy: Column, least: float) -> DataFrame:
     """rows (_kind, _k) with row_no, code, display, dim_unit and score of the alias (kind, row_no, ord, alias, code, display, unit) of equal kind that fits best.
 
     Equal keys score 1, the table's first row winning. What has no equal key and `fuzzy` is made distinct and scored against
-    aliases of such lengths that the ratio can reach `least`, met by a join on kind and length; ties go to the earliest
-    alias. The rows are worked out once, and settled before their misses are looked up. All joins are on keys, so the
-    table may be of any size; Spark broadcasts it where its size allows.
+    aliases whose letters allow a ratio of `least`, met through similar.candidates; ties go to the earliest
+    alias. All joins are on keys, so the table may be of any size; Spark broadcasts it where its size allows.
     """
     every = alias.withColumn("key", lookup_key(F.col("alias"))).where("key != ''")
     first = every.groupBy(F.col("kind").alias("_ekind"), F.col("key").alias("_ekey")).agg(F.min(F.struct("row_no", "ord", "code", "display", "unit")).alias("_e"))
+    # settled, as what finds the rows costs more than writing what was found
     met = settle(rows.join(first, (F.col("_kind") == F.col("_ekind")) & (F.col("_k") == F.col("_ekey")), "left").drop("_ekind", "_ekey"))
-    terms = met.where(F.col("_e").isNull() & (F.col("_k") != "") & fuzzy).select("_kind", "_k").distinct()
-    # a ratio is at most twice the shorter length over both
-    n = F.char_length("_k")
-    lengths = F.sequence(F.ceil(n * (least / (2 - least)) - 1e-9).cast("int"), F.floor(n * ((2 - least) / least) + 1e-9).cast("int"))
-    told = every.select(F.col("kind").alias("_akind"), F.char_length("key").alias("_an"), "key", "row_no", "ord", "code", "display", "unit")
-    pairs = terms.withColumn("_n", F.explode(lengths)).join(told, (F.col("_kind") == F.col("_akind")) & (F.col("_n") == F.col("_an")))
-    scored = pairs.withColumn("score", ratio_from("_k", "key", F.lit(least))).where(F.col("score") >= least)
+    terms = settle(met.where(F.col("_e").isNull() & (F.col("_k") != "") & fuzzy).select(F.col("_kind").alias("kind"), F.col("_k").alias("a")).distinct())
+    pairs = similar.candidates(terms, every.select("kind", F.col("key").alias("b")), least, ("kind",)).join(every.select("kind", F.col("key").alias("b"), "row_no", "ord", "code", "display", "unit"), ["kind", "b"])
+    scored = pairs.select(F.col("kind").alias("_kind"), F.col("a").alias("_k"), "row_no", "ord", "code", "display", "unit", similar.ratio_from("a", "b", F.lit(least)).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy(F.col("_kind").alias("_bkind"), F.col("_k").alias("_bkey")).agg(F.max_by(F.struct("row_no", "code", "display", "unit", "score"), F.struct("score", -F.col("row_no"), -F.col("ord"))).alias("_b"))
     out = met.join(best, (F.col("_kind") == F.col("_bkind")) & (F.col("_k") == F.col("_bkey")), "left")
     pick = lambda c: F.coalesce(f"_e.{c}", f"_b.{c}")

@@ -575,6 +575,51 @@ def brand_shortlists(spark, sf_dir):
     return metrics.shortlist(terms, dims.load(spark, "drug_alias").select(F.col("alias").alias("name"))).withColumn("score", F.round("score", 6))
 
 
+def _ratios(pairs: str) -> str:
+    """CTEs that give `ratios` (a, b, ratio) of a statement of pairs (a, b), by the sequence ratio's own definition: the longest common block, the earliest of equals, then what is left and right of it."""
+    return f"""pairs AS ({pairs}), segs(a, b, alo, ahi, blo, bhi, found) AS (
+  SELECT a, b, 1::BIGINT, length(a)::BIGINT + 1, 1::BIGINT, length(b)::BIGINT + 1, 0::BIGINT FROM pairs
+  UNION ALL
+  SELECT a, b, side.alo, side.ahi, side.blo, side.bhi, side.found FROM (
+    SELECT a, b, alo, ahi, blo, bhi, max(row(k, -i, -j)) AS best FROM segs, unnest(range(alo, ahi)) AS u(i), unnest(range(blo, bhi)) AS v(j), unnest(range(1, least(ahi - i, bhi - j) + 1)) AS w(k)
+    WHERE substr(a, i, k) = substr(b, j, k) GROUP BY a, b, alo, ahi, blo, bhi) AS x,
+    unnest([{{'alo': alo, 'ahi': -best[2], 'blo': blo, 'bhi': -best[3], 'found': best[1]}}, {{'alo': -best[2] + best[1], 'ahi': ahi, 'blo': -best[3] + best[1], 'bhi': bhi, 'found': 0::BIGINT}}]) AS s(side)
+), ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * sum(found) / (length(a) + length(b)) END::DOUBLE AS ratio FROM segs GROUP BY a, b)"""
+
+
+#: Words of parts, misread by a letter that their size picks, and the words that there are.
+_MISREAD = "SELECT p_partkey, p_size, w, CASE WHEN length(w) > 2 THEN substr(w, 1, CAST(p_size % length(w) AS INT)) || substr(w, CAST(p_size % length(w) AS INT) + 2, 99) ELSE w END AS term FROM (SELECT p_partkey, p_size, p_name, {first} AS w FROM part)"
+_FIRST = {"spark": "element_at(split(p_name, ' '), 1)", "duckdb": "string_split(p_name, ' ')[1]"}
+_WORDS = {"spark": "SELECT explode(split(p_name, ' ')) AS w FROM part UNION SELECT explode(regexp_extract_all(url, '[a-z]+', 0)) FROM pages", "duckdb": "SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT unnest(regexp_extract_all(url, '[a-z]+')) FROM pages"}
+
+
+@query(f"WITH RECURSIVE terms AS (SELECT DISTINCT term FROM ({_MISREAD.format(first=_FIRST['duckdb'])})), words AS ({_WORDS['duckdb']}), {_ratios('SELECT term AS a, w AS b FROM terms, words')} SELECT a AS term, b AS name, round(ratio, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY ratio DESC, b) AS rank_no FROM ratios QUALIFY rank_no <= {metrics.SHORTLIST}")
+def similar_names(spark, sf_dir):
+    """The five words of parts and addresses that are most alike to each misread word."""
+    tables(spark, sf_dir, "part", "pages")
+    terms, words = spark.sql(_MISREAD.format(first=_FIRST["spark"])).select("term"), spark.sql(_WORDS["spark"]).withColumnRenamed("w", "name")
+    return metrics.shortlist(terms, words).withColumns({"score": F.round("score", 6), "rank_no": F.col("rank_no").cast("long")})
+
+
+@query(f"WITH RECURSIVE misread AS ({_MISREAD.format(first=_FIRST['duckdb'])}), words AS (SELECT row_number() OVER (ORDER BY w) AS code, w FROM ({_WORDS['duckdb']}) WHERE length(w) > 2), {_ratios('SELECT DISTINCT term AS a, words.w AS b FROM misread, words')}, best AS (SELECT a, arg_max(code, row(ratio, -code)) AS code, max(ratio) AS score FROM ratios JOIN words ON b = words.w WHERE ratio >= {coding.FUZZY} GROUP BY 1) SELECT p_partkey, term, 'c' || code AS code, round(score, 6) AS score, CASE WHEN code IS NOT NULL THEN score < 1 END AS review FROM misread LEFT JOIN best ON a = term")
+def coded_words(spark, sf_dir):
+    """Each part's misread word with the code of the word that it fits best, the words of the tables being the dimension."""
+    tables(spark, sf_dir, "part", "pages")
+    words = spark.sql(_WORDS["spark"]).where("length(w) > 2").withColumn("n", F.row_number().over(Window.orderBy("w")))
+    alias = words.select(F.col("n").alias("row_no"), F.lit(0).alias("ord"), F.col("w").alias("alias"), F.concat(F.lit("c"), F.col("n").cast("string")).alias("code"), F.col("w").alias("display"))
+    rows = spark.sql(_MISREAD.format(first=_FIRST["spark"])).select("p_partkey", "term")
+    return coding.fuzzy_lookup(rows, "term", alias).select("p_partkey", "term", "code", F.round("score", 6).alias("score"), "review")
+
+
+@query(f"WITH RECURSIVE misread AS ({_MISREAD.format(first=_FIRST['duckdb'])}), asked AS (SELECT m.p_partkey, m.term, lower(regexp_replace(p.p_name || p.p_brand, '[^A-Za-z0-9]', '', 'g')) AS text FROM misread m JOIN part p ON p.p_partkey = m.p_partkey + m.p_size % 3), hay AS (SELECT DISTINCT term, text FROM asked WHERE NOT contains(text, term)), win AS (SELECT DISTINCT term, text, substr(text, k, s) AS w FROM hay, unnest(range(greatest(3, length(term) - 2), length(term) + 3)) AS a(s), unnest(range(1, length(text) - s + 2)) AS b(k)), {_ratios('SELECT DISTINCT w AS a, term AS b FROM win')}, found AS (SELECT term, text, max(ratio) >= {metrics.MATCH} AS fuzzy FROM win JOIN ratios ON a = w AND b = term GROUP BY 1, 2) SELECT p_partkey, contains(text, term) AS strict, contains(text, term) OR fuzzy AS fuzzy FROM asked LEFT JOIN found USING (term, text)")
+def misread_names_found(spark, sf_dir):
+    """Whether each part's misread word stands in a neighbour's name, as it is or alike; names come from the rows."""
+    tables(spark, sf_dir, "part")
+    rows = spark.sql(_MISREAD.format(first=_FIRST["spark"])).withColumn("of", F.col("p_partkey") + F.col("p_size") % 3)
+    asked = rows.join(spark.sql("SELECT p_partkey AS of, p_name || p_brand AS text FROM part"), "of")
+    return metrics.found_in(asked, "term", "text").select("p_partkey", "strict", "fuzzy")
+
+
 #: Lines of a page, and names looked for: one that is there, one read badly, one that isn't there.
 _PAGE = [f"{form} {r[2]}" for r, form in zip(DRUGS[1::4], ["Tab.", "Cap", "1. Tab", "Syp."] * 3)]
 _LOOKED = [(r[2], r[2][0] + r[2][2:], "Zzyzx") for r in DRUGS[1::4]]

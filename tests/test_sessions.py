@@ -187,7 +187,7 @@ def test_metrics(spark):
     rows = spark.createDataFrame([(1, 2, 4, 3), (1, 0, 0, 0), (2, 0, 5, 0)], "g int, n_correct int, n_extracted int, n_expected int")
     out = {r.g: (r.precision, round(r.recall, 6), round(r.f1, 6)) for r in metrics.precision_recall(rows, ["g"]).collect()}
     assert out == {1: (0.5, 0.666667, 0.571429), 2: (0.0, 0.0, 0.0)}
-    assert metrics.best_window("abc", "xxabcxx") == 1.0 and metrics.best_window("", "x") == 0.0 and 0.7 < metrics.best_window("glycomet", "tab glicomet 500") < 1
+    assert metrics.best_window("abc", "xxabcxx") == (1.0, 0) and metrics.best_window("", "x") == (0.0, 0) and 0.7 < metrics.best_window("glycomet", "tab glicomet 500")[0] < 1
     a = spark.createDataFrame([("d", 0, "Glycomet"), ("d", 1, "Telma")], "document_id string, a_no int, a string")
     b = spark.createDataFrame([("d", 0, "Glycomett"), ("d", 1, "Glycomet"), ("d", 2, "zzz")], "document_id string, b_no int, b string")
     assert [(r.a_no, r.b_no) for r in metrics.one_to_one(a, b).collect()] in ([(0, 0)], [(0, 1)])
