@@ -29,11 +29,11 @@ HOT_ANCHOR = 8_192
 #: One replica in so many is counted to find such anchors; a miss costs time, not links.
 HOT_SAMPLE = 64
 #: Of similar texts: words of a shingle, the least Jaccard similarity of shingle sets, and the words of a fingerprint.
-SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
-#: Texts that are just similar enough differ in 15 % of the bits: of 64 in 9.7 with deviation 2.9, of 256 in 38.8 with 5.7.
+SHINGLE, SIMILARITY, WORDS = 5, 0.8, 6
+#: Texts that are just similar enough differ in 15 % of the bits: of 64 in 9.7 with deviation 2.9, of 384 in 58.2 with 7.
 NEAR_BITS, NEAR_SHARE = 20, 0.24
 #: What is as near as this to one that leads a bucket doesn't lead there itself.
-CLOSE_BITS = 14
+CLOSE_BITS = 10
 #: Documents that are looked up by a broadcast of their ids; more by a shuffle of the texts.
 FEW = 500_000
 _SMALL = 48
@@ -292,29 +292,56 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _led(keys: np.ndarray, f: np.ndarray, near: int, close: int = CLOSE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, leaders) of buckets of equal, sorted keys: rows b within `near` bits of a bucket's leader a; every row is within `close` bits of a leader or one itself, the first ones in order.
+    """(a, b, leaders) of buckets of equal, sorted keys: leaders are the first rows in order that are over `close` bits from all leaders before them; (a, b) are each leader and all rows within `near` bits of it, two leaders once.
 
-    So a group of near copies makes a row or so a copy, not a pair for every two.
+    So a group of near copies makes a row a copy and leader, not a pair for every two.
     """
-    rest, a, b, led = np.arange(len(keys)), [], [], []
-    while len(rest):
-        k = keys[rest]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        leader = np.repeat(rest[first], np.diff(np.r_[first, len(rest)]))
-        led.append(rest[first])
-        apart = np.bitwise_count(f[rest] ^ f[leader])
-        hit = (apart <= near) & (rest != leader)
-        a.append(leader[hit])
-        b.append(rest[hit])
-        rest = rest[apart > close]
+    rows, open_, led_before = np.arange(len(keys)), np.ones(len(keys), bool), np.zeros(len(keys), bool)
+    a, b, led = [], [], []
+    while len(rows):
+        k = keys[rows]
+        bucket = np.cumsum(np.r_[False, k[1:] != k[:-1]])
+        at = np.flatnonzero(open_[rows])
+        if not len(at):
+            break
+        first = at[np.r_[True, bucket[at][1:] != bucket[at][:-1]]]
+        leader = np.full(bucket[-1] + 1, -1)
+        leader[bucket[first]] = rows[first]
+        led.append(rows[first])
+        of = leader[bucket]
+        rows, of = rows[of >= 0], of[of >= 0]  # the others' buckets are done
+        apart = np.bitwise_count(f[rows] ^ f[of])
+        led_before[led[-1]] = True
+        hit = (apart <= near) & ~led_before[rows]
+        a.append(of[hit])
+        b.append(rows[hit])
+        open_[rows[apart <= close]] = False
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, led))
 
 
+def _in_buckets(batches, n: int):
+    """Columns of whole buckets, of about _BATCH rows or one bucket: batches sorted by their first two columns, of n columns."""
+    held, size = [], 0
+    for batch in released(batches):
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)])
+        size += batch.num_rows
+        k, s = held[-1][:2]
+        if size >= _BATCH and (k[0], s[0]) != (k[-1], s[-1]):
+            end = int(np.flatnonzero((k != k[-1]) | (s != s[-1]))[-1]) + 1  # the last bucket may go on
+            yield [np.concatenate(x) for x in zip(*held[:-1], [x[:end] for x in held[-1]])]
+            held, size = [[x[end:] for x in held[-1]]], len(k) - end
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, close: int = CLOSE_BITS) -> DataFrame:
     """(a, b), distinct, of classes (c, w0, w1, ...) that meet at an anchor and are near in the next word.
 
-    Each half of each word is covered as in links(), within covering radius + 1. Anchors with very many replicas are
-    dealt out by salt; the leaders of their parts are compared once more.
+    Each half of each word is covered as in links(), within covering radius + 1. At an anchor all rows meet its leaders. Anchors with very
+    many replicas are dealt out by salt: the leaders of their parts find out which of them lead the whole, and these go to every
+    part, so there, too, all rows meet all leaders.
     """
     spark = prints.sparkSession
     ship(spark)
@@ -327,44 +354,52 @@ def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, clo
                     keys, of = anchors(prints_[w][at : at + 4096].view(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(keys | w << 32), pa.array(prints_[(w + 1) % words][at : at + 4096][of]), pa.array(c[at : at + 4096][of])], names=["k", "f", "c"])
 
+    def bucket(k, s):
+        return np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]) if len(k) else k
+
+    def met(c, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b]))], names=["a", "b"])
+
     def compare(batches):
-        def done(parts):
-            k, s, f, c, hot = (np.concatenate(x) for x in zip(*parts))
-            # neighbours of equal key and salt are one bucket
-            bucket = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]) if len(k) else k
-            a, b, led = _led(bucket, f.view(np.uint64), near, close)
-            led = led[hot[led]]
-            none = np.zeros(len(led), np.int64)
-            columns = (np.r_[none, np.minimum(c[a], c[b])], np.r_[none, np.maximum(c[a], c[b])], np.r_[k[led], np.full(len(a), -1)], np.r_[f[led], np.zeros(len(a), np.int64)], np.r_[c[led], np.zeros(len(a), np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "k", "f", "c"])
-
-        held, n = [], 0
-        for batch in released(batches):
-            if not batch.num_rows:
-                continue
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-            n += batch.num_rows
-            k, s = held[-1][:2]
-            if n >= _BATCH and (k[0], s[0]) != (k[-1], s[-1]):
-                end = int(np.flatnonzero((k != k[-1]) | (s != s[-1]))[-1]) + 1  # the last bucket may go on
-                yield done([*held[:-1], [x[:end] for x in held[-1]]])
-                held, n = [[x[end:] for x in held[-1]]], len(k) - end
-        if held:
-            yield done(held)
+        for k, s, f, c in _in_buckets(batches, 4):
+            a, b, _ = _led(bucket(k, s), f.view(np.uint64), near, close)
+            yield met(c, a, b)
+
+    def lead(batches):
+        for k, s, f, c in _in_buckets(batches, 4):
+            *_, led = _led(bucket(k, s), f.view(np.uint64), -1, close)
+            yield pa.RecordBatch.from_arrays([pa.array(x[led]) for x in (k, f, c)], names=["k", "f", "c"])
+
+    def follow(batches):
+        """Rows against the leaders of their bucket, which come first in it."""
+        for k, s, f, c, leads in _in_buckets(batches, 5):
+            of, f = bucket(k, s), f.view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for start, stop in zip(starts, np.r_[starts[1:], len(of)]):
+                n = int(leads[start:stop].sum())
+                for i in range(start, start + n):
+                    hit = np.flatnonzero(np.bitwise_count(f[start + n : stop] ^ f[i]) <= near) + start + n
+                    if len(hit):
+                        yield met(c, np.full(len(hit), i), hit)
 
     columns = ["c", *(f"w{w}" for w in range(words))]
     rows = prints.select(*columns).mapInArrow(replicate, "k long, f long, c long")
     sample = prints.where(F.pmod(F.xxhash64("c"), F.lit(HOT_SAMPLE)) == 0).select(*columns).mapInArrow(replicate, "k long, f long, c long").groupBy("k").count()
     hot = cut(sample.where(F.col("count") >= HOT_ANCHOR // HOT_SAMPLE).select("k", F.ceil(F.col("count") * (2 * HOT_SAMPLE) / HOT_ANCHOR).alias("parts")))
     n = hot.count()
-    dealt = rows.join(sized_broadcast(hot, n, 50_000), "k", "left").select("k", F.coalesce(F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(0)).alias("s"), "f", "c", F.col("parts").isNotNull().alias("hot")) if n else rows.select("k", F.lit(0).cast("long").alias("s"), "f", "c", F.lit(False).alias("hot"))
-    kinds = "a long, b long, k long, f long, c long"
-    found = dealt.repartition("k", "s").sortWithinPartitions("k", "s", "f", "c").mapInArrow(compare, kinds)
-    if n:
-        found = cut(found)
-        leaders = found.where("k >= 0").select("k", F.lit(0).cast("long").alias("s"), "f", "c", F.lit(False).alias("hot"))
-        found = found.unionByName(leaders.repartition("k").sortWithinPartitions("k", "s", "f", "c").mapInArrow(compare, kinds))
-    return found.where("k < 0 and a != b").select("a", "b").distinct()
+    order = ["k", "s", "f", "c"]
+    if not n:
+        found = rows.select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    else:
+        few = sized_broadcast(hot, n, 50_000)
+        cold = rows.join(few, "k", "left_anti").select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+        dealt = rows.join(few, "k").select("k", F.pmod(F.xxhash64("c"), F.col("parts")).alias("s"), "f", "c")
+        parts = dealt.repartition("k", "s").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long")
+        leaders = cut(parts.select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long"))
+        sent = leaders.join(few, "k").select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), "f", "c", F.lit(True).alias("leads"))
+        all_ = sent.unionByName(dealt.withColumn("leads", F.lit(False))).repartition("k", "s").sortWithinPartitions("k", "s", F.desc("leads"), "f", "c")
+        found = cold.unionByName(all_.mapInArrow(follow, "a long, b long"))
+    return found.where("a != b").distinct()
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -403,8 +438,8 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two texts are linked if the Jaccard similarity of their sets of shingles of `size` lower-cased words is at least `least`;
     groups are what links connect. Candidates come from fingerprints of `words` words of 64 bits, 31 bits of each half of
-    which are covered by anchors, and are verified on the sets: no link is wrong, and one in five of those at the least
-    similarity may be missed, one in a hundred from 0.9 on (see README).
+    which are covered by anchors, and are verified on the sets: no link is wrong, and some one in fifteen of those at the least
+    similarity may be missed, hardly any from 0.85 on (see README).
 
     Texts of fewer words are one shingle; null and blank texts have none and are one group. A row with a null id stays only
     where its whole group has none. Rows equal in id and text are one row. Columns pass through; an empty table gives no rows.
