@@ -113,3 +113,15 @@ def abnormal_markers(found: DataFrame, flags: DataFrame, key: list[str]) -> Data
     """Entities with the direction of the last flag of the same analyte in the same document."""
     last = flags.groupBy(*key, F.lower("text").alias("_a")).agg(F.max_by("direction", "entity_no").alias("marker"))
     return found.withColumn("_a", F.lower("text")).join(last, [*key, "_a"], "left").drop("_a")
+
+
+def canonical(text: Column) -> Column:
+    """JSON with its keys in order and numbers without needless zeros, so that equal values have equal text."""
+    return F.to_json(F.parse_json(text))
+
+
+def entries(bundles: DataFrame, session: list[str]) -> DataFrame:
+    """(session, at, resource_type, resource variant) of bundles (session, bundle): each entry, as a value that variant_get reads."""
+    whole = F.variant_get(F.parse_json("bundle"), "$.entry", "array<variant>")
+    rows = bundles.select(*session, F.posexplode(whole).alias("at", "e"))
+    return rows.select(*session, "at", F.variant_get("e", "$.resource.resourceType", "string").alias("resource_type"), F.variant_get("e", "$.resource", "variant").alias("resource"))

@@ -114,7 +114,8 @@ def fold_duplicates(entries: DataFrame) -> DataFrame:
     names = _NAMES
     ids = f"array<{types['document_id']}>"
     by = ["session", "kind", "date"]
-    folded = counted.where(~alone).drop("_n").repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(_fold_sorted, ", ".join(f"{n} {types[n]}" for n in names) + f", duplicate_of {ids}, keys array<string>")
+    # the count has dealt the rows out by these three, so the fold only sorts them
+    folded = counted.where(~alone).drop("_n").sortWithinPartitions(*by, "seq").mapInPandas(_fold_sorted, ", ".join(f"{n} {types[n]}" for n in names) + f", duplicate_of {ids}, keys array<string>")
     single = counted.where(alone).select(*names, F.array().cast(ids).alias("duplicate_of"), "keys")
     return single.unionByName(folded)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.plans import documents, sessions
+from chartloom.plans import documents, sessions, whole
 
-MODULES = (documents, sessions)
+MODULES = (documents, sessions, whole)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

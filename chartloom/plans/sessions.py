@@ -84,17 +84,48 @@ def duplicate_verdicts(spark, sf_dir):
 
 
 def _entries(spark, sf_dir):
-    """Entries with keys; each order comes again as a worse copy under the next number."""
-    doses = F.array().cast("array<struct<drug:string,doses:array<string>>>")
-    e = make(spark, sf_dir, "entries").join(_keysets(spark, sf_dir).select(F.col("id").alias("seq"), "keys"), "seq").withColumn("doses", doses).withColumn("seq", F.col("seq") * 2)
-    copy = e.withColumn("seq", F.col("seq") + 1).withColumn("document_id", -F.col("document_id")).withColumn("confidence", F.col("confidence") - 0.05)
-    return e.unionByName(copy).withColumn("title", F.col("title"))
+    """Entries with keys and doses; each order comes again as a worse copy under the next number, of a clinic where the first has none."""
+    doses = F.when(F.array_contains("keys", "k0"), F.array(F.struct(F.lit("k0").alias("drug"), F.array(F.when(F.col("seq") % 8 < 4, "500mg").otherwise("250mg")).alias("doses")))).otherwise(F.array().cast("array<struct<drug:string,doses:array<string>>>"))
+    e = make(spark, sf_dir, "entries").join(_keysets(spark, sf_dir).select(F.col("id").alias("seq"), "keys"), "seq").withColumn("doses", doses)
+    # days are folded to quarters, so that more than copies meet
+    e = e.withColumns({"seq": F.col("seq") * 2, "date": F.trunc("date", "quarter"), "kind": F.when(F.col("kind") == "note", "lab").otherwise(F.col("kind"))})
+    copy = e.withColumns({"seq": F.col("seq") + 1, "document_id": -F.col("document_id"), "confidence": F.col("confidence") - 0.05, "facility": F.coalesce("facility", F.lit("Ward"))})
+    return e.unionByName(copy)
+
+
+_FOLD = f"""{cte('entries')}, {_KEYS}, one AS (
+  SELECT e.session, e.seq * 2 AS seq, document_id, CASE kind WHEN 'note' THEN 'lab' ELSE kind END AS kind, date_trunc('quarter', date)::DATE AS date, facility, confidence, keys,
+         CASE WHEN list_contains(keys, 'k0') THEN CASE WHEN e.seq % 8 < 4 THEN '500mg' ELSE '250mg' END END AS dose
+  FROM entries e JOIN keyset k ON k.id = e.seq
+), doubled AS (
+  SELECT * FROM one UNION ALL SELECT session, seq + 1, -document_id, kind, date, coalesce(facility, 'Ward'), confidence - 0.05, keys, dose FROM one
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY session, kind, date, CASE WHEN date IS NULL THEN seq END ORDER BY seq) AS n, CASE WHEN date IS NULL THEN seq ELSE 0 END AS g,
+         {{'seq': seq, 'document_id': document_id, 'facility': facility, 'confidence': confidence, 'keys': keys, 'dose': dose, 'ids': [document_id]}} AS x
+  FROM doubled
+), met(session, kind, date, g, n, kept) AS (
+  SELECT session, kind, date, g, n, [x] FROM e WHERE n = 1
+  UNION ALL
+  SELECT session, kind, date, g, n, CASE WHEN spot = 0 THEN list_append(kept, x) ELSE list_concat(kept[1 : spot - 1], [CASE WHEN x.confidence > kept[spot].confidence
+    THEN {{'seq': kept[spot].seq, 'document_id': x.document_id, 'facility': coalesce(x.facility, kept[spot].facility), 'confidence': x.confidence, 'keys': list_sort(list_distinct(list_concat(kept[spot].keys, x.keys))), 'dose': coalesce(kept[spot].dose, x.dose), 'ids': list_append(kept[spot].ids, x.document_id)}}
+    ELSE {{'seq': kept[spot].seq, 'document_id': kept[spot].document_id, 'facility': coalesce(kept[spot].facility, x.facility), 'confidence': kept[spot].confidence, 'keys': list_sort(list_distinct(list_concat(kept[spot].keys, x.keys))), 'dose': coalesce(kept[spot].dose, x.dose), 'ids': list_append(kept[spot].ids, x.document_id)}} END], kept[spot + 1 : ]) END
+  FROM (SELECT m.session, m.kind, m.date, m.g, e.n, kept, x, coalesce(list_position(list_transform(kept, lambda k: least(len(k.keys), len(e.keys)) >= 2 AND coalesce(k.dose = e.dose, true) AND len(list_intersect(k.keys, e.keys)) / len(list_distinct(list_concat(k.keys, e.keys))) >= 0.6), true), 0) AS spot
+        FROM met m JOIN e ON e.session = m.session AND e.kind = m.kind AND e.date IS NOT DISTINCT FROM m.date AND e.g = m.g AND e.n = m.n + 1)
+), folded AS (
+  SELECT session, kind, date, unnest(kept) AS k FROM (SELECT *, max(n) OVER (PARTITION BY session, kind, date, g) AS last FROM met) WHERE n = last
+)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_FOLD} SELECT session, k.seq AS seq, k.document_id AS document_id, kind, strftime(date, '%Y-%m-%d') AS date, k.facility AS facility, round(k.confidence, 6) AS confidence, array_to_string(list_filter(k.ids, lambda i: i <> k.document_id), ',') AS duplicate_of, array_to_string(list_sort(k.keys), ',') AS keys FROM folded")
 def timeline_folded(spark, sf_dir):
-    """The greedy fold depends on order, which SQL without recursion can't express; tests compare it with a plain loop."""
-    return timeline.fold_duplicates(_entries(spark, sf_dir)).select("session", "seq", "document_id", "kind", "date", "confidence", F.size("duplicate_of").cast("long").alias("n_duplicates"), F.array_join(F.array_sort("keys"), ",").alias("keys"))
+    """Entries kept by the greedy fold, with what they absorbed: its SQL folds a list recursively, entry by entry."""
+    kept = timeline.fold_duplicates(_entries(spark, sf_dir))
+    return kept.select("session", "seq", "document_id", "kind", F.col("date").cast("string").alias("date"), "facility", F.round("confidence", 6).alias("confidence"), F.array_join("duplicate_of", ",").alias("duplicate_of"), F.array_join(F.array_sort("keys"), ",").alias("keys"))
+
+
+@query(f"WITH RECURSIVE {_FOLD}, gone AS (SELECT session, k.document_id AS kept_id, unnest(list_filter(k.ids, lambda i: i <> k.document_id)) AS other FROM folded) SELECT session, 'merged ' || other || ' into ' || kept_id || ': same day, same kind, shared content' AS note FROM gone")
+def merge_notes(spark, sf_dir):
+    return timeline.merge_notes(timeline.fold_duplicates(_entries(spark, sf_dir)))
 
 
 _DOCS = "docs AS (SELECT o_orderkey AS document_id, o_custkey AS session, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS mean_confidence, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 4 END AS n_entities FROM orders)"
@@ -497,10 +528,13 @@ def contradictions(spark, sf_dir):
     return summary.contradictions(denials, meds, ["session"]).drop("topic")
 
 
+INTERVIEWS = "SELECT c_custkey AS session, CASE c_custkey % 4 WHEN 0 THEN map('cc.primary', 'pain', 'cc.area', 'chest', 'soc.severity', '0', 'px.surgery', 'no') WHEN 1 THEN map('cc.primary', 'fever', 'cc.describe', 'since Monday', 'px.surgery', 'yes', 'ros.anything', 'tired') WHEN 2 THEN map('cc.describe', 'since Monday') ELSE map('x', 'y') END AS answers, map('soc.associations', array('nausea', 'none', 'sweat'), 'px.conditions', array('asthma'), 'pf.family', array('none'), 'pf.habits', array('tea', 'tobacco'), 'ros.screen', array('cough', 'none')) AS lists FROM customer"
+
+
 @query("WITH a AS (SELECT c_custkey AS session, c_custkey % 4 AS k FROM customer) SELECT session, 'chief_complaint' AS heading, CASE k WHEN 0 THEN 'Presenting complaint: pain in the chest.' WHEN 1 THEN 'Presenting complaint: fever.' || chr(10) || 'Patient''s own words: \"since Monday\"' WHEN 2 THEN 'Patient''s own words: \"since Monday\"' ELSE 'Not answered in this interview.' END AS en, CASE k WHEN 0 THEN 0.7 WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS confidence FROM a UNION ALL SELECT session, 'hpi', CASE WHEN k = 0 THEN 'Severity: 0/10. Associated with: nausea, sweat.' WHEN k IN (1, 2) THEN 'History of presenting illness, in the patient''s own words: \"since Monday\". Structured follow-up questions for this type of complaint are not yet in the interview ontology.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 3 THEN 0 ELSE 0.5 END FROM a UNION ALL SELECT session, 'past_surgical', CASE WHEN k = 0 THEN 'Patient reports no prior operations.' WHEN k = 1 THEN 'Patient reports a prior operation; details not captured.' ELSE 'Not answered in this interview.' END, CASE WHEN k = 0 THEN 0.9 WHEN k = 1 THEN 0.8 ELSE 0 END FROM a UNION ALL SELECT session, 'past_medical', 'Patient-reported known conditions: asthma.', 0.85 FROM a UNION ALL SELECT session, 'family', 'Not answered in this interview.', 0 FROM a UNION ALL SELECT session, 'personal', 'Reported habits: tea, tobacco.', 0.85 FROM a UNION ALL SELECT session, 'ros', 'Reported in the last few weeks: cough.' || CASE WHEN k = 1 THEN ' Patient added: \"tired\"' ELSE '' END, 0.8 FROM a UNION ALL SELECT session, 'ayurvedic_assessment', 'Not answered in this interview.', 0 FROM a")
 def interview_sections(spark, sf_dir):
     tables(spark, sf_dir, "customer")
-    rows = spark.sql("SELECT c_custkey AS session, CASE c_custkey % 4 WHEN 0 THEN map('cc.primary', 'pain', 'cc.area', 'chest', 'soc.severity', '0', 'px.surgery', 'no') WHEN 1 THEN map('cc.primary', 'fever', 'cc.describe', 'since Monday', 'px.surgery', 'yes', 'ros.anything', 'tired') WHEN 2 THEN map('cc.describe', 'since Monday') ELSE map('x', 'y') END AS answers, map('soc.associations', array('nausea', 'none', 'sweat'), 'px.conditions', array('asthma'), 'pf.family', array('none'), 'pf.habits', array('tea', 'tobacco'), 'ros.screen', array('cough', 'none')) AS lists FROM customer")
+    rows = spark.sql(INTERVIEWS)
     return summary.interview_sections(rows, ["session"]).select("session", "heading", "en", "confidence")
 
 
