@@ -154,7 +154,7 @@ sections AS (SELECT session, 0 AS side, 0 AS position, 'drugs_allergy' AS headin
 open AS (SELECT c_custkey AS session, CASE WHEN c_custkey % 2 = 0 THEN ['pain.where'] ELSE [] END || CASE WHEN u > 0 THEN [u || ' unreadable documents'] ELSE [] END || ['sleep'] AS points FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS u FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 
 
-@query(f"WITH {_HISTORY} SELECT session, 'draft' AS status, count(*) AS n_sections, md5(string_agg(heading || '|' || en || '|' || round(confidence * 10000000)::BIGINT, chr(10) ORDER BY side, position)) AS sections_md5, array_to_string(any_value(points) || list(heading || ': nothing recorded' ORDER BY position) FILTER (WHERE side = 1 AND confidence = 0), '; ') AS gaps, round(coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0), 6) AS mean_confidence FROM sections FULL JOIN open USING (session) GROUP BY session")
+@query(f"WITH {_HISTORY} SELECT session, 'draft' AS status, count(*) AS n_sections, md5(string_agg(heading || '|' || en || '|' || round(confidence * 10000000)::BIGINT, chr(10) ORDER BY side, position)) AS sections_md5, array_to_string(any_value(points) || list(heading || ': nothing recorded' ORDER BY position) FILTER (WHERE side = 1 AND confidence = 0), '; ') AS gaps, round(coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0), 9) AS mean_confidence FROM sections FULL JOIN open USING (session) GROUP BY session")
 def histories(spark, sf_dir):
     """Every session's draft: ten sections with option labels, flags and warnings from their operators, and all that stays open."""
     entries = timeline.order(make(spark, sf_dir, "entries"), ["session"])
@@ -174,4 +174,4 @@ def histories(spark, sf_dir):
     warned = unread.select("session", F.when(F.col("u") > 0, F.array(F.concat(F.col("u").cast("string"), F.lit(" unreadable documents")))).otherwise(F.array().cast("array<string>")).alias("warnings"))
     out = summary.history(part(drugs, 0).unionByName(part(prior, 1)), told, open_, warned, ["session"])
     line = F.transform("sections", lambda x: F.concat(x["heading"], F.lit("|"), x["en"], F.lit("|"), F.round(x["confidence"] * 10_000_000).cast("long").cast("string")))
-    return out.select("session", "status", F.size("sections").cast("long").alias("n_sections"), F.md5(F.array_join(line, "\n")).alias("sections_md5"), F.array_join("gaps", "; ").alias("gaps"), F.round("mean_confidence", 6).alias("mean_confidence"))
+    return out.select("session", "status", F.size("sections").cast("long").alias("n_sections"), F.md5(F.array_join(line, "\n")).alias("sections_md5"), F.array_join("gaps", "; ").alias("gaps"), F.round("mean_confidence", 9).alias("mean_confidence"))
