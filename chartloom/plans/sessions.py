@@ -477,11 +477,50 @@ def duration_flags(spark, sf_dir):
     return interview.red_flags(rows, when, ["session_id"]).select("ord", "reason")
 
 
-@query()
+SERVED = {"sections": [
+    {"id": "b", "order": 2, "trigger": "view == no && click in [yes, no]", "questions": [{"id": "signup"}]},
+    {"id": "a", "order": 1, "always": True, "questions": [{"id": "click", "follow_up_on_yes": "error"}, {"id": "error"}, {"id": "view"}, {"id": "purchase", "capture_mode": "examiner_required"}]},
+    {"id": "c", "order": 3, "trigger": "view >= 3", "questions": [{"id": "purchase2"}]},
+]}
+def _traffic(spark, sf_dir):
+    """The event log as an interview's events."""
+    question = F.when(F.col("question_id") == "purchase", "purchase2").otherwise(F.col("question_id")).alias("question_id")
+    return _answers(spark, sf_dir).select("session_id", (F.col("ord") * 2).cast("long").alias("ord"), F.when(F.col("ord") % 31 == 1, "start").otherwise("answer").alias("kind"), F.lit("allopathic").alias("mode"), question, "value", "multi", F.lit(None).cast("string").alias("transcript"))
+
+
+_KNOWN = "list_filter(['click', CASE WHEN got['click'] = 'yes' THEN 'error' END, 'view', CASE WHEN got['view'] = 'no' AND got['click'] IN ('yes', 'no') THEN 'signup' END, CASE WHEN try_cast(got['view'] AS DOUBLE) >= 3 THEN 'purchase2' END], lambda x: x IS NOT NULL)"
+_LEFT = f"list_filter({_KNOWN}, lambda x: NOT list_contains(map_keys(got), x))"
+
+
+@query(f"""WITH RECURSIVE {_ANS}, log AS (
+  SELECT session_id, ord * 2 AS ord, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS n, CASE WHEN ord % 31 = 1 THEN 'start' ELSE 'answer' END AS kind, CASE WHEN question_id = 'purchase' THEN 'purchase2' ELSE question_id END AS question, value FROM answers
+), step(session_id, n, ord, open, got, status, following, answered, total) AS (
+  SELECT session_id, 0::BIGINT, 0::BIGINT, false, MAP {{}}::MAP(VARCHAR, VARCHAR), '', NULL::VARCHAR, 0::BIGINT, 0::BIGINT FROM log GROUP BY 1
+  UNION ALL
+  SELECT session_id, n, ord, now AND len({_LEFT}) > 0, got, status, CASE WHEN now THEN ({_LEFT})[1] END, CASE WHEN now THEN len({_KNOWN}) - len({_LEFT}) ELSE 0 END, CASE WHEN now THEN len({_KNOWN}) ELSE 0 END
+  FROM (SELECT l.session_id, l.n, l.ord, l.kind = 'start' OR s.open AS now,
+               CASE WHEN l.kind = 'start' THEN 'started' WHEN NOT s.open THEN 'unknown session' WHEN l.question = s.following THEN 'accepted' ELSE 'refused: waiting for ' || s.following END AS status,
+               CASE WHEN l.kind = 'start' THEN MAP {{}}::MAP(VARCHAR, VARCHAR) WHEN s.open AND l.question = s.following THEN map_concat(s.got, MAP([l.question], [l.value])) ELSE s.got END AS got
+        FROM step s JOIN log l ON l.session_id = s.session_id AND l.n = s.n + 1) AS x
+)
+SELECT session_id, ord, status, following AS next_question, status <> 'unknown session' AND following IS NULL AS completed, answered, total AS estimated_total FROM step WHERE n > 0""")
 def session_service(spark, sf_dir):
-    """The event log as an interview's traffic: each session starts, then answers, mostly out of turn. What waits rests on what was accepted before, which SQL without recursion can't say; tests compare with plain loops and the stream."""
-    log = _answers(spark, sf_dir).select("session_id", (F.col("ord") * 2).cast("long").alias("ord"), F.when(F.col("ord") % 9 == 1, "start").otherwise("answer").alias("kind"), F.lit("allopathic").alias("mode"), "question_id", "value", "multi", F.lit(None).cast("string").alias("transcript"))
-    return dialogue.replay(log, dialogue.Script(_ontology(spark, sf_dir), _named_map())).select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
+    """The event log as an interview's traffic: each session starts, then answers, often out of turn. What waits rests on what was accepted before; its SQL takes a session's events one after the other."""
+    log = _traffic(spark, sf_dir)
+    return dialogue.replay(log, dialogue.Script(scan.check_ontology(SERVED))).select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
+
+
+@query(SQL["session_service"])
+def session_service_streaming(spark, sf_dir):
+    """The same steps from the events as a stream."""
+    from chartloom.streaming.interview import serve, state_store
+
+    base = scratch(spark, "serve")
+    log = _traffic(spark, sf_dir)
+    log.write.parquet(f"{base}/log")
+    with state_store(spark):
+        serve(spark.readStream.schema(dialogue.EVENT).parquet(f"{base}/log"), dialogue.Script(scan.check_ontology(SERVED))).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(dialogue.STEP).parquet(f"{base}/out").select("session_id", "ord", "status", "next_question", "completed", "answered", "estimated_total")
 
 
 # Constitution.
