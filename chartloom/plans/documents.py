@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from chartloom.functions import dates, dosing, text
+from chartloom.lineage import scratch
 from chartloom.operators import abnormal, coding, extract
 from chartloom.plans import bundle
 from chartloom.plans.inputs import ALIAS, ANALYTE, DAYS, DOC, DRUGS, FORM, GENERIC, HIGH, LABS, LOW, QTY, SENTENCE, SLOT, STRENGTH, TODAY, cte, make, pick, tables, values
@@ -299,33 +300,42 @@ def out_of_range_labs(spark, sf_dir):
     return abnormal.flags(judged).select("document_id", "session_id", "text", "value_num", "unit", "range_text", "direction", "code")
 
 
-@query(f"SELECT {len([r for n in ('lab_alias', 'drug_alias', 'condition_alias') for r in dims.seed_rows(n) if r[1] == 0])}::BIGINT AS terms")
-def term_count(spark, sf_dir):
-    return dims.term_count(spark)
+# A deployment's own alias tables, made of the test tables and read from its folder of CSV files.
+_FOLDER = {
+    "lab_alias": "SELECT CAST(p_partkey AS INT) AS row_no, CAST(p_partkey % 3 AS INT) AS ord, CASE WHEN p_partkey % 50 = 7 THEN '# ' || p_name ELSE '  ' || p_name || ' ' || p_brand || ' ' END AS alias, 'L' || CAST(p_partkey AS VARCHAR(9)) AS code, p_type AS display, CASE WHEN p_size % 10 = 0 THEN ' ' ELSE 'mg/dL' END AS unit FROM part",
+    "drug_alias": "SELECT CAST(s_suppkey AS INT) AS row_no, CAST(s_suppkey % 2 AS INT) AS ord, s_name AS alias, 'Generic ' || CAST(s_suppkey % 7 AS VARCHAR(9)) AS generic, 'R' || CAST(s_suppkey AS VARCHAR(9)) AS code, s_name AS display FROM supplier",
+    "condition_alias": "SELECT CAST(n_nationkey AS INT) AS row_no, 0 AS ord, n_name AS alias, CASE WHEN n_nationkey % 9 = 4 THEN '' ELSE 'S' || CAST(n_nationkey AS VARCHAR(9)) END AS code, n_name AS display FROM nation",
+}
+_READ = ", ".join(f"{n} AS (SELECT * REPLACE (trim(alias) AS alias) FROM ({sql}) WHERE NOT starts_with(trim(alias), '#'))" for n, sql in _FOLDER.items())
+_TERMS = "(" + " + ".join(f"(SELECT count(*) FROM {n} WHERE ord = 0)" for n in _FOLDER) + ")"
+_BLANK = {n: " OR ".join(f"trim({c.split()[0]}) = ''" for c in dims.SCHEMAS[n].split(", ") if c.endswith("string")) for n in _FOLDER}
+
 
+def _folder(spark, sf_dir) -> str:
+    tables(spark, sf_dir, "part", "supplier", "nation")
+    base = scratch(spark, "terms")
+    for name, sql in _FOLDER.items():
+        spark.sql(sql).write.csv(f"{base}/{name}.csv", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return base
 
-def _hygiene_sql() -> str:
-    rows = []
-    for n in ("lab_alias", "drug_alias", "condition_alias"):
-        keys: dict = {}
-        for r in seed_rows(n):
-            keys.setdefault(" ".join(re.findall("[a-z0-9]+", r[2].lower())), set()).add(r[0])
-            if any(isinstance(v, str) and not v.strip() for v in r):
-                rows.append((n, "blank field", r[2]))
-        rows += [(n, "repeated alias", k) for k, of in keys.items() if len(of) > 1]
-    return f"SELECT * FROM {values(rows, 'dim, fault, what', 'h')}" if rows else "SELECT '' AS dim, '' AS fault, '' AS what WHERE false"
+
+@query(f"WITH {_READ} SELECT {_TERMS}::BIGINT AS terms")
+def term_count(spark, sf_dir):
+    """The terms of a deployment's folder, read from CSV: trimmed, without comments."""
+    return dims.term_count(spark, _folder(spark, sf_dir))
 
 
-@query(_hygiene_sql)
+@query(f"WITH {_READ} " + " UNION ALL ".join(f"SELECT '{n}' AS dim, 'repeated alias' AS fault, k AS what FROM (SELECT array_to_string(regexp_extract_all(lower(alias), '[a-z0-9]+'), ' ') AS k, row_no FROM {n}) GROUP BY k HAVING count(DISTINCT row_no) > 1 UNION ALL SELECT '{n}', 'blank field', alias FROM {n} WHERE {_BLANK[n]}" for n in _FOLDER))
 def seed_hygiene(spark, sf_dir):
-    """Faults of the shipped alias tables."""
-    out = None
-    for n in ("lab_alias", "drug_alias", "condition_alias"):
-        part = dims.hygiene(dims.load(spark, n)).select(F.lit(n).alias("dim"), "fault", "what")
+    """Faults of a deployment's alias tables."""
+    folder, out = _folder(spark, sf_dir), None
+    for n in _FOLDER:
+        part = dims.hygiene(dims.load(spark, n, folder)).select(F.lit(n).alias("dim"), "fault", "what")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query(f"SELECT 'degraded' AS status, {len([r for n in ('lab_alias', 'drug_alias', 'condition_alias') for r in seed_rows(n) if r[1] == 0])}::BIGINT AS terms")
+@query(f"WITH {_READ} SELECT 'degraded' AS status, {_TERMS}::BIGINT AS terms")
 def service_status(spark, sf_dir):
-    return dims.status(spark).select("status", "terms")
+    """The state of a deployment without a recogniser, with its own terms."""
+    return dims.status(spark, _folder(spark, sf_dir)).select("status", "terms")
