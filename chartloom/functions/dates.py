@@ -81,11 +81,17 @@ def date_candidates(docs: DataFrame, today: str, text_col: str = "text") -> Data
     return out.select(*docs.columns, "pos", "iso", (F.col("_l.w") * F.when(F.col("_short"), SHORT_YEAR).otherwise(1.0)).alias("score"), F.col("_l.label").alias("label"))
 
 
+# Why a date counts.
+NO_DATE = "no usable date found on the document"
+SEVERAL_DATES = " equally-labelled dates, earliest kept"
+NO_LABEL = "unlabelled date on page"
+
+
 def clinical_date(docs: DataFrame, key: list[str], today: str, confidence_col: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with clinical_date, date_confidence and date_reason: the best candidate, scaled by how well the page was read; of different dates that tie the earliest, at 0.6. Candidates stay in their document's group."""
     found = date_candidates(docs.select(*key, text_col), today, text_col)
     top = found.withColumn("top", F.max("score").over(Window.partitionBy(*key))).where("abs(score - top) < 1e-9")
     one = top.groupBy(*key).agg(F.min("iso").alias("clinical_date"), F.max("top").alias("_score"), F.count_distinct("iso").alias("_n"), F.min_by("label", F.struct("iso", "pos")).alias("_label"))
     ocr = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(confidence_col))) if confidence_col else F.lit(1.0)
-    reason = F.when(F.col("_n").isNull(), "no usable date found on the document").when(F.col("_n") > 1, F.concat(F.lit("ambiguous: "), F.col("_n").cast("string"), F.lit(" equally-labelled dates, earliest kept"))).when(F.col("_label").isNull(), "unlabelled date on page").otherwise(F.concat(F.lit("labelled '"), "_label", F.lit("'")))
+    reason = F.when(F.col("_n").isNull(), NO_DATE).when(F.col("_n") > 1, F.concat(F.lit("ambiguous: "), F.col("_n").cast("string"), F.lit(SEVERAL_DATES))).when(F.col("_label").isNull(), NO_LABEL).otherwise(F.concat(F.lit("labelled '"), "_label", F.lit("'")))
     return docs.join(one, key, "left").select(*docs.columns, "clinical_date", F.coalesce(F.col("_score") * ocr * F.when(F.col("_n") > 1, TIE).otherwise(1.0), F.lit(0.0)).alias("date_confidence"), reason.alias("date_reason"))

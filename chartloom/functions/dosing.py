@@ -65,8 +65,8 @@ def dose_phrase(text: Column) -> Column:
     said = F.struct(F.coalesce(dose_sentence(dose_slots(text)), often).alias("main"), F.regexp_extract(text, DURATION, 1).alias("n"), F.regexp_extract(text, DURATION, 2).alias("unit"))
 
     def joined(x: Column) -> Column:
-        lasting = F.concat(F.lit("or "), x["n"], F.lit(" "))
-        return F.when(x["n"] == "", x["main"]).when(x["main"] == "", F.concat(F.lit("F"), lasting, F.lower(x["unit"]))).otherwise(F.concat(x["main"], F.lit(", f"), lasting, x["unit"]))
+        alone = F.concat(F.lit("For "), x["n"], F.lit(" "), F.lower(x["unit"]))
+        return F.when(x["n"] == "", x["main"]).when(x["main"] == "", alone).otherwise(F.concat(x["main"], F.lit(", for "), x["n"], F.lit(" "), x["unit"]))
 
     return let(said, joined)
 

@@ -24,11 +24,11 @@ def prakriti(answers: DataFrame, session: list[str], items: tuple = ITEMS) -> Da
 
 def missing_parameters(sessions: DataFrame, answers: DataFrame, parameters: DataFrame, session: list[str]) -> DataFrame:
     """(session, missing, n_missing, complete) for parameters (parameter, ord, capture_mode, question_id or null): those that patients report and that have no question or no answer. Others never count."""
-    want = parameters.where("capture_mode = 'patient_reported'")
-    every = sessions.crossJoin(want)
-    absent = every.join(answers.select(*session, "question_id").distinct(), [*session, "question_id"], "left_anti")
-    per = absent.groupBy(*session).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "parameter"))), lambda x: x["parameter"]).alias("missing"))
-    out = sessions.join(per, session, "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    # an examination has some ten parameters: one row, beside what each session has answered
+    want = parameters.where("capture_mode = 'patient_reported'").agg(F.array_sort(F.collect_list(F.struct("ord", "parameter", "question_id"))).alias("_want"))
+    given = answers.groupBy(*session).agg(F.collect_set("question_id").alias("_given"))
+    absent = F.filter("_want", lambda p: p["question_id"].isNull() | ~F.coalesce(F.array_contains("_given", p["question_id"]), F.lit(False)))
+    out = sessions.join(given, session, "left").crossJoin(F.broadcast(want)).withColumn("missing", F.transform(absent, lambda p: p["parameter"]))
     return out.select(*session, "missing", F.size("missing").cast("long").alias("n_missing"), (F.size("missing") == 0).alias("complete"))
 
 

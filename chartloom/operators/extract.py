@@ -9,6 +9,7 @@ from chartloom.functions.dates import DMY, parse_dmy, spans
 from chartloom.functions.dosing import STRENGTH, dose_phrase, let
 
 # How sure each rule is, and the forms of lines.
+ASSUMED = " (day/month order assumed, please confirm)"
 RULES = {
     "bp": 0.95, "spo2": 0.95, "pulse": 0.90, "temperature": 0.90, "weight": 0.90, "height": 0.90, "resp_rate": 0.85, "dose_notation": 0.95,
     "frequency_abbrev": 0.85, "strength": 0.90, "drug_line": 0.80, "lab_row": 0.75, "date_unambiguous": 0.95, "date_assumed_dmy": 0.70, "facility": 0.60, "diagnosis_line": 0.70,
@@ -63,7 +64,7 @@ def _each(text: Column, pattern: str, make) -> Column:
 def date_array(text: Column) -> Column:
     def made(s: Column) -> Column:
         def of(d: Column) -> Column:
-            said = F.when(d["ambiguous"], F.concat(s["m"], F.lit(" (day/month order assumed, please confirm)"))).otherwise(s["m"])
+            said = F.when(d["ambiguous"], F.concat(s["m"], F.lit(ASSUMED))).otherwise(s["m"])
             return _entity("date", said, F.when(d["ambiguous"], "date_assumed_dmy").otherwise("date_unambiguous"), string=F.date_format(d["value"], "yyyy-MM-dd"))
 
         return let(parse_dmy(s["m"]), of)
@@ -126,10 +127,14 @@ def rows(docs: DataFrame, key: list[str], found: Column) -> DataFrame:
     return docs.select(*key, F.explode(found).alias("e")).select(*key, "e.*")
 
 
-def entities(docs: DataFrame, key: list[str], mean_col: str = "mean_confidence", text_col: str = "text") -> DataFrame:
-    """(key, entity_no, kind, text, value_num, value_str, unit, reference_range, confidence) in the order dates, diagnoses, reversed drug lines, drug lines, labs, vitals, facility. One pass over the documents, no shuffle."""
+#: What finds each kind, in order.
+FINDERS = (("date", date_array), ("diagnosis", diagnosis_array), ("medication", reversed_drug_array), ("medication", drug_array), ("lab", lab_array), ("vital", vital_array), ("facility", facility_array))
+
+
+def entities(docs: DataFrame, key: list[str], mean_col: str = "mean_confidence", text_col: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, entity_no, kind, text, value_num, value_str, unit, reference_range, confidence) in the order dates, diagnoses, reversed drug lines, drug lines, labs, vitals, facility; of some kinds only, if they are given, and then only these are looked for. One pass over the documents, no shuffle."""
     text = F.col(text_col)
-    every = F.concat(*(f(text) for f in (date_array, diagnosis_array, reversed_drug_array, drug_array, lab_array, vital_array, facility_array)))
+    every = F.concat(*(f(text) for k, f in FINDERS if kinds is None or k in kinds))
     out = docs.select(*key, F.col(mean_col).alias("_mean"), F.posexplode(every).alias("entity_no", "e"))
     return out.select(*key, "entity_no", *(f"e.{c}" for c in ("kind", "text", "value_num", "value_str", "unit", "reference_range")), confidence(F.col("_mean"), F.col("e.rule")).alias("confidence"))
 

@@ -54,6 +54,8 @@ def language(wanted: Column, installed: list[str], default: str = "eng+hin") ->
 
 
 # Below and above what a photograph is no good.
+# What is said of images, and the limits.
+BLURRY, DARK, BRIGHT = "blurry - ask for a retake", "too dark - ask for a retake", "overexposed - ask for a retake"
 LEAST_SHARPNESS, LEAST_BRIGHTNESS, MOST_BRIGHTNESS = 100, 60, 225
 
 
@@ -72,5 +74,5 @@ def image_quality(images: DataFrame, key: list[str]) -> DataFrame:
     a = images.select(*key, edges.alias("_e"), F.transform("pixels", lambda x: x.cast("double")).alias("_p"))
     a = a.withColumn("_m", F.when(F.size("_e") > 0, mean(F.col("_e"))))
     a = a.withColumn("sharpness", F.coalesce(F.when(F.size("_e") > 0, mean(F.transform("_e", lambda x: (x - F.col("_m")) * (x - F.col("_m"))))), F.lit(0.0))).withColumn("brightness", F.when(F.size("_p") > 0, mean(F.col("_p"))).otherwise(0.0))
-    verdict = F.when(F.col("sharpness") < LEAST_SHARPNESS, "blurry - ask for a retake").when(F.col("brightness") < LEAST_BRIGHTNESS, "too dark - ask for a retake").when(F.col("brightness") > MOST_BRIGHTNESS, "overexposed - ask for a retake").otherwise("ok")
+    verdict = F.when(F.col("sharpness") < LEAST_SHARPNESS, BLURRY).when(F.col("brightness") < LEAST_BRIGHTNESS, DARK).when(F.col("brightness") > MOST_BRIGHTNESS, BRIGHT).otherwise("ok")
     return a.select(*key, F.round("sharpness", 2).alias("sharpness"), F.round("brightness", 2).alias("brightness"), verdict.alias("verdict"))

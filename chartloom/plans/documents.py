@@ -43,7 +43,7 @@ def text_keys(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.lookup_key(x).alias("look_up"), text.alnum_key(x).alias("alnum"), text.entity_chars(x).alias("entity"))
 
 
-@query(f"WITH {cte('dated_docs')} SELECT document_id, CAST(o_orderdate AS DATE) AS value, CASE WHEN day(o_orderdate) <= 12 THEN 0.7 ELSE 0.95 END AS confidence FROM dated_docs JOIN orders ON o_orderkey = document_id WHERE document_id % 4 = 3 OR o_custkey % 3 = 2 OR NOT (day(o_orderdate) <= 12 AND false) AND (document_id % 4 = 3 OR day(o_orderdate) > 12 OR true)")
+@query(f"WITH {cte('dated_docs')} SELECT document_id, CAST(o_orderdate AS DATE) AS value, CASE WHEN day(o_orderdate) <= 12 THEN 0.7 ELSE 0.95 END AS confidence FROM dated_docs JOIN orders ON o_orderkey = document_id")
 def best_dates(spark, sf_dir):
     return dates.best_date(make(spark, sf_dir, "dated_docs"), ["document_id"])
 
@@ -86,12 +86,12 @@ _LAB_SQL = f"SELECT {DOC} AS document_id, 0::BIGINT AS entity_no, 'lab' AS kind,
 
 @query(_LAB_SQL)
 def lab_rows(spark, sf_dir):
-    return extract.entities(make(spark, sf_dir, "lab_docs"), ["document_id"]).where("kind = 'lab'").select("document_id", F.lit(0).cast("long").alias("entity_no"), "kind", "text", "value_num", "value_str", "unit", "reference_range", F.round("confidence", 6).alias("confidence"))
+    return extract.entities(make(spark, sf_dir, "lab_docs"), ["document_id"], kinds=("lab",)).select("document_id", F.lit(0).cast("long").alias("entity_no"), "kind", "text", "value_num", "value_str", "unit", "reference_range", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"SELECT {DOC} AS document_id, {FORM} || ' ' || {ALIAS} || ' ' || {STRENGTH} || 'mg ' || {SLOT} || ' x ' || {DAYS} || ' days [' || {SENTENCE} || ', for ' || {DAYS} || ' days]' AS text, {STRENGTH}::DOUBLE AS value_num, 'mg' AS unit, round(0.9 * 0.8, 6)::DOUBLE AS confidence FROM lineitem")
 def drug_lines(spark, sf_dir):
-    return extract.entities(make(spark, sf_dir, "drug_docs"), ["document_id"]).where("kind = 'medication'").select("document_id", "text", "value_num", "unit", F.round("confidence", 6).alias("confidence"))
+    return extract.entities(make(spark, sf_dir, "drug_docs"), ["document_id"], kinds=("medication",)).select("document_id", "text", "value_num", "unit", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""SELECT {DOC} AS document_id, 'BP: ' || CAST(90 + l_quantity AS INT) || '/' || CAST(60 + l_suppkey % 30 AS INT) || ' (systolic=' || CAST(90 + l_quantity AS INT) || ', diastolic=' || CAST(60 + l_suppkey % 30 AS INT) || ')' AS text, NULL::DOUBLE AS value_num, CAST(90 + l_quantity AS INT) || '/' || CAST(60 + l_suppkey % 30 AS INT) AS value_str, 'mmHg' AS unit FROM lineitem
