@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chartloom.functions.text import lookup_key
 from chartloom.lineage import scratch
 from chartloom.operators import ayush, coding, dialogue, fhir, interview, metrics, ocr, rules, summary, timeline
-from chartloom.plans.inputs import ALIAS, DOC, DRUGS, QTY, cte, make, pick, tables, values
+from chartloom.plans.inputs import ALIAS, DOC, DRUGS, HIGH, LOW, QTY, cte, make, pick, tables, values
 from chartloom.sources import cache, dims, scan
 
 QUERIES: dict = {}
@@ -599,9 +599,17 @@ def abnormal_markers(spark, sf_dir):
 
 
 # The whole path.
-@query()
+def _bundles_sql() -> str:
+    """Each document has one lab or one drug, so none folds into another: entries are documents, and the rest is worked out from the columns."""
+    from chartloom.plans import documents
+
+    alerts = documents._ALERTS.replace(cte("session_drugs"), f"session_drugs AS (SELECT l_orderkey AS session_id, {DOC} AS pos, {ALIAS} AS drug FROM lineitem)")
+    return f"WITH {alerts}, d AS (SELECT l_orderkey AS session, 2 * count(*) AS n_entries, count(*) FILTER (WHERE l_suppkey % 5 <> 0 AND ({QTY} > {HIGH} OR {QTY} < {LOW})) AS n_abnormal FROM lineitem GROUP BY 1), i AS (SELECT session_id AS session, count(*) AS n FROM ranked GROUP BY 1) SELECT session, n_entries, n_abnormal, coalesce(n, 0)::BIGINT AS n_interactions FROM d LEFT JOIN i USING (session)"
+
+
+@query(_bundles_sql)
 def document_bundles(spark, sf_dir):
-    """Pages of one lab row or one drug line a document, three sources of operators in one path; tests check its parts."""
+    """Pages of one lab row or one drug line a document, three sources of operators in one path."""
     from chartloom.plans import bundle
 
     labs, drugs = (make(spark, sf_dir, n).select(F.col("session_id").alias("session"), "document_id", "text", "mean_confidence") for n in ("lab_docs", "drug_docs"))
