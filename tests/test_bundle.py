@@ -1,7 +1,8 @@
 import datetime
 
+from pyspark.sql import functions as F
 
-from chartloom.operators import summary
+from chartloom.operators import fhir, summary
 from chartloom.plans import bundle
 from chartloom.sources import dims
 
@@ -54,3 +55,12 @@ def test_prior_section(spark):
     out = {r.session: r for r in summary.prior_section(t, a, i, b, ["session"]).collect()}
     assert out["s"].en == "Abnormal results:\n  - FBS: 142.0 mg/dL (high, reference 70.0-100.0)\n\nAll investigations on file:\n  - Lab — 2020-01-01\n\nDrug interaction warnings:\n  - a + b: d (major)"
     assert out["s"].hi.startswith("असामान्य") and out["s"].provenance == [1] and out["s"].confidence == 0.8 and out["t"].confidence == 0.0
+
+
+def test_canonical_json_and_entries(spark):
+    """Equal values have equal text whatever the order of keys or needless zeros; entries are read as variants."""
+    rows = spark.createDataFrame([('{"b":1.0,"a":[{"y":"é","x":0.50}]}',), ('{"a":[{"x":0.5,"y":"\\u00e9"}],"b":1}',)], "j string")
+    assert {r[0] for r in rows.select(fhir.canonical(F.col("j"))).collect()} == {'{"a":[{"x":0.5,"y":"é"}],"b":1}'}
+    bundles = spark.createDataFrame([(1, '{"entry":[{"resource":{"resourceType":"Observation","id":"o"}},{"resource":{"resourceType":"DetectedIssue"}}]}'), (2, '{"entry":[]}')], "session int, bundle string")
+    out = fhir.entries(bundles, ["session"]).select("session", "at", "resource_type", F.variant_get("resource", "$.id", "string").alias("id")).collect()
+    assert sorted(map(tuple, out)) == [(1, 0, "Observation", "o"), (1, 1, "DetectedIssue", None)]
