@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY, WORDS = 5, 0.8, 6
 #: Texts that are just similar enough differ in 15 % of the bits: of 64 in 9.7 with deviation 2.9, of 384 in 58.2 with 7.
 NEAR_BITS, NEAR_SHARE = 20, 0.24
 #: What is as near as this to one that leads a bucket doesn't lead there itself.
-CLOSE_BITS = 10
+CLOSE_BITS = 14
 #: Documents that are looked up by a broadcast of their ids; more by a shuffle of the texts.
 FEW = 500_000
 _SMALL = 48
@@ -387,7 +387,7 @@ def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, clo
     sample = prints.where(F.pmod(F.xxhash64("c"), F.lit(HOT_SAMPLE)) == 0).select(*columns).mapInArrow(replicate, "k long, f long, c long").groupBy("k").count()
     hot = cut(sample.where(F.col("count") >= HOT_ANCHOR // HOT_SAMPLE).select("k", F.ceil(F.col("count") * (2 * HOT_SAMPLE) / HOT_ANCHOR).alias("parts")))
     n = hot.count()
-    order = ["k", "s", "f", "c"]
+    order = ["k", "s", "c"]  # by class, so that the same ones lead at all anchors
     if not n:
         found = rows.select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
     else:
@@ -397,7 +397,7 @@ def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, clo
         parts = dealt.repartition("k", "s").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long")
         leaders = cut(parts.select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long"))
         sent = leaders.join(few, "k").select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), "f", "c", F.lit(True).alias("leads"))
-        all_ = sent.unionByName(dealt.withColumn("leads", F.lit(False))).repartition("k", "s").sortWithinPartitions("k", "s", F.desc("leads"), "f", "c")
+        all_ = sent.unionByName(dealt.withColumn("leads", F.lit(False))).repartition("k", "s").sortWithinPartitions("k", "s", F.desc("leads"), "c")
         found = cold.unionByName(all_.mapInArrow(follow, "a long, b long"))
     return found.where("a != b").distinct()
 
