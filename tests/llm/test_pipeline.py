@@ -69,7 +69,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert set(entry.oracle_sql()) <= set(names)
     assert "corpus_pipeline" in sys.modules and 4 <= len(corpus_pipeline.STAGES) <= 5
 
