@@ -70,10 +70,13 @@ def holds(op: Column, rhs: Column, value: Column) -> Column:
 
 
 def from_list(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    """A rule file's rules (question_id, option, when, reason, severity) as rows, in their order; conditions that the grammar doesn't have are errors at once."""
+    """A rule file's rules (question_id, option, when, reason, severity) as rows, in their order; conditions that the grammar doesn't have are errors at once.
+
+    Spark doesn't know the size of rows that the driver gave, so it would send the answers to them: the rules are what joins broadcast.
+    """
     for r in rules:
         parse(r.get("when"))
-    return spark.createDataFrame([(n, r["question_id"], r.get("option"), r.get("when"), r["reason"], r["severity"]) for n, r in enumerate(rules)], RULE)
+    return F.broadcast(spark.createDataFrame([(n, r["question_id"], r.get("option"), r.get("when"), r["reason"], r["severity"]) for n, r in enumerate(rules)], RULE))
 
 
 def indexed(rules: DataFrame) -> DataFrame:

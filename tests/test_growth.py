@@ -19,3 +19,12 @@ def test_tally_counts_equal_rules_once(spark):
     plain = rules.fired(answers, found, ["session_id"]).groupBy("rule_no", "reason", "severity").agg(F.count(F.lit(1)), F.count_distinct("session_id"), F.sum("ord").cast("long"))
     told = interview.tally(answers, found, ["session_id"])
     assert sorted(map(tuple, told.collect())) == sorted(map(tuple, plain.collect())) and 0 < told.count() < 60
+
+
+def test_rules_are_what_is_broadcast(spark):
+    """Answers, of a stream or not, are never sent to the driver to meet a rule file's few rules."""
+    seen = spark.createDataFrame([(1, 1, "a", "yes", None, None, None, {"a": "yes"})], ANSWER + ", state map<string,string>")
+    flags = interview.red_flags(seen, [{"question_id": "a", "when": "value == yes", "reason": "r", "severity": "urgent"}], ["session_id"], with_state=True)
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert [r.reason for r in flags.collect()] == ["r"]
