@@ -40,11 +40,13 @@ class SessionState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = {k[0]: v[0] for k, v in self.answers.iterator()}
         got = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        out = []
-        for r in got[_ORDER].itertuples(index=False):
-            state[r.question_id] = r.value
-            self.answers.updateValue((r.question_id,), (r.value,))
+        out, told = [], {}
+        for r in zip(*(got[c] for c in _ORDER)):
+            state[r[2]] = told[r[2]] = r[3]
             out.append((*r, dict(state)))
+        # the store is told once of a question, however often it was answered
+        for question, value in told.items():
+            self.answers.updateValue((question,), (value,))
         yield pd.DataFrame(out, columns=[*_ORDER, "state"])
 
     def close(self) -> None:
