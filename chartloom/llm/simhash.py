@@ -28,6 +28,8 @@ SEED = 42
 HOT_ANCHOR = 8_192
 #: One replica in so many is counted to find such anchors; a miss costs time, not links.
 HOT_SAMPLE = 64
+#: Rows that a part of a dealt-out anchor shows at once, at least, to find leaders.
+HEAD = 32
 #: Of similar texts: words of a shingle, the least Jaccard similarity of shingle sets, and the words of a fingerprint.
 SHINGLE, SIMILARITY, WORDS = 5, 0.8, 6
 #: Texts that are just similar enough differ in 15 % of the bits: of 64 in 9.7 with deviation 2.9, of 384 in 58.2 with 7.
@@ -340,8 +342,8 @@ def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, clo
     """(a, b), distinct, of classes (c, w0, w1, ...) that meet at an anchor and are near in the next word.
 
     Each half of each word is covered as in links(), within covering radius + 1. At an anchor all rows meet its leaders. Anchors with very
-    many replicas are dealt out by salt: the leaders of their parts find out which of them lead the whole, and these go to every
-    part, so there, too, all rows meet all leaders.
+    many replicas are dealt out by salt and led in rounds: the parts' first open rows, as far as all of them are there, are gone through
+    in order, and their leaders go to every part to close rows. So they have the leaders that one task would find, and there, too, all rows meet all leaders.
     """
     spark = prints.sparkSession
     ship(spark)
@@ -365,10 +367,47 @@ def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, clo
             a, b, _ = _led(bucket(k, s), f.view(np.uint64), near, close)
             yield met(c, a, b)
 
+    def head(batches):
+        """The first n rows of each part, with their rank in it."""
+        of, seen = None, 0
+        for batch in released(batches):
+            if not batch.num_rows:
+                continue
+            k, s, f, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
+            rank = np.arange(len(k)) - np.repeat(at, np.diff(np.r_[at, len(k)]))
+            if of == (k[0], s[0]):
+                rank[: at[1] if len(at) > 1 else len(k)] += seen
+            of, seen = (k[-1], s[-1]), int(rank[-1]) + 1
+            some = rank < n
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (k, np.zeros_like(k), f, c, rank == n - 1)], names=["k", "s", "f", "c", "last"])
+
     def lead(batches):
-        for k, s, f, c in _in_buckets(batches, 4):
-            *_, led = _led(bucket(k, s), f.view(np.uint64), -1, close)
-            yield pa.RecordBatch.from_arrays([pa.array(x[led]) for x in (k, f, c)], names=["k", "f", "c"])
+        """An anchor's leaders among its parts' first rows, up to the least of the last ones: beyond it some rows of a part may not be here."""
+        for k, s, f, c, last in _in_buckets(batches, 5):
+            of = bucket(k, s) - 1
+            bound = np.full(of[-1] + 1 if len(of) else 0, np.iinfo(np.int64).max)
+            last = last.astype(bool)
+            np.minimum.at(bound, of[last], c[last])
+            whole = c <= bound[of]
+            k, f, c, of = k[whole], f[whole], c[whole], of[whole]
+            *_, led = _led(of, f.view(np.uint64), -1, close)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[led], f[led], c[led], bound[of[led]])], names=["k", "f", "c", "bound"])
+
+    def still_open(batches):
+        """Rows past the bound that are over `close` bits from their bucket's new leaders, which come first in it."""
+        for k, s, f, c, leads, bound in _in_buckets(batches, 6):
+            of, f_ = bucket(k, s), f.view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            some = ~leads.astype(bool)
+            for start, stop in zip(starts, np.r_[starts[1:], len(of)]):
+                n = int(leads[start:stop].sum())
+                if n:
+                    some[start:stop] &= c[start:stop] > bound[start]
+                for i in range(start, start + n):
+                    left = np.flatnonzero(some[start:stop]) + start
+                    some[left[np.bitwise_count(f_[left] ^ f_[i]) <= close]] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (k, s, f, c)], names=["k", "s", "f", "c"])
 
     def follow(batches):
         """Rows against the leaders of their bucket, which come first in it."""
@@ -393,10 +432,18 @@ def candidates(prints: DataFrame, words: int = WORDS, near: int = NEAR_BITS, clo
     else:
         few = sized_broadcast(hot, n, 50_000)
         cold = rows.join(few, "k", "left_anti").select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
-        dealt = rows.join(few, "k").select("k", F.pmod(F.xxhash64("c"), F.col("parts")).alias("s"), "f", "c")
-        parts = dealt.repartition("k", "s").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long")
-        leaders = cut(parts.select("k", F.lit(0).cast("long").alias("s"), "f", "c").repartition("k").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long"))
-        sent = leaders.join(few, "k").select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), "f", "c", F.lit(True).alias("leads"))
+        dealt = cut(rows.join(few, "k").select("k", F.pmod(F.xxhash64("c"), F.col("parts")).alias("s"), "f", "c"))
+        left, leaders = dealt, None
+        share = F.greatest(F.lit(HEAD), F.floor(F.lit(HOT_ANCHOR) / F.col("parts")).cast("long"))
+        to_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s")
+        while not left.isEmpty():
+            first = left.join(few, "k").select("k", "s", "f", "c", share.alias("n")).repartition("k", "s").sortWithinPartitions(*order).mapInArrow(head, "k long, s long, f long, c long, last boolean")
+            led = cut(first.repartition("k").sortWithinPartitions(*order).mapInArrow(lead, "k long, f long, c long, bound long"))
+            leaders = led if leaders is None else leaders.unionByName(led)
+            new = led.join(few, "k").select("k", to_parts, "f", "c", F.lit(True).alias("leads"), "bound")
+            held = left.select("k", "s", "f", "c", F.lit(False).alias("leads"), F.lit(0).cast("long").alias("bound"))
+            left = cut(new.unionByName(held).repartition("k", "s").sortWithinPartitions("k", "s", F.desc("leads"), "c").mapInArrow(still_open, "k long, s long, f long, c long"))
+        sent = leaders.join(few, "k").select("k", to_parts, "f", "c", F.lit(True).alias("leads"))
         all_ = sent.unionByName(dealt.withColumn("leads", F.lit(False))).repartition("k", "s").sortWithinPartitions("k", "s", F.desc("leads"), "c")
         found = cold.unionByName(all_.mapInArrow(follow, "a long, b long"))
     return found.where("a != b").distinct()

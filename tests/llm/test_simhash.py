@@ -199,3 +199,22 @@ def test_keep_similar_shapes(spark):
     assert simhash.keep_similar(docs.where("doc_id = 99")).count() == 0
     assert simhash.keep_similar(docs).columns == docs.columns
     assert [r.doc_id for r in simhash.keep_first(docs.where("doc_id = 3")).collect()] == [3]
+
+
+def test_candidates_do_not_rest_on_dealing_out(spark, monkeypatch):
+    """The same pairs, leader by leader, whether an anchor is one task's or dealt out, in one round or many."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(3):
+        at = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+        for _ in range(60):
+            words = [int(w) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), replace=False)) for w in at]
+            rows.append((int(rng.integers(-(1 << 62), 1 << 62)), *words))
+    prints = spark.createDataFrame(rows, "c long, w0 long, w1 long")
+    found = []
+    for hot, few in ((simhash.HOT_ANCHOR, simhash.HEAD), (20, 2), (20, simhash.HEAD)):
+        monkeypatch.setattr(simhash, "HOT_ANCHOR", hot)
+        monkeypatch.setattr(simhash, "HOT_SAMPLE", 64 if hot > 64 else 1)
+        monkeypatch.setattr(simhash, "HEAD", few)
+        found.append({tuple(r) for r in simhash.candidates(prints, 2, 20, 5).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
