@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from chartloom.functions import dates
 from chartloom.operators import interview, rules
 
 ANSWER = "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string"
@@ -28,3 +29,10 @@ def test_rules_are_what_is_broadcast(spark):
     plan = flags._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
     assert [r.reason for r in flags.collect()] == ["r"]
+
+
+def test_dates_of_any_numbers(spark):
+    """A day that no month has is none, leap years have theirs, and no number is an error."""
+    days = [(2000, 2, 29, True), (1900, 2, 29, False), (2023, 2, 29, False), (2024, 2, 29, True), (2023, 4, 31, False), (2023, 12, 31, True), (0, 1, 1, False), (2023, 13, 1, False), (2023, 0, 1, False), (2023, 1, 0, False), (None, 1, 1, False), (2023, None, 1, False), (1, 1, 1, True)]
+    rows = spark.createDataFrame(days, "y int, m int, d int, good boolean").select("*", dates._date(F.col("y"), F.col("m"), F.col("d")).alias("v")).collect()
+    assert all((r.v is not None) == r.good and (r.v is None or (r.v.year, r.v.month, r.v.day) == (r.y, r.m, r.d)) for r in rows)
