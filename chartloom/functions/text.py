@@ -30,7 +30,8 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     for glyph, plain in HALVES.items():
         text = F.replace(text, F.lit(glyph), F.lit(plain))
     if compose:
-        text = nfkc(text)
+        # Python gets only the texts that it may change
+        text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
     text = F.translate(text, DEVANAGARI + DASHES + MARKUP, "0123456789" + "-" * len(DASHES))
     text = F.regexp_replace(text, "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")
     text = F.regexp_replace(text, "[ \t ]+", " ")
