@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from chartloom.functions import dates
+from chartloom.lineage import keep
 from chartloom.operators import interview, rules
 
 ANSWER = "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string"
@@ -36,3 +37,11 @@ def test_dates_of_any_numbers(spark):
     days = [(2000, 2, 29, True), (1900, 2, 29, False), (2023, 2, 29, False), (2024, 2, 29, True), (2023, 4, 31, False), (2023, 12, 31, True), (0, 1, 1, False), (2023, 13, 1, False), (2023, 0, 1, False), (2023, 1, 0, False), (None, 1, 1, False), (2023, None, 1, False), (1, 1, 1, True)]
     rows = spark.createDataFrame(days, "y int, m int, d int, good boolean").select("*", dates._date(F.col("y"), F.col("m"), F.col("d")).alias("v")).collect()
     assert all((r.v is not None) == r.good and (r.v is None or (r.v.year, r.v.month, r.v.day) == (r.y, r.m, r.d)) for r in rows)
+
+
+def test_kept_rows_are_compressed_columns(spark):
+    """What is kept reads as it was, nulls without a type too, from files of columns."""
+    df = spark.range(50).select(F.col("id").alias("a b"), F.lit(None).alias("none"), F.array(F.struct(F.lit("x").alias("k"))).alias("l"))
+    out = keep(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    assert all(f.endswith(".zstd.parquet") for f in out.inputFiles()) and out.inputFiles()
