@@ -61,6 +61,7 @@ def record(flags: DataFrame, batch: int, path: str, send: Callable[[dict], tuple
     """Sends a micro-batch of flags and writes its ledger entry; False if the batch was in the ledger already, and nothing was done."""
     at = f"{path}/batch={batch}"
     if _exists(flags.sparkSession, f"{at}/_SUCCESS"):
+        flags.write.format("noop").mode("overwrite").save()  # the stream's state has to be committed even so
         return False
     _sent(flags, send).write.mode("overwrite").parquet(at)  # over what a try that died has left
     return True
