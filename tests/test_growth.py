@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import dates
 from chartloom.lineage import keep
-from chartloom.operators import interview, rules
+from chartloom.operators import fhir, interview, rules
 
 ANSWER = "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string"
 
@@ -45,3 +45,47 @@ def test_kept_rows_are_compressed_columns(spark):
     out = keep(df)
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
     assert all(f.endswith(".zstd.parquet") for f in out.inputFiles()) and out.inputFiles()
+
+
+ENTITY = "document_id long, entity_no long, kind string, text string, value_num double, value_str string, unit string, reference_range string, system string, code string, display string, confidence double"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _made(spark, ranges=("5-9",)):
+    docs = spark.createDataFrame([(i, 7, "note", "T", "2001-01-01", 0.5) for i in range(1, 5)], "document_id long, session long, suggested_type string, suggested_title string, clinical_date string, mean_confidence double")
+    rows = [(1, 2, "lab", "b", 1.0, None, "%", r, None, None, None, 0.5) for r in ranges] + [(2, n, "medication", f"d{n}", None, None, None, None, None, None, None, 0.5) for n in (3, 1)] + [(2, 2, "lab", "left out", 1.0, None, "%", None, None, None, None, 0.5), (3, 1, "diagnosis", "x", None, None, None, None, None, None, None, 0.5), (3, 2, "date", "y", None, None, None, None, None, None, None, 0.5)]
+    return docs, fhir.resources(docs.drop("session"), spark.createDataFrame(rows, ENTITY), ["document_id"])
+
+
+def test_types_and_parts_need_no_json(spark):
+    """Kinds of resources come from counts, so that neither JSON nor lists of entities are held for them; they are those of the JSON."""
+    _, made = _made(spark)
+    plan = _plan(made.select("document_id", "resource_type", "n_parts"))
+    assert "json" not in plan and "collect_list" not in plan
+    rows = made.select("*", F.get_json_object("fhir", "$.resourceType").alias("said")).orderBy("document_id").collect()
+    assert [r.resource_type for r in rows] == [r.said for r in rows] == ["Observation", "Bundle", "Condition", "DocumentReference"]
+    assert [r.n_parts for r in rows] == [1, 2, 1, 0]
+
+
+def test_documents_are_gone_through_once_for_a_bundle(spark):
+    """Ids of requests come from the session's own list, and what resources hold isn't read back from their JSON; a collection given as JSON alone makes the same bundle."""
+    docs, made = _made(spark)
+    whole = made.join(docs.select("document_id", "session"), "document_id")
+    alerts = spark.createDataFrame([(7, 1, "major", "d1", "own", "why")], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
+    request = '{"resourceType":"MedicationRequest","id":"%s","medicationCodeableConcept":{"text":"OWN"}}'
+    own = spark.createDataFrame([(9, "MedicationRequest", 1, request % "m1", 7), (10, "MedicationRequest", 1, (request % "m2").replace('"id"', '"\\u0069d"'), 7)], "document_id long, resource_type string, n_parts long, fhir string, session long").withColumn("entries", F.array("fhir"))
+    out = fhir.patient_bundle(whole.unionByName(own), alerts, docs.select("session").distinct(), ["session"], "document_id")
+    assert _plan(out).count("Generate posexplode") == 1 and "from_json" not in _plan(out).lower() and "jsontostructs" not in _plan(out).lower()
+    row = out.first()
+    assert row.total == 8 and '"implicated":[{"display":"d1"},{"reference":"MedicationRequest/m2","display":"own"}]' in row.bundle
+    assert fhir.patient_bundle(whole.unionByName(own).drop("entries"), alerts, docs.select("session").distinct(), ["session"], "document_id").first() == row
+
+
+def test_ranges_of_any_form(spark):
+    """A printed range has two sides if both are numbers, or else its text."""
+    _, made = _made(spark, ("5-9", "-5-9", "5-9-", "negative", "5"))
+    got = made.where("document_id = 1").select(F.get_json_object("fhir", "$.contained[*].referenceRange").alias("r")).first().r
+    assert got.count('"low"') == 1 and got.count('"text"') == 4
