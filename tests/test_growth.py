@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import dates
 from chartloom.lineage import keep
-from chartloom.operators import abnormal, coding, fhir, interview, rules
+from chartloom.operators import abnormal, coding, extract, fhir, interview, rules
 from chartloom.sources import dims
 
 ANSWER = "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string"
@@ -108,3 +108,12 @@ def test_shipped_tables_have_a_size(spark):
         table = dims.load(spark, name)
         assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
         assert sorted(map(tuple, table.collect())) == sorted(dims.seed_rows(name))
+
+
+def test_a_dose_is_read_in_few_passes(spark):
+    """What a drug line's strength and duration consist of comes from one pass over the match, whatever the white space."""
+    lines = spark.createDataFrame([("Tab. Dolo 500 mg 1 -\t0 - 1/2 x 3 days",), ("Tab Dolo 5.50mg BD",), ("Cap Dolo for 2 weeks",), ("Cap Dolo",)], "text string")
+    found = lines.select(F.explode(extract.drug_array(F.col("text"))).alias("e"))
+    assert _plan(found).count("days?|din") == 2 and _plan(found).count("(mg|mcg") == 2
+    said = [(r.e.value_num, r.e.unit, r.e.value_str, r.e.text.partition(" [")[2]) for r in found.collect()]
+    assert said == [(500.0, "mg", None, "1 tablet in the morning and half a tablet at night, for 3 days]"), (5.5, "mg", None, "twice daily]"), (None, None, "Dolo for", "For 2 weeks]"), (None, None, "Dolo", "")]
