@@ -89,7 +89,9 @@ def _fold_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [*_NAMES, "duplicate_of", "keys"]
     run, of, out = [], None, []
     for frame in frames:
-        for row in frame.to_dict("records"):
+        names = list(frame.columns)
+        for values in zip(*(frame[c].tolist() for c in names)):
+            row = dict(zip(names, values))
             key = row["session"], row["kind"], row["date"]
             if key != of:
                 out += _fold(run)
