@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.operators import abnormal, fhir, summary, timeline
 from chartloom.plans import documents, sessions
-from chartloom.plans.inputs import ALIAS, ANALYTE, DOC, DRUGS, HIGH, LABS, LOW, QTY, cte, make, pick, tables
+from chartloom.plans.inputs import ALIAS, ANALYTE, DOC, DRUGS, HIGH, LABS, LOW, QTY, cte, for_spark, make, pick, tables
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -101,17 +101,17 @@ def _pages(spark, sf_dir: str) -> DataFrame:
 
 
 def _bundles(spark, sf_dir: str) -> DataFrame:
-    """Each session's bundle, with the interactions that its drugs have."""
+    """Each session's bundle as canonical JSON, with the interactions that its drugs have."""
     pages = _pages(spark, sf_dir)
-    made = fhir.resources(pages.drop("session"), spark.sql(_ENTITIES), ["document_id"]).join(pages.select("document_id", "session"), "document_id")
+    made = fhir.resources(pages, spark.sql(for_spark(_ENTITIES)), ["document_id"], ordered=True, along=("session",))
     alerts = documents._alerts(spark, sf_dir).withColumnRenamed("session_id", "session")
-    return fhir.patient_bundle(made, alerts, pages.select("session").distinct(), ["session"], "document_id")
+    return fhir.patient_bundle(made, alerts, pages.select("session").distinct(), ["session"], "document_id", ordered=True)
 
 
 @query(f"WITH {_BUNDLES} SELECT session, total, md5(j) AS digest FROM bundle")
 def whole_bundles(spark, sf_dir):
     """A digest of each whole bundle as canonical JSON: resources, codes, references, provenance, issues."""
-    return _bundles(spark, sf_dir).select("session", "total", F.md5(fhir.canonical(F.col("bundle"))).alias("digest"))
+    return _bundles(spark, sf_dir).select("session", "total", F.md5("bundle").alias("digest"))
 
 
 @query(f"WITH {_BUNDLES} SELECT session, n_issues, n_reports FROM bundle")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chartloom.functions import dates
 from chartloom.lineage import keep
 from chartloom.operators import abnormal, coding, extract, fhir, interview, rules
+from chartloom.plans.inputs import for_spark, pick
 from chartloom.sources import dims
 
 ANSWER = "session_id long, ord long, question_id string, value string, multi array<string>, dur_amount double, dur_unit string"
@@ -117,3 +118,45 @@ def test_a_dose_is_read_in_few_passes(spark):
     assert _plan(found).count("days?|din") == 2 and _plan(found).count("(mg|mcg") == 2
     said = [(r.e.value_num, r.e.unit, r.e.value_str, r.e.text.partition(" [")[2]) for r in found.collect()]
     assert said == [(500.0, "mg", None, "1 tablet in the morning and half a tablet at night, for 3 days]"), (5.5, "mg", None, "twice daily]"), (None, None, "Dolo for", "For 2 weeks]"), (None, None, "Dolo", "")]
+
+
+def test_ordered_resources_are_canonical(spark):
+    """What is written in order is, to the byte, what reading it back and writing it as canonical gives: escapes, other scripts, exponents, no numbers, zeros, nulls."""
+    odd = ['say "x"\\n', "tab\there\x01", "é ½ दवा 😀", "", None, "/<&> \x7f", "mg/dL"]
+    numbers = [12.0, 0.5, -0.0, 1e7, 1.5e-9, float("nan"), float("-inf"), None, 100.0, 123456.789]
+    rows = [(d, n, kind, odd[(d + n) % 7], numbers[(3 * d + n) % 10], odd[(d + n + 1) % 7], odd[(n + 2) % 7], ["5-9.50", "neg\"ative", None, "-0-1e9"][n % 4], ["LOINC", "own\\", None][(d + n) % 3], odd[(2 * n + d) % 7], odd[(n + d + 3) % 7], numbers[(d + n) % 10]) for d in range(24) for n, kind in enumerate((["lab", "vital", "lab", "lab"], ["medication", "medication"], ["diagnosis", "diagnosis"], ["lab"], ["medication"], ["date"], ["vital", "medication"], [])[d % 8])]
+    docs = spark.createDataFrame([(d, d % 3, "note", odd[d % 7], odd[(d + 1) % 7], numbers[d % 10]) for d in range(24)], "document_id long, session long, suggested_type string, suggested_title string, clinical_date string, mean_confidence double")
+    coded = spark.createDataFrame(rows, ENTITY)
+    plain, ordered = (fhir.resources(docs, coded, ["document_id"], ordered=o, along=("session",)) for o in (False, True))
+    read = plain.select("document_id", fhir.canonical(F.col("fhir")).alias("fhir"), F.transform("entries", fhir.canonical).alias("entries"))
+    told = {r.document_id: (r.fhir, r.entries) for r in read.collect()}
+    assert len(told) == 24 and {r.document_id: (r.fhir, r.entries) for r in ordered.collect()} == told
+    alerts = spark.createDataFrame([(s, n, ["major", "odd", None][n], odd[n], odd[s + 2], odd[s + n]) for s in range(3) for n in range(3)], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
+    bundle = lambda df, o: fhir.patient_bundle(df, alerts, docs.select("session").distinct(), ["session"], "document_id", ordered=o)
+    want = {r[0]: r[1] for r in bundle(plain, False).select("session", fhir.canonical(F.col("bundle"))).collect()}
+    assert len(want) == 3 and all({r.session: r.bundle for r in bundle(df, True).collect()} == want for df in (ordered, plain.drop("entries")))
+
+
+def test_lists_are_worked_out_once(spark):
+    """Spark puts no condition on a list's size before it is gone through, which would make all its JSON once more; and digests don't read bundles back."""
+    docs, made = _made(spark)
+    alerts = spark.createDataFrame([], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
+    out = fhir.patient_bundle(made.join(docs.select("document_id", "session"), "document_id"), alerts, docs.select("session").distinct(), ["session"], "document_id")
+    assert "Filter (size(" not in _plan(out) and _plan(out).count("DiagnosticReport") == 1
+
+
+def test_picks_are_look_ups_for_spark(spark):
+    """A pick by number is one step for Spark, with the CASE's values; nothing is picked for other numbers."""
+    case = pick("CAST(id % 9 AS INT)", ["it's", "b", "c"])
+    rows = spark.range(-9, 20)
+    assert "CASE" not in for_spark(f"SELECT {case} || 'x' FROM t") and rows.selectExpr(case).collect() == rows.selectExpr(for_spark(case)).collect()
+
+
+def test_interactions_are_dealt_out_once(spark):
+    """A session's drugs are shuffled once, all that follows stays where they are; the drugs of no pair aren't shuffled; names, places and ranks are the same."""
+    drugs = spark.createDataFrame([(1, 1, "Ecosprin"), (1, 2, "warfarin"), (1, 3, "ASPIRIN"), (1, 4, "nothing known"), (1, 5, None), (2, 1, "warfarin"), (3, 2, "Aspirin"), (3, 1, "Warfarin"), (3, 9, "x-1"), (3, 7, "X 1")], "session long, pos long, drug string")
+    table = spark.createDataFrame([(1, "aspirin", "warfarin", "major", "bleeding"), (2, "Warfarin", "ASPIRIN", "minor", "later row"), (3, "x 1", "aspirin", "contraindicated", "own"), (4, "x 1", "X-1", "minor", "itself")], dims.SCHEMAS["interaction"])
+    out = coding.interactions(drugs, ["session"], dims.load(spark, "drug_alias"), table)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "major", "aspirin", "warfarin", "bleeding"), (3, 1, "contraindicated", "aspirin", "x-1", "own"), (3, 2, "major", "warfarin", "aspirin", "bleeding"), (3, 3, "minor", "x-1", "x-1", "itself")]
+    small = coding.interactions(drugs, ["session"], dims.load(spark, "drug_alias"), dims.load(spark, "interaction"))
+    assert "SortMergeJoin" not in _plan(small) and sum("Exchange hashpartitioning(session" in line for line in _plan(small).splitlines()) == 1
