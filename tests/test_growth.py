@@ -143,6 +143,10 @@ def test_lists_are_worked_out_once(spark):
     alerts = spark.createDataFrame([], "session long, rank_no int, severity string, drug_a string, drug_b string, description string")
     out = fhir.patient_bundle(made.join(docs.select("document_id", "session"), "document_id"), alerts, docs.select("session").distinct(), ["session"], "document_id")
     assert "Filter (size(" not in _plan(out) and _plan(out).count("DiagnosticReport") == 1
+    read = _plan(fhir.entries(out, ["session"]))
+    assert read.count("parseJson") == 1
+    whole = spark.createDataFrame([(1, '{"entry":[]}'), (2, '{"entry":[{"resource":{"resourceType":"A"}}]}'), (3, "{}")], "session int, bundle string")
+    assert [tuple(r)[:3] for r in fhir.entries(whole, ["session"]).collect()] == [(2, 0, "A")]
 
 
 def test_picks_are_look_ups_for_spark(spark):
