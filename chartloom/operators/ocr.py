@@ -27,16 +27,30 @@ def page_text(of_lines: DataFrame, page: list[str]) -> DataFrame:
     return of_lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+def _mean(words: Column) -> Column:
+    """Mean of an array of struct(word_no, confidence), added up from the last word to the first: sums of doubles rest on their order, so it is one whatever the partitions (and the one in which the queries' SQL adds)."""
+    return F.aggregate(F.sort_array(words, asc=False), F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size(words)
+
+
+def _line_words(words: DataFrame, page: list[str]) -> DataFrame:
+    """Lines with their words; rows are dealt out by page, so what is grouped by page or line from here on isn't shuffled again."""
+    return words.repartition(*page).groupBy(*page, "block", "par", "line").agg(F.collect_list(F.struct("word_no", "confidence")).alias("_w"), F.count(F.lit(1)).alias("n")).withColumn("mean", _mean(F.col("_w")))
+
+
+def six_places(x: Column) -> Column:
+    """x to six places, halves up, of the double itself as DuckDB rounds; Spark rounds the shortest decimal that names it, which at a half may go the other way."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def line_confidence(words: DataFrame, page: list[str]) -> DataFrame:
     """Mean confidence of lines of two words or more."""
-    return words.groupBy(*page, "block", "par", "line").agg(F.avg("confidence").alias("mean"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return _line_words(words, page).where("n >= 2").select(*page, "block", "par", "line", "mean", "n")
 
 
 def page_confidence(pages: DataFrame, words: DataFrame, page: list[str], limit: float = ESCALATE) -> DataFrame:
     """(page, mean_confidence, worst_line, low, escalate): 0 where nothing was read; a page whose mean or worst line is below the limit should be read again."""
-    mean = words.groupBy(*page).agg(F.avg("confidence").alias("m"))
-    worst = line_confidence(words, page).groupBy(*page).agg(F.min("mean").alias("w"))
-    out = pages.join(mean, page, "left").join(worst, page, "left")
+    read = _line_words(words, page).groupBy(*page).agg(F.flatten(F.collect_list("_w")).alias("_w"), F.min(F.when(F.col("n") >= 2, F.col("mean"))).alias("w")).select(*page, _mean(F.col("_w")).alias("m"), "w")
+    out = pages.join(read, page, "left")
     m = F.coalesce("m", F.lit(0.0))
     w = F.coalesce("w", m)
     return out.select(*page, m.alias("mean_confidence"), w.alias("worst_line"), (m < limit).alias("low"), ((m < limit) | (w < limit)).alias("escalate"))

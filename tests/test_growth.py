@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import dates
 from chartloom.lineage import keep
-from chartloom.operators import abnormal, coding, extract, fhir, interview, rules
+from chartloom.operators import abnormal, coding, extract, fhir, interview, ocr, rules
 from chartloom.plans.inputs import for_spark, pick
 from chartloom.sources import dims
 
@@ -164,3 +164,28 @@ def test_interactions_are_dealt_out_once(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 1, "major", "aspirin", "warfarin", "bleeding"), (3, 1, "contraindicated", "aspirin", "x-1", "own"), (3, 2, "major", "warfarin", "aspirin", "bleeding"), (3, 3, "minor", "x-1", "x-1", "itself")]
     small = coding.interactions(drugs, ["session"], dims.load(spark, "drug_alias"), dims.load(spark, "interaction"))
     assert "SortMergeJoin" not in _plan(small) and sum("Exchange hashpartitioning(session" in line for line in _plan(small).splitlines()) == 1
+
+
+def test_means_of_pages_do_not_rest_on_partitions(spark):
+    """Confidences are added from the last word to the first, wherever the rows lie, and means round as doubles."""
+    rng = random.Random(3)
+    said = {p: [rng.randrange(101) / 100 for _ in range(rng.choice([3, 32, 160]))] for p in range(60)}
+    rows = [(p, i, 0, 0, i // 9, c) for p, cs in said.items() for i, c in enumerate(cs)]
+
+    def mean(cs):
+        total = 0.0
+        for c in reversed(cs):
+            total += c
+        return total / len(cs)
+
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        words = spark.createDataFrame(rows, "page int, word_no int, block int, par int, line int, confidence double").repartition(parts)
+        out = {r.page: r for r in ocr.page_confidence(words.select("page").distinct(), words, ["page"]).collect()}
+        lines = {(r.page, r.line): r.mean for r in ocr.line_confidence(words, ["page"]).collect()}
+        for p, cs in said.items():
+            each = {k: mean(cs[9 * k : 9 * k + 9]) for k in range(len(cs) // 9 + 1) if len(cs[9 * k : 9 * k + 9]) > 1}
+            assert out[p].mean_confidence == mean(cs) and out[p].worst_line == min(each.values())
+            assert {k: v for (q, k), v in lines.items() if q == p} == each
+    tie = spark.createDataFrame([(0.48593749999999997,), (0.5559375000000001,), (0.36593749999999997,), (None,)], "x double")
+    assert [r[0] for r in tie.select(ocr.six_places(F.col("x"))).collect()] == [0.485937, 0.555938, 0.365938, None]
