@@ -10,7 +10,7 @@ from chartloom.functions import dates, dosing, text
 from chartloom.lineage import scratch
 from chartloom.operators import abnormal, coding, extract
 from chartloom.plans import bundle
-from chartloom.plans.inputs import ALIAS, ANALYTE, DAYS, DOC, DRUGS, FORM, GENERIC, HIGH, LABS, LOW, QTY, SENTENCE, SLOT, STRENGTH, TODAY, cte, make, pick, tables, values
+from chartloom.plans.inputs import ALIAS, ANALYTE, DAYS, DOC, DRUGS, FORM, GENERIC, HIGH, LABS, LOW, QTY, SENTENCE, SLOT, STRENGTH, TODAY, cte, for_spark, make, pick, tables, values
 from chartloom.sources import dims
 from chartloom.sources.dims import seed_rows
 
@@ -117,7 +117,7 @@ def structure(spark, sf_dir):
 @query(f"SELECT {DOC} AS document_id, {ALIAS} AS drug, {GENERIC} AS generic, {pick('CAST(l_partkey % 40 AS INT)', [r[4] for r in DRUGS])} AS code FROM lineitem")
 def drug_codes(spark, sf_dir):
     tables(spark, sf_dir, "lineitem")
-    rows = spark.sql(f"SELECT {DOC} AS document_id, {ALIAS} AS drug FROM lineitem")
+    rows = spark.sql(for_spark(f"SELECT {DOC} AS document_id, {ALIAS} AS drug FROM lineitem"))
     return coding.drug_lookup(rows, "drug", dims.load(spark, "drug_alias")).select("document_id", "drug", "generic", "code")
 
 
@@ -285,7 +285,7 @@ u AS (SELECT *, CASE WHEN state IN ('none', 'unit', 'missing') THEN NULL WHEN st
 SELECT document_id, text, state, CASE WHEN v > uhi THEN 'high' WHEN v < ulo THEN 'low' END AS direction, ulo::DOUBLE AS used_low, uhi::DOUBLE AS used_high FROM u""")
 def abnormal_results(spark, sf_dir):
     tables(spark, sf_dir, "lineitem")
-    lab = spark.sql(f"SELECT {DOC} AS document_id, {ANALYTE} AS text, CASE WHEN l_suppkey % 5 <> 0 THEN CAST({QTY} AS DOUBLE) END AS value_num, 'mg/dl' AS unit, CASE WHEN l_partkey % 3 <> 0 THEN {LOW} || '-' || {HIGH} END AS reference_range, CAST(NULL AS STRING) AS code FROM lineitem")
+    lab = spark.sql(for_spark(f"SELECT {DOC} AS document_id, {ANALYTE} AS text, CASE WHEN l_suppkey % 5 <> 0 THEN CAST({QTY} AS DOUBLE) END AS value_num, 'mg/dl' AS unit, CASE WHEN l_partkey % 3 <> 0 THEN {LOW} || '-' || {HIGH} END AS reference_range, CAST(NULL AS STRING) AS code FROM lineitem"))
     curated = spark.createDataFrame([(i, text_key, None, rng, unit) for i, text_key, _, rng, unit in _CURATED], "row_no int, key string, code string, range string, unit string")
     return abnormal.judge(abnormal.with_curated(lab, curated)).select("document_id", "text", "state", "direction", "used_low", "used_high")
 

@@ -161,7 +161,7 @@ def histories(spark, sf_dir):
     found = sessions._found(spark, sf_dir)
     tables(spark, sf_dir, "orders", "lineitem", "customer")
     none = {c: F.lit(None).cast("string") for c in ("curated_range", "curated_unit")}
-    labs = spark.sql(f"SELECT o_custkey AS session, o_orderkey AS document_id, {DOC} AS entity_no, {ANALYTE} AS text, CAST({QTY} AS DOUBLE) AS value_num, 'mg/dL' AS unit, {LOW} || '-' || {HIGH} AS reference_range FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 5 <> 0").withColumns(none)
+    labs = spark.sql(for_spark(f"SELECT o_custkey AS session, o_orderkey AS document_id, {DOC} AS entity_no, {ANALYTE} AS text, CAST({QTY} AS DOUBLE) AS value_num, 'mg/dL' AS unit, {LOW} || '-' || {HIGH} AS reference_range FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 5 <> 0")).withColumns(none)
     flags = abnormal.flags(abnormal.judge(labs)).withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("document_id", "entity_no")))
     alerts = documents._alerts(spark, sf_dir).withColumnRenamed("session_id", "session")
     who = entries.select("session").distinct()
