@@ -26,7 +26,7 @@ def _by_sql(sf_dir, name, key):
     return con.execute(sql() if callable(sql) else sql).fetchall()
 
 
-@pytest.mark.parametrize("name", ["structure", "drug_lines", "entity_codes"])
+@pytest.mark.parametrize("name", ["structure", "drug_lines", "entity_codes", "fhir_observations"])
 def test_documents_beyond_bigint(spark, large, name):
     """Documents' numbers are whole where they don't fit a BIGINT, in which the SQL fails, and BIGINTs where they do."""
     with pytest.raises(duckdb.OutOfRangeException):
